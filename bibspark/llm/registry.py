@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from bibspark.llm.ann import op10_ann
+from bibspark.llm.bpe import op3_bpe
+from bibspark.llm.chat import op4_chat
+from bibspark.llm.license_scan import op8_license
+from bibspark.llm.quality import op6_quality
 from bibspark.llm.simhash import op5_simhash
+from bibspark.llm.toxicity import op2_toxicity
+from bibspark.llm.warc import op7_warc
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
+    "op8_license": op8_license,
+    "op10_ann": op10_ann,
 }
 
 ORACLES: dict[str, str] = {}
