@@ -60,7 +60,11 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.known: dict[str, tuple[str, str]] = {s: (str(i), s) for s, i in self.special.items()}
+        self.known = self.specials()
+
+    def specials(self) -> dict[str, tuple[str, str, bytes]]:
+        """Words that are known so far: ids as decimal text, decoded text, ids as int32 bytes."""
+        return {s: (str(i), s, np.int32(i).tobytes()) for s, i in self.special.items()}
 
     def pieces(self, text: str | None) -> list[str]:
         """Words of the split pattern; special tokens stay whole, as themselves."""
@@ -117,26 +121,26 @@ class WordBpe:
         """Remember the ids (as decimal text) and the decoded text of words."""
         fresh = [p for p in pieces if p not in self.known]
         if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known = {s: (str(i), s) for s, i in self.special.items()}
+            self.known = self.specials()
             fresh = [p for p in pieces if p not in self.known]
         for i in range(0, len(fresh), 100_000):
             part = fresh[i : i + 100_000]
             ids, n = self.encode_words(part)
             at = 0
-            all_ids = ids.tolist()
+            all_ids, raw = ids.tolist(), ids.astype(np.int32).tobytes()
             for p, k in zip(part, n.tolist(), strict=True):
                 own = all_ids[at : at + k]
+                self.known[p] = (" ".join(map(str, own)), self.decode(own), raw[4 * at : 4 * (at + k)])
                 at += k
-                self.known[p] = (" ".join(map(str, own)), self.decode(own))
 
     def decode(self, ids) -> str:
         """Token texts joined by one space; ids outside the vocabulary are left out."""
         return " ".join([self.tokens[i] for i in ids if 0 <= i < len(self.tokens)])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         pieces = [self.pieces(t) for t in texts]
-        self.learn(set().union(*pieces) if pieces else set())
-        return [[int(i) for p in row for i in self.known[p][0].split(" ")] for row in pieces]
+        self.learn(set().union(*pieces))
+        return [np.frombuffer(b"".join([self.known[p][2] for p in row]), np.int32) for row in pieces]
 
     def digest_rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, digest of the ids and digest of the decoded text of each text."""
@@ -145,8 +149,8 @@ class WordBpe:
         out = []
         for row in rows:
             known = [self.known[p] for p in row]
-            ids = " ".join([a for a, _ in known])
-            decoded = " ".join([b for _, b in known])
+            ids = " ".join([x[0] for x in known])
+            decoded = " ".join([x[1] for x in known])
             out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
         return out
 
@@ -163,6 +167,11 @@ def default_path() -> str:
     return os.environ.get("BPE_FILE") or public_tokenizers.path("word_bpe_49k.json")
 
 
+def id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *rows]))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every row of docs (doc_id, text). Null and empty texts have no ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -170,7 +179,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                yield batch(schema, b.column(0)[i : i + 256], tokenizer(path).encode(b.column(1)[i : i + 256].to_pylist()))
+                yield batch(schema, b.column(0)[i : i + 256], id_lists(tokenizer(path).encode(b.column(1)[i : i + 256].to_pylist())))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -201,5 +210,20 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
+    """The pipeline's last stage: (doc_id, n_tokens, ids, decoded_sha256) of every row of docs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(batches):
+        bpe = tokenizer(path)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                texts = b.column(1)[i : i + 256].to_pylist()
+                ids = bpe.encode(texts)
+                yield batch(schema, b.column(0)[i : i + 256], list(map(len, ids)), id_lists(ids), [d for *_, d in bpe.digest_rows(texts)])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def op3_bpe(spark, sf_dir):
     return encoded_digests(read_table(spark, sf_dir, "documents"), default_path())

@@ -5,13 +5,17 @@ from __future__ import annotations
 from bibspark.llm.ann import op10_ann
 from bibspark.llm.bpe import op3_bpe
 from bibspark.llm.chat import op4_chat
+from bibspark.llm.decontaminate import ORACLE as DECONTAMINATE
+from bibspark.llm.decontaminate import op9_decontaminate
 from bibspark.llm.license_scan import op8_license
 from bibspark.llm.quality import op6_quality
 from bibspark.llm.simhash import op5_simhash
+from bibspark.llm.substrings import op1_substrings
 from bibspark.llm.toxicity import op2_toxicity
 from bibspark.llm.warc import op7_warc
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_chat": op4_chat,
@@ -19,7 +23,10 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_license": op8_license,
+    "op9_decontaminate": op9_decontaminate,
     "op10_ann": op10_ann,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": DECONTAMINATE,
+}
