@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from bibspark.plans import queries
+
+QUERIES: dict = {**queries.QUERIES}
+ORACLES: dict[str, str] = {**queries.ORACLES}
