@@ -137,9 +137,9 @@ def one_per_line(value: Column) -> Column:
 
 
 def strict_boolean(value: Column, fallback: bool | None = None) -> Column:
-    """true/yes/1 and false/no/0 in any case; empty gives the fallback, anything else null."""
+    """true/yes/y/1 and false/no/n/0 in any case; empty gives the fallback, anything else null."""
     key = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.when(key.isin("true", "yes", "1"), True).when(key.isin("false", "no", "0"), False).when(key == "", F.lit(fallback).cast("boolean"))
+    return F.when(key.isin("true", "yes", "y", "1"), True).when(key.isin("false", "no", "n", "0"), False).when(key == "", F.lit(fallback).cast("boolean"))
 
 
 def tsv_escape(value: Column) -> Column:
