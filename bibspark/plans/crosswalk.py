@@ -154,7 +154,7 @@ def ead(units: DataFrame, values: DataFrame, order: DataFrame) -> DataFrame:
     units: (unit_id, parent_id, level, published); values: (unit_id, field_id, value_index, s); order: hierarchy.preorder
     as (unit_id, depth, path)."""
     v = values.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("field_id", "value_index", "s"))).alias("vs"))
-    rows = units.join(v, "unit_id", "left").join(order.select("unit_id", "depth", "path"), "unit_id")
+    rows = units.select("unit_id", "parent_id", "level").join(v, "unit_id", "left").join(order.select("unit_id", "depth", "path"), "unit_id")
     vs = F.coalesce("vs", F.array().cast("array<struct<field_id:string,value_index:int,s:string>>"))
     did = F.array_join(F.flatten(F.array(*[_element(vs, n, e) for n, e in EAD_DID.items()])), "")
     notes = F.array_join(F.flatten(F.array(*[_element(vs, n, e, "<p>", "</p>") for n, e in EAD_TEXT.items()])), "")
