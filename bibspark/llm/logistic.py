@@ -8,7 +8,7 @@ import numpy as np
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
     """Weights (bias first) of standardised columns, folded back to raw columns. One class only: a smoothed base rate."""
     y = np.asarray(y, float)
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
     rate = (y.sum() + 1) / (len(y) + 2)
     bias = np.log(rate / (1 - rate))
     if not 0 < y.sum() < len(y):
