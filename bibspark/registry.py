@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bibspark.plans import queries
+from bibspark.plans import more_queries, queries  # noqa: F401  more_queries adds to the same tables
 
-QUERIES: dict = {**queries.QUERIES}
-ORACLES: dict[str, str] = {**queries.ORACLES}
+QUERIES: dict = queries.QUERIES
+ORACLES: dict[str, str] = queries.ORACLES
