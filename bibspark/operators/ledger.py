@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "GENESIS"
 FIELDS = ("ledger_id", "sequence", "instant", "action", "target", "state_digest", "previous_hash")
@@ -16,20 +20,28 @@ def event_hash(previous: Column | None = None) -> Column:
 
 
 def append_chain(events: DataFrame) -> DataFrame:
-    """Events (FIELDS without previous_hash) with previous_hash and hash: one ordered fold per ledger.
+    """Events (FIELDS without previous_hash) with previous_hash and hash.
 
-    Hashing a chain is sequential within a ledger by nature; ledgers go in parallel."""
+    Hashing a chain is sequential within a ledger by nature; ledgers go in parallel. Each partition streams its sorted
+    ledgers and keeps one hash, so a ledger of any length takes constant memory."""
     body = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS[:-1]])
-    rows = events.select("ledger_id", F.struct("sequence", "instant", "action", "target", "state_digest", body.alias("body")).alias("e"))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<p:string,h:string>>").alias("out"))
-
-    def step(acc, e):
-        h = F.sha2(F.concat_ws("\x1f", e["body"], acc["last"]), 256)
-        return F.struct(h.alias("last"), F.concat(acc["out"], F.array(F.struct(acc["last"].alias("p"), h.alias("h")))).alias("out"))
-
-    folded = rows.groupBy("ledger_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    zipped = folded.select("ledger_id", F.explode(F.arrays_zip("es", F.aggregate("es", start, step)["out"].alias("hs"))).alias("z"))
-    return zipped.select("ledger_id", *(F.col(f"z.es.{c}") for c in FIELDS[1:-1]), F.col("z.hs.p").alias("previous_hash"), F.col("z.hs.h").alias("hash"))
+    rows = events.select(*FIELDS[:-1], body.alias("_body")).repartition("ledger_id").sortWithinPartitions("ledger_id", "sequence")
+    kept = [f.name for f in rows.schema.fields if f.name != "_body"]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("previous_hash", StringType()), StructField("hash", StringType())])
+
+    def run(batches):
+        ledger, last = None, GENESIS
+        for b in batches:
+            before, after = [], []
+            for own, text in zip(b.column(0).to_pylist(), b.column(len(kept)).to_pylist(), strict=True):
+                if own != ledger or ledger is None:
+                    ledger, last = own, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{text}\x1f{last}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept, "previous_hash", "hash"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def chain_breaks(events: DataFrame, expected: Column | None = None) -> DataFrame:
