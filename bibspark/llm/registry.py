@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bibspark.llm.ann import op10_ann
 from bibspark.llm.bpe import op3_bpe
+from bibspark.llm.chat import ORACLE as CHAT
 from bibspark.llm.chat import op4_chat
 from bibspark.llm.decontaminate import ORACLE as DECONTAMINATE
 from bibspark.llm.decontaminate import op9_decontaminate
@@ -12,6 +13,7 @@ from bibspark.llm.quality import op6_quality
 from bibspark.llm.simhash import op5_simhash
 from bibspark.llm.substrings import op1_substrings
 from bibspark.llm.toxicity import op2_toxicity
+from bibspark.llm.warc import ORACLE as WARC
 from bibspark.llm.warc import op7_warc
 
 QUERIES = {
@@ -28,5 +30,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_chat": CHAT,
+    "op7_warc": WARC,
     "op9_decontaminate": DECONTAMINATE,
 }

@@ -193,3 +193,13 @@ def op7_warc(spark, sf_dir):
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     digits = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return rows.select(digits("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), digits("refers_to").alias("refers_to"))
+
+
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last, count(*) AS n FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(p.h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN g.n > 1 AND page_id <> g.last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.n > 1 AND page_id <> g.last THEN g.last END AS refers_to
+FROM p JOIN g ON p.h = g.h
+"""

@@ -114,3 +114,19 @@ def test_license(spark):
     fuzzy = {(r.doc_id, r.label) for r in license_scan.license_spans(docs).collect() if not r.base}
     assert (6, "apache-2.0") in fuzzy and (1, "mit") in fuzzy and not any(i == 7 for i, _ in fuzzy)
     assert license_scan.license_spans(docs.limit(0)).count() == 0
+
+
+def test_oracles(spark):
+    """Queries that SQL can express, against DuckDB, over whole tables."""
+    import duckdb
+    import pandas as pd
+
+    from bibspark.llm import registry
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("conversations", "pages", "documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in registry.ORACLES.items():
+        got, want = registry.QUERIES[name](spark, sf).toPandas(), c.sql(sql).df()
+        rows = lambda d: sorted(tuple("" if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
+        assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want), name
