@@ -148,6 +148,17 @@ def write_lines(exported: DataFrame, path: str, separator: str = "\n\n") -> None
     exported.select("out").write.option("lineSep", separator).text(path)
 
 
+ROOTS = {"dcxml": ('<records xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/" xmlns:dc="http://purl.org/dc/elements/1.1/">', "</records>"), "modsxml": ("<modsCollection>", "</modsCollection>")}
+
+
+def write_documents(exported: DataFrame, path: str, fmt: str, per_file: int = 1000) -> None:
+    """XML files of about per_file records, each a document with one root."""
+    before, after = ROOTS[fmt]
+    parts = max(1, exported.count() // per_file)
+    rows = exported.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.array_join(F.collect_list("out"), "\n").alias("body"))
+    rows.select(F.concat(F.lit(before), "body", F.lit(after))).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def ead(units: DataFrame, values: DataFrame, order: DataFrame) -> DataFrame:
     """(root, out): nested EAD 2002 components, folded bottom-up with one aggregation per level.
 
