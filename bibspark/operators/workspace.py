@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibspark.functions import digest
+from bibspark.functions import digest, identity
 from bibspark.functions.text import first_reason
-from bibspark.operators import fields, hierarchy, ledger, snapshots
+from bibspark.operators import fields, hierarchy, ledger, rules, snapshots
 
 REVISION = "workspace_id string, id string, parent_id string, ordinal long, label string, digest string"
 EVENT = "ledger_id string, sequence long, instant string, action string, target string, state_digest string, previous_hash string, hash string"
@@ -134,3 +134,32 @@ def recovery_reviews(snapshots_now: DataFrame, claims: DataFrame) -> DataFrame:
     rows = snapshots_now.join(c, "id", "left")
     status = F.when(F.col("cd").isNull(), "unclaimed").when(F.col("origin") != F.col("co"), "other-origin").when(F.col("digest") == F.col("cd"), "matches").when(F.col("audit_count") < F.col("ca"), "behind").when(F.col("audit_count") > F.col("ca"), "ahead").otherwise("differs")
     return rows.select("id", status.alias("status"))
+
+
+def correct_records(current: DataFrame, changes: DataFrame, most_links: int = 20, most_names: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(next, refused): records with the changes that keep every rule; refused: (id, reason) of the others.
+
+    A change is refused if its record does not exist, gets too many links or names, or would have an error finding."""
+    patched = snapshots.patch(current.join(changes.select("id"), "id", "left_semi"), changes)
+    rows = patched.withColumn("claims", identity.identity_claims(F.col("identifiers"), F.col("links")))
+    errors = rules.row_findings(rows, F.col("id"), rules.catalog_rules()).where("severity = 'error'").groupBy(F.col("record_id").alias("id")).agg(F.min("code").alias("code"))
+    reason = F.coalesce(first_reason((F.size("links") > most_links, "too-many-links"), (F.size("creators") > most_names, "too-many-names")), F.col("code"))
+    judged = patched.join(errors, "id", "left").withColumn("reason", reason)
+    bad = judged.where("reason is not null").select("id", "reason")
+    unknown = changes.select("id").join(current.select("id"), "id", "left_anti").select("id", F.lit("no-record").alias("reason"))
+    good = changes.join(bad, "id", "left_anti")
+    return snapshots.patch(current, good), bad.unionByName(unknown)
+
+
+def change_config(config: DataFrame, changes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(next, problems) of the one-row configuration; with a problem the configuration stays as it was."""
+    wanted = config.withColumns({k: F.lit(v) for k, v in changes.items()})
+    problems = rules.row_findings(wanted, F.lit("config"), rules.config_rules())
+    ok = problems.isEmpty()
+    return (wanted if ok else config), problems
+
+
+def same_review(stored: DataFrame, derived: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, same): whether a stored review equals the one that is derived again."""
+    d = derived.select(key, digest.row_digest(columns).alias("now"))
+    return stored.select(key, digest.row_digest(columns).alias("was")).join(d, key, "full").select(key, F.col("was").eqNullSafe(F.col("now")).alias("same"))

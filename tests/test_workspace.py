@@ -135,3 +135,19 @@ def test_interop(spark):
     assert [(r.case_id, r.problem) for r in interop.observation_problems(obs).collect()] == [("c2", "unchanged-differs")]
     report = spark.createDataFrame([("c1", "p", "loss")], "case_id string, path string, finding string")
     assert [r.side for r in interop.report_mismatches(report, obs).collect()] == ["report"]
+
+
+def test_corrections(spark):
+    c = dictionaries.sample_catalog(spark).withColumn("creators", F.array(F.lit("x")))
+    changes = spark.createDataFrame([("S-1", "Better", None), ("S-6", "Fixed", True), ("S-9", "None", None), ("S-4", None, None)], "id string, title string, suppressed boolean")
+    after, refused = workspace.correct_records(c, changes)
+    assert {r.id: r.reason for r in refused.collect()} == {"S-1": "SUPPRESSION_LEAK", "S-6": "SUPPRESSION_LEAK", "S-9": "no-record"}
+    ok = spark.createDataFrame([("S-6", "Fixed")], "id string, title string")
+    assert {r.id: r.title for r in workspace.correct_records(c, ok)[0].collect()}["S-6"] == "Fixed"
+    assert after.count() == 6
+    config = spark.createDataFrame([("", "", "")], "resolver_base string, proxy_prefix string, member_code string")
+    new, problems = workspace.change_config(config, {"member_code": "!"})
+    assert problems.first().code == "MEMBER_CODE_INVALID" and new.first().member_code == ""
+    assert workspace.change_config(config, {"resolver_base": "https://example.org/{id}"})[0].first().resolver_base.startswith("https")
+    same = workspace.same_review(config.withColumn("id", F.lit(1)), config.withColumn("id", F.lit(1)), "id", ["member_code"])
+    assert same.first().same
