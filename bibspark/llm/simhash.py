@@ -44,9 +44,10 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray:
-    """`lanes` unsigned 64-bit words. A bit is 1 if it is set in over half of the shingles' hashes."""
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """`lanes` unsigned 64-bit words. A bit is 1 if it is set in over half of the (distinct) shingles' hashes."""
     s = shingles(text, words)
+    s = list(dict.fromkeys(s)) if distinct else s
     if not s:
         return np.zeros(lanes, np.uint64)
     h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in s), np.uint64, len(s))
@@ -60,18 +61,19 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, n_words, fp array<long>) of every row. Null or empty text: fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, size, fp array<long>) of every row; size: the number of (distinct) shingles. Null or empty text:
+    fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            fps = [fingerprint(t, words, lanes) for t in texts]
+            fps = [fingerprint(t, words, lanes, distinct) for t in texts]
             flat = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield batch(schema, b.column(0), [len(split_words(t)) for t in texts], pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, lanes, dtype=np.int32), flat))
+            yield batch(schema, b.column(0), [len(set(shingles(t, words))) if distinct else max(len(split_words(t)) - words + 1, 0) for t in texts], pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, lanes, dtype=np.int32), flat))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, fp array<long>")
 
 
 def exact_cells(radius: int):
@@ -94,8 +96,8 @@ def exact_cells(radius: int):
 def band_cells(bits: int = 16, step: float = 1.5):
     """Cell keys of wide fingerprints: each band of bits, within a length class and the next one below."""
 
-    def keys(fp: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        cls = np.floor(np.log(np.maximum(n_words, 1)) / np.log(step)).astype(np.int64)
+    def keys(fp: np.ndarray, size: np.ndarray) -> np.ndarray:
+        cls = np.floor(np.log(np.maximum(size, 1)) / np.log(step)).astype(np.int64)
         bands = np.concatenate([(fp >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in range(0, 64, bits)], axis=1)
         at = np.arange(bands.shape[1], dtype=np.uint64) << np.uint64(32)
         both = [mix64(mix64(bands + at) + ((cls + d + 1).astype(np.uint64) << np.uint64(48))[:, None]) for d in (0, 1)]
@@ -204,7 +206,7 @@ def _in_cells(radius: int, lanes: int, most: int | None):
 
 
 def near_links(fps: DataFrame, radius: int, lanes: int, cells) -> DataFrame:
-    """fps (id long, n_words, fp array<long>), ids distinct -> (u, v): links that connect all ids within `radius` bits."""
+    """fps (id long, size, fp array<long>), ids distinct -> (u, v): links that connect all ids within `radius` bits."""
     n_keys = cells(np.zeros((1, lanes), np.uint64), np.ones(1, np.int64)).shape[1]
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
@@ -216,7 +218,7 @@ def near_links(fps: DataFrame, radius: int, lanes: int, cells) -> DataFrame:
             yield batch(schema, key, np.repeat(b.column(0).to_numpy(zero_copy_only=False), n_keys), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, lanes, dtype=np.int32), flat))
 
     out = "key long, u long, v long, fp array<long>"
-    spread = fps.select("id", "n_words", "fp").mapInArrow(deal, "key long, id long, fp array<long>")
+    spread = fps.select("id", "size", "fp").mapInArrow(deal, "key long, id long, fp array<long>")
     first = materialise(spread.repartition("key").sortWithinPartitions("key").mapInArrow(_in_cells(radius, lanes, CELL), out), "cells")
     links = first.where("v is not null").select("u", "v")
     late = first.where("v is null").select("key", F.col("u").alias("id"), "fp")
@@ -242,7 +244,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     repeated; an empty table gives an empty result."""
     fps = materialise(fingerprints(docs, words, 1).select("doc_id", F.col("fp")[0].alias("fp")), "fps")
     kinds = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "kinds")
-    ids = kinds.select(F.col("fp").alias("id"), F.lit(0).cast("long").alias("n_words"), F.array("fp").alias("fp"))
+    ids = kinds.select(F.col("fp").alias("id"), F.lit(0).cast("long").alias("size"), F.array("fp").alias("fp"))
     roots = components(near_links(ids, radius, 1, exact_cells(radius)))
     known = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -250,16 +252,17 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 6, slack: float = 0.5) -> DataFrame:
     """(doc_id, group_id) of every distinct doc_id: group_id is the smallest doc_id of its group of near copies.
 
     Similarity is that of sets of `words`-word shingles as estimated by the share of differing bits of a wide SimHash:
-    a Jaccard similarity j is the cosine 2j / (1 + j), whose angle over pi is the expected share of differing bits.
-    Null texts count as empty; texts without a word are copies of each other. Rows with a null doc_id are left out."""
-    radius = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * lanes) + 1
+    a Jaccard similarity j is the cosine 2j / (1 + j), whose angle over pi is the expected share of differing bits;
+    `slack` standard errors are allowed beyond it. Null texts count as empty; texts without a word are copies of each other. Rows with a null doc_id are left out."""
+    share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * lanes
+    radius = round(share * bits + slack * np.sqrt(share * (1 - share) * bits))
     own = docs.where("doc_id is not null")
-    fps = materialise(fingerprints(own, words, lanes), "fps")
-    kinds = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("n_words").alias("n_words")), "kinds")
+    fps = materialise(fingerprints(own, words, lanes, True), "fps")
+    kinds = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("size").alias("size")), "kinds")
     roots = components(near_links(kinds, radius, lanes, band_cells()))
     named = kinds.join(roots, kinds.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("group_id"))
     return fps.join(named, "fp").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))

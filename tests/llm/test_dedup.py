@@ -77,7 +77,7 @@ def test_large_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 20)
     base = 0x0123456789ABCDEF
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)})
-    rows = spark.createDataFrame([(i, 0, [f - (1 << 64) if f >> 63 else f]) for i, f in enumerate(fps)], "id long, n_words long, fp array<long>")
+    rows = spark.createDataFrame([(i, 0, [f - (1 << 64) if f >> 63 else f]) for i, f in enumerate(fps)], "id long, size long, fp array<long>")
     links = simhash.near_links(rows, 3, 1, simhash.exact_cells(3))
     roots = {r.root for r in components(links).collect()}
     assert roots == {0}
