@@ -19,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import batch, read_table
+from bibspark.llm.common import batch, bounded_batches, read_table
 
-WORDS_KEPT = 1_000_000  # encoded words a Python worker remembers; the table is emptied when full
+WORDS_KEPT = 120_000  # encoded words a Python worker remembers; when full, only those of the batch at hand stay
 NONE = np.int64(1) << 40
 
 
@@ -121,8 +121,7 @@ class WordBpe:
         """Remember the ids (as decimal text) and the decoded text of words."""
         fresh = [p for p in pieces if p not in self.known]
         if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known = self.specials()
-            fresh = [p for p in pieces if p not in self.known]
+            self.known = self.specials() | {p: self.known[p] for p in pieces if p in self.known}
         for i in range(0, len(fresh), 100_000):
             part = fresh[i : i + 100_000]
             ids, n = self.encode_words(part)
@@ -137,24 +136,32 @@ class WordBpe:
         """Token texts joined by one space; ids outside the vocabulary are left out."""
         return " ".join([self.tokens[i] for i in ids if 0 <= i < len(self.tokens)])
 
+    def known_rows(self, texts: list[str | None]) -> list[list[tuple[str, str, bytes]]]:
+        """The remembered words of each text, in order."""
+        rows = [self.pieces(t) for t in texts]
+        self.learn(set().union(*rows))
+        return [[self.known[p] for p in row] for row in rows]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [self.pieces(t) for t in texts]
-        self.learn(set().union(*pieces))
-        return [np.frombuffer(b"".join([self.known[p][2] for p in row]), np.int32) for row in pieces]
+        return [ids_of(row) for row in self.known_rows(texts)]
 
     def digest_rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, digest of the ids and digest of the decoded text of each text."""
-        rows = [self.pieces(t) for t in texts]
-        self.learn(set().union(*rows))
         out = []
-        for row in rows:
-            known = [self.known[p] for p in row]
-            ids = " ".join([x[0] for x in known])
-            decoded = " ".join([x[1] for x in known])
-            out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+        for row in self.known_rows(texts):
+            ids = " ".join([x[0] for x in row])
+            out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), decoded_digest(row)))
         return out
 
 
+def ids_of(row: list[tuple[str, str, bytes]]) -> np.ndarray:
+    return np.frombuffer(b"".join([x[2] for x in row]), np.int32)
+
+
+def decoded_digest(row: list[tuple[str, str, bytes]]) -> str:
+    return hashlib.sha256(" ".join([x[1] for x in row]).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 @functools.lru_cache(2)
 def tokenizer(path: str) -> WordBpe:
     """One per Python worker and file."""
@@ -212,15 +219,16 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     """The pipeline's last stage: (doc_id, n_tokens, ids, decoded_sha256) of every row of docs."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                texts = b.column(1)[i : i + 256].to_pylist()
-                ids = bpe.encode(texts)
-                yield batch(schema, b.column(0)[i : i + 256], list(map(len, ids)), id_lists(ids), [d for *_, d in bpe.digest_rows(texts)])
+                rows = bpe.known_rows(b.column(1)[i : i + 256].to_pylist())
+                ids = [ids_of(row) for row in rows]
+                yield batch(schema, b.column(0)[i : i + 256], list(map(len, ids)), id_lists(ids), [decoded_digest(row) for row in rows])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 

@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset, as in tests
 
 
+BATCH_ROWS = 1_024  # texts may be long: Python workers get no larger Arrow batches
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share."""
+    bounded_batches(spark)
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -43,6 +52,7 @@ def release(df: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
