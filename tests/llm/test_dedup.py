@@ -174,3 +174,28 @@ def test_contamination(spark):
     got = {(r.doc_id, r.item_id): round(r.containment, 3) for r in decontaminate.contaminated(d, i).collect()}
     assert got == {(1, 10): 1.0, (4, 10): 1.0, (7, 10): round(25 / 26, 3), (6, 12): 1.0}
     assert {r.doc_id for r in decontaminate.clean_documents(d, i).collect()} == {2, 3, 5, None}
+
+
+def test_parts_in_other_earlier_documents(spark):
+    """A passage is found where its parts first occur, or last occur before, in other documents: against brute force."""
+    rows, want, r = [], set(), random.Random(8)
+    for case in range(12):
+        p, at = words(60, 2000 + case), 10 * case
+        pad = lambda w, k: " ".join(words(r.randint(5, 40), 7000 + 10 * at + 2 * k) + w + words(9, 7001 + 10 * at + 2 * k))  # noqa: B023, E731
+        parts = [[p[:40], p[20:]], [p[:33], p[30:]], [p[:36], p[36:]], [p[:30], p[30:]]][case % 4]
+        texts = [[*parts, p, p], [parts[0], p, parts[1], p], [p, *parts, p]][case // 4]
+        rows += [(at + k, pad(w, k)) for k, w in enumerate(texts)]
+        want.add((at + 3, at + max(k for k in range(3) if texts[k] is p)))
+    flat = {i: t.split() for i, t in rows}
+    runs = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in flat.items()}
+    assert want == {(a, b) for a in runs for b in runs if b < a and runs[a] & runs[b]}
+    got = {(g.doc_id, g.source_doc_id) for g in substrings.passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert want <= got
+
+
+def test_links_over_range_seams(spark):
+    """A seed of many partitions is linked to its first document and to the one before from everywhere."""
+    w = " ".join(words(60, 3))
+    docs = spark.createDataFrame([(i, w) for i in range(400)], DOCS)
+    got = {(m.doc_id, m.source) for m in substrings.seed_matches(docs).collect()}
+    assert got >= {(i, 0) for i in range(1, 400)} | {(i, i - 1) for i in range(1, 400)}
