@@ -199,3 +199,31 @@ def test_links_over_range_seams(spark):
     docs = spark.createDataFrame([(i, w) for i in range(400)], DOCS)
     got = {(m.doc_id, m.source) for m in substrings.seed_matches(docs).collect()}
     assert got >= {(i, 0) for i in range(1, 400)} | {(i, i - 1) for i in range(1, 400)}
+
+
+def fuzzy_recall(spark, each=20):
+    """{(words, change): share found} of planted fuzzy passages whose own similarity, by brute force, is 0.8 or more."""
+    rows, cases, r = [], [], random.Random(12)
+    for size in (60, 80, 200):
+        for change in ("every 5th", "every 6th", "every 8th", "every 10th", 0.15, 0.2):
+            for _ in range(each):
+                p, at = words(size, 30_000 + 3 * len(rows)), len(rows)
+                q = list(p)
+                for i in range(size):
+                    if (r.random() < change) if isinstance(change, float) else i % int(change.split()[1][:-2]) == 2:
+                        q[i] = f"zz{i}"
+                rows += [(at, " ".join(words(30, 50_000 + at) + p + words(20, 60_000 + at))), (at + 1, " ".join(words(15, 70_000 + at) + q + words(40, 80_000 + at)))]
+                if sum(a == b for a, b in zip(p, q, strict=True)) >= 0.8 * size:
+                    cases.append((size, change, at))
+    got = {(g.doc_id, g.source_doc_id) for g in substrings.passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(a == b + 1 for a, b in got)
+    found: dict = {}
+    for size, change, at in cases:
+        found.setdefault((size, change), []).append((at + 1, at) in got)
+    return {k: sum(v) / len(v) for k, v in found.items()}
+
+
+def test_fuzzy_passages(spark):
+    recall = fuzzy_recall(spark)
+    print(recall)
+    assert min(v for (_, change), v in recall.items() if change != "every 5th") >= 0.9
