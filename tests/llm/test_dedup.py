@@ -227,3 +227,15 @@ def test_fuzzy_passages(spark):
     recall = fuzzy_recall(spark)
     print(recall)
     assert min(v for (_, change), v in recall.items() if change != "every 5th") >= 0.9
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """Of rows of one doc_id the longest text counts, never a null one; positions are those of that text."""
+    p = words(60, 900)
+    long, short = " ".join(words(50, 901) + p), " ".join(p[:55])
+    rows = [(5, None), (5, " ".join(p)), (7, short), (7, long), (9, " ".join(words(10, 902) + p)), (9, None), (11, None), (11, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *EXTRA)
+    got = sorted((g.doc_id, g.start_word, g.end_word, g.source_doc_id, g.source_start_word, g.source_end_word) for g in substrings.passages(docs).collect())
+    assert got == [(7, 50, 110, 5, 0, 60), (9, 10, 70, 5, 0, 60)]
+    left = sorted((g.doc_id, g.text or "") for g in substrings.remove_passages(docs).collect())
+    assert left == sorted([(5, ""), (5, " ".join(p)), (7, " ".join(words(50, 901))), (7, short), (9, ""), (9, " ".join(words(10, 902))), (11, ""), (11, "")])
