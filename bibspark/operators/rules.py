@@ -84,6 +84,13 @@ def duplicate_members(rows: DataFrame, key: str, record_id: str, keep: int = 20)
     return sizes.join(first.groupBy(key).agg(F.array_sort(F.collect_list(record_id)).alias("members")), key)
 
 
+def duplicate_rows(rows: DataFrame, key: str, record_id: str) -> DataFrame:
+    """(key, n, record_id): every row of each repeated key, without arrays or windows; Spark splits hot keys of the join."""
+    known = rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(key, record_id)
+    sizes = known.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return known.join(sizes, key).select(key, "n", record_id)
+
+
 def catalog_findings(catalog: DataFrame, extra: list[Rule] = ()) -> DataFrame:
     """All findings of a set of catalog records, row rules and group rules, and any rules of the user."""
     rows = catalog.withColumns({"claims": identity.identity_claims(F.col("identifiers"), F.col("links")), "title_key": text.title_key(F.col("title"), unicode=False)})

@@ -75,6 +75,11 @@ def duplicate_claims(spark, d):
     return found.select("claim", "n", F.array_join("members", ",").alias("members"))
 
 
+@query("duplicate_claim_members", "SELECT claim, n, id FROM claim JOIN (SELECT claim, count(*) AS n FROM claim GROUP BY claim HAVING count(*) > 1) USING (claim)", "catalog", "claim")
+def duplicate_claim_members(spark, d):
+    return rules.duplicate_rows(snapshots.claims(views.catalog(spark, d)), "claim", "id")
+
+
 @query("duplicate_titles", "SELECT min(id) AS first_id, key AS title_key, count(*) AS n FROM (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key FROM catalog) WHERE key <> '' GROUP BY key HAVING count(*) > 1", "catalog")
 def duplicate_titles(spark, d):
     keyed = views.catalog(spark, d).withColumn("title_key", text.title_key(F.col("title"), unicode=False))

@@ -151,3 +151,11 @@ def test_corrections(spark):
     assert workspace.change_config(config, {"resolver_base": "https://example.org/{id}"})[0].first().resolver_base.startswith("https")
     same = workspace.same_review(config.withColumn("id", F.lit(1)), config.withColumn("id", F.lit(1)), "id", ["member_code"])
     assert same.first().same
+
+
+def test_all_members_of_a_hot_claim(spark):
+    from bibspark.operators import rules
+
+    claims = spark.createDataFrame([*((f"r{i:03}", "hot") for i in range(300)), ("a", "once"), ("b", None), ("c", ""), ("d", "")], "id string, claim string")
+    got = {(r.claim, r.n, r.id) for r in rules.duplicate_rows(claims, "claim", "id").collect()}
+    assert got == {("hot", 300, f"r{i:03}") for i in range(300)}
