@@ -90,7 +90,7 @@ def _parse(raw: bytes, at: int) -> tuple[dict, bytes, int] | None:
     if not m:
         return None
     stop = raw.find(END, m.end() - 2)
-    if stop < 0 or stop - at > 1 << 20:
+    if stop < 0:
         return None
     head: dict[str, str] = {}
     for line in raw[m.end() : stop].split(b"\r\n"):

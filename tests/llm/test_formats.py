@@ -130,3 +130,11 @@ def test_oracles(spark):
         got, want = registry.QUERIES[name](spark, sf).toPandas(), c.sql(sql).df()
         rows = lambda d: sorted(tuple("" if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want), name
+
+
+def test_warc_very_long_url(spark, tmp_path):
+    """A header of more than 1 MiB is read like any other."""
+    pages = spark.createDataFrame([(1, "http://a/" + " " * 400_000, "one"), (2, "http://b", "two")], "page_id long, url string, html string")
+    warc.write_warc(pages, f"{tmp_path}/w")
+    got = {(r.record_id, r.status, bytes(r.payload), len(r.target_uri)) for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert got == {("<urn:page:1>", "ok", b"one", 1_200_009), ("<urn:page:2>", "ok", b"two", 8)}
