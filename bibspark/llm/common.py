@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-import contextlib
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset, as in tests
-
-
-BATCH_ROWS = 1_024  # texts may be long: Python workers get no larger Arrow batches
+BATCH_ROWS = 10_000  # texts may be long: Python workers get no larger Arrow batches, in rows and in bytes
+BATCH_BYTES = 16 << 20
+LOCAL_SHARED = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset and Spark runs in one process, as in tests
+_WRITTEN: set[str] = set()  # folders of this process' own intermediate tables
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower the session's bounds of an Arrow batch where they are larger; smaller ones stay as the user set them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        value = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name)).lower())
+        if value and int(value[1]) not in range(1, most + 1):
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share."""
+    """The folder that all executors and the driver share. On a cluster spark.checkpoint.dir has to name it."""
     bounded_batches(spark)
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -40,15 +50,29 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.discard(path)
+
+
 def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark)) or "/checkpoints/" in folder:
-            with contextlib.suppress(Exception):
-                p = jvm.org.apache.hadoop.fs.Path(folder)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete the files of a table written by materialise() that no later plan reads; other files are never touched."""
+    for path in {w for f in df.inputFiles() for w in _WRITTEN if f"/{w.rpartition('/')[2]}/" in f}:
+        _delete(df.sparkSession, path)
+
+
+def finished(df: DataFrame, tag: str, before: set[str]) -> DataFrame:
+    """Write a result that is small against its input, and delete every intermediate table that is not in `before`."""
+    out = materialise(df, tag)
+    for path in _WRITTEN - before - {p for f in out.inputFiles() for p in _WRITTEN if f"/{p.rpartition('/')[2]}/" in f}:
+        _delete(df.sparkSession, path)
+    return out
+
+
+def written() -> set[str]:
+    """The folders of intermediate tables so far, for finished()."""
+    return set(_WRITTEN)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +115,7 @@ def byte_table(keep: bytes) -> bytes:
 
 LETTERS = byte_table(bytes(range(0x61, 0x7B)))
 ALNUM = byte_table(bytes(range(0x61, 0x7B)) + bytes(range(0x30, 0x3A)))
+SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 
 
 def split_words(text: str | None, table: bytes | None = None) -> list[bytes]:
@@ -112,5 +137,65 @@ def salt(k: int) -> np.uint64:
     return np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PIECE = 1 << 19
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """0 to n powers of an odd number modulo 2^64, and of its inverse."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((_BASE, _BACK)):
+            _POWERS[k] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, PIECE), base)])
+    return _POWERS[0], _POWERS[1]
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs values[start:stop] of mixed 64-bit values, by differences of one polynomial sum."""
+    up, down = powers(len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix64((total[stop] - total[start]) * down[start])
+
+
+def word_hashes(texts: pa.Array, table: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts, flat, and the number of words of each text (null: none).
+
+    Words are what split_words() gives, hashed from the column's buffer without making them Python objects."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    low = np.frombuffer(table, np.uint8)[np.frombuffer(raw, np.uint8)[at[0] : at[-1]]] if raw and len(texts) else np.zeros(0, np.uint8)
+    at = at - at[0] if len(at) else np.zeros(1, np.int64)
+    inside = np.r_[False, low != 32, False]
+    edge = np.zeros(len(low) + 1, bool)
+    edge[at] = True
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
+    stop = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+    n = np.diff(np.searchsorted(start, at))
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):  # pieces of whole words, so that sums stay in the processor's cache
+        j = max(int(np.searchsorted(stop, start[i] + PIECE, "right")), i + 1)
+        a, z = start[i], stop[j - 1]
+        out[i:j] = run_hashes(_BYTES[low[a:z]], start[i:j] - a, stop[i:j] - a)
+        i = j
+    return out, n
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `rows` (but the last): for columns of fixed size."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
