@@ -1,14 +1,19 @@
 """Operator 10, approximate nearest neighbours by an adaptive dimension scan of probed lists.
 
-Largest inner products become smallest Euclidean distances by one more coordinate, sqrt(M^2 - |x|^2) (M: the largest
-norm), and a fixed random rotation spreads each distance evenly over the dimensions. Vectors are dealt to the lists of
-k-means centroids, which are fitted on a bounded sample of SAMPLE vectors; every vector is indexed.
-
-A query probes the PROBES nearest lists. Its nearest list comes first and gives the distance of its k-th neighbour so
-far; in each other list column blocks of the rotated vectors are added up, and after each block a candidate is given up
-if its partial distance, scaled to all dimensions, exceeds that distance by more than sampling error allows. Survivors
-get their exact inner product in double precision. Lists are split into blocks of vectors and of queries, so no task
-holds an unbounded group.
+Vectors are divided by the largest norm M. Largest inner products become smallest Euclidean distances by one more
+coordinate, sqrt(1 - |x|^2), and a fixed random rotation spreads each distance evenly over the dimensions. Vectors are
+dealt to the lists of k-means centroids, about sqrt(n) of them, which are fitted on a bounded sample of SAMPLE vectors;
+every vector is indexed.
+
+A query probes its nearest lists. How many is measured on the sample by one rule for all sizes: so many that TARGET of the
+sample's own nearest neighbours lie in them, and at least so many that they hold k vectors. Its nearest list comes first
+and gives the distance of its k-th neighbour so far; in each other list column blocks of the rotated vectors are added
+up, and after each block a candidate is given up if its partial distance, scaled to all dimensions, exceeds that distance
+by more than sampling error allows. Survivors get their exact inner product in double precision. Lists are split into
+blocks of vectors and of queries, so no task holds an unbounded group.
+
+A query scans a share of the table that falls with the structure of the vectors: of vectors in clusters a few lists, so
+about sqrt(n) vectors; of isotropic ones, whose neighbours lie in any direction, most of the table.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import materialise, read_table
+from bibspark.llm.common import finished, materialise, read_table, written
 
-SAMPLE = 20_000
-LISTS = 64
-PROBES = 40  # without cluster structure, as in isotropic vectors, recall needs most lists
+SAMPLE = 32_768
+LISTS = 2_048  # at most: sixteen sampled vectors each
+TRIED = 512  # sampled queries that the number of probes is measured with
+TARGET = 0.97
 COLUMNS = 16
 EPSILON = 2.1
 VECTORS, QUERIES = 4_096, 2_048  # per task group
@@ -46,8 +52,10 @@ def rotation(dims: int) -> np.ndarray:
 
 
 def augmented(x: np.ndarray, largest: float, query: bool = False) -> np.ndarray:
-    """Vectors with one more coordinate, rotated. A query has zero there: |q - x|^2 = |q|^2 + M^2 - 2 qx."""
-    more = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0))
+    """Vectors over the largest norm, with one more coordinate, rotated. A query has zero there:
+    |q - x|^2 = |q|^2 + 1 - 2 qx."""
+    x = x / largest
+    more = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x**2).sum(1), 0))
     return (np.c_[x, more] @ rotation(x.shape[1] + 1)).astype(np.float32)
 
 
@@ -62,6 +70,29 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def order_of_lists(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.argsort(-(x @ centre.T - 0.5 * (centre * centre).sum(1)), axis=1, kind="stable")
+
+
+def probes_for(sample: np.ndarray, asked: np.ndarray, centre: np.ndarray, k: int, target: float) -> int:
+    """The least number of nearest lists that hold `target` of the sample's k nearest vectors of each asked one.
+
+    sample and asked: augmented vectors, as candidates and as queries; the row of asked i is not its own neighbour."""
+    list_of = order_of_lists(sample, centre)[:, 0]
+    ranks = []
+    step = max(1, len(sample) // TRIED)
+    for i in range(0, len(sample), step * 64):
+        at = np.arange(i, min(i + step * 64, len(sample)), step)
+        near = -(asked[at] @ sample.T) + 0.5 * (sample * sample).sum(1)
+        near[np.arange(len(at)), at] = np.inf
+        few = min(k, len(sample) - 1)
+        if few:
+            best = np.argpartition(near, few - 1, axis=1)[:, :few]
+            place = np.argsort(order_of_lists(asked[at], centre), axis=1)
+            ranks.append(np.take_along_axis(place, list_of[best], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), target, method="higher")) + 1 if ranks else len(centre)
+
+
 def scan_block(q: np.ndarray, limit: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs that no column block gave up. limit: squared distance that each query has to beat."""
     dims = q.shape[1]
@@ -82,7 +113,7 @@ def scan_block(q: np.ndarray, limit: np.ndarray, x: np.ndarray) -> tuple[np.ndar
     return qi, xi
 
 
-OUT = "query_id long, vec_id long, score double"
+OUT = "query long, query_id long, vec_id long, score double"
 
 
 def _searcher(k: int, largest: float):
@@ -90,9 +121,9 @@ def _searcher(k: int, largest: float):
 
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         qx, vx = np.stack(queries.x.to_list()).astype(float), np.stack(vectors.x.to_list()).astype(float)
-        qids, vids = queries.query_id.to_numpy(), vectors.vec_id.to_numpy()
+        keys, qids, vids = queries["query"].to_numpy(), queries.query_id.to_numpy(), vectors.vec_id.to_numpy()
         q, x, limit = augmented(qx, largest, True), augmented(vx, largest), queries["limit"].to_numpy(float)
         found = []
         for i in range(0, len(q), 256):
@@ -105,60 +136,75 @@ def _searcher(k: int, largest: float):
             a, b, score = a[order], b[order], score[order]
             first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
             rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-            found.append(pd.DataFrame({"query_id": qids[a], "vec_id": vids[b], "score": score})[rank < k])
+            found.append(pd.DataFrame({"query": keys[a], "query_id": qids[a], "vec_id": vids[b], "score": score})[rank < k])
         return pd.concat(found)
 
     return run
 
 
 def _search(queries: DataFrame, vectors: DataFrame, k: int, largest: float) -> DataFrame:
-    """queries (query_id, list, limit, x) against vectors (vec_id, list, x) of the same list, in bounded groups."""
+    """queries (query, query_id, list, limit, x) against vectors (vec_id, list, x) of the same list, in bounded groups."""
     n_v = vectors.groupBy("list").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("v_parts"))
     n_q = queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_parts"))
     parts = materialise(n_v.join(n_q, "list"), "parts")  # one row per list
-    v = vectors.join(F.broadcast(parts), "list").withColumn("v_part", F.pmod(F.xxhash64("vec_id"), F.col("v_parts"))).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts").cast("long") - 1)))
-    q = queries.join(F.broadcast(parts), "list").withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts"))).withColumn("v_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v_parts").cast("long") - 1)))
+    v = vectors.join(F.broadcast(parts), "list").withColumn("v_part", F.pmod(F.xxhash64("vec_id", "x"), F.col("v_parts"))).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts").cast("long") - 1)))
+    q = queries.join(F.broadcast(parts), "list").withColumn("q_part", F.pmod("query", F.col("q_parts"))).withColumn("v_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v_parts").cast("long") - 1)))
     key = ["list", "v_part", "q_part"]
-    return q.select(*key, "query_id", "limit", "x").groupBy(*key).cogroup(v.select(*key, "vec_id", "x").groupBy(*key)).applyInPandas(_searcher(k, largest), OUT)
+    return q.select(*key, "query", "query_id", "limit", "x").groupBy(*key).cogroup(v.select(*key, "vec_id", "x").groupBy(*key)).applyInPandas(_searcher(k, largest), OUT)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int = LISTS, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of queries (vec_id, x) its k nearest of vectors (vec_id, x) found.
 
     Rows with the query's own vec_id are no candidates. Ties go to the smaller vec_id; repeated rows of another vec_id
-    are candidates each. No vectors or no queries: no rows. Fewer than k candidates: all of them."""
+    are candidates each. Repeated equal rows of a query are one query; rows of one vec_id with different vectors are
+    queries of their own. Vectors may be of any finite size. No vectors or no queries: no rows. Fewer than k candidates:
+    all of them."""
+    before = written()
     vectors = materialise(vectors, "vectors")
-    top = vectors.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), F.count("*")).first()
+    size = F.array_max(F.transform("x", F.abs))
+    norm = F.col("m") * F.sqrt(F.aggregate(F.transform("x", lambda v: v / F.col("m")), F.lit(0.0), lambda s, v: s + v * v))
+    top = vectors.withColumn("m", size).agg(F.max(norm), F.count("*")).first()
     if not top[1]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    largest = float(np.sqrt(top[0]))
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toPandas()
-    sample = augmented(np.stack(rows.x.to_list()).astype(float), largest)
-    lists = min(lists, len(sample))
-    probes = lists if top[1] <= 50 * k else min(probes, lists)  # so few vectors fill no lists
-    centre = centroids(sample, lists)
-
-    def assign(many: int, query: bool):
-        def run(frames):
-            for f in frames:
-                if len(f):
-                    x = augmented(np.stack(f.x.to_list()).astype(float), largest, query)
-                    near = np.argsort(-(x @ centre.T - 0.5 * (centre * centre).sum(1)), axis=1, kind="stable")[:, :many]
-                    yield pd.DataFrame({"id": np.repeat(f.vec_id.to_numpy(), many), "list": near.reshape(-1), "probe": np.tile(np.arange(many), len(f)), "x": np.repeat(f.x.to_numpy(), many)})
-
-        return run
-
-    kind = "id long, list int, probe int, x array<double>"
-    indexed = materialise(vectors.mapInPandas(assign(1, False), kind).select(F.col("id").alias("vec_id"), "list", "x"), "lists")
-    asked = materialise(queries.mapInPandas(assign(probes, True), kind).withColumnRenamed("id", "query_id"), "probes")
-    own = materialise(_search(asked.where("probe = 0").withColumn("limit", F.lit(1e300)), indexed, k, largest), "own")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = own.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
-    # |q - x|^2 = |q|^2 + M^2 - 2 qx
-    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    rest = asked.where("probe > 0").join(kth, "query_id", "left").withColumn("limit", F.coalesce(norm + largest**2 - 2 * F.col("kth"), F.lit(1e300)))
-    found = own.unionByName(_search(rest, indexed, k, largest))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    largest = float(min(top[0], np.finfo(float).max))
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("x").toPandas()
+    raw = np.stack(rows.x.to_list()).astype(float)
+    sample = augmented(raw, largest)
+    centre = centroids(sample, max(1, min(round(top[1] ** 0.5), LISTS, len(sample))))
+    probes = probes_for(sample, augmented(raw, largest, True), centre, k, target)
+
+    def index(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"vec_id": f.vec_id, "list": order_of_lists(augmented(np.stack(f.x.to_list()).astype(float), largest), centre)[:, 0], "x": f.x})
+
+    indexed = materialise(vectors.mapInPandas(index, "vec_id long, list int, x array<double>"), "lists")
+    held = np.zeros(len(centre), np.int64)
+    for r in indexed.groupBy("list").count().collect():  # at most LISTS rows
+        held[r["list"]] = r["count"]
+    own = indexed.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one vec_id, which may be the query's
+
+    def ask(frames):
+        for f in frames:
+            if len(f):
+                near = order_of_lists(augmented(np.stack(f.x.to_list()).astype(float), largest, True), centre)
+                covered = np.cumsum(held[near], axis=1) - held[near]
+                rank = np.arange(near.shape[1])[None]
+                i, j = np.nonzero((rank < probes) | (covered < k + own))
+                yield pd.DataFrame({"query": f["query"].to_numpy()[i], "query_id": f.vec_id.to_numpy()[i], "list": near[i, j], "probe": j, "x": f.x.to_numpy()[i]})
+
+    keyed = queries.select("vec_id", "x").distinct().select(F.xxhash64("vec_id", "x").alias("query"), "vec_id", "x")
+    asked = materialise(keyed.mapInPandas(ask, "query long, query_id long, list int, probe int, x array<double>"), "probes")
+    first = materialise(_search(asked.where("probe = 0").withColumn("limit", F.lit(1e300)), indexed, k, largest), "own")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query", F.col("score").alias("kth"))
+    # over M: |q - x|^2 = |q|^2 + 1 - 2 qx
+    length = F.aggregate(F.transform("x", lambda v: v / largest), F.lit(0.0), lambda s, v: s + v * v)
+    rest = asked.where("probe > 0").join(kth, "query", "left").withColumn("limit", F.coalesce(length + 1 - 2 * (F.col("kth") / largest / largest), F.lit(1e300)))
+    found = first.unionByName(_search(rest, indexed, k, largest))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return finished(ranked, "nearest", before)
 
 
 def op10_ann(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Operator 10 against brute force."""
 
 import numpy as np
+import pytest
 
 from bibspark.llm import ann
 
@@ -16,7 +17,7 @@ def test_recall_and_order(spark):
     bad = [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [None] + [1.0] * 23), (2004, [float("inf")] * 24), (2005, [1.0]), (None, [1.0] * 24)]
     vectors = ann.valid_vectors(frame(spark, [*((i, v.tolist()) for i, v in enumerate(x)), *bad]))
     assert vectors.count() == 1500
-    got = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), lists=16, probes=11).collect()
+    got = ann.nearest(vectors, vectors.where("vec_id % 20 = 0")).collect()
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append(r)
@@ -39,3 +40,52 @@ def test_few_vectors(spark):
     assert got == [(0, 1, 20), (0, 2, 3), (0, 3, 3), (20, 1, 0), (20, 2, 3), (20, 3, 3)]
     empty = ann.valid_vectors(frame(spark, []))
     assert ann.nearest(empty, empty).count() == 0
+
+
+def recall(spark, x, k=20):
+    v = ann.valid_vectors(frame(spark, [(i, r.tolist()) for i, r in enumerate(x)]))
+    found = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(np.lexsort((np.arange(len(x)), -s))[: min(k, len(x) - 1)].tolist())
+        hit, total = hit + len(want & found[q]), total + len(want)
+        assert len(found[q]) == len(want)
+    return hit / total
+
+
+@pytest.mark.parametrize("n", [15, 60, 900, 3000])
+def test_recall_by_size(spark, n):
+    """One rule at all sizes, for vectors without structure and for clusters."""
+    rng = np.random.default_rng(n)
+    assert recall(spark, rng.standard_normal((n, 16))) >= 0.9
+    assert recall(spark, rng.standard_normal((20, 16))[rng.integers(0, 20, n)] + 0.2 * rng.standard_normal((n, 16))) >= 0.9
+
+
+def test_clusters_need_few_lists():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((64, 16))[rng.integers(0, 64, 4000)] + 0.05 * rng.standard_normal((4000, 16))
+    largest = np.sqrt((x * x).sum(1)).max()
+    sample, asked = ann.augmented(x, largest), ann.augmented(x, largest, True)
+    centre = ann.centroids(sample, 63)
+    few = ann.probes_for(sample, asked, centre, 20, 0.95)
+    y = rng.standard_normal((4000, 16))
+    largest = np.sqrt((y * y).sum(1)).max()
+    sample, asked = ann.augmented(y, largest), ann.augmented(y, largest, True)
+    assert 2 * few < ann.probes_for(sample, asked, ann.centroids(sample, 63), 20, 0.95)
+
+
+def test_repeated_queries_and_large_components(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((50, 4)) * 1e150
+    rows = [*((i, v.tolist()) for i, v in enumerate(x)), (20, x[20].tolist()), (40, x[1].tolist())]
+    v = ann.valid_vectors(frame(spark, rows))
+    got = ann.nearest(v, v.where("vec_id % 20 = 0"), 10).collect()
+    ids = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in (0, 20, 40)}
+    s = x @ x[20]
+    want = [(i, s[i]) for i in range(50) if i != 20] + [(40, x[1] @ x[20])]
+    assert ids[20] == [i for i, _ in sorted(want, key=lambda t: (-t[1], t[0]))[:10]] and len(ids[0]) == 10
+    assert len(ids[40]) == 20  # two different vectors of one id: two queries
