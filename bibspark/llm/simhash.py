@@ -1,18 +1,21 @@
 """Operator 5, SimHash near-dedup by pivot distance tables.
 
-Every fingerprint gets its Hamming distances to fixed reference fingerprints (pivots). Hamming distance is a metric,
-so two fingerprints within r bits differ by at most r in every coordinate of that table.
-
-* Block pivots (zero, and one mask per two-bit block) give by difference the number of set bits of each block. r changed
-  bits touch at most r of G = r + 3 groups of blocks, so at least three groups keep equal coordinates: pairs are
-  looked for only in cells of equal coordinates, one cell per choice of three groups. No pair within r bits is missed.
-* In a cell, pairs whose random-pivot coordinates differ by more than r anywhere are discarded; survivors are verified.
-
-Wide fingerprints (several 64-bit words, for similarities too low for few bits) use bands of bits within length classes
-as cells instead, and the same two checks after.
-
-Cells are streamed sorted; one that holds more than CELL rows is dealt anew as salted sub-cell pairs, so that no task
-ever holds an unbounded group, and only a spanning forest of a cell's links is emitted, never all its pairs.
+One table holds every distinct fingerprint with its coordinates: its Hamming distances to PIVOTS fixed reference
+fingerprints. It is written once and its rows are dealt to cells. Hamming distance is a metric, so two fingerprints
+within r bits differ by at most r in every coordinate: pairs of a cell whose largest coordinate difference exceeds r are
+discarded, and survivors are verified by their fingerprints.
+
+* Cells of few bits: block pivots (zero, and one mask per two-bit block) give by difference the number of set bits of
+  each block. r changed bits touch at most r of G = r + 3 groups of blocks, so at least three groups keep equal counts:
+  one cell per choice of three groups. No pair within r bits is missed.
+* Cells of near copies (five-word shingles, similarity 0.8): at that similarity some ten of 64 bits differ, so no equal
+  blocks are left; the KEYS smallest shingle hashes of a text are its cells instead. The table and the bits discard with
+  a wide margin, and what they leave is verified by the exact similarity of the shingle sets.
+
+Cells are streamed sorted and no task ever holds an unbounded group: a cell of more than CELL rows is dealt anew, by
+pairs of its rows' smallest hashes, then in parts whose trees' representatives meet again, and what does not shrink so as
+salted pairs of sub-cells. Only a spanning forest of a cell's links (and each row's nearest row) is emitted, never all
+its pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import batch, materialise, mix64, read_table, salt, split_words
+from bibspark.llm.common import batch, finished, gathered, materialise, mix64, read_table, run_hashes, salt, split_words, word_hashes, written
 from bibspark.llm.graph import components
 
 CELL = 2048
 SEED = 42
 BLOCKS = 32
-PIVOTS = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+PIVOTS = 32
+KEYS = 6  # smallest shingle hashes of a text
+SLACK = 2.5  # standard errors that a pair's estimated similarity may lie below the threshold before it is discarded
 M1, M2 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333)
 
 
@@ -44,36 +49,49 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool = False) -> np.ndarray:
-    """`lanes` unsigned 64-bit words. A bit is 1 if it is set in over half of the (distinct) shingles' hashes."""
-    s = shingles(text, words)
-    s = list(dict.fromkeys(s)) if distinct else s
-    if not s:
-        return np.zeros(lanes, np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in s), np.uint64, len(s))
-    out = np.empty(lanes, np.uint64)
-    for k in range(lanes):
-        x = h if not k else mix64(h + salt(k))
-        count = np.zeros(64, np.int64)
-        for at in range(0, len(x), 65536):
-            count += np.unpackbits(np.ascontiguousarray(x[at : at + 65536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits((2 * count > len(x)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+def majority(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each run of n hashes: the bits that are set in over half of them (no hash: zero)."""
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    at = 0
+    while at < len(some):  # pieces of whole runs; one very long run is summed in parts
+        end = at + max(1, int(np.searchsorted(starts[some[at:]] + n[some[at:]], starts[some[at]] + 65_536, "right")))
+        own = some[at:end]
+        lo, hi = starts[own[0]], starts[own[-1]] + n[own[-1]]
+        if len(own) == 1:
+            count = sum(np.unpackbits(hashes[i : min(i + 65_536, hi)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(lo, hi, 65_536))[None]
+        else:
+            count = np.add.reduceat(np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts[own] - lo, axis=0, dtype=np.int32)
+        out[own] = np.packbits((2 * count > n[own][:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
+        at = end
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, size, fp array<long>) of every row; size: the number of (distinct) shingles. Null or empty text:
-    fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """A bit is 1 if it is set in over half of the shingles' XXH64 hashes, repeats included."""
+    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, words)), np.uint64)
+    return int(majority(h, np.zeros(1, np.int64), np.array([len(h)]))[0])
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp long) of every row. Null or empty text: fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = [fingerprint(t, words, lanes, distinct) for t in texts]
-            flat = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield batch(schema, b.column(0), [len(set(shingles(t, words))) if distinct else max(len(split_words(t)) - words + 1, 0) for t in texts], pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, lanes, dtype=np.int32), flat))
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
+            yield batch(schema, b.column(0), fps.view(np.int64))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, fp array<long>")
+def pivots(lanes: int) -> np.ndarray:
+    return mix64(np.arange(1, PIVOTS * lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(PIVOTS, lanes)
+
+
+def coordinates(fp: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (rows of 64-bit words) to the pivots."""
+    return np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots(fp.shape[1])], axis=1)
 
 
 def exact_cells(radius: int):
@@ -81,7 +99,7 @@ def exact_cells(radius: int):
     groups = np.array_split(np.arange(BLOCKS), radius + 3)
     chosen = list(itertools.combinations(range(radius + 3), 3))
 
-    def keys(fp: np.ndarray, _: np.ndarray) -> np.ndarray:
+    def keys(fp: np.ndarray) -> np.ndarray:
         x = fp[:, 0]
         counts = (x & M1) + ((x >> np.uint64(1)) & M1)  # from the block pivots: set bits of each two-bit block
         out = np.empty((len(x), len(chosen)), np.uint64)
@@ -93,17 +111,26 @@ def exact_cells(radius: int):
     return keys
 
 
-def band_cells(bits: int = 16, step: float = 1.5):
-    """Cell keys of wide fingerprints: each band of bits, within a length class and the next one below."""
+def _lists(flat: np.ndarray, width: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), flat)
 
-    def keys(fp: np.ndarray, size: np.ndarray) -> np.ndarray:
-        cls = np.floor(np.log(np.maximum(size, 1)) / np.log(step)).astype(np.int64)
-        bands = np.concatenate([(fp >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in range(0, 64, bits)], axis=1)
-        at = np.arange(bands.shape[1], dtype=np.uint64) << np.uint64(32)
-        both = [mix64(mix64(bands + at) + ((cls + d + 1).astype(np.uint64) << np.uint64(48))[:, None]) for d in (0, 1)]
-        return np.concatenate(both, axis=1)
 
-    return keys
+def pivot_table(fps: DataFrame, lanes: int, cells=None) -> DataFrame:
+    """fps (id, fp array<long>[, keys array<long>]) -> written table (id, fp, at array<short>, keys): at are the
+    coordinates; keys, where cells is given, are the cells of the fingerprint."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.list_(pa.int64())), ("at", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            fp = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            keys = b.column(2)
+            if cells:
+                own = cells(fp)
+                keys = _lists(own.reshape(-1).view(np.int64), own.shape[1])
+            yield batch(schema, b.column(0), b.column(1), _lists(coordinates(fp).reshape(-1), PIVOTS), keys)
+
+    keys = F.array().cast("array<long>") if cells else F.col("keys")
+    return materialise(fps.select("id", "fp", keys.alias("keys")).mapInArrow(run, "id long, fp array<long>, at array<short>, keys array<long>"), "pivots")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -125,9 +152,19 @@ def _forest(fp: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[in
             reached, left = np.concatenate([reached, found]), left[~keep]
 
 
-def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Of each row its nearest row within `radius`, ties to the first."""
+    for i in range(0, len(fp), 256):
+        d = np.bitwise_count(fp[i : i + 256, None] ^ fp[None]).sum(axis=2, dtype=np.int16)
+        own = np.arange(len(d))
+        d[own, own + i] = 32_000
+        best = d.argmin(axis=1)
+        for k in np.flatnonzero(d[own, best] <= radius).tolist():
+            yield k + i, int(best[k])
+
+
+def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of rows sorted by key: links of each run of equal keys."""
-    table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in PIVOTS], axis=1)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     u, v = [], []
@@ -138,101 +175,121 @@ def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, radius: int) -> tup
         i = i[_near(fp[i], fp[i + lag], radius)]
         u.append(ids[i]), v.append(ids[i + lag])
     for s, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
-        if pairs := list(_forest(fp[s : s + n], table[s : s + n], radius)):
+        pairs = list(_forest(fp[s : s + n], table[s : s + n], radius))
+        if nearest:
+            pairs += _nearest(fp[s : s + n], radius)
+        if pairs:
             at = np.array(pairs) + s
             u.append(ids[at[:, 0]]), v.append(ids[at[:, 1]])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *u]), np.concatenate([none, *v])
 
 
-def _in_cells(radius: int, lanes: int, most: int | None):
-    """Streams rows (key, id, fp) sorted by key. Rows of cells larger than `most` come back with v null."""
-    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fp", pa.list_(pa.int64()))])
+CELLS = "key long, u long, v long, fp array<long>, at array<short>, keys array<long>"
+ROW = ["key", "id", "fp", "at", "keys"]
+
+
+def _in_cells(radius: int, lanes: int, most: int | None, nearest: bool = False):
+    """Streams rows (key, id, fp, at, keys) sorted by key -> links (u, v). Rows of cells larger than `most` come back with
+    v null."""
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fp", pa.list_(pa.int64())), ("at", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+
+    def links(rows: pa.RecordBatch):
+        fp = rows.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+        table = rows.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, PIVOTS)
+        u, v = _links(rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False), fp, table, radius, nearest)
+        return batch(schema, pa.nulls(len(u), pa.int64()), u, v, *(pa.nulls(len(u), t) for t in schema.types[3:]))
 
-    def links(parts):
-        key, ids, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        u, v = _links(key, ids, fp, radius)
-        return batch(schema, pa.nulls(len(u), pa.int64()), u, v, pa.nulls(len(u), pa.list_(pa.int64())))
+    def late(rows: pa.RecordBatch):
+        return batch(schema, rows.column(0), rows.column(1), pa.nulls(rows.num_rows, pa.int64()), *rows.columns[2:])
 
-    def late(key, ids, fp):
-        flat = fp.reshape(-1).view(np.int64)
-        return batch(schema, key, ids, pa.nulls(len(ids), pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, lanes, dtype=np.int32), flat))
+    def one(parts):
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def closed(rows: pa.RecordBatch):
+        """Whole cells; those over `most` rows go back."""
+        key = rows.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        big = np.repeat(sizes > most, sizes) if most else np.zeros(len(key), bool)
+        if big.any():
+            yield late(rows.filter(pa.array(big)))
+        if not big.all():
+            yield links(rows.filter(pa.array(~big)) if big.any() else rows)
 
     def run(batches):
         held, n_held, large = [], 0, None  # rows of the last, still open cell; the key of a cell that is too large
         for b in batches:
             key = b.column(0).to_numpy(zero_copy_only=False)
-            ids = b.column(1).to_numpy(zero_copy_only=False)
-            fp = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            if not len(key):
-                continue
-            if large is not None:
+            if large is not None and len(key):
                 n = int(np.searchsorted(key, large, "right"))
                 if n:
-                    yield late(key[:n], ids[:n], fp[:n])
-                key, ids, fp = key[n:], ids[n:], fp[n:]
-                if not len(key):
-                    continue
-                large = None
+                    yield late(b.slice(0, n))
+                b, key = b.slice(n), key[n:]
+                if len(key):
+                    large = None
+            if not len(key):
+                continue
             cut = int(np.searchsorted(key, key[-1], "left"))
-            if held and held[0][0][0] != key[-1]:
-                done = [*held, (key[:cut], ids[:cut], fp[:cut])]
-                held, n_held = [], 0
-                yield from closed(done)
+            if held and held[0].column(0)[0].as_py() != key[-1]:
+                done, held, n_held = [*held, b.slice(0, cut)], [], 0
+                yield from closed(one(done))
             elif cut:
-                yield from closed([(key[:cut], ids[:cut], fp[:cut])])
-            held.append((key[cut:], ids[cut:], fp[cut:]))
+                yield from closed(b.slice(0, cut))
+            held.append(b.slice(cut))
             n_held += len(key) - cut
             if most and n_held > most:
                 large = key[-1]
                 for part in held:
-                    yield late(*part)
+                    yield late(part)
                 held, n_held = [], 0
         if held:
-            yield links(held)
-
-    def closed(parts):
-        """Whole cells; those over `most` rows within one batch go back too."""
-        key, ids, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        big = np.repeat(sizes > most, sizes) if most else np.zeros(len(key), bool)
-        if big.any():
-            yield late(key[big], ids[big], fp[big])
-        if not big.all():
-            yield links([(key[~big], ids[~big], fp[~big])])
+            yield links(one(held))
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int, lanes: int, cells) -> DataFrame:
-    """fps (id long, size, fp array<long>), ids distinct -> (u, v): links that connect all ids within `radius` bits."""
-    n_keys = cells(np.zeros((1, lanes), np.uint64), np.ones(1, np.int64)).shape[1]
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def _streamed(rows: DataFrame, radius: int, lanes: int, most: int | None, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rows (key, id, fp, at, keys) -> links (u, v), and the rows of cells that are too large; both written."""
+    table = materialise(rows.select(*ROW).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_in_cells(radius, lanes, most, nearest), CELLS), "cells")
+    return table.where("v is not null").select("u", "v"), table.where("v is null").select("key", F.col("u").alias("id"), "fp", "at", "keys")
 
-    def deal(batches):
-        for b in batches:
-            fp = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            key = cells(fp, b.column(1).to_numpy(zero_copy_only=False)).reshape(-1).view(np.int64)
-            flat = np.repeat(fp, n_keys, axis=0).reshape(-1).view(np.int64)
-            yield batch(schema, key, np.repeat(b.column(0).to_numpy(zero_copy_only=False), n_keys), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, lanes, dtype=np.int32), flat))
-
-    out = "key long, u long, v long, fp array<long>"
-    spread = fps.select("id", "size", "fp").mapInArrow(deal, "key long, id long, fp array<long>")
-    first = materialise(spread.repartition("key").sortWithinPartitions("key").mapInArrow(_in_cells(radius, lanes, CELL), out), "cells")
-    links = first.where("v is not null").select("u", "v")
-    late = first.where("v is null").select("key", F.col("u").alias("id"), "fp")
+
+def _in_parts(late: DataFrame) -> DataFrame:
+    """late with the number of parts of at most half a CELL that its cell makes."""
+    parts = late.groupBy("key").agg(F.ceil(F.count("*") / (CELL // 2)).cast("int").alias("parts"))
+    return late.join(parts, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def near_links(table: DataFrame, radius: int, lanes: int, refine: bool = False) -> DataFrame:
+    """A pivot table, ids distinct -> (u, v): links that connect the ids within `radius` bits that share a cell.
+
+    Cells of more than CELL rows: with refine, cells of two of their rows' keys and trees of parts come first (see
+    above); the rest go through salted pairs of sub-cells, which lose no link."""
+    links, late = _streamed(table.withColumn("key", F.explode("keys")), radius, lanes, CELL, refine)
     if late.isEmpty():
         return links
-    parts = late.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / (CELL // 2))).cast("int").alias("parts"))
-    pairs = (
-        late.join(parts, "key")
-        .withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "id", "fp")
-    )
-    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_in_cells(radius, lanes, None), out)
-    return links.unionByName(more.where("v is not null").select("u", "v"))
+    if refine:
+        pairs = late.withColumn("other", F.explode("keys")).where("other <> key")
+        finer, late = _streamed(pairs.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other").distinct(), radius, lanes, CELL, True)
+        links = links.unionByName(finer)
+        before = late.count()
+        while before:  # forests of parts, then the first rows of their trees in one cell
+            found, _ = _streamed(_in_parts(late).withColumn("key", F.xxhash64("key", "s")), radius, lanes, None, True)
+            links = links.unionByName(found)
+            tree = components(found)
+            roots = late.join(tree.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
+            merged, late = _streamed(roots, radius, lanes, CELL, True)
+            links = links.unionByName(merged)
+            n = late.count()
+            if 2 * n > before:
+                break
+            before = n
+        if not before:
+            return links
+    parts = _in_parts(late).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    more, _ = _streamed(parts.withColumn("key", F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t"))), radius, lanes, None)
+    return links.unionByName(more)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -242,30 +299,105 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     its smallest doc_id. Texts without a word have fingerprint zero and are linked like any other; a row with a null
     doc_id is kept and takes the component of its fingerprint (null if no row there has a doc_id). Repeated rows stay
     repeated; an empty table gives an empty result."""
-    fps = materialise(fingerprints(docs, words, 1).select("doc_id", F.col("fp")[0].alias("fp")), "fps")
+    before = written()
+    fps = materialise(fingerprints(docs, words), "fps")
     kinds = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "kinds")
-    ids = kinds.select(F.col("fp").alias("id"), F.lit(0).cast("long").alias("size"), F.array("fp").alias("fp"))
-    roots = components(near_links(ids, radius, 1, exact_cells(radius)))
+    table = pivot_table(kinds.select(F.col("fp").alias("id"), F.array("fp").alias("fp")), 1, exact_cells(radius))
+    roots = components(near_links(table, radius, 1))
     known = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
     named = known.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return finished(fps.join(named, "fp").select("doc_id", "fp", "component_id"), "components", before)
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit shingle hashes of all texts, flat and sorted within each, and how many each text has."""
+    h, n = word_hashes(texts)
+    starts = np.cumsum(n) - n
+    size = np.where(n > words, n - words + 1, np.minimum(n, 1))  # fewer words: the whole sequence
+    doc = np.repeat(np.arange(len(n)), size)
+    at = starts[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    x = run_hashes(h, at, at + np.minimum(words, n[doc])) if len(at) else np.zeros(0, np.uint64)
+    order = np.lexsort((x, doc))
+    x, doc = x[order], doc[order]
+    new = np.r_[True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])] if len(x) else np.zeros(0, bool)
+    return x[new], np.bincount(doc[new], minlength=len(n))
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 6, slack: float = 0.5) -> DataFrame:
+def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(doc_id, same long, size, fp, keys) of every row: same is a hash of the shingle set, keys its KEYS smallest hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("size", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                x, n = shingle_sets(part.column(1), words)
+                starts = np.cumsum(n) - n
+                fp = np.stack([majority(mix64(x + salt(k + 1)), starts, n) for k in range(lanes)], axis=1)
+                same = run_hashes(mix64(x), starts, starts + n)
+                few = np.minimum(n, KEYS)
+                at = np.repeat(starts - np.cumsum(few) + few, few) + np.arange(few.sum())
+                keys = pa.ListArray.from_arrays(np.r_[0, np.cumsum(few)].astype(np.int32), x[at].view(np.int64))
+                yield batch(schema, part.column(0), same.view(np.int64), n, _lists(fp.reshape(-1).view(np.int64), lanes), keys)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same long, size long, fp array<long>, keys array<long>")
+
+
+def _verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of links (u, v) whose texts' shingle sets have at least the similarity. docs: (id, text) of all ends, id being
+    the hash of the set."""
+    schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary())])
+
+    def sets(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                x, n = shingle_sets(part.column(1), words)
+                ends = np.cumsum(n)
+                yield batch(schema, part.column(0), run_hashes(mix64(x), ends - n, ends).view(np.int64), n, [y.tobytes() for y in np.split(x, ends[:-1])])
+
+    def alike(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    z = np.sort(np.concatenate([x, y]), kind="stable")
+                    both = int((z[1:] == z[:-1]).sum())
+                    keep[k] = both >= similarity * (len(x) + len(y) - both)
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    known = docs.select("id", "text").mapInArrow(sets, "id long, same long, size long, hashes binary")
+    known = materialise(known.where(F.col("id") == F.xxhash64("same", "size")).dropDuplicates(["id"]), "sets")  # other texts of a doc_id go
+    side = lambda c: known.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_set"))
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(alike, "u long, v long")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 2) -> DataFrame:
     """(doc_id, group_id) of every distinct doc_id: group_id is the smallest doc_id of its group of near copies.
 
-    Similarity is that of sets of `words`-word shingles as estimated by the share of differing bits of a wide SimHash:
-    a Jaccard similarity j is the cosine 2j / (1 + j), whose angle over pi is the expected share of differing bits;
-    `slack` standard errors are allowed beyond it. Null texts count as empty; texts without a word are copies of each other. Rows with a null doc_id are left out."""
+    Similarity is the exact Jaccard similarity of sets of `words`-word shingles (fewer words: the whole sequence). A
+    Jaccard similarity j is the cosine 2j / (1 + j), whose angle over pi is the expected share of differing bits of a
+    SimHash; pairs beyond that share by more than SLACK standard errors are discarded, the others verified. Null texts
+    count as empty; texts without a word are copies of each other. Rows with a null doc_id are left out; of several rows
+    of one doc_id each text counts, and the group is the smallest of theirs."""
     share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * lanes
-    radius = round(share * bits + slack * np.sqrt(share * (1 - share) * bits))
-    own = docs.where("doc_id is not null")
-    fps = materialise(fingerprints(own, words, lanes, True), "fps")
-    kinds = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("size").alias("size")), "kinds")
-    roots = components(near_links(kinds, radius, lanes, band_cells()))
-    named = kinds.join(roots, kinds.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("group_id"))
-    return fps.join(named, "fp").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    radius = round(share * bits + SLACK * np.sqrt(share * (1 - share) * bits))
+    before = written()
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fps = materialise(_sketches(own, words, lanes), "fps")
+    kinds = materialise(fps.groupBy("same", "size").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64("same", "size")), "kinds")
+    links = near_links(pivot_table(kinds.select("id", "fp", "keys"), lanes), radius, lanes, True)
+    links = materialise(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    ends = materialise(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
+    chosen = kinds.join(ends, "id", "left_semi").select("id", "low", "same", "size")
+    texts = own.join(chosen.select("id", F.col("low").alias("doc_id")), "doc_id")
+    roots = components(_verified(links, texts, words, similarity))
+    named = kinds.join(roots, kinds.id == roots.node, "left").select("same", "size", "low", F.coalesce("root", "id").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("group_id"))
+    named = named.join(lowest, "root").select("same", "size", "group_id")
+    return finished(fps.join(named, ["same", "size"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups", before)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
