@@ -65,11 +65,16 @@ def release(df: DataFrame) -> None:
 def finished(df: DataFrame, tag: str, before: set[str]) -> DataFrame:
     """Write a result that is small against its input, and delete every intermediate table that is not in `before`."""
     out = materialise(df, tag)
-    for path in _WRITTEN - before - {p for f in out.inputFiles() for p in _WRITTEN if f"/{p.rpartition('/')[2]}/" in f}:
-        _delete(df.sparkSession, path)
+    discard(df.sparkSession, before | {p for f in out.inputFiles() for p in _WRITTEN if f"/{p.rpartition('/')[2]}/" in f})
     return out
 
 
+def discard(spark: SparkSession, before: set[str]) -> None:
+    """Delete every intermediate table that is not in `before`."""
+    for path in _WRITTEN - before:
+        _delete(spark, path)
+
+
 def written() -> set[str]:
     """The folders of intermediate tables so far, for finished()."""
     return set(_WRITTEN)

@@ -1,8 +1,10 @@
 """Operator 2, toxicity by maximum-scoring segments.
 
-1. Tokens (words and their prefixes) of all documents are counted in hashed buckets (a table of fixed size), those of labelled documents also by
-   class. The log-odds of a bucket between toxic and clean text, under a Dirichlet prior of half a count and in
-   proportion to its share of the whole corpus, and shrunk by its standard error, less a drift, is the score of a token.
+1. Tokens (words and their prefixes) of all documents are counted in hashed buckets (a table of fixed size); of labelled
+   documents it is counted by class in how many each bucket occurs. The log-odds of a bucket between toxic and clean
+   text, under a Dirichlet prior of half a count and in proportion to its share of the whole corpus, and shrunk by its
+   standard error, less a drift, is the score of a token. Shrinkage and drift are chosen from GRID by the cross-validated
+   loss over the learnable folds, with at most TRIED labelled documents.
 2. A linear scan finds every maximal segment of a document's token scores.
 3. Extreme-value statistics: lambda solves sum p_w exp(lambda s_w) = 1 over the corpus' shares p_w; K is fitted to the
    best segments of clean calibration documents. A segment of score S in n tokens has E = K n exp(-lambda S).
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.llm import logistic
-from bibspark.llm.common import LETTERS, batch, bounded_sample, fold, materialise, read_table, split_words
+from bibspark.llm.common import LETTERS, batch, bounded_sample, discard, fold, materialise, read_table, split_words, written
 
 BUCKETS = 1 << 17
 PREFIXES = (4, 6)  # bytes; unseen forms of a word share them
@@ -29,8 +31,8 @@ ALL = BUCKETS * (1 + len(PREFIXES))
 SAMPLE = 40_000
 FOLDS = (0, 1, 3)
 PRIOR = 500.0
-SHRINK = 2.0
-DRIFT = 0.7
+GRID = [(shrink, drift) for shrink in (1.0, 2.0, 3.0) for drift in (0.5, 1.0, 2.0)]  # standard errors, score
+TRIED = 4_000
 E_MOST = 1.0
 EULER = 0.5772156649
 
@@ -38,6 +40,7 @@ EULER = 0.5772156649
 @dataclass(frozen=True)
 class ToxicityModel:
     token_scores: np.ndarray
+    drift: float
     lam: float
     log_k: float
     weights: tuple[float, ...]
@@ -60,7 +63,7 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_tokens(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Counts by bucket, first of all documents, then of the labelled ones by fold and class (clean, toxic)."""
+    """Counts by bucket: first the tokens of all documents, then the labelled documents by fold and class (clean, toxic)."""
     names = ["n", *(f"n{f}_{y}" for f in FOLDS for y in (0, 1))]
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in names)])
 
@@ -69,9 +72,10 @@ def count_tokens(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         for b in batches:
             at, n = buckets(b.column(0).to_pylist())
             total[0] += np.bincount(at.reshape(-1), minlength=ALL)
-            part = np.repeat(b.column(1).fill_null(-1).to_numpy(zero_copy_only=False), n)
-            for k in range(1, len(names)):
-                total[k] += np.bincount(at[part == k].reshape(-1), minlength=ALL)
+            part = b.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(n)
+            for i in np.flatnonzero(part):
+                total[part[i], np.unique(at[ends[i] - n[i] : ends[i]])] += 1
         some = np.flatnonzero(total[0])
         for i in range(0, len(some), 16_384):
             yield batch(schema, some[i : i + 16_384].astype(np.int32), *total[:, some[i : i + 16_384]])
@@ -91,7 +95,7 @@ def count_tokens(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return out
 
 
-def token_scores(counts: np.ndarray, without: int | None = None) -> np.ndarray:
+def token_scores(counts: np.ndarray, shrink: float, without: int | None = None) -> np.ndarray:
     """Shrunken log-odds of each bucket, learnt from all folds but one."""
     by_class = counts[1:].reshape(len(FOLDS), 2, -1)
     clean, toxic = by_class[[f != without for f in FOLDS]].sum(axis=0)
@@ -102,13 +106,13 @@ def token_scores(counts: np.ndarray, without: int | None = None) -> np.ndarray:
         a = n + prior
         odds = odds + sign * (np.log(a) - np.log(a.sum() - a))
         var = var + 1 / a
-    return np.sign(odds) * np.maximum(np.abs(odds) - SHRINK * np.sqrt(var), 0)
+    return (np.sign(odds) * np.maximum(np.abs(odds) - shrink * np.sqrt(var), 0)).astype(np.float32)
 
 
-def scan_scores(odds: np.ndarray, at: np.ndarray) -> np.ndarray:
+def scan_scores(odds: np.ndarray, at: np.ndarray, drift: float) -> np.ndarray:
     """Of each token: the odds of largest size among its forms, less the drift."""
-    forms = odds[at]
-    return forms[np.arange(len(at)), np.abs(forms).argmax(axis=1)] - DRIFT if len(at) else np.zeros(0)
+    forms = odds[at].astype(np.float64)
+    return forms[np.arange(len(at)), np.abs(forms).argmax(axis=1)] - drift if len(at) else np.zeros(0)
 
 
 def decay(scores: np.ndarray, share: np.ndarray) -> float:
@@ -154,40 +158,71 @@ def evidence(found: list[tuple[int, int, float]], n: int, lam: float, log_k: flo
     return log_e, [np.log1p(sum(strong)), float(np.clip(best, -12, 40)), np.log1p(len(strong)), np.log1p(n), float(not found)]
 
 
-def _scan(texts, scores):
+def _scan(texts, scores, drift):
     at, n = buckets(texts)
-    s = scan_scores(scores, at)
+    s = scan_scores(scores, at, drift)
     for part, size in zip(np.split(s, np.cumsum(n)[:-1]), n.tolist(), strict=True):
         yield segments(part), size
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Token scores from the learnable rows and the whole corpus; K and the calibration from each fold's documents
-    under the scores that were learnt without that fold.
-
-    At most `sample` labelled rows are used. Null labels are left out; several labels of a document count as the
-    largest."""
-    chosen = materialise(bounded_sample(labels, label, sample), "labelled")
-    docs = docs.select("doc_id", "text")
-    counts = count_tokens(docs, chosen)
-    share = counts[0][:BUCKETS] / max(counts[0][:BUCKETS].sum(), 1)
-    scores = {f: token_scores(counts, f) for f in (*FOLDS, None)}
-    lam = {f: decay(s[:BUCKETS] - DRIFT, share) for f, s in scores.items()}
+def _held(docs: DataFrame, chosen: DataFrame, grid: list[tuple[float, float]], scores: dict):
+    """(config, label, fold, n, s): the segments of labelled documents under the scores learnt without their fold."""
     shared = docs.sparkSession.sparkContext.broadcast(scores)
-    schema = pa.schema([("label", pa.int32()), ("fold", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
+    schema = pa.schema([("config", pa.int32()), ("label", pa.int32()), ("fold", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
 
     def run(batches):
         for b in batches:
-            for i, (text, f) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                found, n = next(_scan([text], shared.value[f]))
-                yield batch(schema, b.column(1)[i : i + 1], [f], [n], [[x for *_, x in found]])
+            for text, y, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, n = buckets([text])
+                found = [[x for *_, x in segments(scan_scores(shared.value[shrink, f], at, drift))] for shrink, drift in grid]
+                yield batch(schema, list(range(len(grid))), [y] * len(grid), [f] * len(grid), [int(n[0])] * len(grid), found)
 
     held = chosen.select("doc_id", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
-    rows = docs.join(F.broadcast(held), "doc_id").select("text", "label", "fold").mapInArrow(run, "label int, fold int, n long, s array<double>").limit(sample).toPandas()
+    return docs.join(F.broadcast(held), "doc_id").select("text", "label", "fold").mapInArrow(run, "config int, label int, fold int, n long, s array<double>")
+
+
+def _features(rows, lam: dict) -> tuple[float, np.ndarray]:
+    """log K of the clean documents, and the features of all."""
     tops = [lam[f] * max(s) - np.log(n) for y, f, n, s in zip(rows.label, rows.fold, rows.n, rows.s, strict=True) if not y and len(s)]
     log_k = float(np.median(tops) + np.log(np.log(2))) if tops else 0.0
-    x = np.array([evidence([(0, 0, v) for v in s], max(n, 1), lam[f], log_k)[1] for f, n, s in zip(rows.fold, rows.n, rows.s, strict=True)]).reshape(-1, 5)
-    return ToxicityModel(scores[None], lam[None], log_k, tuple(logistic.fit(x, rows.label.to_numpy(float))))
+    return log_k, np.array([evidence([(0, 0, v) for v in s], max(n, 1), lam[f], log_k)[1] for f, n, s in zip(rows.fold, rows.n, rows.s, strict=True)]).reshape(-1, 5)
+
+
+def _loss(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> float:
+    """Log loss of each fold under weights fitted on the others."""
+    total = 0.0
+    for f in FOLDS:
+        own = folds == f
+        p = np.clip(logistic.predict(np.array(logistic.fit(x[~own], y[~own])), x[own]), 1e-4, 1 - 1e-4)
+        total -= float((y[own] * np.log(p) + (1 - y[own]) * np.log(1 - p)).sum())
+    return total
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
+    """Token scores from the learnable rows and the whole corpus; shrinkage, drift, K and the calibration from each fold's
+    documents under the scores that were learnt without that fold.
+
+    At most `sample` labelled documents are used, all rows of them. Null labels are left out; several labels of a document
+    count as the largest."""
+    before = written()
+    chosen = materialise(bounded_sample(labels, label, sample), "labelled")
+    docs = docs.select("doc_id", "text")
+    counts = count_tokens(docs, chosen)
+    share = counts[0][:BUCKETS] / max(counts[0][:BUCKETS].sum(), 1)
+    scores = {(shrink, f): token_scores(counts, shrink, f) for shrink in {x for x, _ in GRID} for f in (*FOLDS, None)}
+    lam = {(shrink, drift, f): decay(scores[shrink, f][:BUCKETS] - drift, share) for shrink, drift in GRID for f in (*FOLDS, None)}
+    tried = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRIED), "tried")
+    rows = _held(docs, tried, GRID, {k: v for k, v in scores.items() if k[1] is not None}).toPandas()
+    losses = []
+    for k, (shrink, drift) in enumerate(GRID):
+        own = rows[rows.config == k]
+        _, x = _features(own, {f: lam[shrink, drift, f] for f in FOLDS})
+        losses.append(_loss(x, own.label.to_numpy(float), own.fold.to_numpy()))
+    shrink, drift = GRID[int(np.argmin(losses))]
+    rows = _held(docs, chosen, [(shrink, drift)], {(shrink, f): scores[shrink, f] for f in FOLDS}).toPandas()
+    log_k, x = _features(rows, {f: lam[shrink, drift, f] for f in FOLDS})
+    discard(docs.sparkSession, before)
+    return ToxicityModel(scores[shrink, None], drift, lam[shrink, drift, None], log_k, tuple(logistic.fit(x, rows.label.to_numpy(float))))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -204,7 +239,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         weights = np.array(m.weights)
         for b in batches:
             x, spans, sizes = [], [], []
-            for found, n in _scan(b.column(1).to_pylist(), m.token_scores):
+            for found, n in _scan(b.column(1).to_pylist(), m.token_scores, m.drift):
                 log_e, row = evidence(found, max(n, 1), m.lam, m.log_k)
                 x.append(row)
                 sizes.append(n)
@@ -215,6 +250,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def op2_toxicity(spark, sf_dir):
+    """One row per row of documents: repeated rows stay; null and empty texts get the score of an empty text; a row with
+    a null doc_id is scored and not held out."""
     docs = read_table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
     return found.select(
