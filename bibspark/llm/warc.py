@@ -1,9 +1,15 @@
 """Operator 7, WARC archives: a writer with duplicate revisits and a salvage reader.
 
 The writer makes each record a text and lets Spark's text writer end it with two line breaks, so archives go to any
-store that Spark can write to. The reader takes whole archives (plain, or gzip members of one or more records). It
-checks each record's version line, length, end mark and digests; after a failed check it searches for the next valid
-member or version line, recovers the records after it and reports the byte gap as a quarantined row.
+store that Spark can write to. The reader checks each record's version line, length, end mark and digests; after a
+failed check it searches for the next valid member or version line, recovers the records after it and reports the byte
+gap as a quarantined row.
+
+Plain archives of any size are read by ranges: Spark's text reader cuts them at version marks, so a task holds one record
+and its neighbours, not the archive. A payload may hold version marks too, so pieces are put together again by the length
+that a header gives, also across ranges; an archive in which a record that reaches into the next range holds whole
+records in its payload is read again in order, as one stream. Archives of gzip members cannot be cut before they are inflated: a task takes
+one such archive (2 GB at most, the limit of Spark's binary reader) and inflates it member by member.
 """
 
 from __future__ import annotations
@@ -15,16 +21,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import batch, materialise, new_path, read_table
+from bibspark.llm.common import batch, finished, materialise, new_path, read_table, written
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 2_000
+FILE_BYTES = 256 << 20
+MARK = b"WARC/1."
+MOST_RECORD = 1 << 30  # bytes that a header may claim; Spark's rows end at 2 GB
 LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 
@@ -80,8 +88,9 @@ def warc_records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Archives of at most RECORDS_PER_FILE records in the folder `path`."""
-    warc_records(pages, least).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Archives of about FILE_BYTES or less in the folder `path`."""
+    size = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit("")))).alias("mean")).first().mean or 0
+    warc_records(pages, least).write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + 1_000)))).text(path)
 
 
 def _parse(raw: bytes, at: int) -> tuple[dict, bytes, int] | None:
@@ -99,7 +108,7 @@ def _parse(raw: bytes, at: int) -> tuple[dict, bytes, int] | None:
             return None
         head.setdefault(name.decode("latin-1").strip().lower(), value.decode("utf-8", "replace").strip())
     length = head.get("content-length", "")
-    if not length.isdigit():
+    if not length.isdigit() or int(length) > MOST_RECORD:
         return None
     begin = stop + len(END)
     end = begin + int(length)
@@ -157,42 +166,173 @@ def http_payload(block: bytes) -> tuple[bytes, int | None]:
     return body, int(m[1]) if m else None
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """All records and quarantined gaps of the archives at path.
+def _needs(raw: bytes) -> int:
+    """Bytes of the record that begins here, as its header claims; 0 if there is no header that may be valid."""
+    m = LINE.match(raw)
+    stop = raw.find(END, m.end() - 2) if m else -1
+    if stop < 0:
+        return 0
+    length = re.search(rb"(?im)^content-length:[ \t]*(\d{1,12})[ \t]*\r?$", raw[:stop])
+    return stop + 2 * len(END) + int(length[1]) if length and int(length[1]) <= MOST_RECORD else 0
 
-    status: ok, digest (the payload differs from its digest) or gap (bytes start to end hold no valid record; all other
-    columns are null)."""
-    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("status", pa.string()), ("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+
+def _row(head: dict | None, block: bytes, with_payload: bool) -> tuple:
+    if head is None:
+        return ("gap", *[None] * 7)
+    body, length = http_payload(block) if "application/http" in head.get("content-type", "") else (block, len(block))
+    kind, claimed = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    own = base32_sha1(body) if kind != "revisit" else claimed
+    return ("ok" if claimed in (None, own) else "digest", kind, head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), body if with_payload and kind != "revisit" else None, len(body) if kind != "revisit" else length, own)
+
+
+FIELDS = [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("status", pa.string()), ("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+RANGED = "path string, split long, place long, piece binary, start long, end long, " + COLUMNS.split(", ", 3)[3]
+SIZE, OPEN, LOOSE = "size", "open", "loose"
+
+
+def _in_range(with_payload: bool):
+    """Pieces (path, split, bytes) between version marks, in file order -> rows of RANGED: records and gaps at positions
+    relative to the range; pieces at either end that may belong to a neighbouring range (open, loose); and the range's
+    size."""
+    schema = pa.schema([("path", pa.string()), ("split", pa.int64()), ("place", pa.int64()), ("piece", pa.binary()), *FIELDS[1:]])
 
     def run(batches):
+        now, at, number, held, first, out = None, 0, 0, [], True, []  # held: (position, bytes) that may still become one record
+
+        def settle():
+            """Records of the held pieces: those complete go, and so does a first piece that cannot become one."""
+            nonlocal held, first
+            while held:
+                need = _needs(held[0][1])
+                size = sum(len(x) for _, x in held)
+                if need > size:
+                    return
+                start = held[0][0]
+                if need:
+                    whole, k = b"", 0
+                    while len(whole) < need:
+                        whole, k = whole + held[k][1], k + 1
+                    if got := _parse(whole, 0):
+                        out.append((*now, start, None, start, start + got[2], *_row(got[0], got[1], with_payload)))
+                        if got[2] < len(whole):  # bytes before the next mark
+                            out.append((*now, start, None, start + got[2], start + len(whole), "gap", *[None] * 7))
+                        held, first = held[k:], False
+                        continue
+                raw = held.pop(0)[1]
+                if raw:
+                    loose = first and now[1] > 0
+                    out.append((*now, start, raw if loose else None, start, start + len(raw), LOOSE if loose else "gap", *[None] * 7))
+
+        def close():
+            nonlocal held
+            if now is not None:
+                settle()
+                claim = _needs(held[0][1]) if held else 0
+                out.extend((*now, p, x, p, p + len(x), OPEN, *[None] * 5, claim, None) for p, x in held)
+                out.append((*now, at, None, 0, at, SIZE, *[None] * 7))
+                held = []
+
+        for b in batches:
+            for path, split, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if (path, split) != now:
+                    close()
+                    now, at, number, first = (path, split), 0, 0, True
+                raw = raw.as_py()
+                raw = raw if not number and not split else MARK + raw  # a range after the first begins behind a mark
+                held.append((at, raw))
+                at, number = at + len(raw), number + 1
+                settle()
+                if len(out) >= 500:
+                    yield batch(schema, *zip(*out, strict=True))
+                    out = []
+        close()
+        if out:
+            yield batch(schema, *zip(*out, strict=True))
+
+    return run
+
+
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, compressed: bool = False, glob: str = "part-*") -> DataFrame:
+    """All records and quarantined gaps of the archives at path (compressed: archives of gzip members).
+
+    status: ok, digest (the payload differs from its digest) or gap (bytes start to end hold no valid record; all other
+    columns are null). Empty archives give no row."""
+    schema = pa.schema(FIELDS)
+
+    def whole(batches):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
                 for start, end, head, block in salvage(raw.as_py()):
-                    if head is None:
-                        rows.append((name, start, end, "gap", *[None] * 7))
-                    else:
-                        body, length = http_payload(block) if "application/http" in head.get("content-type", "") else (block, len(block))
-                        kind, claimed = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                        own = base32_sha1(body) if kind != "revisit" else claimed
-                        rows.append((name, start, end, "ok" if claimed in (None, own) else "digest", kind, head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), body if with_payload and kind != "revisit" else None, len(body) if kind != "revisit" else length, own))
-                    if len(rows) >= 1_000:
+                    rows.append((name, start, end, *_row(head, block, with_payload)))
+                    if len(rows) >= 500:
                         yield batch(schema, *zip(*rows, strict=True))
                         rows = []
                 if rows:
                     yield batch(schema, *zip(*rows, strict=True))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, COLUMNS)
+    if compressed:
+        return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(whole, COLUMNS)
+
+    def stitched(batches):
+        """Pieces at the ends of ranges, sorted by path and position: runs without a hole are one text."""
+        name, start, held = None, 0, []
+        for b in batches:
+            for path, at, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (path != name or at != start + sum(map(len, held))):
+                    yield from whole_of(name, start, b"".join(held))
+                    held = []
+                if not held:
+                    name, start = path, at
+                held.append(raw)
+        if held:
+            yield from whole_of(name, start, b"".join(held))
+
+    def whole_of(name, start, raw):
+        rows = [(name, x, y, *_row(head, block, with_payload)) for x, y, head, block in salvage(raw, start)]
+        if rows:
+            yield batch(schema, *zip(*rows, strict=True))
+
+    pieces = spark.read.option("lineSep", MARK.decode()).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("raw"))
+    table = materialise(pieces.mapInArrow(_in_range(with_payload), RANGED), "records")
+    sizes = table.where(F.col("status") == SIZE).select("path", "split", (F.sum("end").over(Window.partitionBy("path").orderBy("split")) - F.col("end")).alias("base"))  # one row a range
+    placed = table.where(F.col("status") != SIZE).join(sizes, ["path", "split"]).withColumns({"start": F.col("start") + F.col("base"), "end": F.col("end") + F.col("base")})
+    at_ends = F.col("status").isin(OPEN, LOOSE)
+    claims = placed.where(F.col("status") == OPEN).groupBy("path", "split").agg(F.min("start").alias("low"), (F.min("start") + F.max("payload_bytes")).alias("high"))
+    inside = (F.col("start") > F.col("low")) & (F.col("start") < F.col("high"))
+    again = materialise(placed.where(~at_ends).select("path", "start").join(claims.drop("split"), "path").where(inside).select("path").distinct(), "again")
+    placed = placed.join(again, "path", "left_anti")
+    ends = placed.where(at_ends).select("path", "start", "piece").repartition("path").sortWithinPartitions("path", "start")
+    names = [n for n, _ in FIELDS]
+    found = placed.where(~at_ends).select(*names).unionByName(ends.mapInArrow(stitched, COLUMNS))
+    if again.isEmpty():
+        return found
+    in_order = pieces.mapInArrow(_numbered, "path string, split long, raw binary, number long").join(again, "path", "left_semi")
+    streams = in_order.repartition("path").sortWithinPartitions("path", "split", "number").select("path", F.lit(0).cast("long").alias("split"), "raw").mapInArrow(_in_range(with_payload), RANGED)
+    rest = streams.where(F.col("status") == OPEN).select("path", "start", "piece").repartition("path").sortWithinPartitions("path", "start").mapInArrow(stitched, COLUMNS)
+    return found.unionByName(streams.where((F.col("status") != SIZE) & (F.col("status") != OPEN)).select(*names)).unionByName(rest)
+
+
+def _numbered(batches):
+    """Pieces (path, split, raw) with their number within the range."""
+    now, number = None, 0
+    for b in batches:
+        numbers = []
+        for own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            now, number = own, number + 1 if own == now else 0
+            numbers.append(number)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=["path", "split", "raw", "number"])
 
 
 def op7_warc(spark, sf_dir):
-    path = new_path(spark, "warc")
+    """One row per page, as read back. Repeated pages with the largest page_id of their payload are responses each."""
+    before, path = written(), new_path(spark, "warc")
     write_warc(read_table(spark, sf_dir, "pages"), path)
     rows = read_warc(spark, path, with_payload=False).where("status = 'ok'")
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     digits = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    return rows.select(digits("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), digits("refers_to").alias("refers_to"))
+    found = rows.select(digits("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), digits("refers_to").alias("refers_to"))
+    return finished(found, "pages", before)
 
 
 ORACLE = r"""
