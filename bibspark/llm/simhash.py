@@ -5,9 +5,9 @@ fingerprints. It is written once and its rows are dealt to cells. Hamming distan
 within r bits differ by at most r in every coordinate: pairs of a cell whose largest coordinate difference exceeds r are
 discarded, and survivors are verified by their fingerprints.
 
-* Cells of few bits: block pivots (zero, and one mask per two-bit block) give by difference the number of set bits of
-  each block. r changed bits touch at most r of G = r + 3 groups of blocks, so at least three groups keep equal counts:
-  one cell per choice of three groups. No pair within r bits is missed.
+* Cells of few bits: block pivots (zero, and one mask per bit) give by difference of distances each bit. r changed bits
+  touch at most r of G = r + 3 groups of bits, so at least three groups keep equal coordinates: one cell per choice of
+  three groups. No pair within r bits is missed.
 * Cells of near copies (five-word shingles, similarity 0.8): at that similarity some ten of 64 bits differ, so no equal
   blocks are left; the KEYS smallest shingle hashes of a text are its cells instead. The table and the bits discard with
   a wide margin, and what they leave is verified by the exact similarity of the shingle sets.
@@ -34,11 +34,10 @@ from bibspark.llm.graph import components
 
 CELL = 2048
 SEED = 42
-BLOCKS = 32
+BITS = 64
 PIVOTS = 32
 KEYS = 6  # smallest shingle hashes of a text
 SLACK = 2.5  # standard errors that a pair's estimated similarity may lie below the threshold before it is discarded
-M1, M2 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333)
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -95,17 +94,15 @@ def coordinates(fp: np.ndarray) -> np.ndarray:
 
 
 def exact_cells(radius: int):
-    """Cell keys (table, coordinates) of one-word fingerprints, complete up to `radius` bits."""
-    groups = np.array_split(np.arange(BLOCKS), radius + 3)
+    """Cell keys (choice of groups, their bits) of one-word fingerprints, complete up to `radius` bits."""
+    groups = np.array_split(np.arange(BITS), radius + 3)
     chosen = list(itertools.combinations(range(radius + 3), 3))
 
     def keys(fp: np.ndarray) -> np.ndarray:
-        x = fp[:, 0]
-        counts = (x & M1) + ((x >> np.uint64(1)) & M1)  # from the block pivots: set bits of each two-bit block
-        out = np.empty((len(x), len(chosen)), np.uint64)
+        out = np.empty((len(fp), len(chosen)), np.uint64)
         for t, groups_of in enumerate(chosen):
-            mask = np.uint64(sum(3 << (2 * int(i)) for g in groups_of for i in groups[g]))
-            out[:, t] = mix64((counts & mask) + salt(t + 1))
+            mask = np.uint64(sum(1 << int(i) for g in groups_of for i in groups[g]))
+            out[:, t] = mix64((fp[:, 0] & mask) ^ mix64(salt(t + 1) + np.zeros(1, np.uint64)))
         return out
 
     return keys
@@ -115,10 +112,25 @@ def _lists(flat: np.ndarray, width: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), flat)
 
 
+def _bodies(fp: np.ndarray) -> pa.Array:
+    """Fingerprint and coordinates of each row as bytes."""
+    at = coordinates(fp).astype(np.uint8 if 64 * fp.shape[1] < 256 else np.uint16)
+    raw = np.concatenate([fp.view(np.uint8), at.view(np.uint8)], axis=1)
+    return pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32).tobytes() if len(fp) else b"\0" * 4), pa.py_buffer(raw.tobytes())])
+
+
+def _read_bodies(bodies: pa.Array, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and coordinates again."""
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1]
+    raw = np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(bodies), -1)
+    at = np.ascontiguousarray(raw[:, 8 * lanes :]).view(np.uint8 if 64 * lanes < 256 else np.uint16)
+    return np.ascontiguousarray(raw[:, : 8 * lanes]).view(np.uint64), at.astype(np.int16)
+
+
 def pivot_table(fps: DataFrame, lanes: int, cells=None) -> DataFrame:
-    """fps (id, fp array<long>[, keys array<long>]) -> written table (id, fp, at array<short>, keys): at are the
-    coordinates; keys, where cells is given, are the cells of the fingerprint."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.list_(pa.int64())), ("at", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+    """fps (id, fp array<long>[, keys array<long>]) -> written table (id, body binary, keys): body is the fingerprint and
+    its coordinates; keys, where cells is given, are the cells of the fingerprint."""
+    schema = pa.schema([("id", pa.int64()), ("body", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
@@ -127,10 +139,10 @@ def pivot_table(fps: DataFrame, lanes: int, cells=None) -> DataFrame:
             if cells:
                 own = cells(fp)
                 keys = _lists(own.reshape(-1).view(np.int64), own.shape[1])
-            yield batch(schema, b.column(0), b.column(1), _lists(coordinates(fp).reshape(-1), PIVOTS), keys)
+            yield batch(schema, b.column(0), _bodies(fp), keys)
 
     keys = F.array().cast("array<long>") if cells else F.col("keys")
-    return materialise(fps.select("id", "fp", keys.alias("keys")).mapInArrow(run, "id long, fp array<long>, at array<short>, keys array<long>"), "pivots")
+    return materialise(fps.select("id", "fp", keys.alias("keys")).mapInArrow(run, "id long, body binary, keys array<long>"), "pivots")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -185,23 +197,17 @@ def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, table: np.ndarray,
     return np.concatenate([none, *u]), np.concatenate([none, *v])
 
 
-CELLS = "key long, u long, v long, fp array<long>, at array<short>, keys array<long>"
-ROW = ["key", "id", "fp", "at", "keys"]
-
-
 def _in_cells(radius: int, lanes: int, most: int | None, nearest: bool = False):
-    """Streams rows (key, id, fp, at, keys) sorted by key -> links (u, v). Rows of cells larger than `most` come back with
-    v null."""
-    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fp", pa.list_(pa.int64())), ("at", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+    """Streams rows (key, id, body) sorted by key -> links (u, v). Rows of cells larger than `most` come back as (key, u)."""
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def links(rows: pa.RecordBatch):
-        fp = rows.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-        table = rows.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, PIVOTS)
+        fp, table = _read_bodies(rows.column(2), lanes)
         u, v = _links(rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False), fp, table, radius, nearest)
-        return batch(schema, pa.nulls(len(u), pa.int64()), u, v, *(pa.nulls(len(u), t) for t in schema.types[3:]))
+        return batch(schema, pa.nulls(len(u), pa.int64()), u, v)
 
     def late(rows: pa.RecordBatch):
-        return batch(schema, rows.column(0), rows.column(1), pa.nulls(rows.num_rows, pa.int64()), *rows.columns[2:])
+        return batch(schema, rows.column(0), rows.column(1), pa.nulls(rows.num_rows, pa.int64()))
 
     def one(parts):
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -250,13 +256,13 @@ def _in_cells(radius: int, lanes: int, most: int | None, nearest: bool = False):
 
 
 def _streamed(rows: DataFrame, radius: int, lanes: int, most: int | None, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """rows (key, id, fp, at, keys) -> links (u, v), and the rows of cells that are too large; both written."""
-    table = materialise(rows.select(*ROW).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_in_cells(radius, lanes, most, nearest), CELLS), "cells")
-    return table.where("v is not null").select("u", "v"), table.where("v is null").select("key", F.col("u").alias("id"), "fp", "at", "keys")
+    """rows (key, id, body) -> links (u, v), and the (key, id) of cells that are too large; both written."""
+    table = materialise(rows.select("key", "id", "body").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_in_cells(radius, lanes, most, nearest), "key long, u long, v long"), "cells")
+    return table.where("v is not null").select("u", "v"), table.where("v is null").select("key", F.col("u").alias("id"))
 
 
 def _in_parts(late: DataFrame) -> DataFrame:
-    """late with the number of parts of at most half a CELL that its cell makes."""
+    """late with the number of parts of at most half a CELL that its cell makes, and the part of each row."""
     parts = late.groupBy("key").agg(F.ceil(F.count("*") / (CELL // 2)).cast("int").alias("parts"))
     return late.join(parts, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
@@ -266,20 +272,21 @@ def near_links(table: DataFrame, radius: int, lanes: int, refine: bool = False)
 
     Cells of more than CELL rows: with refine, cells of two of their rows' keys and trees of parts come first (see
     above); the rest go through salted pairs of sub-cells, which lose no link."""
+    body = table.select("id", "body")
     links, late = _streamed(table.withColumn("key", F.explode("keys")), radius, lanes, CELL, refine)
     if late.isEmpty():
         return links
     if refine:
-        pairs = late.withColumn("other", F.explode("keys")).where("other <> key")
-        finer, late = _streamed(pairs.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other").distinct(), radius, lanes, CELL, True)
+        pairs = late.join(table, "id").withColumn("other", F.explode("keys")).where("other <> key")
+        finer, late = _streamed(pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "body").distinct(), radius, lanes, CELL, True)
         links = links.unionByName(finer)
         before = late.count()
         while before:  # forests of parts, then the first rows of their trees in one cell
-            found, _ = _streamed(_in_parts(late).withColumn("key", F.xxhash64("key", "s")), radius, lanes, None, True)
+            found, _ = _streamed(_in_parts(late).select(F.xxhash64("key", "s").alias("key"), "id").join(body, "id"), radius, lanes, None, True)
             links = links.unionByName(found)
             tree = components(found)
             roots = late.join(tree.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-            merged, late = _streamed(roots, radius, lanes, CELL, True)
+            merged, late = _streamed(roots.join(body, "id"), radius, lanes, CELL, True)
             links = links.unionByName(merged)
             n = late.count()
             if 2 * n > before:
@@ -288,7 +295,7 @@ def near_links(table: DataFrame, radius: int, lanes: int, refine: bool = False)
         if not before:
             return links
     parts = _in_parts(late).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    more, _ = _streamed(parts.withColumn("key", F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t"))), radius, lanes, None)
+    more, _ = _streamed(parts.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "id").join(body, "id"), radius, lanes, None)
     return links.unionByName(more)
 
 
