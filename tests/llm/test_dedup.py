@@ -245,13 +245,36 @@ def test_seeds_depend_on_their_own_words():
 
 def test_contamination(spark):
     item = words(30, 50)
-    docs = [(1, " ".join(words(5000, 51) + item + words(100, 52))), (2, " ".join(item[:15])), (3, " ".join(words(300, 53))), (4, " ".join(item).upper()), (5, None), (None, " ".join(item)), (6, "a b"), (7, " ".join(item[:29])), (1, " ".join(words(5, 54)))]
+    docs = [(1, " ".join(words(5000, 51) + item + words(100, 52))), (2, " ".join(item[:15])), (3, " ".join(words(300, 53))), (4, " ".join(item).upper()), (5, None), (None, " ".join(item)), (6, "a b"), (7, " ".join(item[:29])), (1, " ".join(words(5, 54))), (8, "x y A B c"), (9, "b a"), (4, " ".join(item).upper())]
     items = [(10, " ".join(item)), (11, None), (12, "A  b"), (None, "a b"), (13, "")]
     d = spark.createDataFrame(docs, DOCS).selectExpr("*", *EXTRA)
     i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", *EXTRA)
     got = {(r.doc_id, r.item_id): round(r.containment, 3) for r in decontaminate.contaminated(d, i).collect()}
-    assert got == {(1, 10): 1.0, (4, 10): 1.0, (7, 10): round(25 / 26, 3), (6, 12): 1.0}
-    assert {r.doc_id for r in decontaminate.clean_documents(d, i).collect()} == {2, 3, 5, None}
+    assert got == {(1, 10): 1.0, (4, 10): 1.0, (7, 10): round(25 / 26, 3), (6, 12): 1.0, (8, 12): 1.0}
+    assert {r.doc_id for r in decontaminate.clean_documents(d, i).collect()} == {2, 3, 5, 9, None}
+
+
+def test_contamination_brute_force(spark):
+    """Items of 1 to 120 words, changed words, in documents of all sizes: the exact pairs of containment 0.8."""
+    r = random.Random(17)
+    items = [words(r.choice([1, 2, 3, 4, 5, 6, 8, 12, 20, 40, 80, 120]), 800 + k) for k in range(60)]
+    docs = []
+    for k, item in enumerate(items):
+        w = list(item)
+        for i in r.sample(range(len(w)), min(len(w) - 1, r.choice([0, 0, 1, 2, 3]))):
+            w[i] = "changed"
+        docs.append((words(r.choice([0, 10, 300]), 900 + k) + w[: r.choice([len(w), len(w), max(1, 9 * len(w) // 10)])] + words(r.choice([0, 200]), 1900 + k)))
+    parts = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    want = {}
+    for a, d in enumerate(docs):
+        for b, item in enumerate(items):
+            own = parts(item, min(5, len(item)))
+            share = len(own & parts(d, min(5, len(item)))) / len(own)
+            if share >= 0.8:
+                want[a, b] = round(share, 6)
+    as_rows = lambda x, c: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{c} long, text string")
+    got = {(g.doc_id, g.item_id): round(g.containment, 6) for g in decontaminate.contaminated(as_rows(docs, "doc_id"), as_rows(items, "item_id")).collect()}
+    assert got == want and len(want) > 20
 
 
 def test_parts_in_other_earlier_documents(spark):
@@ -272,11 +295,13 @@ def test_parts_in_other_earlier_documents(spark):
 
 
 def test_links_over_range_seams(spark):
-    """A seed of many partitions is linked to its first document and to the one before from everywhere."""
+    """A seed of many partitions is linked to the one before from everywhere, and through range heads to its first document."""
     w = " ".join(words(60, 3))
     docs = spark.createDataFrame([(i, w) for i in range(400)], DOCS)
     got = {(m.doc_id, m.source) for m in substrings.seed_matches(docs).collect()}
-    assert got >= {(i, 0) for i in range(1, 400)} | {(i, i - 1) for i in range(1, 400)}
+    assert got >= {(i, i - 1) for i in range(1, 400)} and all(b < a for a, b in got)
+    heads = {b for a, b in got if b != a - 1} | {0}
+    assert len(heads) <= 40 and all((b, 0) in got for b in heads if b) and all(any((i, b) in got for b in heads) for i in range(2, 400))
 
 
 def fuzzy_recall(spark, each=20):

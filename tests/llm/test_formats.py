@@ -116,6 +116,38 @@ def test_license(spark):
     assert license_scan.license_spans(docs.limit(0)).count() == 0
 
 
+def test_license_texts(spark):
+    """Whole license texts with holders, changed, inserted and dropped words; unrelated text with some of their words."""
+    r = random.Random(3)
+    docs, want = [], {}
+    for k, (label, base, text) in enumerate(license_scan.TEMPLATES):
+        w = text.split()
+        if base or len(w) < license_scan.SHORT:
+            continue
+        if len(w) > 60:
+            for _ in range(4):
+                w[r.randrange(len(w))] = "changed"
+            w.insert(r.randrange(len(w)), "Inserted (words) here")
+            del w[r.randrange(len(w))]
+        docs.append((k, "Copyright 2020 A. Holder.\n" + " ".join(w).upper() + ". int main() { return 0; }"))
+        want[k] = label
+    docs.append((900, " ".join(r.choice(docs)[1].split()[r.randrange(9)] for _ in range(400))))
+    got = {}
+    for s in license_scan.license_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        if not s.base and s.end - s.start >= license_scan.SHORT - 4:
+            got.setdefault(s.doc_id, set()).add(s.label)
+    assert all(want[k] in got.get(k, set()) for k in want) and 900 not in got
+
+
+def test_license_query(spark, tmp_path):
+    """The registered query's columns against brute force, with nulls, repeated rows and a null doc_id."""
+    texts = [(1, "The MIT license, and mit-License"), (2, None), (3, ""), (1, "The MIT license, and mit-License"), (None, "Apache License Version 2.0"), (4, "no words of it")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(map(str, license_scan.op8_license(spark, str(tmp_path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()))
+    row = lambda *v: str(spark.createDataFrame([v], "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string").first())
+    assert rows == sorted([row(1, 6, 2, 1, 4, "mit")] * 2 + [row(2, 0, 0, None, None, ""), row(3, 0, 0, None, None, ""), row(None, 5, 1, 0, 0, "apache"), row(4, 4, 0, None, None, "")])
+
+
 def test_oracles(spark):
     """Queries that SQL can express, against DuckDB, over whole tables."""
     import duckdb
@@ -132,6 +164,43 @@ def test_oracles(spark):
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want), name
 
 
+@pytest.mark.parametrize("split", [3_000, 1 << 27])
+def test_warc_ranges(spark, tmp_path, split):
+    """Archives read by ranges of any size give what salvage() gives of the whole: marks in payloads, damage, junk, gaps."""
+    r = random.Random(split)
+    html = lambda i: r.choice(["x" * r.randint(0, 900), "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" * r.randint(1, 9), "\r\n\r\nWARC/1." * r.randint(1, 40), "é" * 300])
+    parts = [warc.record(i, f"http://a/{i}", html(i).encode(), None, False) + warc.END for i in range(45)]
+    parts[5] = parts[5][: len(parts[5]) // 2]
+    parts[20] = parts[20].replace(b"Content-Length", b"Content-Length", 1)[:-9] + b"#####" + parts[20][-4:]
+    parts[33] = b"junk \x00\xff junk" * 20 + parts[33]
+    parts[40] = parts[40].replace(b"Content-Length: ", b"Content-Length: 99", 1)
+    raw = b"".join(parts)
+    (tmp_path / "part-0").write_bytes(raw)
+    (tmp_path / "part-1").write_bytes(b"")
+    (tmp_path / "part-2").write_bytes(b"no record at all")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted((x.start, x.end, x.status, x.record_id or "", bytes(x.payload or b"")) for x in warc.read_warc(spark, str(tmp_path)).where("path like '%part-0'").collect())
+        rest = [(x.path[-6:], x.status, x.end) for x in warc.read_warc(spark, str(tmp_path)).where("path not like '%part-0'").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(a, z, "gap" if h is None else "ok", h["warc-record-id"] if h else "", warc.http_payload(x)[0] if h else b"") for a, z, h, x in warc.salvage(raw)]
+    records = lambda rows: [x for x in rows if x[2] != "gap"]
+    assert records(got) == records(want) and len(records(want)) >= 42
+    covered = lambda rows: {p for a, z, *_ in rows if _[0] == "gap" for p in range(a, z)}
+    assert covered(got) == covered(want)
+    assert rest == [("part-2", "gap", 16)]
+
+
+def test_warc_members(spark, tmp_path):
+    records = [warc.record(i, "u", f"payload {i}".encode() * 20, None, False) + warc.END for i in range(4)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = sorted(x.record_id for x in warc.read_warc(spark, str(tmp_path), compressed=True, glob="*.gz").collect())
+    assert got == [f"<urn:page:{i}>" for i in range(4)]
+
+
 def test_warc_very_long_url(spark, tmp_path):
     """A header of more than 1 MiB is read like any other."""
     pages = spark.createDataFrame([(1, "http://a/" + " " * 400_000, "one"), (2, "http://b", "two")], "page_id long, url string, html string")
