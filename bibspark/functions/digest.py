@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNIT, NULL = "\x1f", "\x00"
+
+def encoded(*values: Column | str) -> Column:
+    """Values as one text that no other values give: each with its length before it, a dash alone for null."""
+    text = [(F.col(v) if isinstance(v, str) else v).cast("string") for v in values]
+    return F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in text])
 
 
 def row_text(columns: list[str]) -> Column:
-    """Columns by name, as text between unit separators; null has a mark of its own."""
-    return F.concat_ws(UNIT, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for c in sorted(columns)])
+    """Columns by name, encoded."""
+    return encoded(*sorted(columns))
 
 
 def row_digest(columns: list[str]) -> Column:
     return F.sha2(row_text(columns), 256)
 
 
-def table_digest(rows: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
-    """One row (rows, digest): the digest of a table as a multiset of rows.
+def multiset_digest(digests: Column) -> Column:
+    """An aggregate: the digest of the number of digests and of the sums of their four quarters.
+
+    Sums are added map-side and in any order, so a table of any size needs no group and no sort."""
+    quarter = lambda i: F.coalesce(F.sum(F.conv(F.substring(digests, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return F.sha2(F.concat_ws(":", F.count(digests).cast("string"), *map(quarter, range(4))), 256)
+
 
-    Row digests are bucketed by their first hex digits, sorted within buckets and folded twice, so no task gets all of
-    them; more buckets only make the groups smaller, and are part of the definition."""
-    d = rows.select(row_digest(columns).alias("d"))
-    part = d.groupBy(F.pmod(F.conv(F.substring("d", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (rows, digest): the digest of a table as a multiset of rows."""
+    return rows.select(row_digest(columns).alias("d")).agg(F.count("*").alias("rows"), multiset_digest(F.col("d")).alias("digest"))
 
 
 def canonical_json(columns: list[str]) -> Column:

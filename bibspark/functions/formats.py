@@ -16,9 +16,22 @@ BIBTEX_OUT = {"Article": "article", "Book chapter": "incollection", "Conference
 CSL_OUT = {"Article": "article-journal", "Book chapter": "chapter", "Conference paper": "paper-conference", "Book": "book", "Online book": "book", "Serial": "article", "Newspaper": "article-newspaper", "Video": "motion_picture", "Audio": "song", "Dataset": "dataset", "Software": "software", "Website": "webpage", "Report": "report", "Thesis": "thesis", "Manuscript": "manuscript", "Map": "map", "Score": "musical_score"}
 SCHEMA_OUT = {"Article": "ScholarlyArticle", "Book chapter": "Chapter", "Conference paper": "ScholarlyArticle", "Book": "Book", "Online book": "Book", "Serial": "Periodical", "Newspaper": "Newspaper", "Video": "VideoObject", "Audio": "AudioObject", "Image": "ImageObject", "Map": "Map", "Score": "MusicComposition", "Dataset": "Dataset", "Software": "SoftwareSourceCode", "Website": "WebSite", "Report": "Report", "Thesis": "Thesis", "Manuscript": "Manuscript", "Archival collection": "ArchiveComponent"}
 MODS_OUT = {**dict.fromkeys(("Article", "Book", "Online book", "Book chapter", "Conference paper", "Serial", "Newspaper", "Report", "Thesis", "Manuscript"), "text"), "Video": "moving image", "Audio": "sound recording", "Image": "still image", "Map": "cartographic", "Score": "notated music", "Software": "software, multimedia"}
-CSL_IN = [("article", "Article"), ("chapter", "Book chapter"), ("conference", "Conference paper"), ("thesis", "Thesis"), ("report", "Report"), ("dataset", "Dataset"), ("software", "Software"), ("web", "Website"), ("motion|video", "Video"), ("song|audio", "Audio"), ("map", "Map"), ("manuscript", "Manuscript")]
-SCHEMA_IN = [("article", "Article"), ("chapter", "Book chapter"), ("book", "Book"), ("periodical", "Serial"), ("newspaper", "Newspaper"), ("video", "Video"), ("audio", "Audio"), ("image", "Image"), ("map", "Map"), ("music", "Score"), ("dataset", "Dataset"), ("software", "Software"), ("website|webpage", "Website"), ("report", "Report"), ("thesis", "Thesis"), ("manuscript", "Manuscript"), ("archive", "Archival collection")]
-MODS_IN = [("archiv|collection", "Archival collection"), ("cartograph|map", "Map"), ("notated music|score", "Score"), ("moving image|video", "Video"), ("sound", "Audio"), ("still image|photograph", "Image"), ("dataset", "Dataset"), ("software", "Software"), ("thesis|dissertation", "Thesis"), ("article", "Article"), ("conference", "Conference paper"), ("report", "Report"), ("book", "Book")]
+CSL_IN = {**dict.fromkeys(("article", "article-journal", "article-magazine", "article-newspaper"), "Article"), "book": "Book", "chapter": "Book chapter", "paper-conference": "Conference paper", "thesis": "Thesis", "report": "Report", "dataset": "Dataset", "software": "Software", "webpage": "Website", "motion_picture": "Video", "song": "Audio", "map": "Map", "manuscript": "Manuscript"}
+SCHEMA_IN = {
+    **dict.fromkeys(("article", "scholarlyarticle", "newsarticle", "techarticle", "medicalscholarlyarticle"), "Article"), "chapter": "Book chapter", **dict.fromkeys(("book", "audiobook"), "Book"), "periodical": "Serial", "newspaper": "Newspaper", "videoobject": "Video", **dict.fromkeys(("audioobject", "audioobjectsnapshot"), "Audio"),
+    **dict.fromkeys(("imageobject", "imageobjectsnapshot"), "Image"), "map": "Map", **dict.fromkeys(("musiccomposition", "musicrecording", "sheetmusic"), "Score"), "dataset": "Dataset", **dict.fromkeys(("softwaresourcecode", "softwareapplication"), "Software"), **dict.fromkeys(("website", "webpage"), "Website"), "report": "Report", "thesis": "Thesis", "manuscript": "Manuscript",
+    **dict.fromkeys(("archivecomponent", "archiveorganization"), "Archival collection"),
+}
+# Types of resource and genre words of MODS; a smaller rank goes before a larger one.
+MODS_IN = [
+    (1, "Archival collection", ("archive", "archives", "archival", "collection", "collections")), (2, "Map", ("cartographic", "map", "maps")), (3, "Score", ("notated", "score", "scores")), (4, "Video", ("moving", "video", "videos")), (5, "Audio", ("sound",)), (6, "Image", ("still", "photograph", "photographs")), (7, "Dataset", ("dataset", "datasets")),
+    (8, "Software", ("software",)), (9, "Thesis", ("thesis", "theses", "dissertation", "dissertations")), (10, "Article", ("article", "articles")), (11, "Conference paper", ("conference", "conferences")), (12, "Report", ("report", "reports")), (13, "Book", ("book", "books")),
+]
+# MARC evidence: (rank, source, value, format); a smaller rank goes before a larger one.
+MARC_IN = [
+    (1, "genre", "video", "Video"), (2, "336$b", "cod", "Dataset"), (3, "336$b", "cop", "Software"), (4, "LDR/06", "g", "Video"), (5, "LDR/06", "i", "Audio"), (5, "LDR/06", "j", "Audio"), (6, "LDR/06", "k", "Image"), (7, "LDR/06", "e", "Map"), (7, "LDR/06", "f", "Map"), (8, "LDR/06", "c", "Score"), (8, "LDR/06", "d", "Score"),
+    (9, "LDR/06", "t", "Manuscript"), (10, "LDR/06+07", "pc", "Archival collection"), (11, "LDR/07", "b", "Article"), (12, "LDR/07", "a", "Book chapter"), (13, "LDR/07", "s", "Serial"), (14, "LDR/07", "i", "Website"), (15, "336$b+338$b", "txtcr", "Online book"), (16, "999$a", "VID", "Video"),
+]
 LEVEL_ALIASES = {"recordgrp": "record-group", "recordgroup": "record-group", "subfonds": "subseries", "record-series": "series"}
 ATOM_LEVELS = {x: x.replace("-", " ").capitalize() for x in LEVELS}
 
@@ -30,11 +43,10 @@ def lookup(value: Column, table: dict[str, str], default: str | None = None) ->
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
-def first_match(value: Column, rules: list[tuple[str, str]], default: Column) -> Column:
-    out = None
-    for pattern, name in rules:
-        out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
-    return out.otherwise(default)
+def best_ranked(hits: Column, default: Column | str) -> Column:
+    """The name of the smallest rank of an array of `rank name` texts (two digits, a space)."""
+    value = F.lit(default) if isinstance(default, str) else default
+    return F.coalesce(F.substring(F.array_min(F.array_compact(hits)), 4, 99), value)
 
 
 def online_book(fmt: Column, online: Column) -> Column:
@@ -51,13 +63,12 @@ def format_from_text(value: Column) -> Column:
 
 
 def format_from_csl(kind: Column, online: Column) -> Column:
-    key = F.lower(kind)
-    found = F.when(key.rlike("article|chapter|conference"), first_match(key, CSL_IN, F.lit("Other"))).when(key == "book", "Book").otherwise(first_match(key, CSL_IN, F.lit("Other")))
-    return online_book(found, online)
+    return online_book(lookup(F.lower(F.trim(kind)), CSL_IN, "Other"), online)
 
 
 def format_from_schema(kind: Column, online: Column) -> Column:
-    return online_book(first_match(F.lower(kind), SCHEMA_IN, F.lit("Other")), online)
+    """The format of a schema.org class, with or without its address."""
+    return online_book(lookup(F.lower(F.regexp_replace(kind, r"^\s*(https?://schema\.org/|schema:)?|\s+$", "")), SCHEMA_IN, "Other"), online)
 
 
 def format_from_ris(kind: Column) -> Column:
@@ -69,36 +80,22 @@ def format_from_bibtex(kind: Column) -> Column:
 
 
 def format_from_mods(kind: Column, genres: Column, online: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", kind, F.array_join(genres, " ")))
+    """The best ranked word of the genres and the type of resource; plain text is a book."""
+    words = F.split(F.lower(F.concat_ws(" ", kind, F.array_join(genres, " "))), "[^a-z]+")
+    ranks = {w: f"{rank:02d} {name}" for rank, name, own in MODS_IN for w in own}
     plain = F.when(F.lower(kind) == "text", "Book").otherwise("Other")
-    return online_book(first_match(text, MODS_IN, plain), online)
+    return online_book(best_ranked(F.transform(words, lambda w: lookup(w, ranks)), plain), online)
 
 
 def format_from_marc(trace: Column, genres: Column, declared: Column) -> Column:
-    """A declared format, then genre terms, content types, leader positions and the local 999 code, in this order."""
+    """A declared format, else the best ranked evidence of MARC_IN, else a book."""
     t = lambda k: F.coalesce(F.try_element_at(trace, F.lit(k)), F.lit(""))
+    video = F.exists(genres, lambda g: g.rlike("(?i)video|motion picture"))
+    values = {"genre": F.when(video, "video"), "LDR/06+07": F.concat(t("LDR/06"), t("LDR/07")), "336$b+338$b": F.concat(t("336$b"), t("338$b"))}
+    sources = dict.fromkeys(source for _, source, _, _ in MARC_IN)
+    hits = [lookup(values[s] if s in values else t(s), {v: f"{rank:02d} {name}" for rank, own, v, name in MARC_IN if own == s}) for s in sources]
     named = F.get(F.array_compact(F.transform(declared, exact_format)), F.lit(0))
-    six, seven = t("LDR/06"), t("LDR/07")
-    return F.coalesce(
-        named,
-        F.when(F.exists(genres, lambda g: g.rlike("(?i)video|motion picture")), "Video")
-        .when(t("336$b") == "cod", "Dataset")
-        .when(t("336$b") == "cop", "Software")
-        .when(six == "g", "Video")
-        .when(six.isin("i", "j"), "Audio")
-        .when(six == "k", "Image")
-        .when(six.isin("e", "f"), "Map")
-        .when(six.isin("c", "d"), "Score")
-        .when(six == "t", "Manuscript")
-        .when((six == "p") & (seven == "c"), "Archival collection")
-        .when(seven == "b", "Article")
-        .when(seven == "a", "Book chapter")
-        .when(seven == "s", "Serial")
-        .when(seven == "i", "Website")
-        .when((t("336$b") == "txt") & (t("338$b") == "cr"), "Online book")
-        .when(t("999$a") == "VID", "Video")
-        .otherwise("Book"),
-    )
+    return F.coalesce(named, best_ranked(F.array(*hits), "Book"))
 
 
 def to_ris(fmt: Column) -> Column:

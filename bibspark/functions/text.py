@@ -62,6 +62,11 @@ def audit_text(value: Column, most: int, fallback: str) -> Column:
     return F.coalesce(F.nullif(out, F.lit("")), F.lit(fallback))
 
 
+def audit_target(digest: Column, fmt: Column, name: Column, most: int = 512) -> Column:
+    """What an import's audit event names: digest, format and file name, bounded."""
+    return audit_text(F.concat_ws(" \u00b7 ", digest, fmt, name), most, "unknown")
+
+
 def display_name(value: Column) -> Column:
     """A workspace name: NFKC, single spaces; null if empty, bidirectional or controlled, or over 120 characters."""
     out = F.trim(F.regexp_replace(normal_form(value, "NFKC"), r"[\s\p{Z}]+", " "))
@@ -170,6 +175,13 @@ def xml_escape(value: Column) -> Column:
     return out
 
 
+def xml_unescape(value: Column) -> Column:
+    out = value
+    for raw, code in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
+        out = F.replace(out, F.lit(code), F.lit(raw))
+    return out
+
+
 def bibtex_escape(value: Column) -> Column:
     return F.regexp_replace(value, r"([{}\\%&$#_])", r"\\$1")
 
@@ -191,6 +203,13 @@ def render(values: Column, dash: str = "—") -> Column:
     return F.coalesce(F.nullif(F.array_join(values, "; "), F.lit("")), F.lit(dash))
 
 
+def typed(values: Column, kind: str) -> Column:
+    """Texts as values of a kind (integer, decimal, boolean or text); null where one is not."""
+    if kind == "boolean":
+        return F.transform(values, lambda x: strict_boolean(x))
+    return F.transform(values, lambda x: x.try_cast({"integer": "long", "decimal": "double"}.get(kind, "string")))
+
+
 def slug(value: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 64)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.functions import digest
+
 #: Allowed (outcome, reason) by decision.
 LINKS = [("admit", "applied", "accepted"), ("admit", "not-applied", "conflict"), ("admit", "not-applied", "validation-failed"), ("reject", "not-applied", "rejected"), ("withdraw", "not-applied", "withdrawn")]
 
@@ -33,7 +35,7 @@ def unattributed(entities: DataFrame, active: DataFrame, exempt: tuple[str, ...]
 
 
 def assessment(decisions: DataFrame, applications: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row: applied, not_applied, admitted_unverified, active, unattributed, blocked."""
+    """One row: applied, not_applied, admitted_unverified, active, unattributed, blocked, reason (the first that blocks)."""
     d = decision_outcomes(decisions, applications)
     active = active_decisions(decisions, applications, entities)
     counts = d.agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "not-applied").alias("not_applied"), F.count_if((F.col("decision") == "admit") & F.col("outcome").isNull()).alias("admitted_unverified"))
@@ -41,7 +43,8 @@ def assessment(decisions: DataFrame, applications: DataFrame, entities: DataFram
     u = unattributed(entities, active).agg(F.count("*").alias("unattributed"))
     one = F.lit(1)  # three tables of one row each
     rows = counts.withColumn("k", one).join(a.withColumn("k", one), "k").join(u.withColumn("k", one), "k").drop("k")
-    return rows.withColumn("blocked", (F.col("unattributed") > 0) | (F.col("admitted_unverified") > 0))
+    reason = F.when(F.col("admitted_unverified") > 0, "admitted-unverified").when(F.col("unattributed") > 0, "unattributed").otherwise("none")
+    return rows.withColumns({"blocked": (F.col("unattributed") > 0) | (F.col("admitted_unverified") > 0), "reason": reason})
 
 
 def status_by_precedence(decisions: DataFrame) -> DataFrame:
@@ -67,5 +70,5 @@ def outcome_revisions(applications: DataFrame, revisions: DataFrame) -> DataFram
 
 def warning_manifest(warnings: DataFrame) -> DataFrame:
     """(source_sha, warnings, digest) over warnings (source_sha, code, record_id, detail), independent of their order."""
-    w = F.sha2(F.concat_ws("\x1f", "code", F.coalesce("record_id", F.lit("")), "detail"), 256)
-    return warnings.groupBy("source_sha").agg(F.count("*").alias("warnings"), F.sha2(F.array_join(F.array_sort(F.collect_list(w)), ""), 256).alias("digest"))
+    rows = warnings.select("source_sha", digest.row_digest(["code", "record_id", "detail"]).alias("d"))
+    return rows.groupBy("source_sha").agg(F.count("*").alias("warnings"), digest.multiset_digest(F.col("d")).alias("digest"))

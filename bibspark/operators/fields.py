@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.functions import dates, identity, text
+from bibspark.functions import dates, digest, identity, text
 
 KINDS = ("text", "long-text", "integer", "decimal", "boolean", "date", "date-time", "edtf", "identifier", "uri", "language-code", "media-type", "checksum", "controlled-term", "record-reference", "agent-reference")
 LARGEST = 1_000_000_000_000
@@ -127,5 +127,5 @@ def duplicate_reference_codes(values: DataFrame) -> DataFrame:
 
 def structure_digest(fields: DataFrame) -> DataFrame:
     """(schema_id, digest) of everything that records depend on: field ids, kinds and flags, not labels."""
-    row = F.concat_ws("\x1f", "field_id", "kind", F.col("required").cast("string"), F.col("repeatable").cast("string"))
-    return fields.groupBy("schema_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\x1e"), 256).alias("digest"))
+    rows = fields.select("schema_id", digest.row_digest(["field_id", "kind", "required", "repeatable"]).alias("d"))
+    return rows.groupBy("schema_id").agg(digest.multiset_digest(F.col("d")).alias("digest"))

@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset
+LOCAL_SHARED = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset and Spark runs in one process, as in tests
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. On a cluster spark.checkpoint.dir has to name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage in an iteration: write to the shared folder of spark.checkpoint.dir and read again."""
-    spark: SparkSession = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """Cut lineage in an iteration: write to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a stage() that no later plan reads."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if re.search(r"/[a-z]+-[0-9a-f]{32}$", folder) and folder.rpartition("/")[0].endswith(shared_dir(spark).removeprefix("file://")):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def parents_by_depth(units: DataFrame, group: str, order: str, depth: str, unit_id: str, name: str) -> DataFrame:
+    """units with column `name`: the last earlier unit of the group that stands one level higher; any depth.
+
+    Each unit answers for its own level and asks at the level above, so one window over (group, level) finds all."""
+    cols = units.columns
+    asks = units.withColumns({"_level": F.col(depth) - 1, "_known": F.lit(None).cast("string")})
+    answers = units.withColumns({"_level": F.col(depth), "_known": F.col(unit_id)})
+    w = Window.partitionBy(group, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    both = asks.unionByName(answers).withColumn(name, F.last("_known", ignorenulls=True).over(w))
+    return both.where("_known is null").select(*cols, name)
+
+
 def orphans(units: DataFrame, group: str | None = None) -> DataFrame:
     """Units whose parent is not a unit (of the same group)."""
     keys = [group] if group else []
@@ -36,8 +66,10 @@ def depths(units: DataFrame) -> DataFrame:
     left = None
     while True:
         jump = state.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.col("done").alias("stop"))
+        old = state
         moved = state.where("not done").join(jump, "top").select("id", F.col("next").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("stop").alias("done"))
         state = stage(state.where("done").unionByName(moved), "depth")
+        release(old)
         open_now = state.where("not done").count()
         # a walk of n open units ends within log2(n) + 1 rounds unless it is cyclic
         if open_now == 0 or (left is not None and open_now == left[0] and left[1] >= max(2, open_now.bit_length() + 1)):
@@ -86,25 +118,44 @@ def root_counts(units: DataFrame, group: str) -> DataFrame:
     return units.groupBy(group).agg(F.count_if(F.col("parent_id").isNull()).alias("roots")).withColumn("single", F.col("roots") == 1)
 
 
-def topology(witnesses: DataFrame) -> DataFrame:
+def topology(witnesses: DataFrame, terminals: DataFrame | None = None) -> DataFrame:
     """(lineage_id, witnesses, roots, forks, gaps, heads, status), each lineage judged by itself, all in parallel.
 
-    witnesses: (lineage_id, digest, predecessor_digest, sequence, audit_count). Status, first that holds: forked (a
-    witness has several successors), invalid (no or several roots, repeated digests), gap (a predecessor is missing or
-    a sequence is not one more), linear."""
-    w = witnesses
-    twice = w.groupBy("lineage_id", "digest").agg(F.count("*").alias("n")).groupBy("lineage_id").agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    witnesses: (lineage_id, digest, predecessor_digest, sequence, audit_count), and origin_scope where known; terminals:
+    (lineage_id, digest, sequence) that the head has to be. Status, first that holds: terminal-conflict (one digest with
+    different contents), invalid (a digest twice), forked (several successors or roots, of one scope), boundary (several
+    scopes), gap (no root, a missing predecessor, a root that is not number 1, or a step that is not one more with a
+    growing count: what is not connected to the root has one of these), then valid-prefix, or by the terminal truncated,
+    terminal-conflict or corroborated. A terminal without a witness gives no-evidence."""
+    w = witnesses if "origin_scope" in witnesses.columns else witnesses.withColumn("origin_scope", F.lit(""))
+    body = F.struct("predecessor_digest", "sequence", "audit_count", "origin_scope")
+    twice = w.groupBy("lineage_id", "digest").agg(F.count("*").alias("n"), F.count_distinct(F.to_json(body)).alias("kinds")).groupBy("lineage_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("kinds") > 1).alias("conflicts"))
     after = w.where("predecessor_digest is not null").groupBy("lineage_id", F.col("predecessor_digest").alias("digest")).agg(F.count("*").alias("successors"))
-    before = w.select("lineage_id", F.col("digest").alias("predecessor_digest"), F.col("sequence").alias("prior"), F.col("audit_count").alias("prior_audit")).dropDuplicates(["lineage_id", "predecessor_digest"])
+    before = w.groupBy("lineage_id", F.col("digest").alias("predecessor_digest")).agg(F.min("sequence").alias("prior"), F.min("audit_count").alias("prior_audit"))
     rows = w.join(after, ["lineage_id", "digest"], "left").join(before, ["lineage_id", "predecessor_digest"], "left")
     child = F.col("predecessor_digest").isNotNull()
-    gap = child & (F.col("prior").isNull() | (F.col("sequence") != F.col("prior") + 1) | (F.col("audit_count") <= F.col("prior_audit")))
+    gap = child & (F.col("prior").isNull() | (F.col("sequence") != F.col("prior") + 1) | (F.col("audit_count") <= F.col("prior_audit"))) | ~child & (F.col("sequence") != 1)
     flags = rows.groupBy("lineage_id").agg(
         F.count("*").alias("witnesses"),
         F.count_if(~child).alias("roots"),
         F.count_if(F.coalesce("successors", F.lit(0)) > 1).alias("forks"),
         F.count_if(gap).alias("gaps"),
         F.count_if(F.col("successors").isNull()).alias("heads"),
+        (F.min("origin_scope") != F.max("origin_scope")).alias("scopes"),
+        F.max_by("digest", "sequence").alias("head"),
+        F.max("sequence").alias("head_at"),
+    ).join(twice, "lineage_id")
+    status = (
+        F.when(F.col("conflicts") > 0, "terminal-conflict")
+        .when(F.col("repeated") > 0, "invalid")
+        .when((F.col("forks") > 0) | (F.col("roots") > 1) & ~F.col("scopes"), "forked")
+        .when(F.col("scopes"), "boundary")
+        .when((F.col("gaps") > 0) | (F.col("roots") != 1), "gap")
     )
-    status = F.when(F.col("forks") > 0, "forked").when((F.col("roots") != 1) | (F.col("repeated") > 0), "invalid").when(F.col("gaps") > 0, "gap").otherwise("linear")
-    return flags.join(twice, "lineage_id").select("lineage_id", "witnesses", "roots", "forks", "gaps", "heads", status.alias("status"))
+    if terminals is not None:
+        flags = flags.join(terminals.select("lineage_id", F.col("digest").alias("terminal"), F.col("sequence").alias("terminal_at")), "lineage_id", "full")
+        zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("witnesses", "roots", "forks", "gaps", "heads")}
+        flags = flags.withColumns(zero)
+        status = F.when(F.col("witnesses") == 0, "no-evidence").otherwise(status)
+        status = F.coalesce(status, F.when(F.col("terminal").isNull(), "valid-prefix").when(F.col("terminal_at") > F.col("head_at"), "truncated").when((F.col("terminal_at") != F.col("head_at")) | (F.col("terminal") != F.col("head")), "terminal-conflict").otherwise("corroborated"))
+    return flags.select("lineage_id", "witnesses", "roots", "forks", "gaps", "heads", F.coalesce(status, F.lit("valid-prefix")).alias("status"))

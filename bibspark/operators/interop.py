@@ -29,6 +29,17 @@ def report_mismatches(report: DataFrame, observations: DataFrame) -> DataFrame:
     return only(report.select(*keys), seen, "report").unionByName(only(seen, report.select(*keys), "observed"))
 
 
+def field_differences(sent: DataFrame, back: DataFrame, key: str = "id") -> DataFrame:
+    """(key, field, sent, back) of a round trip: every common field that came back differently, values as JSON.
+
+    Both sides hold distinct keys; a record that did not come back differs in all its fields."""
+    cols = [c for c in sent.columns if c in back.columns and c != key]
+    as_text = lambda side, c: F.to_json(F.struct(F.col(f"{side}.{c}").alias("v")), {"ignoreNullFields": "false"})
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), as_text("s", c).alias("sent"), as_text("b", c).alias("back")) for c in cols])
+    rows = sent.alias("s").join(back.alias("b"), F.col(f"s.{key}") == F.col(f"b.{key}"), "left")
+    return rows.select(F.col(f"s.{key}").alias(key), F.explode(pairs).alias("p")).select(key, "p.*").where("sent <> back")
+
+
 def assess(required: DataFrame, results: DataFrame, observations: DataFrame) -> DataFrame:
     """(bundle_id, status) by precedence: INVALID (broken or unknown observations), OBSOLETE (another profile version),
     FAILED (hazard or failed case), BLOCKED, INCOMPLETE (a required case without a result), PASS.

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from bibspark.functions.digest import encoded
+
 GENESIS = "GENESIS"
 FIELDS = ("ledger_id", "sequence", "instant", "action", "target", "state_digest", "previous_hash")
 
 
 def event_hash(previous: Column | None = None) -> Column:
     """Hash of an event's fields and its predecessor's hash."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS[:-1]]
-    return F.sha2(F.concat_ws("\x1f", *parts, previous if previous is not None else F.col("previous_hash")), 256)
+    return F.sha2(encoded(*FIELDS[:-1], previous if previous is not None else F.col("previous_hash")), 256)
 
 
 def append_chain(events: DataFrame) -> DataFrame:
@@ -24,8 +25,7 @@ def append_chain(events: DataFrame) -> DataFrame:
 
     Hashing a chain is sequential within a ledger by nature; ledgers go in parallel. Each partition streams its sorted
     ledgers and keeps one hash, so a ledger of any length takes constant memory."""
-    body = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS[:-1]])
-    rows = events.select(*FIELDS[:-1], body.alias("_body")).repartition("ledger_id").sortWithinPartitions("ledger_id", "sequence")
+    rows = events.select(*FIELDS[:-1], encoded(*FIELDS[:-1]).alias("_body")).repartition("ledger_id").sortWithinPartitions("ledger_id", "sequence")
     kept = [f.name for f in rows.schema.fields if f.name != "_body"]
     schema = StructType([*(rows.schema[c] for c in kept), StructField("previous_hash", StringType()), StructField("hash", StringType())])
 
@@ -37,7 +37,7 @@ def append_chain(events: DataFrame) -> DataFrame:
                 if own != ledger or ledger is None:
                     ledger, last = own, GENESIS
                 before.append(last)
-                last = hashlib.sha256(f"{text}\x1f{last}".encode()).hexdigest()
+                last = hashlib.sha256(f"{text}{len(last)}:{last}".encode()).hexdigest()
                 after.append(last)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept, "previous_hash", "hash"])
 
@@ -45,16 +45,22 @@ def append_chain(events: DataFrame) -> DataFrame:
 
 
 def chain_breaks(events: DataFrame, expected: Column | None = None) -> DataFrame:
-    """Events whose link is broken: (ledger_id, sequence, gap, link, content), each a boolean. All ledgers in parallel.
+    """Events whose link is broken: (ledger_id, sequence, gap, link, content), each a boolean.
+
+    gap: the event before is missing, or several have this number; link: the hash before is not that of the event before
+    (unknown where that is missing). Neighbours meet by joins on ledger and number, so a ledger of any length is many
+    tasks' work.
 
     expected: the hash that an event should have, if ledgers are not chained by event_hash()."""
-    order = Window.partitionBy("ledger_id").orderBy("sequence")
-    rows = events.select(
+    before = events.groupBy("ledger_id", (F.col("sequence") + 1).alias("sequence")).agg(F.min("hash").alias("prior"))
+    same = events.groupBy("ledger_id", "sequence").agg(F.count("*").alias("same"))
+    first = F.col("sequence") == 1
+    rows = events.join(before, ["ledger_id", "sequence"], "left").join(same, ["ledger_id", "sequence"]).select(
         "ledger_id",
         "sequence",
-        (F.col("sequence") != F.row_number().over(order)).alias("gap"),
-        (F.col("previous_hash") != F.lag("hash", 1, GENESIS).over(order)).alias("link"),
-        (F.col("hash") != (event_hash() if expected is None else expected)).alias("content"),
+        (F.col("prior").isNull() & ~first | (F.col("same") > 1)).alias("gap"),
+        F.coalesce(F.col("previous_hash") != F.when(first, GENESIS).otherwise(F.col("prior")), F.col("previous_hash").isNull()).alias("link"),
+        F.coalesce(F.col("hash") != (event_hash() if expected is None else expected), F.lit(True)).alias("content"),
     )
     return rows.where("gap or link or content")
 
@@ -72,8 +78,8 @@ def verify_ledgers(events: DataFrame, states: DataFrame | None = None, expected:
 
 def lineage_problems(revisions: DataFrame) -> DataFrame:
     """Revisions (workspace_id, id, parent_id, ordinal) whose parent is not the revision before them."""
-    order = Window.partitionBy("workspace_id").orderBy("ordinal")
-    rows = revisions.withColumn("expected", F.lag("id").over(order))
+    before = revisions.select("workspace_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("id").alias("expected"))
+    rows = revisions.join(before, ["workspace_id", "ordinal"], "left")
     return rows.where(~F.col("parent_id").eqNullSafe(F.col("expected"))).select("workspace_id", "id", "parent_id", "expected")
 
 
@@ -111,7 +117,7 @@ def checkpoints(events: DataFrame, generation: Column | None = None) -> DataFram
     """One checkpoint per ledger: first and last hash, count, last sequence and a digest that binds them."""
     rows = events.groupBy("ledger_id").agg(F.min_by("hash", "sequence").alias("genesis_hash"), F.max_by("hash", "sequence").alias("terminal_hash"), F.count("*").alias("audit_count"), F.max("sequence").alias("sequence"), F.max_by("state_digest", "sequence").alias("state_digest"))
     rows = rows.withColumn("generation", generation if generation is not None else F.lit(1).cast("long"))
-    return rows.withColumn("digest", F.sha2(F.concat_ws("\x1f", "ledger_id", "genesis_hash", "terminal_hash", F.col("audit_count").cast("string"), F.col("sequence").cast("string"), F.coalesce("state_digest", F.lit(""))), 256))
+    return rows.withColumn("digest", F.sha2(encoded("ledger_id", "genesis_hash", "terminal_hash", "audit_count", "sequence", "state_digest"), 256))
 
 
 def verify_checkpoints(stored: DataFrame, events: DataFrame) -> DataFrame:

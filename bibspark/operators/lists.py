@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import formats
+from bibspark.operators.hierarchy import stage
 
 
 def search(catalog: DataFrame, query: str, fmt: str | None = None) -> DataFrame:
@@ -15,31 +16,58 @@ def search(catalog: DataFrame, query: str, fmt: str | None = None) -> DataFrame:
     return rows.where(hay.contains(query.lower()))
 
 
+def register(records: DataFrame, area: str | None = None) -> DataFrame:
+    """Service records of one area, or of all."""
+    return records.where(F.col("area") == area) if area else records
+
+
+def findings_of(findings: DataFrame, record_id: str | None = None, blocking: str | None = None, most: int | None = None) -> DataFrame:
+    """Findings of one record; blocking ones (import: errors; export: errors and warnings); the first `most` by severity."""
+    rows = findings.where(F.col("record_id") == record_id) if record_id is not None else findings
+    if blocking:
+        rows = rows.where(F.col("severity").isin(*{"import": ("error",), "export": ("error", "warning")}[blocking]))
+    return rows.orderBy(formats.severity_rank(F.col("severity")), "code", "record_id", "detail").limit(most) if most is not None else rows
+
+
+def with_origin(findings: DataFrame, records: DataFrame) -> DataFrame:
+    """Findings with the synthetic flag of their record (false where it has none)."""
+    flags = records.groupBy(F.col("id").alias("record_id")).agg(F.bool_or("synthetic").alias("synthetic"))
+    return findings.join(flags, "record_id", "left").withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
+
+
+def contaminated(records: DataFrame) -> DataFrame:
+    """One row (records, synthetic, contaminated): whether synthetic records stand among others."""
+    return records.agg(F.count("*").alias("records"), F.count_if("synthetic").alias("synthetic")).withColumn("contaminated", (F.col("synthetic") > 0) & (F.col("synthetic") < F.col("records")))
+
+
 def page(rows: DataFrame, order: list[str], number: int, size: int = 100) -> DataFrame:
     """The rows of a page (0 first; clamped to the last) by a total order, with page, pages, total, start and end.
 
-    The rank of a row is the number of rows of smaller ranges plus its place in its own range, so no task sorts the
-    whole table."""
-    if not 1 <= size <= 100:
-        raise ValueError("a page has 1 to 100 rows")
-    total = rows.count()
+    Rows are dealt by ranges of the order and written once with their range; a row's rank is the number of rows of smaller
+    ranges plus its place in its own range, and only ranges that the page touches are ranked."""
+    if size < 1:
+        raise ValueError("a page has at least one row")
+    dealt = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a range
+    total = sum(n for _, n in sizes)
     pages = max(1, -(-total // size))
     at = min(max(int(number), 0), pages - 1)
     start, end = (at * size + 1 if total else 0), min(total, (at + 1) * size)
-    head = rows.orderBy(*order).limit(end)
-    ranked = head.withColumn("position", F.row_number().over(Window.orderBy(*order))) if end <= 100_000 else _ranked(rows, order)
+    before, touched = 0, []
+    for part, n in sizes:
+        if before < end and before + n >= start:
+            touched.append((part, before))
+        before += n
+    known = F.lit(None).cast("long")
+    for part, n in touched:
+        known = F.when(F.col("part") == part, F.lit(n).cast("long")).otherwise(known)
+    own = dealt.where(F.col("part").isin(*[p for p, _ in touched])) if touched else dealt.where("false")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     info = {"page": at, "pages": pages, "total": total, "start": start, "end": end}
+    ranked = own.withColumn("position", place + known).drop("part")
     return ranked.where(F.col("position").between(start, end)).withColumns({k: F.lit(v).cast("long") for k, v in info.items()})
 
 
-def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    own = dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
-    return own.join(before, "part").withColumn("position", F.col("place") + F.col("before")).drop("part", "place", "before")
-
-
 def page_containing(rows: DataFrame, order: list[str], test: Column, size: int = 100) -> DataFrame:
     """One row (page): that of the first row, by the order, for which test holds; 0 if there is none."""
     first = rows.where(test).orderBy(*order).limit(1).select(F.struct(*order).alias("first"))
@@ -81,9 +109,9 @@ def incidents_from_findings(findings: DataFrame, open_now: DataFrame) -> DataFra
     return new.select("record_id", "code", severity.alias("severity"), formats.service_of_finding(F.col("code")).alias("service"), formats.action_of_finding(F.col("code")).alias("next_action"), F.lit("open").alias("state"))
 
 
-def export_gate(flags: DataFrame) -> DataFrame:
-    """(reason) of one row (synthetic, blocked_evidence, errors, warnings, ledger_valid): the first that blocks, or open."""
-    return flags.select(F.when(F.col("synthetic"), "synthetic").when(F.col("blocked_evidence"), "evidence").when(F.col("errors") + F.col("warnings") > 0, "findings").when(~F.col("ledger_valid"), "ledger").otherwise("open").alias("reason"))
+def export_gate(flags: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(keep, reason) of rows (synthetic, blocked_evidence, errors, warnings, ledger_valid): the first that blocks, or open."""
+    return flags.select(*keep, F.when(F.col("synthetic"), "synthetic").when(F.col("blocked_evidence"), "evidence").when(F.col("errors") + F.col("warnings") > 0, "findings").when(~F.col("ledger_valid"), "ledger").otherwise("open").alias("reason"))
 
 
 def counts_zero_filled(rows: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -92,15 +92,15 @@ def duplicate_rows(rows: DataFrame, key: str, record_id: str) -> DataFrame:
 
 
 def catalog_findings(catalog: DataFrame, extra: list[Rule] = ()) -> DataFrame:
-    """All findings of a set of catalog records, row rules and group rules, and any rules of the user."""
+    """All findings of a set of catalog records, row rules and group rules, and any rules of the user.
+
+    The keys of all group rules are exploded once and counted in one aggregation."""
     rows = catalog.withColumns({"claims": identity.identity_claims(F.col("identifiers"), F.col("links")), "title_key": text.title_key(F.col("title"), unicode=False)})
-    claims = rows.select("id", F.explode("claims").alias("claim"))
-    return (
-        row_findings(rows, F.col("id"), [*catalog_rules(), *extra])
-        .unionByName(duplicates(claims, "claim", "id", "error", "IDENTIFIER_DUPLICATE"))
-        .unionByName(duplicates(rows, "title_key", "id", "notice", "TITLE_DUPLICATE"))
-        .unionByName(duplicates(rows, "id", "id", "error", "RECORD_ID_DUPLICATE"))
-    )
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    keys = F.concat(F.transform("claims", lambda x: key("IDENTIFIER_DUPLICATE", x)), F.array(key("TITLE_DUPLICATE", F.col("title_key")), key("RECORD_ID_DUPLICATE", F.col("id"))))
+    groups = rows.select("id", F.explode(keys).alias("k")).where("k.key <> ''").groupBy("k.kind", "k.key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    found = groups.select(F.when(F.col("kind") == "TITLE_DUPLICATE", "notice").otherwise("error").alias("severity"), F.col("kind").alias("code"), F.col("first").alias("record_id"), F.concat_ws(" x ", "key", F.col("n").cast("string")).alias("detail"))
+    return row_findings(rows, F.col("id"), [*catalog_rules(), *extra]).unionByName(found)
 
 
 def with_finding_ids(findings: DataFrame) -> DataFrame:

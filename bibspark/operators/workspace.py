@@ -121,7 +121,7 @@ def compare_external(topology: DataFrame, terminals: DataFrame, anchors: DataFra
     t = terminals.select("lineage_id", F.col("digest").alias("terminal"), F.col("sequence").alias("terminal_at"))
     rows = anchors.join(topology.select("lineage_id", F.col("status").alias("topology")), "lineage_id", "left").join(t, "lineage_id", "left")
     status = (
-        F.when(F.col("terminal").isNull() | F.col("topology").isNull(), "indeterminate").when(F.col("topology") == "forked", "fork").when(F.col("topology") == "invalid", "invalid-evidence").when(F.col("topology") == "gap", "gap")
+        F.when(F.col("terminal").isNull() | F.col("topology").isNull(), "indeterminate").when(F.col("topology") == "forked", "fork").when(F.col("topology").isin("invalid", "boundary", "terminal-conflict"), "invalid-evidence").when(F.col("topology") == "gap", "gap")
         .when(F.col("terminal_at") > F.col("sequence"), "rollback").when(F.col("terminal") != F.col("digest"), "content-mismatch").otherwise("trusted-match")
     )
     return rows.select("lineage_id", status.alias("status"))

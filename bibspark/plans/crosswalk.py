@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import formats, text
 from bibspark.sources.tabular import ASPACE, ATOM, HEADERS, LISTS, VERSION
-from bibspark.sources.xml import EAD_DID, EAD_TEXT
+from bibspark.sources.xml import EAD4_DID, EAD4_TEXT, EAD_DID, EAD_TEXT
 
 NS = "urn:bibspark:"
 
@@ -148,7 +148,7 @@ def write_lines(exported: DataFrame, path: str, separator: str = "\n\n") -> None
     exported.select("out").write.option("lineSep", separator).text(path)
 
 
-ROOTS = {"dcxml": ('<records xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/" xmlns:dc="http://purl.org/dc/elements/1.1/">', "</records>"), "modsxml": ("<modsCollection>", "</modsCollection>")}
+ROOTS = {"marcxml": ("<collection>", "</collection>"), "dcxml": ('<records xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/" xmlns:dc="http://purl.org/dc/elements/1.1/">', "</records>"), "modsxml": ("<modsCollection>", "</modsCollection>")}
 
 
 def write_documents(exported: DataFrame, path: str, fmt: str, per_file: int = 1000) -> None:
@@ -159,22 +159,37 @@ def write_documents(exported: DataFrame, path: str, fmt: str, per_file: int = 10
     rows.select(F.concat(F.lit(before), "body", F.lit(after))).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def ead(units: DataFrame, values: DataFrame, order: DataFrame) -> DataFrame:
-    """(root, out): nested EAD 2002 components, folded bottom-up with one aggregation per level.
+def _ead_body(vs: Column, version: str) -> Column:
+    """A component's own elements."""
+    e = lambda table, before="", after="": F.array_join(F.flatten(F.array(*[_element(vs, n, x, before, after) for n, x in table.items()])), "")
+    wrapped = lambda name, inner: F.when(inner != "", F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))).otherwise("")
+    one = lambda field, before, after: F.array_join(F.transform(F.filter(vs, lambda x: x["field_id"] == field), lambda x: F.concat(F.lit(before), text.xml_escape(x["s"]), F.lit(after))), "")
+    if version == "ead4":
+        did = F.concat(F.lit("<identificationData>"), e({k: v for k, v in EAD4_DID.items() if k != "repository"}), one("language", "<languageOfMaterial><language>", "</language></languageOfMaterial>"), one("repository", '<otherIdentificationData localType="repository">', "</otherIdentificationData>"), F.lit("</identificationData>"))
+        agents = wrapped("agents", one("creator", "<agent><label>", "</label><role>creator</role></agent>"))
+        return F.concat(did, agents, wrapped("formsAvailable", one("digital_object_uri", '<formAvailable valueURI="', '"><label>Digital object</label></formAvailable>')), e(EAD4_TEXT, "<p>", "</p>"), wrapped("subjectHeadings", one("subjects", "<subject><term>", "</term></subject>")))
+    named = ("<origination><name><part>", "</part></name></origination>") if version == "ead3" else ("<origination><name>", "</name></origination>")
+    dao = ('<dao daotype="derived" href="', '"/>') if version == "ead3" else ('<dao xlink:type="simple" xlink:href="', '"/>')
+    did = F.concat(F.lit("<did>"), e({k: v for k, v in EAD_DID.items() if k != "creator"}), one("creator", *named), one("language", "<langmaterial><language>", "</language></langmaterial>"), one("digital_object_uri", *dao), F.lit("</did>"))
+    subjects = one("subjects", *(("<controlaccess><subject><part>", "</part></subject></controlaccess>") if version == "ead3" else ("<controlaccess><subject>", "</subject></controlaccess>")))
+    return F.concat(did, e(EAD_TEXT, "<p>", "</p>"), subjects)
+
+
+def ead(units: DataFrame, values: DataFrame, order: DataFrame, version: str = "ead2002") -> DataFrame:
+    """(root, out): nested EAD components (version: ead2002, ead3, ead4), folded bottom-up with one aggregation per level.
 
     units: (unit_id, parent_id, level, published); values: (unit_id, field_id, value_index, s); order: hierarchy.preorder
-    as (unit_id, depth, path)."""
+    as (unit_id, depth, path). One document is one text by its format, so a tree is one row."""
     v = values.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("field_id", "value_index", "s"))).alias("vs"))
     rows = units.select("unit_id", "parent_id", "level").join(v, "unit_id", "left").join(order.select("unit_id", "depth", "path"), "unit_id")
     vs = F.coalesce("vs", F.array().cast("array<struct<field_id:string,value_index:int,s:string>>"))
-    did = F.array_join(F.flatten(F.array(*[_element(vs, n, e) for n, e in EAD_DID.items()])), "")
-    notes = F.array_join(F.flatten(F.array(*[_element(vs, n, e, "<p>", "</p>") for n, e in EAD_TEXT.items()])), "")
-    level = formats.level_legacy(F.col("level"))
-    rows = rows.select("unit_id", "parent_id", "depth", "path", level.alias("level"), F.concat(F.lit("<did>"), did, F.lit("</did>"), notes).alias("own"), F.lit("").alias("inner"))
+    level = formats.level_ead4(F.col("level")) if version == "ead4" else formats.level_legacy(F.col("level"))
+    rows = rows.select("unit_id", "parent_id", "depth", "path", level.alias("level"), _ead_body(vs, version).alias("own"), F.lit("").alias("inner"))
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     level_rows = rows.where(F.col("depth") == deepest)
+    top = "archDesc" if version == "ead4" else "archdesc"
     for d in range(deepest, -1, -1):
-        name = F.lit("archdesc") if d == 0 else F.lit("c")
+        name = F.lit(top) if d == 0 else F.lit("c")
         made = level_rows.select("unit_id", "parent_id", "path", F.concat(F.lit("<"), name, F.lit(' id="'), F.col("unit_id"), F.lit('" level="'), F.col("level"), F.lit('">'), "own", "inner", F.lit("</"), name, F.lit(">")).alias("xml"))
         if d == 0:
             return made.select(F.col("unit_id").alias("root"), F.concat(F.lit("<ead>"), "xml", F.lit("</ead>")).alias("out"))
@@ -184,6 +199,13 @@ def ead(units: DataFrame, values: DataFrame, order: DataFrame) -> DataFrame:
     raise ValueError("no units")
 
 
+def ead_gate(units: DataFrame, values: DataFrame, core: tuple[str, ...]) -> DataFrame:
+    """(reason, n) of what keeps units (unit_id, parent_id) out of EAD: no-root, several-roots, fields outside the core."""
+    roots = units.agg(F.count_if(F.col("parent_id").isNull()).alias("n")).select(F.when(F.col("n") == 0, "no-root").when(F.col("n") > 1, "several-roots").alias("reason"), "n").where("reason is not null")
+    lost = not_preservable(values, core).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("not-preservable").alias("reason"), "n")
+    return roots.unionByName(lost)
+
+
 def _element(vs: Column, field: str, name: str, before: str = "", after: str = "") -> Column:
     return F.transform(F.filter(vs, lambda x: x["field_id"] == field), lambda x: F.concat(F.lit(f"<{name}>{before}"), text.xml_escape(x["s"]), F.lit(f"{after}</{name}>")))
 

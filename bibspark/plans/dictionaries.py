@@ -4,27 +4,141 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Areas, kinds and fields of service records. R marks a required field, * a repeatable one; a field without
-# a kind is text.
-SERVICES = {
-    ("collections", "collection-policy"): "scope:long-text R, audience R*, selection_roles, review_cycle_months:integer, exclusions:long-text",
-    ("collections", "collection-fund"): "fiscal_year R, fund_code:identifier R, allocation:decimal R, committed:decimal, currency:controlled-term R, notes:long-text",
-    ("electronic-resources", "resource-entitlement"): "provider R, platform R, coverage_start:date, coverage_end:date, access_model:controlled-term R, authentication:controlled-term R, license_uri:uri, renewal_date:date, perpetual_access:boolean, counter_supported:boolean",
-    ("electronic-resources", "license-obligation"): "agreement_id:identifier R, licensor R, effective_on:date, expires_on:date, authorized_users:long-text, interlibrary_loan:long-text, text_mining:long-text, termination:long-text, notes:long-text",
-    ("discovery", "discovery-profile"): "index_name:identifier R, source_system R, mapping_version:identifier R, facets *, suppression_rule:long-text R, last_reindex:date-time",
-    ("discovery", "link-routing"): "resolver_target:uri R, knowledge_base R, proxy_rule:identifier, test_identifier:identifier R, expected_route:long-text R, last_verified:date-time",
-    ("preservation", "condition-assessment"): "object_identifier:identifier R, material_type R, condition_rating:controlled-term R, hazards *, housing, assessed_on:date R, next_review:date",
-    ("preservation", "preservation-action"): "action_type:controlled-term R, object_identifier:identifier R, performed_on:date R, agent_role R, action_note:long-text R, before_checksum:checksum, after_checksum:checksum, storage_location",
-    ("technical-services", "acquisition-order"): "order_id:identifier R, vendor R, fund_code:identifier, ordered_on:date R, received_on:date, order_status:controlled-term R, invoice_reference:identifier",
-    ("technical-services", "metadata-job"): "job_name R, source_format R, target_format R, mapping_version:identifier R, authority_sources *, record_count:integer, last_run:date-time, rollback_reference:identifier",
-    ("special-collections", "accession"): "accession_number:identifier R, source_type:controlled-term R, received_on:date R, extent R, deed_status:controlled-term, restrictions:long-text, processing_priority:controlled-term",
-    ("special-collections", "processing-plan"): "collection_identifier:identifier R, processing_level:controlled-term R, arrangement:long-text R, description_standard R, estimated_hours:decimal, born_digital:boolean, target_completion:date",
-    ("data-services", "dataset-custody"): "persistent_id:identifier R, repository R, steward_role R, media_type:media-type, checksum:checksum, retention_rule:long-text R, access_level:controlled-term R, embargo_until:date",
-    ("data-services", "data-management-plan"): "project_identifier:identifier R, funder, storage_tier R, backup_schedule R, file_formats R*, retention_period R, rights_basis:long-text",
-    ("rare-materials", "copy-provenance"): "shelfmark:identifier R, imprint R, copy_note:long-text R, provenance_events *, binding, marks *, cataloging_standard, verified_on:date",
-    ("rare-materials", "conservation-treatment"): "object_identifier:identifier R, treatment_type R, condition_before:long-text R, materials_used *, treatment_date:date R, conservator_role R, aftercare:long-text, next_review:date",
+# Fields of service records: area, kind of record, field, kind of value, required, repeatable.
+SERVICE_FIELDS = [
+    ("collections", "collection-policy", "scope", "long-text", True, False),
+    ("collections", "collection-policy", "audience", "text", True, True),
+    ("collections", "collection-policy", "selection_roles", "text", False, False),
+    ("collections", "collection-policy", "review_cycle_months", "integer", False, False),
+    ("collections", "collection-policy", "exclusions", "long-text", False, False),
+    ("collections", "collection-fund", "fiscal_year", "text", True, False),
+    ("collections", "collection-fund", "fund_code", "identifier", True, False),
+    ("collections", "collection-fund", "allocation", "decimal", True, False),
+    ("collections", "collection-fund", "committed", "decimal", False, False),
+    ("collections", "collection-fund", "currency", "controlled-term", True, False),
+    ("collections", "collection-fund", "notes", "long-text", False, False),
+    ("electronic-resources", "resource-entitlement", "provider", "text", True, False),
+    ("electronic-resources", "resource-entitlement", "platform", "text", True, False),
+    ("electronic-resources", "resource-entitlement", "coverage_start", "date", False, False),
+    ("electronic-resources", "resource-entitlement", "coverage_end", "date", False, False),
+    ("electronic-resources", "resource-entitlement", "access_model", "controlled-term", True, False),
+    ("electronic-resources", "resource-entitlement", "authentication", "controlled-term", True, False),
+    ("electronic-resources", "resource-entitlement", "license_uri", "uri", False, False),
+    ("electronic-resources", "resource-entitlement", "renewal_date", "date", False, False),
+    ("electronic-resources", "resource-entitlement", "perpetual_access", "boolean", False, False),
+    ("electronic-resources", "resource-entitlement", "counter_supported", "boolean", False, False),
+    ("electronic-resources", "license-obligation", "agreement_id", "identifier", True, False),
+    ("electronic-resources", "license-obligation", "licensor", "text", True, False),
+    ("electronic-resources", "license-obligation", "effective_on", "date", False, False),
+    ("electronic-resources", "license-obligation", "expires_on", "date", False, False),
+    ("electronic-resources", "license-obligation", "authorized_users", "long-text", False, False),
+    ("electronic-resources", "license-obligation", "interlibrary_loan", "long-text", False, False),
+    ("electronic-resources", "license-obligation", "text_mining", "long-text", False, False),
+    ("electronic-resources", "license-obligation", "termination", "long-text", False, False),
+    ("electronic-resources", "license-obligation", "notes", "long-text", False, False),
+    ("discovery", "discovery-profile", "index_name", "identifier", True, False),
+    ("discovery", "discovery-profile", "source_system", "text", True, False),
+    ("discovery", "discovery-profile", "mapping_version", "identifier", True, False),
+    ("discovery", "discovery-profile", "facets", "text", False, True),
+    ("discovery", "discovery-profile", "suppression_rule", "long-text", True, False),
+    ("discovery", "discovery-profile", "last_reindex", "date-time", False, False),
+    ("discovery", "link-routing", "resolver_target", "uri", True, False),
+    ("discovery", "link-routing", "knowledge_base", "text", True, False),
+    ("discovery", "link-routing", "proxy_rule", "identifier", False, False),
+    ("discovery", "link-routing", "test_identifier", "identifier", True, False),
+    ("discovery", "link-routing", "expected_route", "long-text", True, False),
+    ("discovery", "link-routing", "last_verified", "date-time", False, False),
+    ("preservation", "condition-assessment", "object_identifier", "identifier", True, False),
+    ("preservation", "condition-assessment", "material_type", "text", True, False),
+    ("preservation", "condition-assessment", "condition_rating", "controlled-term", True, False),
+    ("preservation", "condition-assessment", "hazards", "text", False, True),
+    ("preservation", "condition-assessment", "housing", "text", False, False),
+    ("preservation", "condition-assessment", "assessed_on", "date", True, False),
+    ("preservation", "condition-assessment", "next_review", "date", False, False),
+    ("preservation", "preservation-action", "action_type", "controlled-term", True, False),
+    ("preservation", "preservation-action", "object_identifier", "identifier", True, False),
+    ("preservation", "preservation-action", "performed_on", "date", True, False),
+    ("preservation", "preservation-action", "agent_role", "text", True, False),
+    ("preservation", "preservation-action", "action_note", "long-text", True, False),
+    ("preservation", "preservation-action", "before_checksum", "checksum", False, False),
+    ("preservation", "preservation-action", "after_checksum", "checksum", False, False),
+    ("preservation", "preservation-action", "storage_location", "text", False, False),
+    ("technical-services", "acquisition-order", "order_id", "identifier", True, False),
+    ("technical-services", "acquisition-order", "vendor", "text", True, False),
+    ("technical-services", "acquisition-order", "fund_code", "identifier", False, False),
+    ("technical-services", "acquisition-order", "ordered_on", "date", True, False),
+    ("technical-services", "acquisition-order", "received_on", "date", False, False),
+    ("technical-services", "acquisition-order", "order_status", "controlled-term", True, False),
+    ("technical-services", "acquisition-order", "invoice_reference", "identifier", False, False),
+    ("technical-services", "metadata-job", "job_name", "text", True, False),
+    ("technical-services", "metadata-job", "source_format", "text", True, False),
+    ("technical-services", "metadata-job", "target_format", "text", True, False),
+    ("technical-services", "metadata-job", "mapping_version", "identifier", True, False),
+    ("technical-services", "metadata-job", "authority_sources", "text", False, True),
+    ("technical-services", "metadata-job", "record_count", "integer", False, False),
+    ("technical-services", "metadata-job", "last_run", "date-time", False, False),
+    ("technical-services", "metadata-job", "rollback_reference", "identifier", False, False),
+    ("special-collections", "accession", "accession_number", "identifier", True, False),
+    ("special-collections", "accession", "source_type", "controlled-term", True, False),
+    ("special-collections", "accession", "received_on", "date", True, False),
+    ("special-collections", "accession", "extent", "text", True, False),
+    ("special-collections", "accession", "deed_status", "controlled-term", False, False),
+    ("special-collections", "accession", "restrictions", "long-text", False, False),
+    ("special-collections", "accession", "processing_priority", "controlled-term", False, False),
+    ("special-collections", "processing-plan", "collection_identifier", "identifier", True, False),
+    ("special-collections", "processing-plan", "processing_level", "controlled-term", True, False),
+    ("special-collections", "processing-plan", "arrangement", "long-text", True, False),
+    ("special-collections", "processing-plan", "description_standard", "text", True, False),
+    ("special-collections", "processing-plan", "estimated_hours", "decimal", False, False),
+    ("special-collections", "processing-plan", "born_digital", "boolean", False, False),
+    ("special-collections", "processing-plan", "target_completion", "date", False, False),
+    ("data-services", "dataset-custody", "persistent_id", "identifier", True, False),
+    ("data-services", "dataset-custody", "repository", "text", True, False),
+    ("data-services", "dataset-custody", "steward_role", "text", True, False),
+    ("data-services", "dataset-custody", "media_type", "media-type", False, False),
+    ("data-services", "dataset-custody", "checksum", "checksum", False, False),
+    ("data-services", "dataset-custody", "retention_rule", "long-text", True, False),
+    ("data-services", "dataset-custody", "access_level", "controlled-term", True, False),
+    ("data-services", "dataset-custody", "embargo_until", "date", False, False),
+    ("data-services", "data-management-plan", "project_identifier", "identifier", True, False),
+    ("data-services", "data-management-plan", "funder", "text", False, False),
+    ("data-services", "data-management-plan", "storage_tier", "text", True, False),
+    ("data-services", "data-management-plan", "backup_schedule", "text", True, False),
+    ("data-services", "data-management-plan", "file_formats", "text", True, True),
+    ("data-services", "data-management-plan", "retention_period", "text", True, False),
+    ("data-services", "data-management-plan", "rights_basis", "long-text", False, False),
+    ("rare-materials", "copy-provenance", "shelfmark", "identifier", True, False),
+    ("rare-materials", "copy-provenance", "imprint", "text", True, False),
+    ("rare-materials", "copy-provenance", "copy_note", "long-text", True, False),
+    ("rare-materials", "copy-provenance", "provenance_events", "text", False, True),
+    ("rare-materials", "copy-provenance", "binding", "text", False, False),
+    ("rare-materials", "copy-provenance", "marks", "text", False, True),
+    ("rare-materials", "copy-provenance", "cataloging_standard", "text", False, False),
+    ("rare-materials", "copy-provenance", "verified_on", "date", False, False),
+    ("rare-materials", "conservation-treatment", "object_identifier", "identifier", True, False),
+    ("rare-materials", "conservation-treatment", "treatment_type", "text", True, False),
+    ("rare-materials", "conservation-treatment", "condition_before", "long-text", True, False),
+    ("rare-materials", "conservation-treatment", "materials_used", "text", False, True),
+    ("rare-materials", "conservation-treatment", "treatment_date", "date", True, False),
+    ("rare-materials", "conservation-treatment", "conservator_role", "text", True, False),
+    ("rare-materials", "conservation-treatment", "aftercare", "long-text", False, False),
+    ("rare-materials", "conservation-treatment", "next_review", "date", False, False),
+]
+# The terms of controlled fields.
+VOCABULARIES = {
+    "currency": ["USD", "CAD", "EUR", "GBP", "AUD"],
+    "access_model": ["subscription", "perpetual", "evidence-based", "demand-driven", "open-access", "consortial"],
+    "authentication": ["ip", "proxy", "saml", "openid-connect", "library-card", "public"],
+    "condition_rating": ["stable", "monitor", "treatment-needed", "do-not-handle"],
+    "action_type": ["treatment", "rehousing", "stabilization", "digitization", "migration", "normalization", "fixity-check"],
+    "order_status": ["requested", "approved", "ordered", "partially-received", "received", "cancelled", "claimed"],
+    "source_type": ["transfer", "gift", "purchase", "deposit", "unknown"],
+    "deed_status": ["not-required", "pending", "executed", "incomplete", "unknown"],
+    "processing_priority": ["low", "normal", "high", "urgent"],
+    "processing_level": ["collection", "series", "file", "item", "minimal"],
+    "access_level": ["open", "campus", "mediated", "embargoed", "restricted"],
 }
-AREAS = tuple(dict.fromkeys(a for a, _ in SERVICES))
+AREAS = tuple(dict.fromkeys(area for area, *_ in SERVICE_FIELDS))
 SERVICE_STATES = ("active", "review", "due", "blocked", "retired")
 SENSITIVITIES = ("public", "internal", "restricted")
 
@@ -58,12 +172,7 @@ FIELD_NAMES = {
 
 def service_fields(spark: SparkSession) -> DataFrame:
     """(area, schema_id, field_id, kind, required, repeatable, vocabulary); schema_id is the kind of record."""
-    rows = []
-    for (area, kind), spec in SERVICES.items():
-        for part in spec.split(", "):
-            name, _, flags = part.partition(" ")
-            field, _, typ = name.partition(":")
-            rows.append((area, kind, field, typ or "text", "R" in flags, "*" in flags, []))
+    rows = [(*row, VOCABULARIES.get(row[2], [])) for row in SERVICE_FIELDS]
     return spark.createDataFrame(rows, "area string, schema_id string, field_id string, kind string, required boolean, repeatable boolean, vocabulary array<string>")
 
 

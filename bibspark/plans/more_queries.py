@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bibspark.functions import formats
 from bibspark.operators import fields, hierarchy, rules, services, snapshots, workspace
 from bibspark.plans import crosswalk, dictionaries, reports, views
-from bibspark.plans.queries import FINDING, n, query
+from bibspark.plans.queries import FINDING, MARK, _mark, n, query
 from bibspark.plans.views import table
 from bibspark.sources import files, jsons, packages, tagged
 from bibspark.sources.canonical import finish
@@ -85,9 +85,10 @@ def html_unexpected(spark, d):
     return unexpected_paths(table(spark, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("text")), ["html", "head", "body", "title", "p", "a", "div"])
 
 
-@query("json_profile", "SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN true ELSE false END AS valid, 1 AS depth, CASE WHEN event_id % 13 <> 0 THEN 1 ELSE 2 END AS keys FROM events")
+@query("json_profile", "SELECT event_id, event_id % 13 <> 0 AS valid, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END AS depth, CASE WHEN event_id % 13 <> 0 THEN 1 ELSE 2 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS keys FROM events")
 def json_profile(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 13 == 0, F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "k": 1}'))).otherwise(F.col("props")).alias("text"))
+    e = e.withColumn("text", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"a": '), "text", F.lit("}"))).otherwise(F.col("text")))
     return files.json_profile(e).select("event_id", "valid", "depth", "keys")
 
 
@@ -149,9 +150,11 @@ def reference_codes(spark, d):
     return fields.duplicate_reference_codes(v).select("s", "n")
 
 
-@query("value_report", "SELECT unit_id, field_id, CASE field_id WHEN 'title' THEN 'text' WHEN 'segment' THEN 'controlled-term' WHEN 'since' THEN 'date' WHEN 'checksum' THEN 'checksum' WHEN 'active' THEN 'boolean' END AS kind, coalesce(s, b::VARCHAR) AS shown FROM value WHERE n IS NULL", "value")
+@query("value_report", "SELECT unit_id, field_id, CASE field_id WHEN 'title' THEN 'text' WHEN 'segment' THEN 'controlled-term' WHEN 'since' THEN 'date' WHEN 'checksum' THEN 'checksum' WHEN 'active' THEN 'boolean' WHEN 'balance' THEN 'decimal' WHEN 'count' THEN 'integer' END AS kind, coalesce(s, CAST(CAST(round(n * 100) AS BIGINT) AS VARCHAR), b::VARCHAR) AS shown FROM value", "value")
 def value_report(spark, d):
-    return reports.value_table(views.values(spark, d).where("n is null"), views.fields(spark)).select("unit_id", "field_id", "kind", "shown")
+    shown = reports.value_table(views.values(spark, d), views.fields(spark))
+    cents = F.when(F.col("kind").isin("decimal", "integer"), F.round(F.col("shown").cast("double") * 100).cast("long").cast("string"))  # engines write doubles differently
+    return shown.select("unit_id", "field_id", "kind", F.coalesce(cents, "shown").alias("shown"))
 
 
 @query("unit_labels", "SELECT u.id, coalesce(v.s, u.id) AS label FROM unit u LEFT JOIN (SELECT unit_id, s FROM value WHERE field_id = 'title') v ON v.unit_id = u.id", "unit", "value")
@@ -159,11 +162,11 @@ def unit_labels(spark, d):
     return reports.display_labels(views.units(spark, d), views.values(spark, d))
 
 
-@query("archive_import", "SELECT kind, id, outcome, reason FROM (SELECT 'unit' AS kind, u.id, CASE WHEN level = 'series' OR level = 'other' OR (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM unit)) THEN 'not-applied' ELSE 'applied' END AS outcome, CASE WHEN level = 'series' THEN 'id-conflict' WHEN level = 'other' OR (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM unit)) THEN 'hierarchy' ELSE 'accepted' END AS reason FROM unit u) UNION ALL SELECT 'schema', 'x', 'applied', 'accepted'", "unit")
+@query("archive_import", "SELECT kind, id, outcome, reason FROM (SELECT 'unit' AS kind, u.id, CASE WHEN level = 'series' OR level = 'other' OR (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM unit)) THEN 'not-applied' ELSE 'applied' END AS outcome, CASE WHEN level = 'series' THEN 'id-conflict' WHEN level = 'other' OR (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM unit)) THEN 'hierarchy' ELSE 'accepted' END AS reason FROM unit u) UNION ALL SELECT 'schema', s_suppkey::VARCHAR, CASE WHEN s_suppkey % 3 = 0 THEN 'not-applied' ELSE 'applied' END, CASE WHEN s_suppkey % 3 = 0 THEN 'id-conflict' ELSE 'accepted' END FROM supplier", "unit")
 def archive_import(spark, d):
     u = views.units(spark, d)
-    s = spark.createDataFrame([("x",)], "schema_id string")
-    return workspace.import_archive(s, u, s.where("false"), u.where("level = 'series'"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("schema_id"))
+    return workspace.import_archive(s, u, s.where("cast(schema_id as long) % 3 = 0"), u.where("level = 'series'"))
 
 
 @query("snapshot_packages", "SELECT 'orders' AS table, count(*) AS lines, count(*) FILTER (id % 7 = 0) AS damaged FROM snap_a", "snap_a")
@@ -204,7 +207,7 @@ def continuity_status(spark, d):
 def _run(stream, tag: str):
     """Process what is there, then read the sink; both stand in the shared folder."""
     spark = stream.sparkSession
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or hierarchy.LOCAL_CHECKPOINTS).rstrip('/')}/stream-{hierarchy.uuid.uuid4().hex}"
+    base = f"{hierarchy.shared_dir(spark)}/stream-{hierarchy.uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{base}/{tag}").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/{tag}")
@@ -234,16 +237,16 @@ def stream_conflicts(spark, d):
     return _run(ok.select(F.col("event_id").alias("id")), "accepted")
 
 
-@query("stream_chain_verify", "SELECT ledger_id, sequence, 'link' AS problem FROM (SELECT ledger_id, sequence, previous_hash <> coalesce(lag(hash) OVER (PARTITION BY ledger_id ORDER BY sequence), 'GENESIS') AS bad FROM ledger) WHERE bad", "ledger")
+@query("stream_chain_verify", f"SELECT ledger_id, sequence, CASE WHEN bad THEN 'link' ELSE 'content' END AS problem FROM (SELECT ledger_id, sequence, previous_hash <> coalesce(lag(hash) OVER (PARTITION BY ledger_id ORDER BY sequence), 'GENESIS') AS bad, hash <> {MARK} AS touched FROM ledger) WHERE bad OR touched", "ledger")
 def stream_chain_verify(spark, d):
-    batch = views.ledgers(spark, d).select("ledger_id", "sequence", "previous_hash", "hash")
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or hierarchy.LOCAL_CHECKPOINTS).rstrip('/')}/ledger-{hierarchy.uuid.uuid4().hex}"
+    batch = views.ledgers(spark, d)
+    base = f"{hierarchy.shared_dir(spark)}/ledger-{hierarchy.uuid.uuid4().hex}"
     batch.write.parquet(base)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _run(intake.verify_ledger_stream(spark.readStream.schema(batch.schema).parquet(base)), "verdicts")
+        return _run(intake.verify_ledger_stream(spark.readStream.schema(batch.schema).parquet(base), _mark()), "verdicts")
     finally:
         spark.conf.set(provider, before)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import dates, digest, formats, identity, text
 from bibspark.operators import evidence, fields, hierarchy, interop, ledger, lists, rules, snapshots
-from bibspark.plans import views
+from bibspark.plans import reports, views
 from bibspark.plans.views import oracle, table
 
 QUERIES: dict = {}
@@ -46,8 +46,8 @@ def findings_detail(spark, d):
     "review_outcome",
     """SELECT file, n AS records, errors, warnings, errors > 0 OR n = 0 AS blocked FROM (
     SELECT c.file, count(DISTINCT c.k) AS n, count(*) FILTER (f.severity = 'error') AS errors, count(*) FILTER (f.severity = 'warning') AS warnings FROM catalog c LEFT JOIN rowfinding f ON c.k = f.k GROUP BY c.file)""",
-    "catalog",
-)
+    "catalog", "isbn_ok", "rowfinding",
+)
 def review_outcome(spark, d):
     c = views.catalog(spark, d)
     rows = c.withColumn("claims", identity.identity_claims(F.col("identifiers"), F.col("links")))
@@ -55,20 +55,6 @@ def review_outcome(spark, d):
     return rules.review_outcome(c, found)
 
 
-ORACLES["review_outcome"] = ORACLES["review_outcome"].replace(
-    ") SELECT file, n",
-    """), isbn_ok AS (SELECT k, list_sum(list_transform(range(1, 14), lambda i: CAST(substr(isbn, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0 AS ok FROM catalog),
-    rowfinding AS (
-      SELECT k, 'error' AS severity FROM catalog WHERE trim(title) = '' UNION ALL SELECT k, 'error' FROM catalog WHERE NOT regexp_full_match(id, '[A-Za-z0-9._:-]{1,128}')
-      UNION ALL SELECT k, 'error' FROM catalog WHERE suppressed AND public_visible UNION ALL SELECT k, 'warning' FROM catalog WHERE availability = 'Available' AND NOT requestable AND location <> 'Online'
-      UNION ALL SELECT k, 'warning' FROM catalog WHERE format = 'Video' AND b336 = 'txt' AND b338 = 'cr' UNION ALL SELECT k, 'error' FROM catalog WHERE isbn2 IS NOT NULL
-      UNION ALL SELECT k, 'warning' FROM catalog JOIN isbn_ok USING (k) CROSS JOIN range(CASE WHEN isbn2 IS NULL THEN 1 ELSE 2 END) WHERE NOT ok UNION ALL SELECT k, 'warning' FROM catalog WHERE doi = '10.12/x y'
-      UNION ALL SELECT k, 'warning' FROM catalog WHERE carrier IS NOT NULL
-      UNION ALL SELECT k, 'error' FROM catalog WHERE k % 37 < 8) SELECT file, n""",
-    1,
-)
-
-
 @query("duplicate_claims", "SELECT claim, count(*) AS n, array_to_string(list_sort(list(id))[1:20], ',') AS members FROM claim GROUP BY claim HAVING count(*) > 1", "catalog", "claim")
 def duplicate_claims(spark, d):
     found = rules.duplicate_members(snapshots.claims(views.catalog(spark, d)), "claim", "id")
@@ -236,7 +222,9 @@ def unattributed(spark, d):
     "evidence_summary",
     """SELECT (SELECT count(*) FROM application WHERE outcome = 'applied') AS applied, (SELECT count(*) FROM application WHERE outcome = 'not-applied') AS not_applied,
     (SELECT count(*) FROM decision d WHERE decision = 'admit' AND NOT EXISTS (SELECT 1 FROM application a WHERE a.decision_sha = d.record_sha)) AS admitted_unverified,
-    (SELECT count(*) FROM active) AS active, (SELECT count(*) FROM uncovered) AS unattributed, true AS blocked""",
+    (SELECT count(*) FROM active) AS active, (SELECT count(*) FROM uncovered) AS unattributed,
+    (SELECT count(*) FROM uncovered) > 0 OR (SELECT count(*) FROM decision d WHERE decision = 'admit' AND NOT EXISTS (SELECT 1 FROM application a WHERE a.decision_sha = d.record_sha)) > 0 AS blocked,
+    CASE WHEN (SELECT count(*) FROM decision d WHERE decision = 'admit' AND NOT EXISTS (SELECT 1 FROM application a WHERE a.decision_sha = d.record_sha)) > 0 THEN 'admitted-unverified' WHEN (SELECT count(*) FROM uncovered) > 0 THEN 'unattributed' ELSE 'none' END AS reason""",
     "decision", "application", "entity", "active", "uncovered",
 )
 def evidence_summary(spark, d):
@@ -256,7 +244,7 @@ def decision_links(spark, d):
 
 @query(
     "manifest_reconcile",
-    """SELECT id, array_to_string(list_sort(list_filter([CASE WHEN id % 7 = 1 THEN 'digest-mismatch' END, CASE WHEN id % 11 = 0 THEN 'missing-active' END, CASE WHEN id % 5 = 0 THEN 'missing-previous' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM
+    """SELECT id, array_to_string(list_sort(list_filter([CASE WHEN id % 7 = 1 AND id % 11 <> 0 THEN 'digest-mismatch' END, CASE WHEN id % 11 = 0 THEN 'missing-active' END, CASE WHEN id % 5 = 0 THEN 'missing-previous' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM
     (SELECT o_custkey AS c, o_orderkey AS id FROM orders) WHERE (id % 7 = 1 AND id % 11 <> 0) OR id % 11 = 0 OR id % 5 = 0""",
 )
 def manifest_reconcile(spark, d):
@@ -267,7 +255,6 @@ def manifest_reconcile(spark, d):
     return snapshots.reconcile(m, active.unionByName(previous))
 
 
-ORACLES["manifest_reconcile"] = ORACLES["manifest_reconcile"].replace("CASE WHEN id % 7 = 1 THEN 'digest", "CASE WHEN id % 7 = 1 AND id % 11 <> 0 THEN 'digest")
 
 # --- schema-driven validation ------------------------------------------------------------------------------------------
 
@@ -312,21 +299,29 @@ def service_area_rollup(spark, d):
 # --- ledgers -----------------------------------------------------------------------------------------------------------
 
 MARK = "sha256(ledger_id || '|' || sequence || '|' || instant || '|' || action)"
-BREAKS = f"SELECT ledger_id, sequence, false AS gap, previous_hash <> coalesce(lag(hash) OVER (PARTITION BY ledger_id ORDER BY sequence), 'GENESIS') AS link, hash <> {MARK} AS content FROM ledger"
+HOLES = "SELECT * FROM ledger WHERE CAST(instant AS BIGINT) % 101 <> 50"
+BREAKS = f"SELECT ledger_id, sequence, sequence <> 1 AND before IS DISTINCT FROM sequence - 1 AS gap, CASE WHEN sequence = 1 THEN previous_hash <> 'GENESIS' WHEN before = sequence - 1 THEN previous_hash <> prior ELSE false END AS link, hash <> {MARK} AS content, state_digest FROM (SELECT *, lag(sequence) OVER w AS before, lag(hash) OVER w AS prior FROM ({HOLES}) WINDOW w AS (PARTITION BY ledger_id ORDER BY sequence))"
 
 
 def _mark():
     return F.sha2(F.concat_ws("|", "ledger_id", F.col("sequence").cast("string"), "instant", "action"), 256)
 
 
-@query("chain_breaks", f"SELECT * FROM ({BREAKS}) WHERE gap OR link OR content", "ledger")
+@query("chain_breaks", f"SELECT ledger_id, sequence, gap, link, content FROM ({BREAKS}) WHERE gap OR link OR content", "ledger")
 def chain_breaks(spark, d):
-    return ledger.chain_breaks(views.ledgers(spark, d), _mark())
+    return ledger.chain_breaks(_holes(spark, d), _mark())
+
 
+def _holes(spark, d):
+    return views.ledgers(spark, d).where("cast(instant as long) % 101 <> 50")
 
-@query("chain_verify", f"SELECT ledger_id, count(*) AS events, count(*) FILTER (gap OR link OR content) AS broken, true AS terminal_ok, count(*) FILTER (gap OR link OR content) = 0 AS valid FROM ({BREAKS}) GROUP BY ledger_id", "ledger")
+
+@query("chain_verify", f"SELECT ledger_id, events, broken, ok AS terminal_ok, broken = 0 AND ok AS valid FROM (SELECT ledger_id, count(*) AS events, count(*) FILTER (gap OR link OR content) AS broken, CAST(ledger_id AS BIGINT) % 4 <> 0 AS ok FROM ({BREAKS}) GROUP BY ledger_id)", "ledger")
 def chain_verify(spark, d):
-    return ledger.verify_ledgers(views.ledgers(spark, d), expected=_mark())
+    e = _holes(spark, d)
+    last = e.groupBy("ledger_id").agg(F.max_by("state_digest", "sequence").alias("digest"))
+    states = last.withColumn("digest", F.when(F.col("ledger_id").cast("long") % 4 == 0, "other").otherwise(F.col("digest")))
+    return ledger.verify_ledgers(e, states, expected=_mark())
 
 
 @query("chain_append")
@@ -339,10 +334,10 @@ ORACLES["chain_append"] = """
 WITH RECURSIVE e AS (
   SELECT user_id::VARCHAR AS ledger_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, event_id::VARCHAR AS instant, event_type AS action,
     CASE WHEN event_id % 97 = 0 THEN event_type || '!' ELSE event_type END AS target, sha256(event_id::VARCHAR) AS state_digest FROM events
-), b AS (SELECT ledger_id, sequence, concat_ws(chr(31), ledger_id, sequence::VARCHAR, instant, action, target, state_digest) AS body FROM e
+), b AS (SELECT ledger_id, sequence, length(ledger_id) || ':' || ledger_id || length(sequence::VARCHAR) || ':' || sequence || length(instant) || ':' || instant || length(action) || ':' || action || length(target) || ':' || target || '64:' || state_digest AS body FROM e
 ), c AS (
-  SELECT ledger_id, sequence, 'GENESIS' AS previous_hash, sha256(body || chr(31) || 'GENESIS') AS hash FROM b WHERE sequence = 1
-  UNION ALL SELECT b.ledger_id, b.sequence, c.hash, sha256(b.body || chr(31) || c.hash) FROM c JOIN b ON b.ledger_id = c.ledger_id AND b.sequence = c.sequence + 1
+  SELECT ledger_id, sequence, 'GENESIS' AS previous_hash, sha256(body || '7:GENESIS') AS hash FROM b WHERE sequence = 1
+  UNION ALL SELECT b.ledger_id, b.sequence, c.hash, sha256(b.body || '64:' || c.hash) FROM c JOIN b ON b.ledger_id = c.ledger_id AND b.sequence = c.sequence + 1
 ) SELECT * FROM c"""
 
 
@@ -381,12 +376,24 @@ def lineage_check(spark, d):
     return ledger.lineage_problems(r).select("workspace_id", "id")
 
 
-@query("topology_status", "SELECT ledger_id AS lineage_id, count(*) AS witnesses, 1 AS roots, CASE WHEN count(*) FILTER (sequence % 50 = 7) > 0 AND false THEN 1 ELSE 0 END AS forks, count(*) FILTER (sequence > 1 AND sequence % 50 = 0) AS gaps, CASE WHEN count(*) FILTER (sequence > 1 AND sequence % 50 = 0) > 0 THEN 'gap' ELSE 'linear' END AS status FROM ledger GROUP BY ledger_id", "ledger")
+@query(
+    "topology_status",
+    """SELECT lineage_id, witnesses, roots, forks, gaps, CASE WHEN forks > 0 OR roots > 1 THEN 'forked' WHEN gaps > 0 OR roots <> 1 THEN 'gap' ELSE 'valid-prefix' END AS status FROM (
+    SELECT ledger_id AS lineage_id, count(*) AS witnesses, count(*) FILTER (p IS NULL) AS roots, max(CASE WHEN l % 5 = 1 AND n >= 4 THEN 1 ELSE 0 END) AS forks, count(*) FILTER (CASE WHEN p IS NULL THEN s <> 1 ELSE p LIKE 'lost-%' OR (l % 5 = 1 AND sequence = 4) END) AS gaps FROM (
+      SELECT ledger_id, sequence, CAST(ledger_id AS BIGINT) AS l, n, CASE WHEN l2 = 2 THEN sequence + 4 ELSE sequence END AS s,
+        CASE WHEN sequence = 1 OR (l2 = 3 AND sequence = 3) THEN NULL WHEN sequence % 50 = 0 THEN 'lost-' || instant WHEN l2 = 1 AND sequence = 4 THEN before2 ELSE before END AS p
+      FROM (SELECT *, CAST(ledger_id AS BIGINT) % 5 AS l2, count(*) OVER (PARTITION BY ledger_id) AS n, lag(instant) OVER w AS before, lag(instant, 2) OVER w AS before2 FROM ledger WINDOW w AS (PARTITION BY ledger_id ORDER BY sequence)))
+    GROUP BY ledger_id)""",
+    "ledger",
+)
 def topology_status(spark, d):
-    e = views.ledgers(spark, d)
-    previous = F.lag("instant").over(views.Window.partitionBy("ledger_id").orderBy("sequence"))
-    w = e.select(F.col("ledger_id").alias("lineage_id"), F.col("instant").alias("digest"), F.when(F.col("sequence") % 50 == 0, F.concat(F.lit("lost-"), "instant")).otherwise(previous).alias("predecessor_digest"), "sequence", F.col("sequence").alias("audit_count"))
-    return hierarchy.topology(w).select("lineage_id", "witnesses", "roots", "forks", "gaps", "status")
+    """Lineages with lost predecessors, a fork (id % 5 = 1), a late start (2) and a second root (3)."""
+    w = views.Window.partitionBy("ledger_id").orderBy("sequence")
+    kind, s = F.col("ledger_id").cast("long") % 5, F.col("sequence")
+    before, before2 = F.lag("instant").over(w), F.lag("instant", 2).over(w)
+    p = F.when((s == 1) | (kind == 3) & (s == 3), None).when(s % 50 == 0, F.concat(F.lit("lost-"), "instant")).when((kind == 1) & (s == 4), before2).otherwise(before)
+    rows = views.ledgers(spark, d).withColumn("predecessor_digest", p).select(F.col("ledger_id").alias("lineage_id"), F.col("instant").alias("digest"), "predecessor_digest", F.when(kind == 2, s + 4).otherwise(s).alias("sequence"), s.alias("audit_count"))
+    return hierarchy.topology(rows).select("lineage_id", "witnesses", "roots", "forks", "gaps", "status")
 
 
 # --- hierarchy -----------------------------------------------------------------------------------------------------------
@@ -412,12 +419,11 @@ ORACLES["hierarchy_problems"] = DEPTH + "SELECT id, 'cycle' AS problem FROM unit
 
 @query("hierarchy_order")
 def hierarchy_order(spark, d):
-    units = views.units(spark, d).where("level <> 'item'")
-    return hierarchy.preorder(units).select("id", "depth", "path")
+    return hierarchy.preorder(views.units(spark, d)).select("id", "depth", "path")
 
 
 ORACLES["hierarchy_order"] = (
-    "WITH RECURSIVE unit AS (" + views.ORACLE_VIEWS["unit"] + "), own AS (SELECT u.id, p.id AS parent_id FROM unit u LEFT JOIN unit p ON u.parent_id = p.id WHERE u.level <> 'item'), ranked AS (SELECT id, parent_id, lpad(row_number() OVER (PARTITION BY parent_id ORDER BY id)::VARCHAR, 10, '0') AS r FROM own), "
+    "WITH RECURSIVE unit AS (" + views.ORACLE_VIEWS["unit"] + "), own AS (SELECT u.id, p.id AS parent_id FROM unit u LEFT JOIN unit p ON u.parent_id = p.id), ranked AS (SELECT id, parent_id, lpad(row_number() OVER (PARTITION BY parent_id ORDER BY id)::VARCHAR, 10, '0') AS r FROM own), "
     "walk AS (SELECT id, 0 AS depth, lpad(id, 24, '0') AS path FROM ranked WHERE parent_id IS NULL UNION ALL SELECT k.id, depth + 1, path || '/' || r FROM walk JOIN ranked k ON k.parent_id = walk.id) SELECT * FROM walk"
 )
 
@@ -471,12 +477,16 @@ def rollback(spark, d):
     return snapshots.rollback(history, "rev-1", "rev-3").select("id", "status", "revision_id")
 
 
-@query("snapshot_equality", "SELECT (SELECT count(*) FROM (SELECT * FROM snap_a EXCEPT ALL SELECT * FROM snap_b)) AS missing, (SELECT count(*) FROM (SELECT * FROM snap_b EXCEPT ALL SELECT * FROM snap_a)) AS extra, false AS equal", "snap_a", "snap_b")
+@query("snapshot_equality", "SELECT (SELECT count(*) FROM (SELECT * FROM snap_a EXCEPT ALL SELECT * FROM snap_b)) AS missing, (SELECT count(*) FROM (SELECT * FROM snap_b EXCEPT ALL SELECT * FROM snap_a)) AS extra, (SELECT count(*) FROM (SELECT * FROM snap_a EXCEPT ALL SELECT * FROM snap_b)) + (SELECT count(*) FROM (SELECT * FROM snap_b EXCEPT ALL SELECT * FROM snap_a)) = 0 AS equal", "snap_a", "snap_b")
 def snapshot_equality(spark, d):
     return snapshots.same_rows(views.snapshot(spark, d, "a"), views.snapshot(spark, d, "b"))
 
 
-@query("row_digest", "SELECT id, sha256(concat_ws(chr(31), cents::VARCHAR, id::VARCHAR, priority, status)) AS digest FROM snap_a", "snap_a")
+ENCODED = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("cents", "id", "priority", "status"))
+SUMS = ", ".join(f"sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT::HUGEINT)" for i in range(4))
+
+
+@query("row_digest", f"SELECT id, sha256({ENCODED}) AS digest FROM snap_a", "snap_a")
 def row_digest(spark, d):
     a = views.snapshot(spark, d, "a")
     return a.select("id", digest.row_digest(a.columns).alias("digest"))
@@ -484,8 +494,7 @@ def row_digest(spark, d):
 
 @query(
     "snapshot_digest",
-    """SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM (
-    SELECT b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM (SELECT d, ('0x' || substr(d, 1, 8))::BIGINT % 4096 AS b FROM (SELECT sha256(concat_ws(chr(31), cents::VARCHAR, id::VARCHAR, priority, status)) AS d FROM snap_a)) GROUP BY b)""",
+    f"SELECT count(*) AS rows, sha256(concat_ws(':', count(*), {SUMS})) AS digest FROM (SELECT sha256({ENCODED}) AS d FROM snap_a)",
     "snap_a",
 )
 def snapshot_digest(spark, d):
@@ -531,7 +540,7 @@ def public_projection(spark, d):
     return views.catalog(spark, d).where("public_visible and not suppressed").select("id", "title", "format", "availability")
 
 
-@query("inventory_state", "SELECT (SELECT count(*) FROM catalog) AS records, (SELECT count(*) FROM catalog WHERE public_visible) AS published, (SELECT count(*) FROM finding WHERE severity = 'error') AS errors, 'action-required' AS state", *FINDING)
+@query("inventory_state", "SELECT (SELECT count(*) FROM catalog) AS records, (SELECT count(*) FROM catalog WHERE public_visible) AS published, (SELECT count(*) FROM finding WHERE severity = 'error') AS errors, CASE WHEN (SELECT count(*) FROM finding WHERE severity = 'error') > 0 THEN 'action-required' WHEN (SELECT count(*) FROM finding WHERE severity = 'warning') + (SELECT count(*) FROM incident WHERE state <> 'resolved') > 0 THEN 'review-required' ELSE 'none' END AS state", *FINDING, "incident")
 def inventory_state(spark, d):
     c = views.catalog(spark, d)
     f = rules.catalog_findings(c)
@@ -544,9 +553,7 @@ def inventory_state(spark, d):
 @query("original_vs_canonical", "SELECT id, 'canonical' AS side, 'format' AS name, format AS value FROM catalog UNION ALL SELECT id, 'canonical', 'title', title FROM catalog UNION ALL SELECT id, 'source', '336$b', b336 FROM catalog UNION ALL SELECT id, 'source', '338$b', b338 FROM catalog", "catalog")
 def original_vs_canonical(spark, d):
     c = views.catalog(spark, d)
-    canonical = c.unpivot("id", ["title", "format"], "name", "value").withColumn("side", F.lit("canonical"))
-    source = c.select("id", F.explode("trace").alias("name", "value")).withColumn("side", F.lit("source"))
-    return canonical.unionByName(source).select("id", "side", "name", "value")
+    return reports.original_and_canonical(c, ["title", "format"])
 
 
 @query("observation_rules")
@@ -567,12 +574,18 @@ SELECT problem, count(*) AS n FROM (
   UNION ALL SELECT 'repeated' FROM events e WHERE event_id % 200 = 199 AND EXISTS (SELECT 1 FROM events f WHERE f.event_id = e.event_id - 40)) GROUP BY problem"""
 
 
-@query("roundtrip_assessment", "SELECT 'b' || (o_custkey % 50) AS bundle_id, CASE WHEN bool_or(o_orderkey % 997 = 5) THEN 'OBSOLETE' WHEN bool_or(o_orderkey % 301 = 7) THEN 'FAILED' WHEN bool_or(o_orderkey % 11 = 0) THEN 'INCOMPLETE' ELSE 'PASS' END AS status FROM orders GROUP BY 1")
+@query(
+    "roundtrip_assessment",
+    """SELECT bundle_id, CASE WHEN bool_or(bad OR k % 1201 = 9) THEN 'INVALID' WHEN bool_or(k % 997 = 5) THEN 'OBSOLETE' WHEN bool_or(k % 301 = 7) THEN 'FAILED' WHEN bool_or(k % 205 = 3) THEN 'BLOCKED' WHEN bool_or(k % 11 = 0 AND k % 301 <> 7 AND k % 997 <> 5 AND k % 205 <> 3) THEN 'INCOMPLETE' ELSE 'PASS' END AS status
+    FROM (SELECT 'b' || (o_custkey % 50) AS bundle_id, o_orderkey AS k, o_orderkey % 1999 = 1 AND o_orderkey IN (SELECT event_id FROM events) AS bad FROM orders) GROUP BY bundle_id""",
+)
 def roundtrip_assessment(spark, d):
     o = table(spark, d, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 50).cast("string")).alias("bundle_id"), F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderkey").alias("k"))
-    results = o.where("k % 11 <> 0 or k % 301 = 7 or k % 997 = 5").select("bundle_id", "case_id", F.when(F.col("k") % 301 == 7, "fail").otherwise("pass").alias("outcome"), (F.col("k") % 997 != 5).alias("current"))
-    none = _observations(spark, d).where("false")
-    return interop.assess(o.select("bundle_id", "case_id"), results, none)
-
-
-ORACLES["roundtrip_assessment"] = ORACLES["roundtrip_assessment"].replace("bool_or(o_orderkey % 11 = 0)", "bool_or(o_orderkey % 11 = 0 AND o_orderkey % 301 <> 7 AND o_orderkey % 997 <> 5)")
+    seen = o.where("k % 11 <> 0 or k % 301 = 7 or k % 997 = 5 or k % 205 = 3 or k % 1201 = 9")
+    results = seen.select("bundle_id", "case_id", F.when(F.col("k") % 301 == 7, "fail").when(F.col("k") % 205 == 3, "blocked").otherwise("pass").alias("outcome"), (F.col("k") % 997 != 5).alias("current"))
+    observed = _observations(spark, d).withColumn("case_id", F.col("path").substr(F.lit(2), F.lit(20))).where("transformation = 'unchanged'").dropDuplicates(["case_id"])
+    differs = F.col("case_id").cast("long") % 1999 == 1
+    observed = observed.withColumn("reexported", F.when(differs, "other").otherwise(F.col("expected")))
+    unasked = table(spark, d, "events").select(F.col("event_id").cast("string").alias("case_id"))
+    mine = observed.join(unasked, "case_id", "left_semi")
+    return interop.assess(o.where("k % 1201 <> 9").select("bundle_id", "case_id"), results, mine)

@@ -35,6 +35,20 @@ def value_table(values: DataFrame, definitions: DataFrame) -> DataFrame:
     return joined.select("unit_id", "field_id", "kind", "value_index", shown.alias("shown"))
 
 
+def original_and_canonical(catalog: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, side, name, value): canonical fields and the source evidence of each record, one row each."""
+    canonical = catalog.unpivot("id", fields, "name", "value").withColumn("side", F.lit("canonical"))
+    source = catalog.select("id", F.explode("trace").alias("name", "value")).withColumn("side", F.lit("source"))
+    return canonical.unionByName(source).select("id", "side", "name", "value")
+
+
+def selection_bytes(units: DataFrame, values: DataFrame, most: int) -> DataFrame:
+    """(schema_id, bytes, over) of archive selections: UTF-8 bytes of their ids and values against a budget."""
+    v = values.groupBy(F.col("unit_id").alias("id")).agg(F.sum(F.octet_length(F.coalesce("s", F.col("n").cast("string"), F.col("b").cast("string"), F.lit(""))) + F.octet_length("field_id")).alias("own"))
+    rows = units.join(v, "id", "left").groupBy("schema_id").agg(F.sum(F.octet_length("id") + F.coalesce("own", F.lit(0))).cast("long").alias("bytes"))
+    return rows.withColumn("over", F.col("bytes") > most)
+
+
 def display_labels(units: DataFrame, values: DataFrame) -> DataFrame:
     """(id, label): the title, else the reference code, else the id."""
     v = values.groupBy("unit_id").agg(F.min(F.when(F.col("field_id") == "title", F.col("s"))).alias("t"), F.min(F.when(F.col("field_id") == "reference_code", F.col("s"))).alias("r"))

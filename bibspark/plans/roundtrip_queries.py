@@ -12,7 +12,7 @@ from bibspark.sources import bibtex, jsons, tabular, tagged, xml
 
 
 def _folder(spark, tag: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or hierarchy.LOCAL_CHECKPOINTS).rstrip('/')}/{tag}-{hierarchy.uuid.uuid4().hex}"
+    return f"{hierarchy.shared_dir(spark)}/{tag}-{hierarchy.uuid.uuid4().hex}"
 
 
 def _as_files(exported):

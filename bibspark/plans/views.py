@@ -222,6 +222,16 @@ UNION ALL SELECT 'error', 'URL_UNSAFE', id, problem FROM problem WHERE problem I
 UNION ALL SELECT 'error', 'IDENTIFIER_DUPLICATE', min(id), claim || ' x ' || count(*) FROM claim GROUP BY claim HAVING count(*) > 1
 UNION ALL SELECT 'notice', 'TITLE_DUPLICATE', min(id), key || ' x ' || count(*) FROM (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key FROM catalog) WHERE key <> '' GROUP BY key HAVING count(*) > 1
 UNION ALL SELECT 'error', 'RECORD_ID_DUPLICATE', min(id), id || ' x ' || count(*) FROM catalog GROUP BY id HAVING count(*) > 1
+""",
+    "rowfinding": """
+SELECT k, 'error' AS severity FROM catalog WHERE trim(title) = '' UNION ALL SELECT k, 'error' FROM catalog WHERE NOT regexp_full_match(id, '[A-Za-z0-9._:-]{1,128}')
+UNION ALL SELECT k, 'error' FROM catalog WHERE suppressed AND public_visible UNION ALL SELECT k, 'warning' FROM catalog WHERE availability = 'Available' AND NOT requestable AND location <> 'Online'
+UNION ALL SELECT k, 'warning' FROM catalog WHERE format = 'Video' AND b336 = 'txt' AND b338 = 'cr' UNION ALL SELECT k, 'error' FROM catalog WHERE isbn2 IS NOT NULL
+UNION ALL SELECT k, 'warning' FROM catalog JOIN isbn_ok USING (k) CROSS JOIN range(CASE WHEN isbn2 IS NULL THEN 1 ELSE 2 END) WHERE NOT ok UNION ALL SELECT k, 'warning' FROM catalog WHERE doi = '10.12/x y'
+UNION ALL SELECT k, 'warning' FROM catalog WHERE carrier IS NOT NULL UNION ALL SELECT k, 'error' FROM catalog WHERE k % 37 < 8
+""",
+    "clean": """
+SELECT * FROM catalog WHERE id NOT IN (SELECT record_id FROM finding WHERE severity = 'error' OR code = 'RECORD_ID_DUPLICATE') AND k % 101 NOT IN (0, 100)
 """,
     "unit": """
 SELECT 'R' || r_regionkey AS id, NULL AS parent_id, 'fonds' AS level FROM region

@@ -24,6 +24,13 @@ def first_of(codes: list[str], code: str = "code") -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+def legacy_defaults(rows: DataFrame) -> DataFrame:
+    """Archive units of older packages: published false, language en, record type description where they are missing."""
+    have = set(rows.columns)
+    fill = {"published": F.lit(False), "language": F.lit("en"), "record_type": F.lit("description")}
+    return rows.withColumns({c: F.coalesce(c, v) if c in have else v for c, v in fill.items()})
+
+
 def finish(rows: DataFrame, family: str) -> DataFrame:
     """Fills in ids, years, availability and missing columns; rows need path, ordinal and digest."""
     none, empty = F.lit(""), F.array().cast("array<string>")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from bibspark.functions.text import CONTROL, first_reason
 
-MOST_BYTES = 5 << 20
-EXTENSIONS = {"xml": "xml", "json": "json", "jsonld": "jsonld", "ris": "ris", "bib": "bibtex", "csv": "csv", "tsv": "tsv", "mrk": "marc-text", "txt": "marc-text"}
+#: Media types that go with an extension.
+MEDIA = {**dict.fromkeys(("json", "jsonld"), ("application/json", "application/ld+json")), **dict.fromkeys(("xml", "marcxml"), ("application/xml", "text/xml")), **dict.fromkeys(("ris", "bib", "bibtex", "csv", "tsv", "mrk", "txt"), ("text/plain", "text/csv", "text/tab-separated-values", "application/x-bibtex", "application/x-research-info-systems"))}
+EXTENSIONS = {"xml": "xml", "json": "json", "jsonld": "jsonld", "ris": "ris", "bib": "bibtex", "bibtex": "bibtex", "marcxml": "xml", "csv": "csv", "tsv": "tsv", "mrk": "marc-text", "txt": "marc-text"}
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*", most: int | None = None) -> DataFrame:
@@ -17,23 +18,28 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", most: int | None
     return rows.where(F.col("length") <= most) if most else rows
 
 
-def intake(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+def intake(files: DataFrame, most: int | None = None) -> DataFrame:
     """One row per file: (path, name, length, sha256, text, format, block). block is the first reason not to parse it:
-    FILE_EMPTY, FILE_TOO_LARGE, UTF8_INVALID, CONTROL_CHARACTER, FORMAT_UNSUPPORTED or XML_HOSTILE, else null."""
+    MIME_MISMATCH, FILE_EMPTY, FILE_TOO_LARGE (with most), UTF8_INVALID, CONTROL_CHARACTER, FORMAT_UNSUPPORTED or
+    XML_HOSTILE, else null. A column media_type, where files have one, is what the sender declared."""
     raw = F.col("content").cast("string")
     ok = F.is_valid_utf8(raw)
     body = F.regexp_replace(F.when(ok, raw), "^\\x{FEFF}", "")
-    rows = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), ok.alias("utf8"), body.alias("text"))
+    given = F.coalesce(F.col("media_type"), F.lit("")) if "media_type" in files.columns else F.lit("")
+    rows = files.select(given.alias("media_type"), "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), ok.alias("utf8"), body.alias("text"))
     rows = rows.withColumn("format", route(F.col("name"), F.col("text")))
+    ext = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
+    kinds = F.create_map(*[x for k, v in MEDIA.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     block = first_reason(
+        ((F.col("media_type") != "") & ~F.array_contains(F.coalesce(F.try_element_at(kinds, ext), F.array().cast("array<string>")), F.col("media_type")), "MIME_MISMATCH"),
         (F.col("length") == 0, "FILE_EMPTY"),
-        (F.col("length") > most, "FILE_TOO_LARGE"),
+        (F.col("length") > most if most else F.lit(False), "FILE_TOO_LARGE"),
         (~F.col("utf8"), "UTF8_INVALID"),
         (F.col("text").rlike(CONTROL), "CONTROL_CHARACTER"),
         (F.col("format").isNull(), "FORMAT_UNSUPPORTED"),
         (F.col("format").endswith("xml") & hostile_xml(F.col("text")), "XML_HOSTILE"),
     )
-    return rows.withColumn("block", block).drop("utf8")
+    return rows.withColumn("block", block).drop("utf8", "media_type")
 
 
 def route(name: Column, body: Column) -> Column:

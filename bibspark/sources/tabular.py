@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from bibspark.functions import formats, text
 from bibspark.functions.identity import loose_identifier
+from bibspark.operators.hierarchy import parents_by_depth
 from bibspark.sources.canonical import IDENTIFIER, finish
 
 VERSION = "bibspark_tabular_version"
@@ -16,10 +18,13 @@ LISTS = ("creators", "contributors", "links", "subjects", "genres", "relations",
 
 
 def read_cells(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All columns as text under normalised header names, with path, ordinal and a corrupt-record column."""
+    """All columns as text under normalised header names, with path and ordinal. Rows with too few or too many cells are
+    left out; csv_rejects() tells them."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", delimiter).option("enforceSchema", False)
-    rows = reader.csv(path)
-    named = rows.toDF(*[normal_header(c) for c in rows.columns])
+    header = reader.csv(path).columns
+    schema = StructType([*(StructField(c, StringType()) for c in header), StructField("_corrupt_record", StringType())])
+    rows = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("enforceSchema", True).csv(path)
+    named = rows.where("_corrupt_record is null").drop("_corrupt_record").toDF(*[normal_header(c) for c in header])
     return named.withColumn("path", F.input_file_name()).withColumn("ordinal", (F.monotonically_increasing_id() % (1 << 33) + 1).cast("int"))
 
 
@@ -35,6 +40,42 @@ def header_problems(header: list[str], allowed: tuple[str, ...] | None = HEADERS
     return out + [f"unknown:{n}" for n in names if allowed and n and n not in allowed]
 
 
+def csv_rejects(files: DataFrame, delimiter: str = ",", allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, line, problem) of tables (path, text): ragged rows, quotes inside or after a cell, unterminated quotes, and
+    headers with empty, repeated, look-alike or (with allowed) unknown names; versioned and other rows mixed.
+
+    line counts records, 1 is the header. One pass of a tokeniser over cells and their ends."""
+    d = "\\t" if delimiter == "\t" else delimiter
+    cell = rf'("(?:[^"]|"")*"|[^"{d}\r\n]*)({d}|\r\n|\n|\r|$)'
+    body = F.regexp_replace("text", r"[\r\n]+$", "")
+    cells, ends = F.regexp_extract_all(body, F.lit(cell), F.lit(1)), F.regexp_extract_all(body, F.lit(cell), F.lit(2))
+    whole = F.array_join(F.zip_with(cells, ends, lambda x, y: F.concat(x, y)), "")
+    t = files.select("path", body.alias("body"), F.zip_with(cells, ends, lambda x, y: F.struct(x.alias("cell"), y.alias("end"))).alias("cells"), (whole != body).alias("broken"))
+    rows = t.select(
+        "path", "broken", "body",
+        F.aggregate(  # after the last end the pattern matches once more, empty
+            F.when((F.size("cells") > 1) & (F.element_at("cells", -1)["cell"] == "") & (F.get("cells", F.size("cells") - 2)["end"] == ""), F.slice("cells", 1, F.size("cells") - 1)).otherwise(F.col("cells")),
+            F.struct(F.array().cast("array<array<string>>").alias("rows"), F.array().cast("array<string>").alias("now")),
+            lambda acc, c: F.when(c["end"] == delimiter, F.struct(acc["rows"].alias("rows"), F.concat(acc["now"], F.array(c["cell"])).alias("now"))).otherwise(F.struct(F.concat(acc["rows"], F.array(F.concat(acc["now"], F.array(c["cell"])))).alias("rows"), F.array().cast("array<string>").alias("now"))),
+        )["rows"].alias("rows"),
+    )
+    bare = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    header = F.transform(F.get("rows", F.lit(0)), bare)
+    names = F.transform(header, lambda h: F.regexp_replace(F.trim(F.regexp_replace(F.lower(h), r"[^\p{L}\p{N}]+", " ")), " ", "_"))
+    plain = F.transform(header, lambda h: F.lower(F.regexp_replace(h, r"\p{Cf}", "")))
+    quote = F.when(F.size(F.split("body", '"')) % 2 == 0, "unterminated-quote").otherwise("late-quote")
+    version = F.array_position(names, VERSION).cast("int")
+    found = F.concat(
+        F.when(F.col("broken"), F.array(F.struct(F.lit(0).alias("line"), quote.alias("problem")))).otherwise(F.array().cast("array<struct<line:int,problem:string>>")),
+        F.transform(F.filter(F.transform("rows", lambda r, i: F.struct(r.alias("r"), (i + 1).alias("line"))), lambda x: F.size(x["r"]) != F.size(F.get("rows", F.lit(0)))), lambda x: F.struct(x["line"].alias("line"), F.lit("ragged").alias("problem"))),
+        F.when(F.exists(names, lambda n: n == ""), F.array(F.struct(F.lit(1).alias("line"), F.lit("empty-header").alias("problem")))).otherwise(F.array().cast("array<struct<line:int,problem:string>>")),
+        F.when((F.size(F.array_distinct(names)) < F.size(names)) | (F.size(F.array_distinct(plain)) < F.size(plain)), F.array(F.struct(F.lit(1).alias("line"), F.when(F.size(F.array_distinct(header)) < F.size(header), "duplicate-header").when(F.size(F.array_distinct(plain)) < F.size(plain), "look-alike-header").otherwise("duplicate-header").alias("problem")))).otherwise(F.array().cast("array<struct<line:int,problem:string>>")),
+        F.when((version > 0) & (F.size(F.array_distinct(F.transform(F.slice("rows", 2, F.size("rows")), lambda r: F.get(r, version - 1) == "1"))) > 1), F.array(F.struct(F.lit(0).alias("line"), F.lit("mixed-versions").alias("problem")))).otherwise(F.array().cast("array<struct<line:int,problem:string>>")),
+        *([F.transform(F.array_except(F.filter(names, lambda n: n != ""), F.array(*map(F.lit, allowed))), lambda n: F.struct(F.lit(1).alias("line"), F.concat(F.lit("unknown-header:"), n).alias("problem")))] if allowed else []),
+    )
+    return rows.select("path", F.explode(found).alias("f")).select("path", "f.line", "f.problem")
+
+
 def read_catalog_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """Canonical records. Rows with a version have JSON list cells and protected formulas, others lists between ; or |."""
     rows = read_cells(spark, path, delimiter)
@@ -80,14 +121,12 @@ def read_archive_table(spark: SparkSession, path: str, profile: str) -> tuple[Da
     return units, long, kinds
 
 
-def depth_parents(units: DataFrame, deepest: int = 33) -> DataFrame:
-    """Parents from a depth column in file order: the last earlier unit one level up. A parent id that is given and
-    differs, and a level that is skipped, are told in depth_problem."""
-    w = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    above = [F.last(F.when(F.col("depth") == k, F.col("unit_id")), ignorenulls=True).over(w) for k in range(1, deepest)]
+def depth_parents(units: DataFrame) -> DataFrame:
+    """Parents from a depth column in file order: the last earlier unit one level up, at any depth. A parent id that is
+    given and differs, and a level that is skipped, are told in depth_problem."""
     before = F.lag("depth").over(Window.partitionBy("path").orderBy("ordinal"))
-    found = F.when(F.col("depth") > 1, F.get(F.array(*above), (F.col("depth") - 2).cast("int")))
-    rows = units.withColumns({"by_depth": found, "before": before})
+    found = parents_by_depth(units.withColumn("before", before), "path", "ordinal", "depth", "unit_id", "above")
+    rows = found.withColumn("by_depth", F.when(F.col("depth") > 1, F.col("above"))).drop("above")
     problem = text.first_reason((F.col("depth") > F.coalesce("before", F.lit(0)) + 1, "skipped-level"), (F.col("parent_id").isNotNull() & F.col("by_depth").isNotNull() & (F.col("parent_id") != F.col("by_depth")), "depth-conflict"))
     return rows.withColumn("depth_problem", problem).withColumn("parent_id", F.coalesce("parent_id", "by_depth")).drop("by_depth", "before")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from bibspark.operators.ledger import GENESIS
+from bibspark.operators.ledger import GENESIS, event_hash
 from bibspark.sources import files
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -20,13 +21,15 @@ def stream_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", glob).load(path)
 
 
-def intake_stream(spark: SparkSession, path: str, accepted: str, quarantine: str, checkpoint: str, glob: str = "*"):
-    """Continuous intake: each micro-batch goes to accepted or quarantine Parquet; returns the running query."""
+def intake_stream(spark: SparkSession, path: str, accepted: str, quarantine: str, checkpoint: str, glob: str = "*", most: int | None = None):
+    """Continuous intake: each micro-batch goes to a folder epoch=n of accepted or quarantine Parquet; returns the running
+    query. A batch that is tried again replaces its own folders. most: larger files are quarantined."""
 
     def write(rows: DataFrame, epoch: int) -> None:
-        known = files.intake(rows).withColumn("epoch", F.lit(epoch))
-        known.where("block is null").write.mode("append").parquet(accepted)
-        known.where("block is not null").drop("text").write.mode("append").parquet(quarantine)
+        known = files.intake(rows, most).persist(StorageLevel.MEMORY_AND_DISK)
+        known.where("block is null").drop("block").write.mode("overwrite").parquet(f"{accepted}/epoch={epoch}")
+        known.where("block is not null").drop("text").write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch}")
+        known.unpersist()
 
     source = stream_files(spark, path, glob)
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -62,11 +65,13 @@ class LedgerVerifier(StatefulProcessor):
         sequence, last = self.last.get() if self.last.exists() else (0, GENESIS)
         out = []
         events = pd.concat(list(rows)).sort_values("sequence")
-        for s, previous, own in zip(events.sequence, events.previous_hash, events["hash"], strict=True):
+        for s, previous, own, body in zip(events.sequence, events.previous_hash, events["hash"], events["content"], strict=True):
             if s != sequence + 1:
                 out.append((key[0], int(s), "gap"))
             elif previous != last:
                 out.append((key[0], int(s), "link"))
+            elif own != body:
+                out.append((key[0], int(s), "content"))
             sequence, last = int(s), own
         self.last.update((sequence, last))
         yield pd.DataFrame(out, columns=["ledger_id", "sequence", "problem"])
@@ -75,8 +80,11 @@ class LedgerVerifier(StatefulProcessor):
         pass
 
 
-def verify_ledger_stream(events: DataFrame) -> DataFrame:
-    """(ledger_id, sequence, problem) of a stream of events (ledger_id, sequence, previous_hash, hash).
+def verify_ledger_stream(events: DataFrame, expected: Column | None = None) -> DataFrame:
+    """(ledger_id, sequence, problem) of a stream of events (ledger.FIELDS and hash): gap, link or content, first that holds.
 
-    Needs the RocksDB state store. Events of one ledger have to arrive in order across micro-batches."""
-    return events.groupBy("ledger_id").transformWithStateInPandas(LedgerVerifier(), VERDICT, "Append", "none")
+    expected: the hash that an event should have, if it is not event_hash(). Needs the RocksDB state store. Events of one
+    ledger have to arrive in order across micro-batches, and those of one ledger in one micro-batch have to fit a task:
+    bound the micro-batches (maxFilesPerTrigger) where ledgers are long."""
+    rows = events.select("ledger_id", "sequence", "previous_hash", "hash", (event_hash() if expected is None else expected).alias("content"))
+    return rows.groupBy("ledger_id").transformWithStateInPandas(LedgerVerifier(), VERDICT, "Append", "none")
