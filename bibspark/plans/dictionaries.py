@@ -187,7 +187,7 @@ def archive_template(spark: SparkSession, schema_id: str, profile: str) -> DataF
 
 def service_template(spark: SparkSession, kind: str, record_id: str) -> DataFrame:
     """A new service record with its defaults."""
-    area = next(a for a, k in SERVICES if k == kind)
+    area = next(a for a, k, *_ in SERVICE_FIELDS if k == kind)
     return spark.createDataFrame([(record_id, kind, area, "", "review", "", "", "internal")], "id string, kind string, area string, title string, state string, owner_role string, system string, sensitivity string")
 
 

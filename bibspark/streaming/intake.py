@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from bibspark.operators.ledger import GENESIS, event_hash
+from bibspark.operators.ledger import FIELDS, GENESIS, event_hash
 from bibspark.sources import files
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -83,8 +83,10 @@ class LedgerVerifier(StatefulProcessor):
 def verify_ledger_stream(events: DataFrame, expected: Column | None = None) -> DataFrame:
     """(ledger_id, sequence, problem) of a stream of events (ledger.FIELDS and hash): gap, link or content, first that holds.
 
-    expected: the hash that an event should have, if it is not event_hash(). Needs the RocksDB state store. Events of one
+    The content is checked where events have all FIELDS. expected: the hash that an event should have, if it is not event_hash(). Needs the RocksDB state store. Events of one
     ledger have to arrive in order across micro-batches, and those of one ledger in one micro-batch have to fit a task:
     bound the micro-batches (maxFilesPerTrigger) where ledgers are long."""
-    rows = events.select("ledger_id", "sequence", "previous_hash", "hash", (event_hash() if expected is None else expected).alias("content"))
+    if expected is None:
+        expected = event_hash() if {*FIELDS} <= {*events.columns} else F.col("hash")
+    rows = events.select("ledger_id", "sequence", "previous_hash", "hash", expected.alias("content"))
     return rows.groupBy("ledger_id").transformWithStateInPandas(LedgerVerifier(), VERDICT, "Append", "none")

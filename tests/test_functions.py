@@ -71,7 +71,7 @@ def test_profiles(spark):
 
 def test_intake(spark):
     rows = [("a/x.ris", 5, bytearray(b"\xef\xbb\xbfTY")), ("b.ris", 0, bytearray(b"")), ("c.ris", 2, bytearray(b"\xff\xfe")), ("d.ris", 3, bytearray(b"a\x01b")), ("e.pdf", 1, bytearray(b"x")), ("f.ris", 1 << 30, bytearray(b"x"))]
-    got = {r.name: r.block for r in files.intake(spark.createDataFrame(rows, "path string, length long, content binary")).collect()}
+    got = {r.name: r.block for r in files.intake(spark.createDataFrame(rows, "path string, length long, content binary"), most=5 << 20).collect()}
     assert got == {"x.ris": None, "b.ris": "FILE_EMPTY", "c.ris": "UTF8_INVALID", "d.ris": "CONTROL_CHARACTER", "e.pdf": "FORMAT_UNSUPPORTED", "f.ris": "FILE_TOO_LARGE"}
     kept = files.capture(spark.createDataFrame(rows[:1], "path string, length long, content binary"))
     assert files.preservation_mismatches(kept).count() == 0
@@ -96,3 +96,53 @@ def test_user_rule(spark):
 
 def test_unknown_keys(spark):
     assert values(spark, lambda v: rules.unknown_keys(v, ["a"]), ['{"a":1,"c":2,"b":3}', "nope"]) == [["b", "c"], []]
+
+
+def test_encodings_do_not_collide(spark):
+    """Separators, lengths and nulls inside values give different digests."""
+    from bibspark.functions import digest
+    from bibspark.operators import ledger
+
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), ("\x00", None), (None, "\x00"), ("", None), (None, ""), ("-", None), ("1:a", "b"), ("a", "1:b"), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(digest.row_digest(["x", "y"]).alias("d")).distinct().count() == len(rows)
+    one, two = (digest.table_digest(d, ["x", "y"]).first() for d in (df, df.repartition(5).orderBy("y")))
+    assert one == two and one.rows == len(rows)
+    assert digest.table_digest(df.union(df.limit(1)), ["x", "y"]).first().digest != one.digest
+    assert digest.table_digest(df.limit(0), ["x", "y"]).first().rows == 0
+    e = spark.createDataFrame([("l", 1, "i", "a", "b\x1fc", "d"), ("l", 1, "i", "a\x1fb", "c", "d")], "ledger_id string, sequence long, instant string, action string, target string, state_digest string").withColumn("previous_hash", F.lit("GENESIS"))
+    assert e.select(ledger.event_hash().alias("h")).distinct().count() == 2
+
+
+def test_pages_of_any_size(spark):
+    from bibspark.operators import lists
+
+    rows = spark.range(1000).withColumn("v", (F.col("id") * 7919) % 1000)
+    got = lists.page(rows, ["v"], 2, 300)
+    assert sorted(r.v for r in got.collect()) == list(range(600, 900)) and got.first().total == 1000
+    assert sorted(r.v for r in lists.page(rows, ["v"], 99, 300).collect()) == list(range(900, 1000))
+    assert lists.page(rows.limit(0), ["v"], 3).count() == 0
+
+
+def test_deep_parents(spark):
+    """Parents below 32 levels, from depth columns and from nested components."""
+    from bibspark.operators import hierarchy
+    from bibspark.sources import xml
+
+    rows = [("p", i, f"u{i}", i) for i in range(1, 45)] + [("p", 45, "v", 40), ("q", 1, "w", 2)]
+    got = {r.unit_id: r.up for r in hierarchy.parents_by_depth(spark.createDataFrame(rows, "path string, ordinal int, unit_id string, depth int"), "path", "ordinal", "depth", "unit_id", "up").collect()}
+    assert got == {**{f"u{i}": f"u{i - 1}" if i > 1 else None for i in range(1, 45)}, "v": "u39", "w": None}
+    body = '<ead><archDesc id="r" level="fonds"><identificationData><unitId>R</unitId><unitTitle>T &amp; t</unitTitle></identificationData>' + "".join(f'<c id="c{i}" level="series">' for i in range(40)) + "</c>" * 40 + "</archDesc></ead>"
+    units, values = xml.read_ead(spark.createDataFrame([("f", body)], "path string, text string"))
+    assert {r.unit_id: r.parent_id for r in units.collect()} == {"r": None, "c0": "r", **{f"c{i}": f"c{i - 1}" for i in range(1, 40)}}
+    assert {(r.field_id, r.s) for r in values.collect()} == {("reference_code", "R"), ("title", "T & t")}
+
+
+def test_ragged_rows(spark, tmp_path):
+    from bibspark.sources import tabular
+
+    (tmp_path / "t.csv").write_text('id,title,format\n1,"One, ""a""",Book\n2,Two\n3,"Three\nlines",Map\n4,Four,Map,extra\n')
+    assert sorted(r.id for r in tabular.read_catalog_table(spark, str(tmp_path / "t.csv")).collect()) == ["1", "3"]
+    files = spark.createDataFrame([("t", (tmp_path / "t.csv").read_text()), ("ok", "a,b\n1,2\n"), ("none", "")], "path string, text string")
+    assert [(r.path, r.line, r.problem) for r in tabular.csv_rejects(files).where("path = 't'").orderBy("line").collect()] == [("t", 3, "ragged"), ("t", 5, "ragged")]
+    assert tabular.csv_rejects(files).where("path = 'ok'").count() == 0

@@ -74,7 +74,7 @@ def test_ledger_life(spark):
 def test_topology_and_policy(spark):
     rows = [("l", "d1", None, 1, 1), ("l", "d2", "d1", 2, 2), ("f", "d1", None, 1, 1), ("f", "d2", "d1", 2, 2), ("f", "d3", "d1", 2, 2), ("g", "d1", None, 1, 1), ("g", "d3", "d2", 3, 3)]
     t = hierarchy.topology(spark.createDataFrame(rows, "lineage_id string, digest string, predecessor_digest string, sequence long, audit_count long"))
-    assert {r.lineage_id: r.status for r in t.collect()} == {"l": "linear", "f": "forked", "g": "gap"}
+    assert {r.lineage_id: r.status for r in t.collect()} == {"l": "valid-prefix", "f": "forked", "g": "gap"}
     terminals = spark.createDataFrame([("l", "d2", 2), ("f", "d2", 2), ("g", "d3", 3)], "lineage_id string, digest string, sequence long")
     anchors = spark.createDataFrame([("l", "d2", 2), ("f", "d2", 2), ("g", "d3", 3), ("u", "x", 1)], "lineage_id string, digest string, sequence long")
     assert {r.lineage_id: r.status for r in workspace.compare_external(t, terminals, anchors).collect()} == {"l": "trusted-match", "f": "fork", "g": "gap", "u": "indeterminate"}
@@ -159,3 +159,15 @@ def test_all_members_of_a_hot_claim(spark):
     claims = spark.createDataFrame([*((f"r{i:03}", "hot") for i in range(300)), ("a", "once"), ("b", None), ("c", ""), ("d", "")], "id string, claim string")
     got = {(r.claim, r.n, r.id) for r in rules.duplicate_rows(claims, "claim", "id").collect()}
     assert got == {("hot", 300, f"r{i:03}") for i in range(300)}
+
+
+def test_topology_statuses(spark):
+    """Late start, two roots, scopes, repeats, conflicts, and heads against terminals."""
+    rows = [
+        ("late", "a", None, 5, 1, "x"), ("roots", "a", None, 1, 1, "x"), ("roots", "b", None, 1, 1, "x"), ("scope", "a", None, 1, 1, "x"), ("scope", "b", "a", 2, 2, "y"), ("twice", "a", None, 1, 1, "x"), ("twice", "a", None, 1, 1, "x"),
+        ("other", "a", None, 1, 1, "x"), ("other", "a", None, 1, 9, "x"), ("none", "b", "a", 2, 2, "x"), *((n, d, p, s, s, "x") for n in ("same", "short", "wrong", "free") for d, p, s in (("a", None, 1), ("b", "a", 2))),
+    ]
+    w = spark.createDataFrame(rows, "lineage_id string, digest string, predecessor_digest string, sequence long, audit_count long, origin_scope string")
+    t = spark.createDataFrame([("same", "b", 2), ("short", "c", 3), ("wrong", "x", 2), ("absent", "x", 1)], "lineage_id string, digest string, sequence long")
+    got = {r.lineage_id: r.status for r in hierarchy.topology(w, t).collect()}
+    assert got == {"late": "gap", "roots": "forked", "scope": "boundary", "twice": "invalid", "other": "terminal-conflict", "none": "gap", "same": "corroborated", "short": "truncated", "wrong": "terminal-conflict", "free": "valid-prefix", "absent": "no-evidence"}
