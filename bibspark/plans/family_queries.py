@@ -46,7 +46,7 @@ def intake_files(spark, d):
     "xml_quarantine",
     """SELECT family, problem, count(*) AS n FROM (
     SELECT 'marcxml' AS family, CASE p_partkey % 6 WHEN 0 THEN 'leader' WHEN 1 THEN 'control-field' WHEN 2 THEN 'data-field' WHEN 3 THEN 'indicator' WHEN 4 THEN 'no-field' END AS problem FROM part
-    UNION ALL SELECT 'dcxml', CASE p_partkey % 2 WHEN 0 THEN 'no-element' END FROM part UNION ALL SELECT 'modsxml', CASE p_partkey % 3 WHEN 0 THEN 'no-title' END FROM part) WHERE problem IS NOT NULL GROUP BY ALL""",
+    UNION ALL SELECT 'dcxml', CASE p_partkey % 2 WHEN 0 THEN 'no-element' END FROM part UNION ALL SELECT 'modsxml', CASE p_partkey % 3 WHEN 0 THEN 'no-identity' END FROM part) WHERE problem IS NOT NULL GROUP BY ALL""",
 )
 def xml_quarantine(spark, d):
     p, i = table(spark, d, "part"), F.col("p_partkey")
@@ -57,7 +57,7 @@ def xml_quarantine(spark, d):
         _pick(i, "", "", '<datafield tag="24" ind1=" " ind2=" "><subfield code="a">t</subfield></datafield>', '<datafield tag="245" ind1="?" ind2=" "><subfield code="a">t</subfield></datafield>', "", '<datafield tag="245" ind1="0" ind2="0"><subfield code="a">t</subfield></datafield>'), F.lit("</record>"),
     )
     dc = F.concat(F.lit("<oai_dc:dc>"), _pick(i, "", "<dc:title>t</dc:title>"), F.lit("</oai_dc:dc>"))
-    mods = F.concat(F.lit("<mods><titleInfo>"), _pick(i, "<subTitle>s</subTitle>", "<title>t</title>", "<title>t</title>"), F.lit("</titleInfo></mods>"))
+    mods = F.concat(F.lit("<mods>"), _pick(i, "<abstract>s</abstract>", "<titleInfo><title>t</title></titleInfo>", "<recordInfo><recordIdentifier>r</recordIdentifier></recordInfo>"), F.lit("</mods>"))
     out = None
     for family, rows in (("marcxml", marc), ("dcxml", dc), ("modsxml", mods)):
         folder = _folder(spark, family)
