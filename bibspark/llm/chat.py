@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import batch, materialise, read_table
+from bibspark.llm.common import batch, finished, materialise, read_table, written
 
 TURN, END = "<|turn|>", "<|end|>"
 LOSS_ROLES = ("assistant",)
@@ -121,6 +121,7 @@ def op4_chat(spark, sf_dir):
     added = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", added), (-7, 1, "assistant", added)], "conv_id long, turn long, role string, text string")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    before = written()
     messages = materialise(linear_messages(rows.where("conv_id is not null")), "messages")
     formatted = format_branches(branches(messages))
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -135,7 +136,8 @@ def op4_chat(spark, sf_dir):
                 out.append((conv, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), digest(under), len(text)))
             yield batch(schema, *zip(*out, strict=True)) if out else batch(schema, *[[]] * 6)
 
-    return formatted.select("tree", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read_back = formatted.select("tree", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return finished(read_back, "conversations", before)
 
 
 ORACLE = r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 10_000  # texts may be long: Python workers get no larger Arrow batches, in rows and in bytes
 BATCH_BYTES = 16 << 20
 LOCAL_SHARED = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset and Spark runs in one process, as in tests
-_WRITTEN: set[str] = set()  # folders of this process' own intermediate tables
+_LOCAL = threading.local()  # operators called from several threads of one driver never see each other's tables
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -35,9 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or LOCAL_SHARED).rstrip("/")
 
 
+def _own() -> set[str]:
+    """The folders of intermediate tables that this thread has written."""
+    return _LOCAL.__dict__.setdefault("written", set())
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.add(path)
+    _own().add(path)
     return path
 
 
@@ -53,31 +59,31 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _WRITTEN.discard(path)
+    _own().discard(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files of a table written by materialise() that no later plan reads; other files are never touched."""
-    for path in {w for f in df.inputFiles() for w in _WRITTEN if f"/{w.rpartition('/')[2]}/" in f}:
+    for path in {w for f in df.inputFiles() for w in _own() if f"/{w.rpartition('/')[2]}/" in f}:
         _delete(df.sparkSession, path)
 
 
 def finished(df: DataFrame, tag: str, before: set[str]) -> DataFrame:
     """Write a result that is small against its input, and delete every intermediate table that is not in `before`."""
     out = materialise(df, tag)
-    discard(df.sparkSession, before | {p for f in out.inputFiles() for p in _WRITTEN if f"/{p.rpartition('/')[2]}/" in f})
+    discard(df.sparkSession, before | {p for f in out.inputFiles() for p in _own() if f"/{p.rpartition('/')[2]}/" in f})
     return out
 
 
 def discard(spark: SparkSession, before: set[str]) -> None:
-    """Delete every intermediate table that is not in `before`."""
-    for path in _WRITTEN - before:
+    """Delete every intermediate table of this thread that is not in `before`."""
+    for path in _own() - before:
         _delete(spark, path)
 
 
 def written() -> set[str]:
-    """The folders of intermediate tables so far, for finished()."""
-    return set(_WRITTEN)
+    """This thread's folders of intermediate tables so far, for finished()."""
+    return set(_own())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +126,7 @@ def byte_table(keep: bytes) -> bytes:
 
 LETTERS = byte_table(bytes(range(0x61, 0x7B)))
 ALNUM = byte_table(bytes(range(0x61, 0x7B)) + bytes(range(0x30, 0x3A)))
+RAW = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))  # white space alone, letters as they are
 SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 
 

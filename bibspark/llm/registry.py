@@ -9,6 +9,8 @@ from bibspark.llm.chat import op4_chat
 from bibspark.llm.decontaminate import ORACLE as DECONTAMINATE
 from bibspark.llm.decontaminate import op9_decontaminate
 from bibspark.llm.license_scan import op8_license
+from bibspark.llm.merkle import ORACLE as MERKLE
+from bibspark.llm.merkle import op11_merkle
 from bibspark.llm.quality import op6_quality
 from bibspark.llm.simhash import op5_simhash
 from bibspark.llm.substrings import op1_substrings
@@ -27,10 +29,12 @@ QUERIES = {
     "op8_license": op8_license,
     "op9_decontaminate": op9_decontaminate,
     "op10_ann": op10_ann,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat": CHAT,
     "op7_warc": WARC,
     "op9_decontaminate": DECONTAMINATE,
+    "op11_merkle": MERKLE,
 }

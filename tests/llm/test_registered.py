@@ -19,6 +19,7 @@ COLUMNS = {
     "op2_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op3_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}, "op4_chat": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op5_simhash": {"doc_id", "fingerprint", "component_id"}, "op6_quality": {"doc_id", "held_out", "score", "predicted"}, "op7_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op8_license": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}, "op9_decontaminate": {"doc_id", "item_id", "n_shared", "n_item", "containment"}, "op10_ann": {"query_id", "rank", "vec_id", "score"},
+    "op11_merkle": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
 }
 
 
@@ -87,7 +88,7 @@ def test_ann_query(spark):
     assert hit / total >= 0.9
 
 
-@pytest.mark.parametrize("name", ["op1_substrings", "op4_chat", "op7_warc", "op8_license", "op9_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_substrings", "op4_chat", "op7_warc", "op8_license", "op9_decontaminate", "op11_merkle"])
 def test_columns(spark, name):
     assert set(registry.QUERIES[name](spark, SF).columns) >= COLUMNS[name]
 
