@@ -172,10 +172,10 @@ def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix64((total[stop] - total[start]) * down[start])
 
 
-def word_hashes(texts: pa.Array, table: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of all texts, flat, and the number of words of each text (null: none).
+def word_spans(texts: pa.Array, table: bytes = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes through the table, flat, and their offsets; starts and stops of all words; words of each text.
 
-    Words are what split_words() gives, hashed from the column's buffer without making them Python objects."""
+    Words are what split_words() gives (null: none), found in the column's buffer without making them Python objects."""
     texts = texts.cast(pa.large_string()).fill_null("")
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -186,14 +186,24 @@ def word_hashes(texts: pa.Array, table: bytes = SPACES) -> tuple[np.ndarray, np.
     edge[at] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     stop = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    n = np.diff(np.searchsorted(start, at))
+    return low, at, start, stop, np.diff(np.searchsorted(start, at))
+
+
+def span_hashes(low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of word_spans()."""
     out, i = np.empty(len(start), np.uint64), 0
     while i < len(start):  # pieces of whole words, so that sums stay in the processor's cache
         j = max(int(np.searchsorted(stop, start[i] + PIECE, "right")), i + 1)
         a, z = start[i], stop[j - 1]
         out[i:j] = run_hashes(_BYTES[low[a:z]], start[i:j] - a, stop[i:j] - a)
         i = j
-    return out, n
+    return out
+
+
+def word_hashes(texts: pa.Array, table: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts, flat, and the number of words of each text (null: none)."""
+    low, _, start, stop, n = word_spans(texts, table)
+    return span_hashes(low, start, stop), n
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,9 @@ from bibspark.llm.decontaminate import op9_decontaminate
 from bibspark.llm.license_scan import op8_license
 from bibspark.llm.merkle import ORACLE as MERKLE
 from bibspark.llm.merkle import op11_merkle
+from bibspark.llm.periodic import op12_runs
 from bibspark.llm.quality import op6_quality
+from bibspark.llm.quality_rules import op13_rules
 from bibspark.llm.simhash import op5_simhash
 from bibspark.llm.substrings import op1_substrings
 from bibspark.llm.toxicity import op2_toxicity
@@ -30,6 +32,8 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_ann": op10_ann,
     "op11_merkle": op11_merkle,
+    "op12_runs": op12_runs,
+    "op13_rules": op13_rules,
 }
 
 ORACLES: dict[str, str] = {

@@ -20,6 +20,7 @@ COLUMNS = {
     "op5_simhash": {"doc_id", "fingerprint", "component_id"}, "op6_quality": {"doc_id", "held_out", "score", "predicted"}, "op7_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op8_license": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}, "op9_decontaminate": {"doc_id", "item_id", "n_shared", "n_item", "containment"}, "op10_ann": {"query_id", "rank", "vec_id", "score"},
     "op11_merkle": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"}, "op13_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
 }
 
 
@@ -88,7 +89,7 @@ def test_ann_query(spark):
     assert hit / total >= 0.9
 
 
-@pytest.mark.parametrize("name", ["op1_substrings", "op4_chat", "op7_warc", "op8_license", "op9_decontaminate", "op11_merkle"])
+@pytest.mark.parametrize("name", ["op1_substrings", "op4_chat", "op7_warc", "op8_license", "op9_decontaminate", "op11_merkle", "op12_runs", "op13_rules"])
 def test_columns(spark, name):
     assert set(registry.QUERIES[name](spark, SF).columns) >= COLUMNS[name]
 
