@@ -1,14 +1,15 @@
 """Operator 13, quality rules by tokeniser fertility.
 
 Two public vocabularies measure each text: a byte-level one its characters per token and the entropy of its tokens, one
-with byte fallback the share of tokens that are single bytes. A text is encoded word by word (both vocabularies keep a
+with byte fallback the share of tokens that are single bytes (of WINDOW tokens more than the text has, so that one rare
+sign in a short text is no share to speak of). A text is encoded word by word (both vocabularies keep a
 word and the space before it together), and words seen before are remembered, so the libraries meet each word once a
 worker. Entropy is that of windows of about WINDOW tokens that cover the whole text, as a share of the largest possible,
 so that long and short texts compare.
 
 Bands: of each language (texts without one: of each script) the quantiles LOW, 1/2 and HIGH over all texts that pass the
 base rules, equal measures counted once, so that copies do not narrow them. A measure is rejected beyond LOW or HIGH by
-more than WIDTH times their distance from the median, and by at least SLACK. Measures are rounded before, so a group's
+more than WIDTH times their distance from the median, and by more than SLACK. Measures are rounded before, so a group's
 quantiles are exact and its distinct values bounded.
 """
 
@@ -19,6 +20,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ WINDOW_WORDS = 5
 REPEATED = 20  # percent of the words, at most
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 64
-LOW, HIGH, WIDTH = 0.05, 0.95, 3.0
-#: measure -> (digits, least distance from the quantile, whether small and large values are rejected)
-SLACK = {"chars_per_token": (2, 0.25, True, True), "fallback_share": (3, 0.02, False, True), "entropy": (3, 0.02, True, False)}
+LOW, HIGH, WIDTH = 0.05, 0.95, 2.0
+#: measure -> (digits, least distance below LOW and above HIGH; None: not rejected on that side)
+SLACK = {"chars_per_token": (2, 0.25, 2.0), "fallback_share": (3, None, 0.1), "entropy": (3, 0.05, None)}
 WORDS_KEPT = 200_000  # words a worker remembers; beyond them it begins anew
 PART = 512  # texts measured at once
 #: First code point of ranges of scripts, ascending.
@@ -45,6 +47,32 @@ def paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+UNSEEN = regex.compile(r"[\p{Z}\p{C}]")
+
+
+def encoded(words: list[str], encode, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of words, and of each word how many: encoded as one text, in which each word has one token that opens it.
+
+    Words of characters that encode() may drop or take for spaces are encoded one by one; a list whose openings do not
+    match for another reason is halved."""
+    odd = [UNSEEN.search(w) is not None for w in words]
+    if len(words) > 1 and any(odd):
+        parts = {i: encoded([w], encode, opens) for i, (w, x) in enumerate(zip(words, odd, strict=True)) if x}
+        ids, n = encoded([w for w, x in zip(words, odd, strict=True) if not x], encode, opens)
+        rest = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+        own = [parts[i][0] if x else next(rest) for i, x in enumerate(odd)]
+        return np.concatenate(own), np.array(list(map(len, own)), np.int64)
+    ids = np.array(encode(" ".join(words)) if words else [], np.int64)
+    at = np.flatnonzero(opens[ids])
+    if len(at) == len(words) and (not len(ids) or len(at) and at[0] == 0):
+        return ids, np.diff(np.r_[at, len(ids)])
+    if len(words) < 2:
+        return ids[: len(ids) * len(words)], np.full(len(words), len(ids), np.int64)
+    half = len(words) // 2
+    (a, m), (b, n) = encoded(words[:half], encode, opens), encoded(words[half:], encode, opens)
+    return np.r_[a, b], np.r_[m, n]
+
+
 class Fertility:
     """Of words: ids in the byte-level vocabulary, number of tokens and of byte tokens in the other."""
 
@@ -57,7 +85,11 @@ class Fertility:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
+        self.opens = np.zeros(max(table.values()) + 1, bool)
+        self.opens[[i for t, i in table.items() if t.startswith(b" ")]] = True
+        size = self.pieces.vocab_size()
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(size)])
+        self.piece_opens = np.array([self.pieces.id_to_piece(i).startswith("\u2581") for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
@@ -73,14 +105,12 @@ class Fertility:
         fresh = [k for k, x in enumerate(keys) if x not in self.slot]
         if fresh:
             words = [low[start[i] : stop[i]].tobytes().decode("utf-8", "replace") for i in first[fresh].tolist()]
-            ids = self.bytes.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
-            pieces = [np.array(p, np.int64) for p in self.pieces.encode(words, num_threads=1)]
+            ids, n_ids = encoded(words, lambda t: self.bytes.encode_ordinary(f" {t}"), self.opens)
+            pieces, n_pieces = encoded(words, self.pieces.encode, self.piece_opens)
             for k in fresh:
                 self.slot[keys[k]] = len(self.slot)
-            self.n_ids = np.r_[self.n_ids, np.fromiter(map(len, ids), np.int64, len(ids))]
-            self.ids = np.concatenate([self.ids, *[np.array(x, np.int64) for x in ids]])
-            self.n_pieces = np.r_[self.n_pieces, [len(p) for p in pieces]]
-            self.n_bytes = np.r_[self.n_bytes, [int(self.is_byte[p].sum()) for p in pieces]]
+            self.ids, self.n_ids = np.r_[self.ids, ids], np.r_[self.n_ids, n_ids]
+            self.n_pieces, self.n_bytes = np.r_[self.n_pieces, n_pieces], np.r_[self.n_bytes, per_text(self.is_byte[pieces], n_pieces)]
         return np.array([self.slot[x] for x in keys], np.int64)[which]
 
     def tokens(self, slots: np.ndarray) -> np.ndarray:
@@ -175,7 +205,7 @@ def measures(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
                 slots = own.slots(low, start, stop, h)
                 n_ids, n_pieces = per_text(own.n_ids[slots], n), per_text(own.n_pieces[slots], n)
                 ratio = lambda x, y: np.divide(x, y, out=np.zeros(len(y)), where=y > 0)
-                values = (ratio(chars, n_ids), ratio(per_text(own.n_bytes[slots], n), n_pieces), entropies(own.tokens(slots), n_ids))
+                values = (ratio(chars, n_ids), per_text(own.n_bytes[slots], n) / (n_pieces + WINDOW), entropies(own.tokens(slots), n_ids))
                 named = [f"language {x}" if x is not None else None for x in langs.to_pylist()]
                 if None in named:
                     named = [x or f"script {y}" for x, y in zip(named, scripts(texts), strict=True)]
@@ -189,10 +219,10 @@ def bands(rows: DataFrame) -> DataFrame:
     kinds = rows.where("not base_failed").select("band", *SLACK).distinct()
     cuts = kinds.groupBy("band").agg(*[F.percentile(c, F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH))).alias(c) for c in SLACK])
     out = [F.col("band")]
-    for c, (_, slack, small, large) in SLACK.items():
+    for c, (_, small, large) in SLACK.items():
         low, mid, high = (F.col(c)[k] for k in range(3))
-        out.append((low - F.greatest(WIDTH * (mid - low), F.lit(slack)) if small else F.lit(float("-inf"))).alias(f"low_{c}"))
-        out.append((high + F.greatest(WIDTH * (high - mid), F.lit(slack)) if large else F.lit(float("inf"))).alias(f"high_{c}"))
+        out.append((low - F.greatest(WIDTH * (mid - low), F.lit(small)) if small else F.lit(float("-inf"))).alias(f"low_{c}"))
+        out.append((high + F.greatest(WIDTH * (high - mid), F.lit(large)) if large else F.lit(float("inf"))).alias(f"high_{c}"))
     return cuts.select(*out)
 
 
