@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.functions import digest
+from bibspark.operators.scan import running
 
 #: Allowed (outcome, reason) by decision.
 LINKS = [("admit", "applied", "accepted"), ("admit", "not-applied", "conflict"), ("admit", "not-applied", "validation-failed"), ("reject", "not-applied", "rejected"), ("withdraw", "not-applied", "withdrawn")]
@@ -72,3 +73,31 @@ def warning_manifest(warnings: DataFrame) -> DataFrame:
     """(source_sha, warnings, digest) over warnings (source_sha, code, record_id, detail), independent of their order."""
     rows = warnings.select("source_sha", digest.row_digest(["code", "record_id", "detail"]).alias("d"))
     return rows.groupBy("source_sha").agg(F.count("*").alias("warnings"), digest.multiset_digest(F.col("d")).alias("digest"))
+
+
+def receipt_checks(receipts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id, refused) of receipts (id, workspace_id, lineage_id, sequence, anchor_digest, checkpoint) against anchors
+    (workspace_id, lineage_id, sequence, digest, checkpoint), each number once; null where a receipt holds.
+
+    The first that holds: workspace (unknown), lineage (unknown there), ahead (of the newest anchor), sequence (no anchor
+    has it: the one in force is an earlier one), digest, checkpoint (not that of the anchor), stale (a newer one is in
+    force). The anchor in force at a receipt's number is found by a scan over the lineage, so a lineage may be of any
+    length."""
+    mine = receipts.select("workspace_id", "lineage_id", "sequence", "id", "anchor_digest", "checkpoint", F.lit(None).cast("struct<sequence:bigint>").alias("a"), F.lit(1).alias("late"))
+    known = F.struct(F.col("sequence").cast("long").alias("sequence"), "digest", F.col("checkpoint").alias("point"))
+    theirs = anchors.select("workspace_id", "lineage_id", "sequence", F.lit(None).cast(receipts.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("anchor_digest"), "checkpoint", known.alias("a"), F.lit(0).alias("late"))
+    both = mine.withColumn("a", F.lit(None).cast(theirs.schema["a"].dataType)).unionByName(theirs)
+    placed = running(both, ["workspace_id", "lineage_id"], ["sequence", "late", "id"], earlier={"force": F.col("a")}).where("late = 1")
+    newest = anchors.groupBy("workspace_id", "lineage_id").agg(F.max("sequence").alias("last"))
+    spaces = newest.select("workspace_id", F.lit(True).alias("known")).distinct()
+    rows = placed.join(spaces, "workspace_id", "left").join(newest, ["workspace_id", "lineage_id"], "left")
+    refused = (
+        F.when(F.col("known").isNull(), "workspace")
+        .when(F.col("last").isNull(), "lineage")
+        .when(F.col("sequence") > F.col("last"), "ahead")
+        .when(F.col("force").isNull() | (F.col("force.sequence") != F.col("sequence")), "sequence")
+        .when(F.col("force.digest") != F.col("anchor_digest"), "digest")
+        .when(F.to_json("force.point") != F.to_json("checkpoint"), "checkpoint")
+        .when(F.col("sequence") < F.col("last"), "stale")
+    )
+    return rows.select("id", refused.alias("refused"))

@@ -2,50 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_SHARED = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset and Spark runs in one process, as in tests
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. On a cluster spark.checkpoint.dir has to name it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-    return (folder or LOCAL_SHARED).rstrip("/")
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage in an iteration: write to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a stage() that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if re.search(r"/[a-z]+-[0-9a-f]{32}$", folder) and folder.rpartition("/")[0].endswith(shared_dir(spark).removeprefix("file://")):
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from bibspark.operators.scan import running
+from bibspark.operators.tables import finished, mark, release, stage
 
 
 def parents_by_depth(units: DataFrame, group: str, order: str, depth: str, unit_id: str, name: str) -> DataFrame:
     """units with column `name`: the last earlier unit of the group that stands one level higher; any depth.
 
-    Each unit answers for its own level and asks at the level above, so one window over (group, level) finds all."""
+    Each unit answers for its own level and asks at the level above, so one scan over (group, level) finds all; a group
+    or a level of any size is many tasks' work. Units of one place in `order` do not see each other."""
     cols = units.columns
-    asks = units.withColumns({"_level": F.col(depth) - 1, "_known": F.lit(None).cast("string")})
-    answers = units.withColumns({"_level": F.col(depth), "_known": F.col(unit_id)})
-    w = Window.partitionBy(group, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    both = asks.unionByName(answers).withColumn(name, F.last("_known", ignorenulls=True).over(w))
-    return both.where("_known is null").select(*cols, name)
+    asks = units.withColumns({"_level": F.col(depth) - 1, "_known": F.lit(None).cast("string"), "_answer": F.lit(0)})
+    answers = units.withColumns({"_level": F.col(depth), "_known": F.col(unit_id), "_answer": F.lit(1)})
+    both = running(asks.unionByName(answers), [group, "_level"], [order, "_answer"], earlier={name: F.col("_known")})
+    return both.where("_answer = 0").select(*cols, name)
 
 
 def orphans(units: DataFrame, group: str | None = None) -> DataFrame:
@@ -60,6 +33,7 @@ def depths(units: DataFrame) -> DataFrame:
 
     depth counts steps to the root. A missing parent ends the walk there (the orphan is its own root). Units on or
     below a cycle never reach a root: resolved is false, root and depth are null."""
+    since = mark()
     known = units.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     state = units.select("id", "parent_id").join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
     state = stage(state.select("id", F.coalesce("up", "id").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("up").isNull().alias("done")), "depth")
@@ -75,7 +49,7 @@ def depths(units: DataFrame) -> DataFrame:
         if open_now == 0 or (left is not None and open_now == left[0] and left[1] >= max(2, open_now.bit_length() + 1)):
             break
         left = (open_now, left[1] + 1 if left and left[0] == open_now else 1)
-    return state.select("id", F.when(F.col("done"), F.col("top")).alias("root"), F.when(F.col("done"), F.col("steps")).alias("depth"), F.col("done").alias("resolved"))
+    return finished(state.select("id", F.when(F.col("done"), F.col("top")).alias("root"), F.when(F.col("done"), F.col("steps")).alias("depth"), F.col("done").alias("resolved")), "depths", since)
 
 
 def hierarchy_findings(units: DataFrame, max_component_depth: int = 32) -> DataFrame:
@@ -87,26 +61,85 @@ def hierarchy_findings(units: DataFrame, max_component_depth: int = 32) -> DataF
     return missing.unionByName(cyclic).unionByName(deep)
 
 
-def preorder(units: DataFrame, order_by: str = "id", most: int = 64) -> DataFrame:
-    """(id, depth, path): sorting by path gives parents before children with siblings in the order of `order_by`.
-
-    Units that reach no root are left out; trees deeper than `most` levels raise."""
-    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(order_by))
-    ids = units.select(F.col("id").alias("p"))
-    rows = units.join(ids, units.parent_id == ids.p, "left").withColumn("parent_id", F.col("p")).drop("p")
-    roots = rows.where("parent_id is null").select("id", F.lit(0).alias("depth"), F.lpad(F.col(order_by).cast("string"), 24, "0").alias("path"))
-    children = stage(rows.where("parent_id is not null").select("id", "parent_id", F.lpad(rank.cast("string"), 10, "0").alias("rank")), "children")
-    level, out = stage(roots, "level"), []
-    while not level.isEmpty():
-        out.append(level)
-        if len(out) > most:
-            raise ValueError(f"a tree is deeper than {most} levels")
-        up = level.select(F.col("id").alias("parent_id"), "depth", "path")
-        level = stage(children.join(up, "parent_id").select("id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "rank").alias("path")), "level")
-    whole = out[0] if out else roots
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+LEVELS = 16  # trees of more levels are ranked by pointer jumping
+
+
+def _siblings(units: DataFrame, order_by: str) -> tuple[DataFrame, DataFrame]:
+    """(id, parent_id, key, inner) with null parents where the parent is missing, inner where a unit has children; and its
+    rows with a parent, with their rank among their siblings and where the tour left the one before. Ranks come from a
+    scan, so a parent may have any number of children."""
+    ids = units.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    parents = units.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("inner", F.lit(True))
+    rows = units.select("id", "parent_id", F.col(order_by).alias("key")).join(ids, "parent_id", "left").join(parents, "id", "left")
+    rows = stage(rows.select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), "key", F.coalesce("inner", F.lit(False)).alias("inner")), "units")
+    children = running(rows.where("parent_id is not null"), ["parent_id"], ["key", "id"], earlier={"before": F.struct("id", F.col("inner").alias("up"))}, place="rank")
+    return rows, stage(children, "children")
+
+
+def _by_level(rows: DataFrame, children: DataFrame) -> DataFrame | None:
+    """(id, root, depth, position) by a join a level, or None where trees have more than LEVELS levels: the ranks on the
+    way to a unit sort like the pre-order."""
+    level = rows.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit("").alias("trail"))
+    found = level
+    for d in range(1, LEVELS + 1):
+        up = level.select(F.col("id").alias("parent_id"), "root", "trail")
+        level = stage(children.join(up, "parent_id").select("id", "root", F.lit(d).cast("long").alias("depth"), F.concat("trail", F.lpad(F.col("rank").cast("string"), 19, "0")).alias("trail")), "level")
+        if level.isEmpty():
+            placed = running(found, ["root"], ["trail"], place="place")
+            return placed.select("id", "root", "depth", (F.col("place") - 1).alias("position"))
+        found = found.unionByName(level)
+    return None
+
+
+def _tour(rows: DataFrame, children: DataFrame) -> DataFrame:
+    """Successors in the Euler tours of all trees: (id, up, next_id, next_up, units, levels), next null at a tour's end.
+
+    A unit with children is an element where the tour enters it and one where it leaves (up); a unit without is one
+    element. units and levels are what an element adds to the number of units met and to the depth."""
+    first = F.struct(F.col("parent_id").alias("id"), F.lit(False).alias("up"))
+    links = children.select(F.coalesce("before", first).alias("e"), F.col("id").alias("next_id"), F.lit(False).alias("next_up"))
+    last = children.groupBy("parent_id").agg(F.max(F.struct("rank", "id", "inner")).alias("l"))
+    links = links.unionByName(last.select(F.struct("l.id", F.col("l.inner").alias("up")).alias("e"), F.col("parent_id").alias("next_id"), F.lit(True).alias("next_up")))
+    links = links.unionByName(rows.where("parent_id is null").select(F.struct("id", F.col("inner").alias("up")).alias("e"), F.lit(None).cast(rows.schema["id"].dataType).alias("next_id"), F.lit(None).cast("boolean").alias("next_up")))
+    inner = rows.where("inner").select(F.col("id").alias("inner_id"))
+    out = links.select("e.id", "e.up", "next_id", "next_up").join(inner, F.col("id") == F.col("inner_id"), "left")
+    return out.select("id", "up", "next_id", "next_up", (~F.col("up")).cast("long").alias("units"), F.when(F.col("up"), -1).when(F.col("inner_id").isNotNull(), 1).otherwise(0).cast("long").alias("levels"))
+
+
+def _by_list(rows: DataFrame, children: DataFrame) -> DataFrame:
+    """(id, root, depth, position) at any depth: the tours are lists, ranked by pointer jumping. A round joins each element
+    with the one it points to and adds up what lies between, so that about log2(units) joins reach every list's end; each
+    element has one predecessor, so no key is hot."""
+    rows = stage(_tour(rows, children).withColumn("end", F.when(F.col("next_id").isNull(), F.col("id"))), "tour")
+    left = None
+    while True:
+        to = rows.select(F.col("id").alias("next_id"), F.col("up").alias("next_up"), F.col("next_id").alias("then_id"), F.col("next_up").alias("then_up"), F.col("units").alias("more"), F.col("levels").alias("lower"), F.col("end").alias("found"))
+        moved = rows.where("next_id is not null").join(to, ["next_id", "next_up"]).select("id", "up", F.col("then_id").alias("next_id"), F.col("then_up").alias("next_up"), (F.col("units") + F.col("more")).alias("units"), (F.col("levels") + F.col("lower")).alias("levels"), F.col("found").alias("end"))
+        old = rows
+        rows = stage(rows.where("next_id is null").unionByName(moved), "tour")
+        release(old)
+        open_now = rows.where("next_id is not null").count()
+        if open_now == 0 or (left is not None and open_now == left[0] and left[1] >= max(2, open_now.bit_length() + 1)):
+            break  # what is left goes round in a cycle
+        left = (open_now, left[1] + 1 if left and left[0] == open_now else 1)
+    entered = rows.where("not up and end is not null")  # units: from here to the end of the tour; levels: minus the depth
+    sizes = entered.where("id = end").select(F.col("id").alias("root"), F.col("units").alias("size"))
+    out = entered.select("id", F.col("end").alias("root"), (-F.col("levels")).alias("depth"), "units").join(sizes, "root")
+    return out.select("id", "root", "depth", (F.col("size") - F.col("units")).alias("position"))
+
+
+def preorder(units: DataFrame, order_by: str = "id") -> DataFrame:
+    """(id, root, depth, position, path) of units (id, parent_id, order_by), ids distinct, in trees of any depth.
+
+    position numbers a tree's units from 0, parents before children and siblings in the order of `order_by`, then id;
+    path is root and position as one text that sorts so. A missing parent makes a root. Units on or below a cycle are
+    left out. Trees of at most LEVELS levels take a join a level, others about log2(units) joins."""
+    since = mark()
+    rows, children = _siblings(units, order_by)
+    out = _by_level(rows, children)
+    if out is None:
+        out = _by_list(rows, children)
+    return finished(out.withColumn("path", F.concat_ws("/", F.col("root").cast("string"), F.lpad(F.col("position").cast("string"), 19, "0"))), "preorder", since)
 
 
 def children_counts(units: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import formats
-from bibspark.operators.hierarchy import stage
+from bibspark.operators.tables import stage
 
 
 def search(catalog: DataFrame, query: str, fmt: str | None = None) -> DataFrame:
@@ -126,3 +126,60 @@ def overall_state(findings: DataFrame, incidents: DataFrame) -> DataFrame:
     f = findings.agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("e"), F.coalesce(F.bool_or(F.col("severity") == "warning"), F.lit(False)).alias("w")).withColumn("k", F.lit(1))
     i = incidents.agg(F.count_if(F.col("state") != "resolved").alias("o")).withColumn("k", F.lit(1))
     return f.join(i, "k").select(F.when(F.col("e"), "action-required").when(F.col("w") | (F.col("o") > 0), "review-required").otherwise("none").alias("state"))
+
+
+#: States of an incident.
+STATES = ("open", "investigating", "monitoring", "resolved")
+FOLDED = "incident_id string, instant long, refused string, state string, owner_role string, next_action string, notes long"
+
+
+def incident_states(events: DataFrame) -> DataFrame:
+    """(incident_id, instant, refused, state, owner_role, next_action, notes) after each event of an incident's life.
+
+    events: patches (incident_id string, instant long, state, owner_role, next_action, note), null members do not change;
+    an incident begins open, unassigned, without action or notes. refused is the first rule that an event breaks, and a
+    refused event changes nothing: state-invalid; closure-note (resolving without a note); edit-note (another owner or
+    action of a resolved incident without one); owner, action and evidence (what a resolved incident has to have).
+    Each state depends on the one before, so an incident's events are streamed in order (ties by their contents) with one
+    state in memory; incidents go in parallel."""
+    import pyarrow as pa
+
+    columns = ["state", "owner_role", "next_action", "note"]
+    rows = events.select(F.col("incident_id").cast("string"), F.col("instant").cast("long"), *[F.col(c).cast("string") for c in columns])
+    rows = rows.repartition("incident_id").sortWithinPartitions("incident_id", "instant", *columns)
+    names = ["incident_id", "instant", "refused", "state", "owner_role", "next_action", "notes"]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64()]
+
+    def run(batches):
+        now, state = object(), None
+        for b in batches:
+            out = []
+            for own, at, *patch in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != now:
+                    now, state = own, ("open", "Unassigned", "", 0)
+                refused, state = _patched(state, *patch)
+                out.append((own, at, refused, *state))
+            cells = zip(*out, strict=True) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, FOLDED)
+
+
+def _patched(now: tuple, state: str | None, owner: str | None, action: str | None, note: str | None) -> tuple[str | None, tuple]:
+    """The rule that a patch of (state, owner, action, notes) breaks, if any, and what is then."""
+    note = (note or "").strip()
+    if state and state not in STATES:
+        return "state-invalid", now
+    new = (state or now[0], now[1] if owner is None else owner.strip(), now[2] if action is None else action.strip(), now[3] + bool(note))
+    if new[0] == "resolved":
+        if now[0] != "resolved" and not note:
+            return "closure-note", now
+        if now[0] == "resolved" and new[1:3] != now[1:3] and not note:
+            return "edit-note", now
+        if not new[1] or new[1].lower() == "unassigned":
+            return "owner", now
+        if not new[2]:
+            return "action", now
+        if not new[3]:
+            return "evidence", now
+    return None, new

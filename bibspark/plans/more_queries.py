@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bibspark.functions import formats
-from bibspark.operators import fields, hierarchy, rules, services, snapshots, workspace
+from bibspark.operators import fields, hierarchy, rules, services, snapshots, tables, workspace
 from bibspark.plans import crosswalk, dictionaries, reports, views
 from bibspark.plans.queries import FINDING, MARK, _mark, n, query
 from bibspark.plans.views import table
@@ -207,7 +207,7 @@ def continuity_status(spark, d):
 def _run(stream, tag: str):
     """Process what is there, then read the sink; both stand in the shared folder."""
     spark = stream.sparkSession
-    base = f"{hierarchy.shared_dir(spark)}/stream-{hierarchy.uuid.uuid4().hex}"
+    base = tables.new_folder(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{base}/{tag}").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/{tag}")
@@ -240,7 +240,7 @@ def stream_conflicts(spark, d):
 @query("stream_chain_verify", f"SELECT ledger_id, sequence, CASE WHEN bad THEN 'link' ELSE 'content' END AS problem FROM (SELECT ledger_id, sequence, previous_hash <> coalesce(lag(hash) OVER (PARTITION BY ledger_id ORDER BY sequence), 'GENESIS') AS bad, hash <> {MARK} AS touched FROM ledger) WHERE bad OR touched", "ledger")
 def stream_chain_verify(spark, d):
     batch = views.ledgers(spark, d)
-    base = f"{hierarchy.shared_dir(spark)}/ledger-{hierarchy.uuid.uuid4().hex}"
+    base = tables.new_folder(spark, "ledger")
     batch.write.parquet(base)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)

@@ -419,12 +419,13 @@ ORACLES["hierarchy_problems"] = DEPTH + "SELECT id, 'cycle' AS problem FROM unit
 
 @query("hierarchy_order")
 def hierarchy_order(spark, d):
-    return hierarchy.preorder(views.units(spark, d)).select("id", "depth", "path")
+    return hierarchy.preorder(views.units(spark, d))
 
 
 ORACLES["hierarchy_order"] = (
     "WITH RECURSIVE unit AS (" + views.ORACLE_VIEWS["unit"] + "), own AS (SELECT u.id, p.id AS parent_id FROM unit u LEFT JOIN unit p ON u.parent_id = p.id), ranked AS (SELECT id, parent_id, lpad(row_number() OVER (PARTITION BY parent_id ORDER BY id)::VARCHAR, 10, '0') AS r FROM own), "
-    "walk AS (SELECT id, 0 AS depth, lpad(id, 24, '0') AS path FROM ranked WHERE parent_id IS NULL UNION ALL SELECT k.id, depth + 1, path || '/' || r FROM walk JOIN ranked k ON k.parent_id = walk.id) SELECT * FROM walk"
+    "walk AS (SELECT id, id AS root, 0 AS depth, '' AS trail FROM ranked WHERE parent_id IS NULL UNION ALL SELECT k.id, root, depth + 1, trail || '/' || r FROM walk JOIN ranked k ON k.parent_id = walk.id), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY trail) - 1 AS position FROM walk) SELECT id, root, CAST(depth AS BIGINT) AS depth, position, root || '/' || lpad(position::VARCHAR, 19, '0') AS path FROM placed"
 )
 
 

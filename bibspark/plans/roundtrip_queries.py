@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bibspark.operators import hierarchy
+from bibspark.operators import hierarchy, tables
 from bibspark.plans import crosswalk, dictionaries, views
 from bibspark.plans.more_queries import _records
 from bibspark.plans.queries import n, query
@@ -12,7 +12,7 @@ from bibspark.sources import bibtex, jsons, tabular, tagged, xml
 
 
 def _folder(spark, tag: str) -> str:
-    return f"{hierarchy.shared_dir(spark)}/{tag}-{hierarchy.uuid.uuid4().hex}"
+    return tables.new_folder(spark, tag)
 
 
 def _as_files(exported):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bibspark.plans import family_queries, more_queries, queries, roundtrip_queries  # noqa: F401  all add to the same tables
+from bibspark.plans import family_queries, more_queries, queries, roundtrip_queries, state_queries  # noqa: F401  all add to the same tables
 
 QUERIES: dict = queries.QUERIES
 ORACLES: dict[str, str] = queries.ORACLES

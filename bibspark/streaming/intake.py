@@ -56,37 +56,106 @@ VERDICT = "ledger_id string, sequence long, problem string"
 
 
 class LedgerVerifier(StatefulProcessor):
-    """Per ledger: the last sequence number and hash; an event that does not follow is reported."""
+    """Per ledger: the last sequence number and hash that are verified, and a buffer of events that came too early.
+
+    The buffer is a map of the state store, not of the worker's memory, and frames are read one by one. An event is
+    verified when all before it are. patient: a gap stays open until the watermark passes the event behind it, else
+    only until the micro-batch ends."""
+
+    def __init__(self, patient: bool) -> None:
+        self.patient = patient
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sequence long, hash string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        sequence, last = self.last.get() if self.last.exists() else (0, GENESIS)
-        out = []
-        events = pd.concat(list(rows)).sort_values("sequence")
-        for s, previous, own, body in zip(events.sequence, events.previous_hash, events["hash"], events["content"], strict=True):
-            if s != sequence + 1:
-                out.append((key[0], int(s), "gap"))
-            elif previous != last:
-                out.append((key[0], int(s), "link"))
-            elif own != body:
-                out.append((key[0], int(s), "content"))
-            sequence, last = int(s), own
-        self.last.update((sequence, last))
+        self.handle = handle
+        self.last = handle.getValueState("last", "sequence long, hash string, early long")
+        self.early = handle.getMapState("early", "sequence long", "previous_hash string, hash string, content string, ms long")
+
+    def _begin(self) -> None:
+        self.sequence, self.hash, self.waiting = self.last.get() if self.last.exists() else (0, GENESIS, 0)
+
+    def _verify(self, out: list, ledger: str, sequence: int, previous: str, own: str, content: str) -> None:
+        if sequence != self.sequence + 1:
+            out.append((ledger, sequence, "gap"))
+        elif previous != self.hash:
+            out.append((ledger, sequence, "link"))
+        elif own != content:
+            out.append((ledger, sequence, "content"))
+        self.sequence, self.hash = sequence, own
+
+    def _take(self, out: list, ledger: str, sequence: int) -> None:
+        """Verify an event of the buffer."""
+        self._verify(out, ledger, sequence, *self.early.getValue((sequence,))[:3])
+        self.early.removeKey((sequence,))
+        self.waiting -= 1
+
+    def _follow(self, out: list, ledger: str) -> None:
+        """Verify what the buffer holds next to the last event."""
+        while self.waiting and self.early.containsKey((self.sequence + 1,)):
+            self._take(out, ledger, self.sequence + 1)
+
+    def _close_gaps(self, out: list, ledger: str, now: int | None) -> None:
+        """Go on behind gaps whose next event is older than now (None: all), and ask to be woken for the rest."""
+        for (sequence,) in sorted(self.early.keys()) if self.waiting else ():
+            if sequence == self.sequence + 1:
+                self._take(out, ledger, sequence)
+                continue
+            due = self.early.getValue((sequence,))[3]
+            if now is not None and due > now:
+                self.handle.registerTimer(due)
+                break
+            self._take(out, ledger, sequence)
+
+    def _end(self) -> None:
+        self.last.update((self.sequence, self.hash, self.waiting))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._begin()
+        first = None
+        for frame in rows:
+            out: list = []
+            frame = frame.sort_values("sequence", kind="stable")
+            for s, previous, own, content, ms in zip(frame.sequence.tolist(), frame.previous_hash, frame["hash"], frame["content"], frame.ms.tolist(), strict=True):
+                if s <= self.sequence or self.waiting and self.early.containsKey((s,)):
+                    out.append((key[0], s, "repeat"))
+                elif s == self.sequence + 1:
+                    self._verify(out, key[0], s, previous, own, content)
+                    self._follow(out, key[0])
+                else:
+                    self.early.updateValue((s,), (previous, own, content, ms))
+                    self.waiting += 1
+                    first = ms if first is None else min(first, ms)
+            yield pd.DataFrame(out, columns=["ledger_id", "sequence", "problem"])
+        if self.waiting and not self.patient:
+            out = []
+            self._close_gaps(out, key[0], None)
+            yield pd.DataFrame(out, columns=["ledger_id", "sequence", "problem"])
+        elif self.waiting and first is not None:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+        self._end()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._begin()
+        out: list = []
+        self._close_gaps(out, key[0], timerValues.getCurrentWatermarkInMs())
+        self._end()
         yield pd.DataFrame(out, columns=["ledger_id", "sequence", "problem"])
 
     def close(self) -> None:
         pass
 
 
-def verify_ledger_stream(events: DataFrame, expected: Column | None = None) -> DataFrame:
-    """(ledger_id, sequence, problem) of a stream of events (ledger.FIELDS and hash): gap, link or content, first that holds.
+def verify_ledger_stream(events: DataFrame, expected: Column | None = None, at: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """(ledger_id, sequence, problem) of a stream of events (ledger.FIELDS and hash): gap, link or content, first that
+    holds; repeat for a number that was verified or is waiting already (the event that came first counts).
 
-    The content is checked where events have all FIELDS. expected: the hash that an event should have, if it is not event_hash(). Needs the RocksDB state store. Events of one
-    ledger have to arrive in order across micro-batches, and those of one ledger in one micro-batch have to fit a task:
-    bound the micro-batches (maxFilesPerTrigger) where ledgers are long."""
+    Events of one ledger may come in any order. With a time column `at`, an event that comes early waits in the state
+    until those before it are there, or until the watermark (`delay` behind the newest event) passes it: then the gap
+    before it is reported. Without one, micro-batches have to come in order and gaps are reported at their end. The
+    content is checked where events have all FIELDS. expected: the hash that an event should have, if it is not
+    event_hash(). Needs the RocksDB state store."""
     if expected is None:
         expected = event_hash() if {*FIELDS} <= {*events.columns} else F.col("hash")
-    rows = events.select("ledger_id", "sequence", "previous_hash", "hash", expected.alias("content"))
-    return rows.groupBy("ledger_id").transformWithStateInPandas(LedgerVerifier(), VERDICT, "Append", "none")
+    ms = F.unix_millis(F.col(at).cast("timestamp")) if at else F.lit(0).cast("long")
+    rows = events.withWatermark(at, delay) if at else events
+    rows = rows.select("ledger_id", "sequence", "previous_hash", "hash", expected.alias("content"), ms.alias("ms"), *([at] if at else []))
+    return rows.groupBy("ledger_id").transformWithStateInPandas(LedgerVerifier(at is not None), VERDICT, "Append", "EventTime" if at else "none")

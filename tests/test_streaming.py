@@ -1,3 +1,8 @@
+import os
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +36,50 @@ def test_ledger_stream(spark, tmp_path):
     assert got == {("a", 3, "link"), ("b", 3, "gap")}
 
 
+def _ledger(name, n, seed=1):
+    """A sound ledger of n events, a minute apart."""
+    marks = ["GENESIS", *(f"{name}{i}" for i in range(1, n + 1))]
+    return [(name, i, marks[i - 1], marks[i], datetime(2024, 1, 1) + timedelta(minutes=i)) for i in range(1, n + 1)]
+
+
+EVENT = "ledger_id string, sequence long, previous_hash string, hash string, at timestamp"
+
+
+def _stream(spark, path, parts):
+    """A micro-batch for each list of events, in order."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.parquet(f"{path}/{i}")
+    for i, f in enumerate(sorted(Path(path).glob("*/*.parquet"), key=lambda f: int(f.parent.name))):
+        os.utime(f, (1e9 + i, 1e9 + i))
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
+
+
+def test_ledger_out_of_order(spark, tmp_path):
+    """Events shuffled over three micro-batches give no false gap; true gaps and repeats are found, each once."""
+    rnd = random.Random(3)
+    events = [*_ledger("a", 400), *_ledger("b", 50)]
+    gone = {("a", 37), ("a", 38), ("a", 200), ("b", 1)}
+    kept = [e for e in events if e[:2] not in gone]
+    kept = [(*e[:2], "wrong", *e[3:]) if e[:2] == ("a", 300) else e for e in kept]
+    rnd.shuffle(kept)
+    third = len(kept) // 3
+    again = [e for e in kept[:third] if e[1] % 50 == 3]
+    parts = [kept[:third], kept[third : 2 * third] + again, kept[2 * third :], [("clock", 1, "GENESIS", "c", datetime(2030, 1, 1))]]
+    run(intake.verify_ledger_stream(_stream(spark, tmp_path / "in", parts), at="at", delay="2 days"), "unordered")
+    got = sorted((r.ledger_id, r.sequence, r.problem) for r in spark.table("unordered").collect())
+    assert got == sorted([("a", 39, "gap"), ("a", 201, "gap"), ("a", 300, "link"), ("b", 2, "gap"), *((*e[:2], "repeat") for e in again)])
+
+
+def test_ledger_gap_closes_late(spark, tmp_path):
+    """A gap that the watermark has not passed is not reported; what fills it later is verified."""
+    a = _ledger("a", 9)
+    run(intake.verify_ledger_stream(_stream(spark, tmp_path / "in", [a[:2] + a[4:], a[2:4]]), at="at", delay="1 day"), "closed")
+    assert spark.table("closed").count() == 0
+    clock = [("clock", i, "GENESIS" if i == 1 else "c1", f"c{i}", datetime(2030, 1, i)) for i in (1, 2)]
+    run(intake.verify_ledger_stream(_stream(spark, tmp_path / "in2", [a[:2] + a[4:], clock[:1], clock[1:], a[2:4]]), at="at", delay="1 day"), "late")
+    assert sorted((r.sequence, r.problem) for r in spark.table("late").collect()) == [(5, "gap")]  # what comes behind the watermark is dropped
+
+
 def test_windows_and_repeats(spark, tmp_path):
     rows = [("2024-01-01 00:05:00", "error", "A", "d1"), ("2024-01-01 00:10:00", "error", "A", "d1"), ("2024-01-01 01:10:00", "notice", "B", "d2"), ("2024-01-01 09:00:00", "notice", "B", "d3")]
     spark.createDataFrame(rows, "ts string, severity string, code string, sha256 string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "f"))
