@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -197,40 +198,50 @@ def _in_range(with_payload: bool):
     schema = pa.schema([("path", pa.string()), ("split", pa.int64()), ("place", pa.int64()), ("piece", pa.binary()), *FIELDS[1:]])
 
     def run(batches):
-        now, at, number, held, first, out = None, 0, 0, [], True, []  # held: (position, bytes) that may still become one record
+        now, at, number, first, out = None, 0, 0, True, []
+        held, size, need = deque(), 0, None  # (position, bytes) that may still become one record, their size, what the first claims
 
         def settle():
-            """Records of the held pieces: those complete go, and so does a first piece that cannot become one."""
-            nonlocal held, first
+            """Records of the held pieces: those complete go, and so does a first piece that cannot become one.
+
+            What the first piece needs is found once, and the pieces of a record are joined once."""
+            nonlocal size, need, first
             while held:
-                need = _needs(held[0][1])
-                size = sum(len(x) for _, x in held)
+                need = _needs(held[0][1]) if need is None else need
                 if need > size:
                     return
                 start = held[0][0]
                 if need:
-                    whole, k = b"", 0
-                    while len(whole) < need:
-                        whole, k = whole + held[k][1], k + 1
+                    parts, n = [], 0
+                    for _, x in held:
+                        parts.append(x)
+                        n += len(x)
+                        if n >= need:
+                            break
+                    whole = b"".join(parts)
                     if got := _parse(whole, 0):
                         out.append((*now, start, None, start, start + got[2], *_row(got[0], got[1], with_payload)))
-                        if got[2] < len(whole):  # bytes before the next mark
-                            out.append((*now, start, None, start + got[2], start + len(whole), "gap", *[None] * 7))
-                        held, first = held[k:], False
+                        if got[2] < n:  # bytes before the next mark
+                            out.append((*now, start, None, start + got[2], start + n, "gap", *[None] * 7))
+                        for _ in parts:
+                            held.popleft()
+                        size, need, first = size - n, None, False
                         continue
-                raw = held.pop(0)[1]
+                raw = held.popleft()[1]
+                size, need = size - len(raw), None
                 if raw:
                     loose = first and now[1] > 0
                     out.append((*now, start, raw if loose else None, start, start + len(raw), LOOSE if loose else "gap", *[None] * 7))
 
         def close():
-            nonlocal held
+            nonlocal size, need
             if now is not None:
                 settle()
-                claim = _needs(held[0][1]) if held else 0
+                claim = (_needs(held[0][1]) if need is None else need) if held else 0
                 out.extend((*now, p, x, p, p + len(x), OPEN, *[None] * 5, claim, None) for p, x in held)
                 out.append((*now, at, None, 0, at, SIZE, *[None] * 7))
-                held = []
+                held.clear()
+                size, need = 0, None
 
         for b in batches:
             for path, split, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -240,7 +251,7 @@ def _in_range(with_payload: bool):
                 raw = raw.as_py()
                 raw = raw if not number and not split else MARK + raw  # a range after the first begins behind a mark
                 held.append((at, raw))
-                at, number = at + len(raw), number + 1
+                at, number, size = at + len(raw), number + 1, size + len(raw)
                 settle()
                 if len(out) >= 500:
                     yield batch(schema, *zip(*out, strict=True))
@@ -276,15 +287,16 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, compres
 
     def stitched(batches):
         """Pieces at the ends of ranges, sorted by path and position: runs without a hole are one text."""
-        name, start, held = None, 0, []
+        name, start, end, held = None, 0, 0, []
         for b in batches:
             for path, at, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (path != name or at != start + sum(map(len, held))):
+                if held and (path != name or at != end):
                     yield from whole_of(name, start, b"".join(held))
                     held = []
                 if not held:
                     name, start = path, at
                 held.append(raw)
+                end = at + len(raw)
         if held:
             yield from whole_of(name, start, b"".join(held))
 

@@ -207,3 +207,23 @@ def test_warc_very_long_url(spark, tmp_path):
     warc.write_warc(pages, f"{tmp_path}/w")
     got = {(r.record_id, r.status, bytes(r.payload), len(r.target_uri)) for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
     assert got == {("<urn:page:1>", "ok", b"one", 1_200_009), ("<urn:page:2>", "ok", b"two", 8)}
+
+
+def test_warc_payload_of_marks(spark, tmp_path):
+    """Payloads made of version marks take time in proportion to their size, and come back whole."""
+    import time
+
+    from bibspark.llm.warc import read_warc, write_warc
+
+    def seconds(n):
+        rows = [(1, "u", "WARC/1." * n), (2, "v", "plain"), (3, "w", "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * (n // 8))]
+        folder = str(tmp_path / str(n))
+        write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+        at = time.time()
+        got = {r.record_id: r.payload for r in read_warc(spark, folder).where("status = 'ok'").collect()}
+        assert got == {f"<urn:page:{i}>": t.encode() for i, _, t in rows}
+        return time.time() - at
+
+    seconds(100)
+    few, many = seconds(20_000), seconds(160_000)
+    assert many < 4 * few + 8, (few, many)
