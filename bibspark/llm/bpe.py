@@ -35,6 +35,31 @@ def byte_letters() -> list[str]:
     return out
 
 
+def newer_letters(path: str) -> tuple[dict[int, str], dict[int, str]]:
+    """What the tokenizers library, for this file, takes otherwise than Python and `regex`, whose Unicode versions differ.
+
+    Lower case of capitals that Python does not know; and for letters and numbers that only one of the two knows a sign of
+    the class that the library puts them in."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    every = [*map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))]
+    low = {}
+    if t.normalizer is not None:
+        letters = [c for c in every if not c.isspace() and c != "Σ" and unicodedata.normalize("NFC", c) == c]
+        low = {ord(c): x for c in letters if (x := t.normalizer.normalize_str(c)) != c.lower()}
+    count = lambda s: len(t.pre_tokenizer.pre_tokenize_str(s))
+    letter, number, signs = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), {}
+    later = [c for c in map(chr, range(0x20000, 0x34000)) if letter.match(c)]
+    for c in every + later:
+        if unicodedata.category(c) == "Cn":  # assigned after Python's version
+            own = "a" if letter.match(c) else "1" if number.match(c) else "\ue000"
+            is_now = "1" if count(c + c) == 2 else "a" if count("a" + c) == 1 else "\ue000"
+            if own != is_now:
+                signs[ord(c)] = is_now
+    return low, signs
+
+
 class WordBpe:
     """A tokenizer file with a word-end suffix: NFC, white space and case folding, split pattern, byte letters, merges."""
 
@@ -59,6 +84,8 @@ class WordBpe:
         self.keys, self.ranks, self.made = key[order], np.arange(len(key))[order], made
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
+        self.capitals, self.signs = newer_letters(path)
+        self.odd = regex.compile("[" + "".join(map(chr, self.signs)) + "]") if self.signs else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known = self.specials()
 
@@ -76,8 +103,12 @@ class WordBpe:
                 out.append(part)
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.split.findall(part.lower())
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(self.capitals)
+                part = part.lower()
+                if self.odd and not part.isascii() and self.odd.search(part):
+                    out += [part[m.start() : m.end()] for m in self.split.finditer(part.translate(self.signs))]
+                else:
+                    out += self.split.findall(part)
         return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,16 @@ def test_bpe_equals_library(reference):
         assert bpe.tokenizer(bpe.default_path()).decode(e.ids) == reference.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_letters_of_any_unicode_version(reference):
+    """Random strings over all planes, newest capitals among them, as the library encodes them."""
+    rnd = random.Random(16)
+    own = bpe.tokenizer(bpe.default_path())
+    newest = "\ua7cb\ua7cc\ua7da\ua7dc\u1c89\U00010d50\U00010d65"
+    texts = ["".join(rnd.choice(newest) if rnd.random() < 0.1 else chr(rnd.choice([rnd.randrange(0x20, 0xD800), rnd.randrange(0xE000, 0x20000), rnd.randrange(0xA640, 0xA800)])) for _ in range(rnd.randint(1, 30))) for _ in range(4000)]
+    differ = [t for t, ids in zip(texts, own.encode(texts), strict=True) if ids.tolist() != reference.encode(t, add_special_tokens=False).ids]
+    assert not differ, [hex(ord(c)) for c in differ[0]]
+
+
 def test_bpe_frames(spark):
     docs = spark.createDataFrame([(1, "Hello, world"), (2, None), (None, ""), (1, "Hello, world")], "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_tokens")
     path = bpe.default_path()
