@@ -10,12 +10,12 @@ discarded, and survivors are verified by their fingerprints.
   three groups. No pair within r bits is missed.
 * Cells of near copies (five-word shingles, similarity 0.8): at that similarity some ten of 64 bits differ, so no equal
   blocks are left; the KEYS smallest shingle hashes of a text are its cells instead. The table and the bits discard with
-  a wide margin, and what they leave is verified by the exact similarity of the shingle sets.
+  a wide margin, and what they leave is verified by the exact similarity of the shingle sets. Cells of more than PAIRS
+  rows are joined inside the cell: pairs are verified there, so that only links that hold make its trees.
 
-Cells are streamed sorted and no task ever holds an unbounded group: a cell of more than CELL rows is dealt anew, by
-pairs of its rows' smallest hashes, then in parts whose trees' representatives meet again, and what does not shrink so as
-salted pairs of sub-cells. Only a spanning forest of a cell's links (and each row's nearest row) is emitted, never all
-its pairs.
+Cells are streamed sorted and no task ever holds an unbounded group: a cell of more than CELL rows is dealt anew, as
+salted pairs of sub-cells, or, of near copies, in parts (see similar_links). Only a spanning forest of a cell's links is
+emitted, never all its pairs.
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ from bibspark.llm.common import batch, finished, gathered, materialise, mix64, r
 from bibspark.llm.graph import components
 
 CELL = 2048
+PAIRS = 16  # rows of a cell whose pairs are all compared at once
+CELL_BYTES = 64 << 20  # of shingle hashes that a cell of near copies holds
 SEED = 42
 BITS = 64
 PIVOTS = 32
 KEYS = 6  # smallest shingle hashes of a text
-SLACK = 2.5  # standard errors that a pair's estimated similarity may lie below the threshold before it is discarded
+SLACK = 3.5  # standard errors that a pair's estimated similarity may lie below the threshold before it is discarded
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -164,32 +166,19 @@ def _forest(fp: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[in
             reached, left = np.concatenate([reached, found]), left[~keep]
 
 
-def _nearest(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Of each row its nearest row within `radius`, ties to the first."""
-    for i in range(0, len(fp), 256):
-        d = np.bitwise_count(fp[i : i + 256, None] ^ fp[None]).sum(axis=2, dtype=np.int16)
-        own = np.arange(len(d))
-        d[own, own + i] = 32_000
-        best = d.argmin(axis=1)
-        for k in np.flatnonzero(d[own, best] <= radius).tolist():
-            yield k + i, int(best[k])
-
-
-def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of rows sorted by key: links of each run of equal keys."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     u, v = [], []
-    small = np.repeat(sizes <= 16, sizes)
-    for lag in range(1, min(16, int(sizes.max(initial=0)))):
+    small = np.repeat(sizes <= PAIRS, sizes)
+    for lag in range(1, min(PAIRS, int(sizes.max(initial=0)))):
         i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
         i = i[(np.abs(table[i] - table[i + lag]) <= radius).all(axis=1)]
         i = i[_near(fp[i], fp[i + lag], radius)]
         u.append(ids[i]), v.append(ids[i + lag])
-    for s, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+    for s, n in zip(starts[sizes > PAIRS], sizes[sizes > PAIRS], strict=True):
         pairs = list(_forest(fp[s : s + n], table[s : s + n], radius))
-        if nearest:
-            pairs += _nearest(fp[s : s + n], radius)
         if pairs:
             at = np.array(pairs) + s
             u.append(ids[at[:, 0]]), v.append(ids[at[:, 1]])
@@ -197,13 +186,13 @@ def _links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, table: np.ndarray,
     return np.concatenate([none, *u]), np.concatenate([none, *v])
 
 
-def _in_cells(radius: int, lanes: int, most: int | None, nearest: bool = False):
+def _in_cells(radius: int, lanes: int, most: int | None):
     """Streams rows (key, id, body) sorted by key -> links (u, v). Rows of cells larger than `most` come back as (key, u)."""
     schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def links(rows: pa.RecordBatch):
         fp, table = _read_bodies(rows.column(2), lanes)
-        u, v = _links(rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False), fp, table, radius, nearest)
+        u, v = _links(rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False), fp, table, radius)
         return batch(schema, pa.nulls(len(u), pa.int64()), u, v)
 
     def late(rows: pa.RecordBatch):
@@ -255,9 +244,9 @@ def _in_cells(radius: int, lanes: int, most: int | None, nearest: bool = False):
     return run
 
 
-def _streamed(rows: DataFrame, radius: int, lanes: int, most: int | None, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
+def _streamed(rows: DataFrame, radius: int, lanes: int, most: int | None) -> tuple[DataFrame, DataFrame]:
     """rows (key, id, body) -> links (u, v), and the (key, id) of cells that are too large; both written."""
-    table = materialise(rows.select("key", "id", "body").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_in_cells(radius, lanes, most, nearest), "key long, u long, v long"), "cells")
+    table = materialise(rows.select("key", "id", "body").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_in_cells(radius, lanes, most), "key long, u long, v long"), "cells")
     return table.where("v is not null").select("u", "v"), table.where("v is null").select("key", F.col("u").alias("id"))
 
 
@@ -267,33 +256,14 @@ def _in_parts(late: DataFrame) -> DataFrame:
     return late.join(parts, "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
-def near_links(table: DataFrame, radius: int, lanes: int, refine: bool = False) -> DataFrame:
+def near_links(table: DataFrame, radius: int, lanes: int) -> DataFrame:
     """A pivot table, ids distinct -> (u, v): links that connect the ids within `radius` bits that share a cell.
 
-    Cells of more than CELL rows: with refine, cells of two of their rows' keys and trees of parts come first (see
-    above); the rest go through salted pairs of sub-cells, which lose no link."""
+    Cells of more than CELL rows go through salted pairs of sub-cells, which lose no link."""
     body = table.select("id", "body")
-    links, late = _streamed(table.withColumn("key", F.explode("keys")), radius, lanes, CELL, refine)
+    links, late = _streamed(table.withColumn("key", F.explode("keys")), radius, lanes, CELL)
     if late.isEmpty():
         return links
-    if refine:
-        pairs = late.join(table, "id").withColumn("other", F.explode("keys")).where("other <> key")
-        finer, late = _streamed(pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "body").distinct(), radius, lanes, CELL, True)
-        links = links.unionByName(finer)
-        before = late.count()
-        while before:  # forests of parts, then the first rows of their trees in one cell
-            found, _ = _streamed(_in_parts(late).select(F.xxhash64("key", "s").alias("key"), "id").join(body, "id"), radius, lanes, None, True)
-            links = links.unionByName(found)
-            tree = components(found)
-            roots = late.join(tree.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-            merged, late = _streamed(roots.join(body, "id"), radius, lanes, CELL, True)
-            links = links.unionByName(merged)
-            n = late.count()
-            if 2 * n > before:
-                break
-            before = n
-        if not before:
-            return links
     parts = _in_parts(late).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     more, _ = _streamed(parts.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "id").join(body, "id"), radius, lanes, None)
     return links.unionByName(more)
@@ -351,9 +321,8 @@ def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same long, size long, fp array<long>, keys array<long>")
 
 
-def _verified(links: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of links (u, v) whose texts' shingle sets have at least the similarity. docs: (id, text) of all ends, id being
-    the hash of the set."""
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """docs (id, text), id being the hash of the text's set -> written (id, size, hashes): its distinct shingle hashes."""
     schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary())])
 
     def sets(batches):
@@ -364,21 +333,113 @@ def _verified(links: DataFrame, docs: DataFrame, words: int, similarity: float)
                 ends = np.cumsum(n)
                 yield batch(schema, part.column(0), run_hashes(mix64(x), ends - n, ends).view(np.int64), n, [y.tobytes() for y in np.split(x, ends[:-1])])
 
-    def alike(batches):
+    known = docs.select("id", "text").mapInArrow(sets, "id long, same long, size long, hashes binary")
+    return materialise(known.where(F.col("id") == F.xxhash64("same", "size")).dropDuplicates(["id"]).select("id", "size", "hashes"), "sets")  # other texts of a doc_id go
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least the Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    z = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int((z[1:] == z[:-1]).sum())
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of links (u, v) whose shingle sets have at least the similarity."""
+
+    def run(batches):
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    z = np.sort(np.concatenate([x, y]), kind="stable")
-                    both = int((z[1:] == z[:-1]).sum())
-                    keep[k] = both >= similarity * (len(x) + len(y) - both)
-            yield b.select([0, 1]).filter(pa.array(keep))
+            keep = [alike(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair), similarity) for pair in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_set"))
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+
+
+def linked_cell(fp: np.ndarray, table: np.ndarray, sets: list[np.ndarray], label: np.ndarray, own: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of similar sets that join all rows of a cell which similar sets join, with what their labels join already.
+
+    Pairs of one label so far are not looked at; of the others, those whose pivot distances, bits and sizes may do are
+    compared exactly, the nearest first. A pair of rows that are both not its own is another cell's."""
+    size, label = np.array(list(map(len, sets))), label.copy()
+    for i in range(1, len(fp)):
+        at = np.flatnonzero((label[:i] != label[i]) & (own[:i] | own[i]))
+        at = at[(size[at] >= similarity * size[i]) & (size[i] >= similarity * size[at])]
+        at = at[(np.abs(table[at] - table[i]) <= radius).all(axis=1)]
+        d = np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1, dtype=np.int64)
+        for j in at[np.argsort(d, kind="stable")][: int((d <= radius).sum())].tolist():
+            if label[j] != label[i] and alike(sets[i], sets[j], similarity):
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
+def _similar_in_cells(rows: DataFrame, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """rows (key, id, label, own, body, hashes), cells of bounded size -> written (u, v): verified links."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def links(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        fp, table = _read_bodies(rows.column(4), lanes)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(5)]
+        ids, label = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        found = np.array(list(linked_cell(fp, table, sets, np.unique(label, return_inverse=True)[1], rows.column(3).to_numpy(zero_copy_only=False), radius, similarity)), np.int64).reshape(-1, 2)
+        return batch(schema, ids[found[:, 0]], ids[found[:, 1]])
 
-    known = docs.select("id", "text").mapInArrow(sets, "id long, same long, size long, hashes binary")
-    known = materialise(known.where(F.col("id") == F.xxhash64("same", "size")).dropDuplicates(["id"]), "sets")  # other texts of a doc_id go
-    side = lambda c: known.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_set"))
-    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(alike, "u long, v long")
+    def run(batches):
+        held = []
+        for b in batches:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for x, y in zip(cut, cut[1:], strict=False):
+                if x == y:
+                    continue
+                if held and held[0].column(0)[0].as_py() != key[x]:
+                    yield links(held)
+                    held = []
+                held.append(b.slice(x, y - x))
+        if held:
+            yield links(held)
+
+    dealt = rows.select("key", "id", "label", "own", "body", "hashes").repartition("key").sortWithinPartitions("key", "id")
+    return materialise(dealt.mapInArrow(run, "u long, v long"), "alike")
+
+
+def similar_links(late: DataFrame, table: DataFrame, sets: DataFrame, known: DataFrame, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """(u, v): verified links that connect the ids of each cell of late (key, id), given known links that hold already.
+
+    A cell is dealt in parts of bounded rows and bytes, joined each within itself. Of cells of several parts, one row of
+    each component that came out meets in one more cell; what is left then is compared whole: the rows of a cell's
+    largest component stand in one part each, those of all others in every part, and only rows of different components
+    are compared. So a hot group of copies costs its rows once, and no link is lost."""
+    inner = table.select("id", "body").join(sets, "id")
+    sizes = late.join(sets.select("id", "size"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") * 8 / CELL_BYTES)).cast("int").alias("parts"))
+    rows = materialise(late.join(sizes, "key").withColumn("s", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")), "dealt")
+    full = lambda r: r.join(inner, "id")
+    links = _similar_in_cells(full(rows.select(F.xxhash64("key", "s").alias("key"), "id", F.col("id").alias("label"), F.lit(True).alias("own"))), radius, lanes, similarity)
+    big = rows.where("parts > 1")
+    if big.isEmpty():
+        return links
+
+    def labelled(found: DataFrame) -> DataFrame:
+        """big with the component of each row, of cells that hold several."""
+        roots = components(found)
+        named = big.join(roots, big.id == roots.node, "left").select("key", "id", "s", "parts", F.coalesce("root", "id").alias("label"))
+        several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("key")
+        return materialise(named.join(several, "key", "left_semi"), "labels")
+
+    now = labelled(known.unionByName(links))
+    firsts = now.groupBy("key", "label").agg(F.min("id").alias("id"))
+    groups = firsts.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    met = firsts.join(groups, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("n"))).alias("key"), "id", "label", F.lit(True).alias("own"))
+    links = links.unionByName(_similar_in_cells(full(met), radius, lanes, similarity))
+    now = labelled(known.unionByName(links))
+    largest = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("most"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    spread = now.join(largest, "key").withColumn("t", F.explode(F.when(F.col("label") == F.col("most"), F.array("s")).otherwise(every)))
+    rest = spread.select(F.xxhash64("key", "t").alias("key"), "id", "label", (F.col("t") == F.col("s")).alias("own"))
+    return links.unionByName(_similar_in_cells(full(rest), radius, lanes, similarity))
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 2) -> DataFrame:
@@ -395,12 +456,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fps = materialise(_sketches(own, words, lanes), "fps")
     kinds = materialise(fps.groupBy("same", "size").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64("same", "size")), "kinds")
-    links = near_links(pivot_table(kinds.select("id", "fp", "keys"), lanes), radius, lanes, True)
-    links = materialise(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    ends = materialise(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
-    chosen = kinds.join(ends, "id", "left_semi").select("id", "low", "same", "size")
-    texts = own.join(chosen.select("id", F.col("low").alias("doc_id")), "doc_id")
-    roots = components(_verified(links, texts, words, similarity))
+    table = pivot_table(kinds.select("id", "fp", "keys"), lanes)
+    pairs, late = _streamed(table.withColumn("key", F.explode("keys")), radius, lanes, PAIRS)
+    pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(late.select("id")).distinct(), "ends")
+    chosen = kinds.join(ends, "id", "left_semi").select("id", F.col("low").alias("doc_id"))
+    sets = _sets(own.join(chosen, "doc_id"), words)
+    links = materialise(_verified(pairs, sets, similarity), "verified")
+    if not late.isEmpty():
+        links = links.unionByName(similar_links(late, table, sets, links, radius, lanes, similarity))
+    roots = components(links)
     named = kinds.join(roots, kinds.id == roots.node, "left").select("same", "size", "low", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("group_id"))
     named = named.join(lowest, "root").select("same", "size", "group_id")

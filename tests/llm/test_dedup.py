@@ -403,3 +403,67 @@ def test_repeated_ids_of_different_texts(spark):
     assert got == [(7, 50, 110, 5, 0, 60), (9, 10, 70, 5, 0, 60)]
     left = sorted((g.doc_id, g.text or "") for g in substrings.remove_passages(docs).collect())
     assert left == sorted([(5, ""), (5, " ".join(p)), (7, " ".join(words(50, 901))), (7, short), (9, ""), (9, " ".join(words(10, 902))), (11, ""), (11, "")])
+
+
+def _family(rnd, rows, groups):
+    """Variants of one text: groups whose members are alike, and which are nearly alike to each other."""
+    base = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    kept = [base[:]]
+    for _ in range(groups - 1):
+        t = base[:]
+        for i in rnd.sample(range(150), rnd.randint(5, 12)):
+            t[i] = f"g{rnd.randrange(10**6)}"
+        kept.append(t)
+    out = []
+    for k in range(rows):
+        t = kept[k % groups][:]
+        for i in rnd.sample(range(150), rnd.choice([0, 1, 1, 2, 3])):
+            t[i] = f"d{rnd.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+def _groups_of(texts, similarity=0.8):
+    """Connected components of exact similarity, by counting shared shingles."""
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    where: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared: dict = {}
+        for x in s:
+            for j in where[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n >= similarity * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("rows, cell", [(20, 2048), (240, 2048), (600, 64)])
+def test_nearly_alike_groups(spark, monkeypatch, rows, cell):
+    """Links are verified inside the cells, small, large and dealt in parts: the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    texts = _family(random.Random(rows), rows, max(3, rows // 12))
+    want = _groups_of(texts)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(rows)] == want
+    assert 1 < len(set(want)) < rows
+
+
+def test_nearly_alike_groups_in_a_large_cell(spark):
+    """More rows in one cell than CELL, by the cells' own size."""
+    texts = _family(random.Random(7), simhash.CELL + 500, 40)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i in range(len(texts))] == _groups_of(texts)
