@@ -467,3 +467,39 @@ def test_nearly_alike_groups_in_a_large_cell(spark):
     texts = _family(random.Random(7), simhash.CELL + 500, 40)
     got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     assert [got[i] for i in range(len(texts))] == _groups_of(texts)
+
+
+def _decoyed(seed, n, length, piece, similarity):
+    """n pairs of documents with a fuzzy passage, whose pieces also stand scattered in one document before them all, and in
+    one between the two of each pair; and the words of the passage in each later document."""
+    rnd = random.Random(seed)
+    fresh = iter(range(10**9))
+    word = lambda: f"v{next(fresh)}"
+    prose = lambda k: [word() for _ in range(k)]
+    first, rows, at = [], [], {}
+    for i in range(n):
+        a = prose(length)
+        b = list(a)
+        for k in range(piece, length, piece + 1):
+            if rnd.random() < (1 - similarity) * (piece + 1):
+                b[k] = word()
+        pieces = [a[k : k + piece] for k in range(0, length, piece + 1)]
+        rnd.shuffle(pieces)
+        scattered = lambda: [w for p in pieces for w in [*p, *prose(30)]]  # noqa: E731, B023
+        first += scattered()
+        at[10 * i + 12] = (40, 40 + length)
+        rows += [(10 * i + 10, prose(30) + a + prose(30)), (10 * i + 11, scattered()), (10 * i + 12, prose(40) + b + prose(25))]
+    return [(0, first), *rows], at
+
+
+@pytest.mark.parametrize("length, piece, least", [(120, 14, 10), (120, 7, 8), (200, 30, 10)])
+def test_passages_whose_pieces_stand_elsewhere(spark, length, piece, least):
+    """Of ten passages; with pieces of seven words few pairs of seeds are left whole."""
+    rows, at = _decoyed(piece, 10, length, piece, 1 - 1 / (piece + 1))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)
+    found = {i: set() for i in at}
+    for r in substrings.passages(docs).collect():
+        if r.doc_id in found and r.source_doc_id == r.doc_id - 2:
+            found[r.doc_id] |= set(range(r.start_word, r.end_word))
+    shares = [len(found[i] & set(range(*at[i]))) / length for i in at]
+    assert sum(s >= 0.9 for s in shares) >= least, shares
