@@ -22,16 +22,16 @@ SCHEMA_IN = {
     **dict.fromkeys(("imageobject", "imageobjectsnapshot"), "Image"), "map": "Map", **dict.fromkeys(("musiccomposition", "musicrecording", "sheetmusic"), "Score"), "dataset": "Dataset", **dict.fromkeys(("softwaresourcecode", "softwareapplication"), "Software"), **dict.fromkeys(("website", "webpage"), "Website"), "report": "Report", "thesis": "Thesis", "manuscript": "Manuscript",
     **dict.fromkeys(("archivecomponent", "archiveorganization"), "Archival collection"),
 }
-# Types of resource and genre words of MODS; a smaller rank goes before a larger one.
-MODS_IN = [
-    (1, "Archival collection", ("archive", "archives", "archival", "collection", "collections")), (2, "Map", ("cartographic", "map", "maps")), (3, "Score", ("notated", "score", "scores")), (4, "Video", ("moving", "video", "videos")), (5, "Audio", ("sound",)), (6, "Image", ("still", "photograph", "photographs")), (7, "Dataset", ("dataset", "datasets")),
-    (8, "Software", ("software",)), (9, "Thesis", ("thesis", "theses", "dissertation", "dissertations")), (10, "Article", ("article", "articles")), (11, "Conference paper", ("conference", "conferences")), (12, "Report", ("report", "reports")), (13, "Book", ("book", "books")),
-]
-# MARC evidence: (rank, source, value, format); a smaller rank goes before a larger one.
-MARC_IN = [
-    (1, "genre", "video", "Video"), (2, "336$b", "cod", "Dataset"), (3, "336$b", "cop", "Software"), (4, "LDR/06", "g", "Video"), (5, "LDR/06", "i", "Audio"), (5, "LDR/06", "j", "Audio"), (6, "LDR/06", "k", "Image"), (7, "LDR/06", "e", "Map"), (7, "LDR/06", "f", "Map"), (8, "LDR/06", "c", "Score"), (8, "LDR/06", "d", "Score"),
-    (9, "LDR/06", "t", "Manuscript"), (10, "LDR/06+07", "pc", "Archival collection"), (11, "LDR/07", "b", "Article"), (12, "LDR/07", "a", "Book chapter"), (13, "LDR/07", "s", "Serial"), (14, "LDR/07", "i", "Website"), (15, "336$b+338$b", "txtcr", "Online book"), (16, "999$a", "VID", "Video"),
-]
+# Words of MODS resource types and genres: those that name a material, and those that name a kind of text.
+MATERIALS = {
+    **dict.fromkeys(("archival", "archive", "archives", "collection", "collections"), "Archival collection"), **dict.fromkeys(("cartographic", "map", "maps"), "Map"), **dict.fromkeys(("dataset", "datasets"), "Dataset"), **dict.fromkeys(("moving", "video", "videos"), "Video"),
+    **dict.fromkeys(("notated", "score", "scores"), "Score"), **dict.fromkeys(("photograph", "photographs", "still"), "Image"), "software": "Software", "sound": "Audio",
+}
+TEXTS = {**dict.fromkeys(("article", "articles"), "Article"), **dict.fromkeys(("book", "books"), "Book"), **dict.fromkeys(("conference", "conferences"), "Conference paper"), **dict.fromkeys(("dissertation", "dissertations", "theses", "thesis"), "Thesis"), **dict.fromkeys(("report", "reports"), "Report")}
+# Codes of MARC 21 that name a record format, by their vocabulary.
+CONTENT_TYPES = {"cod": "Dataset", "cop": "Software"}  # 336$b: computer dataset, computer program
+RECORD_TYPES = {"c": "Score", "d": "Score", "e": "Map", "f": "Map", "g": "Video", "i": "Audio", "j": "Audio", "k": "Image", "t": "Manuscript"}  # leader, position 6
+LEVELS_OF_RECORDS = {"a": "Book chapter", "b": "Article", "i": "Website", "s": "Serial"}  # leader, position 7: parts, integrating resources, serials
 LEVEL_ALIASES = {"recordgrp": "record-group", "recordgroup": "record-group", "subfonds": "subseries", "record-series": "series"}
 ATOM_LEVELS = {x: x.replace("-", " ").capitalize() for x in LEVELS}
 
@@ -43,12 +43,6 @@ def lookup(value: Column, table: dict[str, str], default: str | None = None) ->
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
-def best_ranked(hits: Column, default: Column | str) -> Column:
-    """The name of the smallest rank of an array of `rank name` texts (two digits, a space)."""
-    value = F.lit(default) if isinstance(default, str) else default
-    return F.coalesce(F.substring(F.array_min(F.array_compact(hits)), 4, 99), value)
-
-
 def online_book(fmt: Column, online: Column) -> Column:
     return F.when((fmt == "Book") & online, "Online book").otherwise(fmt)
 
@@ -80,22 +74,23 @@ def format_from_bibtex(kind: Column) -> Column:
 
 
 def format_from_mods(kind: Column, genres: Column, online: Column) -> Column:
-    """The best ranked word of the genres and the type of resource; plain text is a book."""
+    """The first word of the resource type and the genres that names a material, else a kind of text; plain text is a book."""
     words = F.split(F.lower(F.concat_ws(" ", kind, F.array_join(genres, " "))), "[^a-z]+")
-    ranks = {w: f"{rank:02d} {name}" for rank, name, own in MODS_IN for w in own}
+    first = lambda table: F.get(F.array_compact(F.transform(words, lambda w: lookup(w, table))), F.lit(0))
     plain = F.when(F.lower(kind) == "text", "Book").otherwise("Other")
-    return online_book(best_ranked(F.transform(words, lambda w: lookup(w, ranks)), plain), online)
+    return online_book(F.coalesce(first(MATERIALS), first(TEXTS), plain), online)
 
 
 def format_from_marc(trace: Column, genres: Column, declared: Column) -> Column:
-    """A declared format, else the best ranked evidence of MARC_IN, else a book."""
-    t = lambda k: F.coalesce(F.try_element_at(trace, F.lit(k)), F.lit(""))
-    video = F.exists(genres, lambda g: g.rlike("(?i)video|motion picture"))
-    values = {"genre": F.when(video, "video"), "LDR/06+07": F.concat(t("LDR/06"), t("LDR/07")), "336$b+338$b": F.concat(t("336$b"), t("338$b"))}
-    sources = dict.fromkeys(source for _, source, _, _ in MARC_IN)
-    hits = [lookup(values[s] if s in values else t(s), {v: f"{rank:02d} {name}" for rank, own, v, name in MARC_IN if own == s}) for s in sources]
-    named = F.get(F.array_compact(F.transform(declared, exact_format)), F.lit(0))
-    return F.coalesce(named, best_ranked(F.array(*hits), "Book"))
+    """What the record declares, else what its most specific evidence says: genre terms, content type, type of record (of
+    mixed material: a collection), bibliographic level, text on an online carrier, the local code; else a book."""
+    t = lambda k: F.try_element_at(trace, F.lit(k))
+    said = F.get(F.array_compact(F.transform(declared, exact_format)), F.lit(0))
+    film = F.when(F.exists(genres, lambda g: g.rlike("(?i)video|motion picture")), "Video")
+    collection = F.when((t("LDR/06") == "p") & (t("LDR/07") == "c"), "Archival collection")
+    online = F.when((t("336$b") == "txt") & (t("338$b") == "cr"), "Online book")
+    local = F.when(t("999$a") == "VID", "Video")
+    return F.coalesce(said, film, lookup(t("336$b"), CONTENT_TYPES), lookup(t("LDR/06"), RECORD_TYPES), collection, lookup(t("LDR/07"), LEVELS_OF_RECORDS), online, local, F.lit("Book"))
 
 
 def to_ris(fmt: Column) -> Column:

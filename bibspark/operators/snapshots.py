@@ -73,6 +73,15 @@ def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> D
     return rows.select(key, F.explode(found).alias("d")).select(key, "d.*")
 
 
+def store(rows: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A revision as a table of the warehouse, in `buckets` buckets by key, sorted within; read back.
+
+    Revisions that are stored alike are compared, joined and upserted by key without a shuffle, as often as one likes:
+    choose buckets for the size that revisions will have (about 256 MB each), the same for all."""
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("errorifexists").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row (missing, extra, equal): multiset equality of two tables."""
     missing = left.exceptAll(right).agg(F.count("*").alias("missing")).withColumn("k", F.lit(1))

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bibspark.operators import contracts, evidence, hierarchy, lists, tables
-from bibspark.plans import views
-from bibspark.plans.more_queries import _run
+from bibspark.operators import contracts, evidence, hierarchy, interop, lists, scan, search, snapshots, tables
+from bibspark.plans import crosswalk, views
+from bibspark.plans.more_queries import _records, _run
 from bibspark.plans.queries import _mark, query
 from bibspark.plans.views import table
-from bibspark.sources import structure
+from bibspark.sources import jsons, structure, tagged
 from bibspark.streaming import intake
 
 # --- trees of any depth ----------------------------------------------------------------------------------------------
@@ -217,7 +217,7 @@ def receipt_checks(spark, d):
     """Orders as anchors of their customer's lineage, some left out, and as receipts that were given for them."""
     w = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), w.alias("workspace_id"), F.struct("o_orderdate", "o_orderkey").alias("at"))
-    o = hierarchy.running(o, ["workspace_id"], ["at"], place="sequence").drop("at")
+    o = scan.running(o, ["workspace_id"], ["at"], place="sequence").drop("at")
     k, n = F.col("k"), F.col("sequence")
     digest = F.md5(F.concat_ws(":", "workspace_id", n.cast("string")).cast("binary"))
     point = lambda g: F.struct(g.alias("generation"))
@@ -283,3 +283,63 @@ def stream_ledger_order(spark, d):
         return _run(intake.verify_ledger_stream(stream, F.when(F.col("ledger_id") == "~clock", F.lit("")).otherwise(_mark()), "at", "1 day"), "verdicts")
     finally:
         spark.conf.set(provider, before)
+
+
+# --- search by an index, stored revisions, large arrays, losses of a format ------------------------------------------
+
+HAY = "lower(concat_ws(' ', id, title, creator, isbn, doi, CASE WHEN carrier IS NOT NULL THEN 'https://doi.org/10.1234/PART.' || (k + 5) END, isbn2))"
+
+
+@query("catalog_search_index", f"SELECT q AS query, k, id FROM catalog, (VALUES ('brand#1'), ('widget brand'), ('ng'), ('10.1234/part.10')) v(q) WHERE contains({HAY}, q)", "catalog")
+def catalog_search_index(spark, d):
+    """Searches by way of one index; the one of two letters scans."""
+    records, folder, out = views.catalog(spark, d), tables.new_folder(spark, "grams"), None
+    search.build_index(records, folder, key="k")
+    for q in ("brand#1", "Widget Brand", "ng", "10.1234/PART.10"):
+        rows = search.indexed_search(records, folder, q, key="k").select(F.lit(q.lower()).alias("query"), "k", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("stored_revisions", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change, count(*) AS n FROM snap_a a FULL JOIN snap_b b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.cents <> b.cents OR a.status <> b.status GROUP BY ALL", "snap_a", "snap_b")
+def stored_revisions(spark, d):
+    """Two revisions in bucketed tables: their difference takes no shuffle."""
+    name = lambda w: f"revision_{w}_{tables.uuid.uuid4().hex}"
+    a, b = (snapshots.store(views.snapshot(spark, d, w), name(w), "id", 8) for w in "ab")
+    return snapshots.diff(a, b, "id", ["status", "priority", "cents"]).select("id", "change").distinct().withColumn("n", F.lit(1).cast("long"))
+
+
+@query("large_arrays", """SELECT (p_partkey % 4)::INT AS file, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS ordinal, p_partkey AS id, CASE WHEN p_partkey % 9 = 2 THEN NULL ELSE p_name || ' "' || p_brand || '", [' || p_type || '\\] {:' END AS name FROM part""")
+def large_arrays(spark, d):
+    """Arrays in files that are cut wherever a quote stands; names hold quotes, brackets and backslashes."""
+    k = F.col("p_partkey")
+    name = F.to_json(F.struct(F.concat(F.col("p_name"), F.lit(' "'), F.col("p_brand"), F.lit('", ['), F.col("p_type"), F.lit("\\] {:")).alias("name")))
+    item = F.concat(F.lit('{"id":'), k.cast("string"), F.lit(', "in":[[], {"x":[1,"]"]}], "n":'), F.when(k % 9 == 2, "null").otherwise(name), F.lit("}"))
+    p = table(spark, d, "part").withColumn("file", (k % 4).cast("int"))
+    last = scan.running(p.select("file", k, item.alias("item")), ["file"], [F.desc("p_partkey")], place="back")
+    lines = last.select("file", F.lit(1).alias("o"), F.col("p_partkey").alias("k"), F.concat("item", F.when(F.col("back") > 1, ",").otherwise("")).alias("line"))
+    ends = p.select("file").distinct()
+    lines = lines.union(ends.select("file", F.lit(0), F.lit(0).cast("long"), F.lit('{"records": 1, "x": [1, "a"], "items": ['))).union(ends.select("file", F.lit(2), F.lit(0).cast("long"), F.lit('], "items2": [2]}')))
+    folder = tables.new_folder(spark, "arrays")
+    lines.repartition("file").sortWithinPartitions("file", "o", "k").select("file", "line").write.partitionBy("file").text(folder)  # an array is one file by its format
+    found = jsons.read_large_array(spark, folder, "*.txt", "items")
+    v = F.parse_json("json")
+    return found.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "ordinal", F.try_variant_get(v, "$.id", "long").alias("id"), F.try_variant_get(v, "$.n.name", "string").alias("name"))
+
+
+@query(
+    "roundtrip_losses",
+    """SELECT id, field, sent, back FROM (SELECT 'f' || k AS id, * EXCLUDE (id) FROM catalog), LATERAL (
+      SELECT 'identifiers' AS field, '{"v":[' || concat_ws(',', own, two, three, four) || ']}' AS sent, '{"v":[' || concat_ws(',', two, own, four) || ']}' AS back FROM (SELECT '{"scheme":"isbn","value":"' || isbn || '"}' AS own, '{"scheme":"doi","value":"' || doi || '"}' AS two, CASE WHEN carrier IS NOT NULL THEN '{"scheme":"local","value":"https://doi.org/10.1234/PART.' || (k + 5) || '"}' END AS three, '{"scheme":"isbn","value":"' || isbn2 || '"}' AS four)
+      UNION ALL SELECT 'extent', '{"v":"' || creator || ' p."}', '{"v":""}'
+      UNION ALL SELECT 'coverage', '{"v":"' || b336 || '"}', '{"v":""}') WHERE sent <> back""",
+    "catalog",
+)
+def roundtrip_losses(spark, d):
+    """What records lose on their way through RIS: other identifiers, the order of those that it has, and fields without a tag."""
+    sent = _records(spark, d).withColumn("id", F.col("path")).withColumn("extent", F.concat(F.get("creators", F.lit(0)), F.lit(" p.")))
+    kinds = views.catalog(spark, d).select(F.concat(F.lit("f"), "k").alias("path"), F.col("trace")["336$b"].alias("coverage"))
+    sent = sent.drop("coverage").join(kinds, "path")
+    back = tagged.read_ris(crosswalk.ris(sent).select(F.col("id").alias("path"), F.col("out").alias("text")))
+    keep = ["id", "title", "creators", "format", "identifiers", "links", "extent", "coverage"]
+    return interop.field_differences(sent.select(*keep), back.select(*keep))

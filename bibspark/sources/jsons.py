@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.functions import dates, formats, identity, text
 from bibspark.functions.text import first_reason
+from bibspark.operators.scan import running
 from bibspark.sources.canonical import IDENTIFIER, finish
 
 CONTEXTS = ("https://schema.org", "https://schema.org/", "http://schema.org", "http://schema.org/")
@@ -89,3 +90,40 @@ def packet_unknown_keys(files: DataFrame) -> DataFrame:
     """(path, ordinal, key) of record keys that a packet may not have."""
     rows = _items(files, "$.records").select("path", "ordinal", F.json_object_keys(F.to_json("item")).alias("keys"))
     return rows.select("path", "ordinal", F.explode(F.array_except("keys", F.array(*map(F.lit, PACKET_KEYS)))).alias("key"))
+
+
+def read_large_array(spark: SparkSession, path: str, glob: str = "*", member: str | None = None) -> DataFrame:
+    """(path, ordinal, json) of the items of JSON arrays in files of any size: the array is the file's root, or the `member`
+    of its root object.
+
+    Files are cut at every quote, so one file is read by many tasks. Running state over the file (operators.scan) tells
+    what stands inside strings and how deep brackets are open there; commas at the array's depth end items. Quotes after an
+    odd number of backslashes are inside their string. Null items are items; an empty array gives no row."""
+    lines = spark.read.option("lineSep", '"').option("pathGlobFilter", glob).text(path)
+    p = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    escaped = F.length(F.regexp_extract("piece", r"(\\*)$", 1)) % 2 == 1  # the quote behind this piece belongs to the string
+    p = running(p, ["path"], ["split", "at"], sums={"quotes": F.when(escaped, 0).otherwise(1)}, place="n")
+    inside = (F.col("quotes") - F.when(escaped, 0).otherwise(1)) % 2 == 1
+    p = p.withColumn("inside", inside)
+    # outside strings a piece is cut behind each mark, so that each part lies at one depth
+    parts = F.when(F.col("inside"), F.array("piece")).otherwise(F.split("piece", r"(?<=[\[\]{},:])", -1))
+    rows = p.select("path", "n", "inside", F.size(parts).alias("parts"), F.posexplode(parts).alias("k", "part"))
+    mark = F.when(F.col("inside"), "").otherwise(F.regexp_extract("part", r"([\[\]{},:])$", 1))
+    step = F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+    rows = running(rows.withColumn("mark", mark), ["path"], ["n", "k"], sums={"depth": step})
+    if member is None:
+        opens, level = (F.col("mark") == "[") & (F.col("depth") == 1), 1
+    else:  # the array behind the member's name and colon in the root object
+        name = running(rows, ["path"], ["n", "k"], earlier={"key": F.when(F.col("inside") & (F.col("depth") == 1), F.col("part"))})
+        rows = running(name, ["path"], ["n", "k"], earlier={"of": F.when((F.col("mark") == ":") & (F.col("depth") == 1), F.col("key"))})
+        opens, level = (F.col("mark") == "[") & (F.col("depth") == 2) & (F.col("of") == member), 2
+    closes = (F.col("mark") == "]") & (F.col("depth") == level - 1)
+    rows = running(rows, ["path"], ["n", "k"], earlier={"within": F.when(opens, F.lit(True)).when(closes, F.lit(False))})
+    rows = rows.where(F.coalesce("within", F.lit(False)))
+    ends = (F.col("mark") == ",") & (F.col("depth") == level)
+    rows = running(rows, ["path"], ["n", "k"], sums={"ended": F.when(ends, 1).otherwise(0)}, place="place")
+    kept = F.when(ends | closes, F.expr("substring(part, 1, length(part) - 1)")).otherwise(F.col("part"))
+    piece_end = F.when(F.col("k") == F.col("parts") - 1, '"').otherwise("")  # the quote that the file was cut at
+    rows = rows.select("path", (F.col("ended") - F.when(ends, 1).otherwise(0)).alias("item"), "place", F.concat(kept, piece_end).alias("s"))
+    items = rows.groupBy("path", "item").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]), "")).alias("json"))  # one item is one row
+    return items.where("json <> ''").select("path", (F.col("item") + 1).alias("ordinal"), "json")
