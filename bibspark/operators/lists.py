@@ -40,13 +40,26 @@ def contaminated(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("records"), F.count_if("synthetic").alias("synthetic")).withColumn("contaminated", (F.col("synthetic") > 0) & (F.col("synthetic") < F.col("records")))
 
 
+FRONT = 10_000  # a page that ends here or before is taken from each partition's first rows
+
+
 def page(rows: DataFrame, order: list[str], number: int, size: int = 100) -> DataFrame:
     """The rows of a page (0 first; clamped to the last) by a total order, with page, pages, total, start and end.
 
-    Rows are dealt by ranges of the order and written once with their range; a row's rank is the number of rows of smaller
-    ranges plus its place in its own range, and only ranges that the page touches are ranked."""
+    Of a page that ends within the first FRONT rows, each partition's first so many rows are merged. Beyond, rows are
+    dealt by ranges of the order and written once with their range; a row's rank is the number of rows of smaller ranges
+    plus its place in its own range, and only ranges that the page touches are ranked."""
     if size < 1:
         raise ValueError("a page has at least one row")
+    if (max(int(number), 0) + 1) * size <= FRONT:
+        total = rows.count()
+        pages = max(1, -(-total // size))
+        at = min(max(int(number), 0), pages - 1)
+        start, end = (at * size + 1 if total else 0), min(total, (at + 1) * size)
+        info = {"page": at, "pages": pages, "total": total, "start": start, "end": end}
+        first = rows.orderBy(*order).limit(max(end, 1))  # FRONT rows at most
+        ranked = first.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return ranked.where(F.col("position").between(start, end)).withColumns({k: F.lit(v).cast("long") for k, v in info.items()})
     dealt = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a range
     total = sum(n for _, n in sizes)
