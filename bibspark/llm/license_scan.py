@@ -166,3 +166,16 @@ def op8_license(spark, sf_dir):
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
     return finished(rows, "licenses", before)
+
+
+def license_base(spark, sf_dir):
+    """The columns of op8_license that SQL can express."""
+    return op8_license(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m FROM d)
+SELECT doc_id, n AS n_words, len(a) + len(g) + len(m) AS n_base, list_min(a || g || m) - 1 AS first_word, list_max(a || g || m) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM p
+"""

@@ -254,3 +254,19 @@ def op13_rules(spark, sf_dir):
     rows = judged(read_table(spark, sf_dir, "documents"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return finished(rows.select(*columns, "n_tokens", *SLACK, "rejected"), "rules", before)
+
+
+def rules_base(spark, sf_dir):
+    """The columns of op13_rules that SQL can express."""
+    return op13_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, u.i, count(*) OVER (PARTITION BY doc_id, u.s) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: {'i': i, 's': array_to_string(w[i:i + 4], ' ')})) AS u FROM d)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM g WHERE n > 1) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_license": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}, "op9_decontaminate": {"doc_id", "item_id", "n_shared", "n_item", "containment"}, "op10_ann": {"query_id", "rank", "vec_id", "score"},
     "op11_merkle": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
     "op12_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"}, "op13_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "license_base": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"}, "rules_base": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"},
 }
 
 
