@@ -34,6 +34,7 @@ from bibspark.llm.graph import components
 
 CELL = 2048
 PAIRS = 16  # rows of a cell whose pairs are all compared at once
+PAIR_COST = 400_000  # multiplications that take as long as comparing two sets
 CELL_BYTES = 64 << 20  # of shingle hashes that a cell of near copies holds
 SEED = 42
 BITS = 64
@@ -358,19 +359,53 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
+def _candidates(fp: np.ndarray, table: np.ndarray, size: np.ndarray, label: np.ndarray, own: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Of a cell's rows a lower triangle of the pairs of different labels whose sizes, pivot distances and bits may do."""
+    out = np.zeros((len(fp), len(fp)), bool)
+    for i in range(1, len(fp)):
+        at = np.flatnonzero((label[:i] != label[i]) & (own[:i] | own[i]) & (size[:i] >= similarity * size[i]) & (size[i] >= similarity * size[:i]))
+        at = at[(np.abs(table[at] - table[i]) <= radius).all(axis=1)]
+        out[i, at[_near(fp[at], fp[i], radius)]] = True
+    return out
+
+
+def _shared(sets: list[np.ndarray], kinds: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How many hashes each two sets share: products of 0/1 columns, of the hashes that several sets have."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    often = np.bincount(which) > 1
+    column = (np.cumsum(often) - 1)[which]
+    keep = often[which]
+    row, column = row[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, width = np.zeros((n, n), np.float32), max(1, (1 << 24) // n)
+    for first in range(0, int(often.sum()), width):
+        a, z = np.searchsorted(column, [first, first + width])
+        x = np.zeros((n, width), np.float32)
+        x[row[a:z], column[a:z] - first] = 1
+        both += x @ x.T
+    return both
+
+
 def linked_cell(fp: np.ndarray, table: np.ndarray, sets: list[np.ndarray], label: np.ndarray, own: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links of similar sets that join all rows of a cell which similar sets join, with what their labels join already.
 
     Pairs of one label so far are not looked at; of the others, those whose pivot distances, bits and sizes may do are
-    compared exactly, the nearest first. A pair of rows that are both not its own is another cell's."""
+    compared exactly: one by one, or, where most pairs may do, all at once by a product of matrices, whichever is less
+    work. A pair of rows that are both not its own is another cell's."""
     size, label = np.array(list(map(len, sets))), label.copy()
-    for i in range(1, len(fp)):
-        at = np.flatnonzero((label[:i] != label[i]) & (own[:i] | own[i]))
-        at = at[(size[at] >= similarity * size[i]) & (size[i] >= similarity * size[at])]
-        at = at[(np.abs(table[at] - table[i]) <= radius).all(axis=1)]
-        d = np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1, dtype=np.int64)
-        for j in at[np.argsort(d, kind="stable")][: int((d <= radius).sum())].tolist():
-            if label[j] != label[i] and alike(sets[i], sets[j], similarity):
+    may = _candidates(fp, table, size, label, own, radius, similarity)
+    pairs = int(may.sum())
+    both = None
+    if pairs > len(sets):
+        kinds, which = np.unique(np.concatenate(sets), return_inverse=True)
+        if pairs * PAIR_COST > 2 * len(sets) ** 2 * int((np.bincount(which) > 1).sum()):
+            both = _shared(sets, kinds, which)
+            may &= both >= similarity * (size[:, None] + size[None] - both)
+    for i in np.flatnonzero(may.any(axis=1)).tolist():
+        for j in np.flatnonzero(may[i]).tolist():
+            if label[j] != label[i] and (both is not None or alike(sets[i], sets[j], similarity)):
                 yield i, j
                 label[label == label[j]] = label[i]
 
