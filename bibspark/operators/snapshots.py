@@ -51,10 +51,14 @@ def delete(current: DataFrame, keys: DataFrame, key: str = "id", guard: DataFram
 
 
 def patch(current: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Non-null columns of changes replace those of the same key."""
-    cols = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
-    return current.join(renamed, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in current.columns])
+    """Non-null columns of changes replace those of the same key; a column `clear` (array of names) names those that
+    become null."""
+    cols = [c for c in changes.columns if c not in (key, "clear")]
+    clear = F.col("clear") if "clear" in changes.columns else F.array().cast("array<string>")
+    renamed = changes.select(key, clear.alias("_clear"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    gone = lambda c: F.coalesce(F.array_contains("_clear", c), F.lit(False))
+    new = {c: F.coalesce(f"_new_{c}", c) if c in cols else F.col(c) for c in current.columns}
+    return current.join(renamed, key, "left").select(*[F.col(c) if c == key else F.when(~gone(c), v).alias(c) for c, v in new.items()])
 
 
 def rollback(history: DataFrame, to_revision: str, new_revision: str) -> DataFrame:

@@ -370,6 +370,18 @@ def corrected_records(spark, d):
     return refused
 
 
+@query("corrected_catalog", "SELECT id, CASE WHEN k % 50 = 4 THEN 'New title' ELSE title END AS title, CASE WHEN k % 50 <> 4 THEN location END AS location, availability FROM clean", *FINDING, "clean")
+def corrected_catalog(spark, d):
+    """The records after corrections: what is refused stays as it was, and a field may be emptied."""
+    c = views.catalog(spark, d)
+    bad = rules.catalog_findings(c).where("severity = 'error' or code = 'RECORD_ID_DUPLICATE'").select(F.col("record_id").alias("id")).distinct()
+    clean = c.join(bad, "id", "left_anti").where("k % 101 <> 0 and k % 101 <> 100")
+    title = F.when(F.col("k") % 50 == 2, " ").otherwise("New title")
+    changes = clean.where("k % 50 in (2, 4)").select("id", title.alias("title"), F.array(F.lit("location")).alias("clear"))
+    after, _ = workspace.correct_records(clean, changes)
+    return after.select("id", "title", "location", "availability")
+
+
 @query("appended_records", "SELECT k, id FROM catalog WHERE k % 2 = 1 UNION ALL SELECT k, id FROM catalog c WHERE k % 2 = 0 AND id NOT IN (SELECT record_id FROM finding WHERE severity = 'error') AND NOT EXISTS (SELECT 1 FROM catalog o WHERE o.k % 2 = 1 AND o.id = c.id) AND NOT EXISTS (SELECT 1 FROM claim a JOIN claim b ON a.claim = b.claim WHERE a.id = c.id AND a.k % 2 = 0 AND b.k % 2 = 1)", *FINDING)
 def appended_records(spark, d):
     c = views.catalog(spark, d)
