@@ -85,7 +85,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
         self.capitals, self.signs = newer_letters(path)
-        self.odd = regex.compile("[" + "".join(map(chr, self.signs)) + "]") if self.signs else None
+        self.odd, self.newest = frozenset(map(chr, self.signs)), frozenset(map(chr, self.capitals))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known = self.specials()
 
@@ -103,9 +103,11 @@ class WordBpe:
                 out.append(part)
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(self.capitals)
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                    if not self.newest.isdisjoint(set(part)):
+                        part = part.translate(self.capitals)
                 part = part.lower()
-                if self.odd and not part.isascii() and self.odd.search(part):
+                if not part.isascii() and not self.odd.isdisjoint(set(part)):
                     out += [part[m.start() : m.end()] for m in self.split.finditer(part.translate(self.signs))]
                 else:
                     out += self.split.findall(part)
