@@ -30,13 +30,19 @@ def _none() -> Column:
     return F.array().cast(RESULT)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: otherwise every mention parses its JSON anew,
+    and mentions inside mentions multiply with each level of a contract."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first(path: Column, *rules: tuple[Column, str]) -> Column:
     """The first rule that holds, as a list of at most one."""
     out = None
     for test, rule in rules:
         test = F.coalesce(test, F.lit(False))
         out = F.when(test, rule) if out is None else out.when(test, rule)
-    return _none() if out is None else F.when(out.isNull(), _none()).otherwise(F.array(_at(path, out)))
+    return _none() if out is None else _let(out, lambda rule: F.when(rule.isNull(), _none()).otherwise(F.array(_at(path, rule))))
 
 
 def _key(path: Column, key: Column | str) -> Column:
@@ -71,17 +77,21 @@ class Text(Spec):
     name: str = "form"
 
     def check(self, v, path):
-        s = _as(v, "string")
-        rules = [(_kind(v) != "STRING", "not-text"), (F.length(s) < self.least, "too-short")]
-        if self.most is not None:
-            rules.append((F.length(s) > self.most, "too-long"))
-        if self.values:
-            rules.append((~s.isin(*self.values), "value"))
-        if self.pattern:
-            rules.append((~s.rlike(self.pattern), "pattern"))
-        if self.test:
-            rules.append((~self.test(s), self.name))
-        return _first(path, *rules)
+        def own(s):
+            rules = [(_kind(v) != "STRING", "not-text")]
+            if self.least > 0:
+                rules.append((F.length(s) < self.least, "too-short"))
+            if self.most is not None:
+                rules.append((F.length(s) > self.most, "too-long"))
+            if self.values:
+                rules.append((~s.isin(*self.values), "value"))
+            if self.pattern:
+                rules.append((~s.rlike(self.pattern), "pattern"))
+            if self.test:
+                rules.append((~self.test(s), self.name))
+            return _first(path, *rules)
+
+        return _let(_as(v, "string"), own)
 
 
 @dataclass(frozen=True)
@@ -135,17 +145,19 @@ class Items(Spec):
     alone: bool = False
 
     def check(self, v, path):
-        items = _as(v, LIST)
-        rules = [(F.size(items) < self.least, "too-few")]
-        if self.most is not None:
-            rules.append((F.size(items) > self.most, "too-many"))
-        if self.distinct:
-            texts = F.transform(items, lambda x: x.cast("string"))
-            rules.append((F.size(F.array_distinct(texts)) < F.size(items), "repeated"))
-        inner = F.flatten(F.transform(items, lambda x, i: self.of.check(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        listed = F.concat(_first(path, *rules), inner)
         other = self.of.check(v, path) if self.alone else F.array(_at(path, "not-list"))
-        return F.when(_kind(v) == "ARRAY", listed).otherwise(other)
+
+        def own(items):
+            rules = [(F.size(items) < self.least, "too-few")] if self.least > 0 else []
+            if self.most is not None:
+                rules.append((F.size(items) > self.most, "too-many"))
+            if self.distinct:
+                texts = F.transform(items, lambda x: x.cast("string"))
+                rules.append((F.size(F.array_distinct(texts)) < F.size(items), "repeated"))
+            inner = F.flatten(F.transform(items, lambda x, i: self.of.check(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+            return F.when(items.isNull(), other).otherwise(F.concat(_first(path, *rules), inner))
+
+        return _let(_as(v, LIST), own)  # null for what is no list
 
 
 @dataclass(frozen=True)
@@ -157,16 +169,17 @@ class Entries(Spec):
     forbidden: tuple[str, ...] = ()
 
     def check(self, v, path):
-        entries = F.map_entries(_as(v, OBJECT))
-        whole = _first(path, (F.size(entries) > self.most, "too-many")) if self.most is not None else _none()
-
         def one(e):
             inner = self.of.check(e["value"], _key(path, e["key"]))
             if not self.forbidden:
                 return inner
             return F.when(e["key"].isin(*self.forbidden), F.array(_at(_key(path, e["key"]), "forbidden-key"))).otherwise(inner)
 
-        return F.when(_kind(v) == "OBJECT", F.concat(whole, F.flatten(F.transform(entries, one)))).otherwise(F.array(_at(path, "not-object")))
+        def own(entries):
+            whole = _first(path, (F.size(entries) > self.most, "too-many")) if self.most is not None else _none()
+            return F.when(entries.isNull(), F.array(_at(path, "not-object"))).otherwise(F.concat(whole, F.flatten(F.transform(entries, one))))
+
+        return _let(F.map_entries(_as(v, OBJECT)), own)  # null for what is no object
 
 
 @dataclass(frozen=True)
@@ -179,16 +192,19 @@ class Record(Spec):
 
     def check(self, v, path):
         known = [*self.required, *self.optional]
-        others = F.array_except(F.map_keys(_as(v, OBJECT)), F.array(*map(F.lit, known)))
-        parts = [F.transform(F.array_sort(others), lambda k: _at(_key(path, k), "unknown-key"))]
-        for keys, absent in ((self.required, True), (self.optional, False)):
-            for k, spec in keys.items():
-                own = get(v, k)
-                missing = F.array(_at(_key(path, k), "missing")) if absent else _none()
-                parts.append(F.when(own.isNull(), missing).otherwise(spec.check(own, _key(path, k))))
-        for name, right in self.tests.items():
-            parts.append(_first(path, (~right(v), name)))
-        return F.when(_kind(v) == "OBJECT", F.concat(*parts)).otherwise(F.array(_at(path, "not-object")))
+
+        def member(k, spec, absent):
+            missing = F.array(_at(_key(path, k), "missing")) if absent else _none()
+            return _let(get(v, k), lambda own: F.when(own.isNull(), missing).otherwise(spec.check(own, _key(path, k))))
+
+        def of(keys):
+            others = F.array_except(keys, F.array(*map(F.lit, known)))
+            parts = [F.transform(F.array_sort(others), lambda k: _at(_key(path, k), "unknown-key"))]
+            parts += [member(k, spec, absent) for specs, absent in ((self.required, True), (self.optional, False)) for k, spec in specs.items()]
+            parts += [_first(path, (~right(v), name)) for name, right in self.tests.items()]
+            return F.when(keys.isNull(), F.array(_at(path, "not-object"))).otherwise(F.concat(*parts))
+
+        return _let(F.map_keys(_as(v, OBJECT)), of)  # null for what is no object
 
 
 def get(v: Column, key: str, kind: str = "variant") -> Column:
@@ -199,8 +215,7 @@ def get(v: Column, key: str, kind: str = "variant") -> Column:
 def violations(spec: Spec, json: Column) -> Column:
     """array<struct<path, rule>> of a JSON text; the path of the record itself is empty. Null, and what is no JSON or has
     a key twice, is not-json."""
-    v = F.try_parse_json(json)
-    return F.when(v.isNull(), F.array(_at(F.lit(""), "not-json"))).otherwise(spec.check(v, F.lit("")))
+    return _let(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.array(_at(F.lit(""), "not-json"))).otherwise(spec.check(v, F.lit(""))))
 
 
 def broken(rows: DataFrame, spec: Spec, json: str, *keep: str) -> DataFrame:

@@ -118,7 +118,7 @@ def _repeated(value, n):
 )
 def record_contracts(spark, d):
     """Stored catalog records as JSON, whose members are made of the part's own values."""
-    p, k = table(spark, d, "part"), F.col("p_partkey")
+    p, k = tables.spread(table(spark, d, "part"), "p_partkey"), F.col("p_partkey")
     ident = lambda s, v: _object(_member("scheme", _text(s)), _member("value", _text(v)))
     metadata = _object(
         _member("volume", _text(F.repeat("p_type", (k % 12).cast("int")))),
@@ -163,7 +163,7 @@ STAMPS = '"createdAt":"2024-01-01T00:00:00Z"'
 )
 def archive_contracts(spark, d):
     """Stored units and schemas as JSON."""
-    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    c, k = tables.spread(table(spark, d, "customer"), "c_custkey"), F.col("c_custkey")
     cells = F.transform(F.sequence(F.lit(1), F.greatest((k % 300).cast("int"), F.lit(1))), lambda i: F.when((F.col("c_acctbal") < 0) & (i == 2), '{"x":1}').otherwise(_text(i.cast("string"))))
     values = _object(F.concat(F.lit('"'), F.lower("c_mktsegment"), F.lit('":['), F.array_join(cells, ","), F.lit("]")), F.when(F.col("c_nationkey") == 13, '"constructor":1'))
     day = F.concat(F.lit('"2024-02-'), F.lpad((k % 31).cast("string"), 2, "0"), F.lit('T00:00:00Z"'))
@@ -172,7 +172,7 @@ def archive_contracts(spark, d):
         _member("values", values), F.lit(STAMPS), _member("updatedAt", F.when(k % 31 == 30, day).otherwise('"2024-02-29T00:00:00Z"')),
     )
     units = contracts.broken(c.select(F.lit("unit").alias("kind"), k.alias("id"), unit.alias("json")), contracts.STORED_UNIT, "json", "kind", "id")
-    s, j = table(spark, d, "supplier"), F.col("s_suppkey")
+    s, j = tables.spread(table(spark, d, "supplier"), "s_suppkey"), F.col("s_suppkey")
     odd = F.when(j % 8 == 3, '{"marc":"x"}').otherwise('{"ead":"x"}')
     one = lambda i: F.concat(F.lit('{"id":"f","label":"l","definition":"","kind":"text","repeatable":true,"vocabulary":["a"],"required":'), F.when(i % 50 == 0, "1").otherwise("true"), F.lit(',"mappings":'), F.when(i == 1, odd).otherwise("{}"), F.lit("}"))
     fields = F.concat(F.lit("["), F.array_join(F.when(j % 140 > 0, F.transform(F.sequence(F.lit(1), F.greatest((j % 140).cast("int"), F.lit(1))), one)).otherwise(F.array()), ","), F.lit("]"))
@@ -191,7 +191,7 @@ def archive_contracts(spark, d):
 )
 def service_contracts(spark, d):
     """Stored service records as JSON; the values are those of the event."""
-    e, k = table(spark, d, "events"), F.col("event_id")
+    e, k = tables.spread(table(spark, d, "events").select("event_id", "event_type", "props"), "event_id"), F.col("event_id")
     inner = F.get_json_object("props", "$.k")
     values = _object(_member("k", F.when(F.col("event_type") == "error", F.concat(F.lit('{"v":'), inner, F.lit("}"))).otherwise(F.concat(F.lit("["), inner, F.lit(',true,"x"]')))))
     plain = F.regexp_replace("props", '"', "'")

@@ -5,7 +5,10 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bibspark.operators import contracts as C
+from bibspark.operators.tables import spread
 
 SHA = "0" * 64
 
@@ -100,3 +103,14 @@ def test_stored(spark, spec, good, cases):
 def test_extended_anchor(spark):
     later = {**ANCHOR, "sequence": 2, "previousAnchorDigest": SHA, "previousCheckpoint": POINT}
     assert found(spark, C.ANCHOR, {**later, "activeCheckpoint": {**POINT, "generation": 2}}, later, {**later, "previousCheckpoint": None}) == [[], [("", "not-chained")], [("", "not-chained")]]
+
+
+def test_plan_grows_with_the_contract(spark):
+    """A value is named once, so each level of a contract adds its own expressions and multiplies none; and the rows of a small file are many tasks' work."""
+    spec, sizes = C.Items(C.Text(3, 1)), []
+    for _ in range(4):
+        spec = C.Record({"a": C.Items(spec)})
+        plan = spark.range(1).select(C.violations(spec, F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+        sizes.append(plan.count("try_variant_get"))
+    assert sizes[-1] - sizes[-2] == sizes[-2] - sizes[-3], sizes
+    assert spread(spark.range(10), "id").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
