@@ -15,9 +15,12 @@ RAREST = 4  # grams of a query whose postings are read
 
 def grams(text: Column) -> Column:
     """Distinct trigrams of a text in lower case."""
-    low = F.lower(text)
-    n = F.length(low)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(low, i, GRAM)))).otherwise(F.array().cast("array<string>"))
+
+    def of(low: Column) -> Column:
+        n = F.length(low)
+        return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(low, i, GRAM)))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.lower(text)), of), F.lit(0))  # the text is made once, not once a gram
 
 
 def haystack() -> Column:
@@ -29,7 +32,7 @@ def build_index(records: DataFrame, path: str, text: Column | None = None, key:
     """Write the postings of records to path/postings, and how many each gram has to path/counts.
 
     The postings of a frequent gram are dealt over several files (by key within the gram)."""
-    rows = records.select(F.col(key).alias("key"), F.explode(grams(haystack() if text is None else text)).alias("gram")).distinct()
+    rows = records.select(F.col(key).alias("key"), F.explode(grams(haystack() if text is None else text)).alias("gram"))
     rows.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{path}/postings")
     kept = records.sparkSession.read.parquet(f"{path}/postings")
     kept.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
@@ -46,7 +49,7 @@ def candidates(records: DataFrame, path: str, query: str) -> DataFrame | None:
     known = {r.gram: r.n for r in spark.read.parquet(f"{path}/counts").where(F.col("gram").isin(*own)).collect()}
     rare = sorted(own, key=lambda g: (known.get(g, 0), g))[:RAREST]
     postings = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(*rare))
-    return postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("key")
+    return postings.groupBy("key").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rare)).select("key")
 
 
 def indexed_search(records: DataFrame, path: str, query: str, fmt: str | None = None, text: Column | None = None, key: str = "id") -> DataFrame:

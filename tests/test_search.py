@@ -78,3 +78,14 @@ def test_large_arrays(spark, tmp_path, member, indent):
         assert {f: [g[k] for k in sorted(g)] for f, g in got.items()} == want and all(sorted(g) == list(range(1, len(g) + 1)) for g in got.values())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_postings_take_no_hash_table(spark):
+    """Postings are sorted, not gathered in a hash table a task; a key with two records counts each gram once; and the text is made once a record."""
+    records = spark.createDataFrame([("a", "xy abc", [], [], "Book"), ("a", "abcd", [], [], "Map"), ("b", "bcd", [], [], "Book")], RECORD)
+    folder = tables.new_folder(spark, "grams")
+    search.build_index(records, folder)
+    assert spark.read.parquet(f"{folder}/postings").where("gram = 'abc' and key = 'a'").count() == 2
+    assert sorted(r.title for r in search.indexed_search(records, folder, "abc").collect()) == ["abcd", "xy abc"]
+    plan = records.select(search.grams(search.haystack()).alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat_ws") == 1
