@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibspark.operators import ledger
+from bibspark.operators.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog records from parts; defects are fixed functions of the key."""
     k = F.col("k")
-    base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type", "p_size")
+    base = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type", "p_size"), "k")
     twin = F.when((k % 11 == 0) & (k > 0), k - 1).otherwise(k)
     digits = F.concat(F.lit("978"), F.lpad(twin.cast("string"), 9, "0"))
     weighted = sum((F.substring(digits, i, 1).cast("int") * (1 if i % 2 else 3) for i in range(2, 13)), F.substring(digits, 1, 1).cast("int"))

@@ -146,3 +146,19 @@ def test_ragged_rows(spark, tmp_path):
     files = spark.createDataFrame([("t", (tmp_path / "t.csv").read_text()), ("ok", "a,b\n1,2\n"), ("none", "")], "path string, text string")
     assert [(r.path, r.line, r.problem) for r in tabular.csv_rejects(files).where("path = 't'").orderBy("line").collect()] == [("t", 3, "ragged"), ("t", 5, "ragged")]
     assert tabular.csv_rejects(files).where("path = 'ok'").count() == 0
+
+
+def test_catalog_is_dealt_over_all_cores(spark):
+    """The parts are one small file, whose records are many tasks' work."""
+    from bibspark.plans import views
+
+    assert views.catalog(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_orphans_need_no_hash_table(spark):
+    from bibspark.operators import hierarchy
+
+    units = spark.createDataFrame([("a", None), ("b", "a"), ("b", "a"), ("c", "x")], "id string, parent_id string")
+    found = hierarchy.orphans(units)
+    assert [tuple(r) for r in found.collect()] == [("c", "x")]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
