@@ -16,8 +16,8 @@ def _folder(spark, tag: str) -> str:
 
 
 def _as_files(exported):
-    """One file per record."""
-    return exported.select(F.concat(F.lit("f"), F.monotonically_increasing_id()).alias("path"), F.col("out").alias("text"))
+    """One file per record, written once: readers go over the files more than once, and names given anew could differ."""
+    return tables.stage(exported.select(F.concat(F.lit("f"), F.monotonically_increasing_id()).alias("path"), F.col("out").alias("text")), "files")
 
 
 def _shown(back):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import formats, identity
 from bibspark.functions.text import first_reason
+from bibspark.operators.tables import stage
 from bibspark.sources.canonical import finish, first_of, in_order
 
 TAG = r"^([A-Z0-9]{2}) {2}- ?(.*)$"
@@ -179,8 +180,9 @@ def marc_records(sub: DataFrame, family: str) -> DataFrame:
 
 
 def read_marc_text(files: DataFrame) -> DataFrame:
-    good = files.join(marc_quarantine(files), "path", "left_anti")
-    return marc_records(marc_subfields(marc_fields(good)), "marc-text")
+    fields = stage(marc_fields(files), "fields")  # fields and subfields are read several times: each text is parsed once
+    good = fields.join(marc_quarantine(files, fields), "path", "left_anti")
+    return marc_records(stage(marc_subfields(good), "subfields"), "marc-text")
 
 
 def source_elements(fields: DataFrame, dictionary: DataFrame, code: str = "code") -> DataFrame:

@@ -152,3 +152,17 @@ def test_archive_tables(spark, tmp_path):
     assert got["r2"] == ("r1", None) and got["r3"] == ("r2", None) and got["r4"] == ("r1", None) and got["r5"][1] == "skipped-level"
     assert ("r1", "odd_column", "x") in {(r.unit_id, r.field_id, r.s) for r in values.collect()}
     assert "odd_column" in {r.field_id for r in fields.collect()}
+
+
+def test_marc_texts_are_parsed_once(spark):
+    """Records are put together from stored subfields, and files are named once, however often they are read."""
+    from pyspark.sql import functions as F
+
+    from bibspark.plans import roundtrip_queries
+    from bibspark.sources import tagged
+
+    files = roundtrip_queries._as_files(spark.range(1).select(F.lit("=LDR  00000nam a2200000 i 4500\n=001  a\n=245  00$at\n=720  \\\\$ax$ecreator\n").alias("out")))
+    assert "monotonically" not in files._jdf.queryExecution().optimizedPlan().toString()
+    back = tagged.read_marc_text(files)
+    assert [(r.id, r.title, r.creators) for r in back.collect()] == [("a", "t", ["x"])]
+    assert "regexp_extract_all" not in back._jdf.queryExecution().optimizedPlan().toString()
