@@ -38,12 +38,14 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def many_tasks(spark: SparkSession) -> int:
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal narrow rows over all cores before work that takes long or writes much a row: a small compressed file is few
     splits, so that its rows would be few tasks' work. The number is given, so that it is not coalesced for small bytes."""
-    spark = df.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, *keys)
+    return df.repartition(many_tasks(df.sparkSession), *keys)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -254,6 +254,9 @@ def incident_states(spark, d):
     return lists.incident_states(rows)
 
 
+DELAY = "10000 days"  # events are a second apart and come in any order: none may be late, and the clock's event lies 26,000 days ahead
+
+
 @query(
     "stream_ledger_order",
     """SELECT * FROM (WITH e AS (SELECT *, instant::BIGINT AS k, sha256(ledger_id || '|' || sequence || '|' || instant || '|' || action) AS mark, lag(hash) OVER (PARTITION BY ledger_id ORDER BY sequence) AS prior FROM ledger), kept AS (SELECT * FROM e WHERE k % 53 <> 7),
@@ -272,15 +275,15 @@ def stream_ledger_order(spark, d):
     none = F.lit("")
     clock = spark.range(1).select(F.lit("~clock").alias("ledger_id"), F.lit(1).cast("long").alias("sequence"), none.alias("instant"), none.alias("action"), none.alias("target"), none.alias("state_digest"), none.alias("mark"), F.lit("GENESIS").alias("previous_hash"), none.alias("hash"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("at"), F.lit(4).alias("part"))
     folder = tables.new_folder(spark, "unordered")
-    arrivals = kept.unionByName(clock)
-    for i in range(5):  # files of a later micro-batch are newer
-        arrivals.where(F.col("part") == i).coalesce(1).write.mode("append").parquet(folder)
+    arrivals = tables.stage(kept.unionByName(clock), "arrivals")
+    for i in range(5):  # files of a later micro-batch are newer; each is many tasks' work
+        tables.spread(arrivals.where(F.col("part") == i), "ledger_id").write.mode("append").parquet(folder)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-        return _run(intake.verify_ledger_stream(stream, F.when(F.col("ledger_id") == "~clock", F.lit("")).otherwise(_mark()), "at", "1 day"), "verdicts")
+        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", tables.many_tasks(spark)).parquet(folder)
+        return _run(intake.verify_ledger_stream(stream, F.when(F.col("ledger_id") == "~clock", F.lit("")).otherwise(_mark()), "at", DELAY), "verdicts")
     finally:
         spark.conf.set(provider, before)
 

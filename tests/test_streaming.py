@@ -99,3 +99,16 @@ def test_conflicts(spark, tmp_path, key):
     run(conflicts, f"conflict_{key}")
     assert [r.id for r in spark.table(f"conflict_{key}").collect()] == [key]
     assert spark.table(f"ok_{key}").count() == 1
+
+
+def test_ledgers_over_many_days(spark, tmp_path):
+    """Ledgers of more days than a watermark's usual delay, in any order: no event is late. A micro-batch is several files."""
+    import duckdb
+
+    from bibspark import registry
+
+    duck = duckdb.connect()
+    duck.execute(f"copy (select * replace (event_id * 1013 as event_id) from '/root/testdata/sf0.001/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["stream_ledger_order"](spark, str(tmp_path)).select("ledger_id", "sequence", "problem").collect()))
+    assert got == sorted(duck.execute(f"select ledger_id, sequence, problem from ({registry.ORACLES['stream_ledger_order']})").fetchall())
