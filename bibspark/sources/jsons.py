@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import dates, formats, identity, text
 from bibspark.functions.text import first_reason
 from bibspark.operators.scan import running
+from bibspark.operators.tables import stage
 from bibspark.sources.canonical import IDENTIFIER, finish
 
 CONTEXTS = ("https://schema.org", "https://schema.org/", "http://schema.org", "http://schema.org/")
@@ -92,38 +95,168 @@ def packet_unknown_keys(files: DataFrame) -> DataFrame:
     return rows.select("path", "ordinal", F.explode(F.array_except("keys", F.array(*map(F.lit, PACKET_KEYS)))).alias("key"))
 
 
+ROOM = np.zeros(256, np.int64)  # what a byte outside strings adds to the depth
+ROOM[[ord(c) for c in "[{"]], ROOM[[ord(c) for c in "]}"]] = 1, -1
+MARKS = np.isin(np.arange(256), [ord(c) for c in "[]{},:"])
+
+
+def _pieces(batches, inherited: int):
+    """Batches (path, split, piece, what a range inherits ...) -> (key, inherited values, text, starts, flips) of each range's part of
+    a batch: key is (path, split), the text is the pieces with a quote behind each, starts are where pieces begin, flips
+    whether the quote behind a piece opens or ends a string (not after an odd number of backslashes)."""
+    for b in batches:
+        path, split = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        edges = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (split[1:] != split[:-1]), True]) if b.num_rows else np.zeros(1, np.int64)
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            piece = b.column(2).slice(a, z - a).cast(pa.large_string())
+            at = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + z - a + 1]
+            raw = np.frombuffer(piece.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+            at = at - at[0]
+            text = np.full(len(raw) + z - a, ord('"'), np.uint8)
+            text[np.arange(len(raw)) + np.repeat(np.arange(z - a), np.diff(at))] = raw
+            starts = at + np.arange(z - a + 1)
+            flips = np.ones(z - a, bool)
+            for i in np.flatnonzero((np.diff(at) > 0) & (text[np.maximum(starts[1:] - 2, 0)] == ord("\\"))):
+                own = text[starts[i] : starts[i + 1] - 1].tobytes()
+                flips[i] = (len(own) - len(own.rstrip(b"\\"))) % 2 == 0
+            yield (path[a], int(split[a])), [b.column(3 + i)[a].as_py() for i in range(inherited)], text, starts, flips
+
+
+def _inside(flips: np.ndarray, odd: int) -> np.ndarray:
+    """Whether pieces are inside strings, if `odd` quotes stand before the first one."""
+    return (np.cumsum(flips) - flips + odd) % 2 == 1
+
+
+def _range_totals(batches):
+    """One row a range: its quotes, and what it adds to the depth if it begins outside (even) or inside a string (odd)."""
+    key, total = None, []
+    for k, _, text, starts, flips in _pieces(batches, 0):
+        if k != key:
+            if key:
+                yield pa.RecordBatch.from_pylist([dict(zip(("path", "split", "quotes", "even", "odd"), (*key, *total), strict=True))], TOTALS)
+            key, total = k, [0, 0, 0]
+        depth = np.r_[0, np.cumsum(ROOM[text])]
+        depth = depth[starts[1:]] - depth[starts[:-1]]
+        inside = _inside(flips, total[0])
+        total = [total[0] + int(flips.sum()), total[1] + int(depth[~inside].sum()), total[2] + int(depth[inside].sum())]
+    if key:
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "split", "quotes", "even", "odd"), (*key, *total), strict=True))], TOTALS)
+
+
+TOTALS = pa.schema([("path", pa.string()), ("split", pa.int64()), ("quotes", pa.int64()), ("even", pa.int64()), ("odd", pa.int64())])
+EVENTS = pa.schema([("path", pa.string()), ("split", pa.int64()), ("pos", pa.int64()), ("mark", pa.string()), ("depth", pa.int64()), ("key", pa.string())])
+FRAGMENTS = pa.schema([("path", pa.string()), ("split", pa.int64()), ("nth", pa.int64()), ("last", pa.bool_()), ("s", pa.string())])
+
+
+def _walk(batches, level: int, inherited: int):
+    """Ranges whose start is known, (path, split, piece, odd, depth, ...) -> (key, inherited values, first, text, base, events, ends): text
+    begins at the range's byte `base`; events are (place, mark, depth, key) of what may begin or end the array: its own
+    brackets, and names (mark "") and colons at depth 1 of a root object; ends are commas at the array's depth."""
+    key, odd, depth, base = None, 0, 0, 0
+    for k, values, text, starts, flips in _pieces(batches, inherited):
+        first = k != key
+        if first:
+            key, odd, depth, base = k, values[0], values[1], 0
+        inside = _inside(flips, odd)
+        at = np.flatnonzero(MARKS[text] & ~np.repeat(inside, np.diff(starts)))
+        mark = text[at]
+        now = depth + np.cumsum(ROOM[mark])
+        found = (mark == ord("[")) & (now == level) | (mark == ord("]")) & (now == level - 1)
+        events = []
+        if level == 2:
+            found |= (mark == ord(":")) & (now == 1)
+            here = np.flatnonzero(inside)
+            before = np.searchsorted(at, starts[here])  # marks before the piece
+            for i in here[np.r_[depth, now][before] == 1]:
+                events.append((int(starts[i]), "", 1, text[starts[i] : starts[i + 1] - 1].tobytes().decode("utf-8", "replace")))
+        events += [(int(at[i]), chr(mark[i]), int(now[i]), None) for i in np.flatnonzero(found)]
+        yield key, values, first, text, base, sorted(events), at[(mark == ord(",")) & (now == level)]
+        odd, depth, base = (odd + int(flips.sum())) % 2, int(now[-1]) if len(now) else depth, base + len(text)
+
+
+def _events(level: int):
+    def run(batches):
+        for key, _, _, _, base, events, _ in _walk(batches, level, 2):
+            if events:
+                yield pa.RecordBatch.from_pylist([dict(zip(EVENTS.names, (*key, base + at, *rest), strict=True)) for at, *rest in events], EVENTS)
+
+    return run
+
+
+def _fragments(level: int, member: str | None):
+    """Ranges (path, split, piece, odd, depth, key, of, within) -> (path, split, nth, last, s): texts between ends of items; a range's first and
+    last one may go on in other ranges."""
+
+    def run(batches):
+        own, name, of, within, nth, held = None, None, None, False, 0, []
+        for key, values, first, text, base, events, ends in _walk(batches, level, 5):
+            out = []
+            if first:
+                if own:
+                    out.append((*own, nth, True, b"".join(held).decode("utf-8", "replace")))
+                own, (name, of, within), nth, held = key, values[2:], 0, []
+            done, ends, k = 0, ends.tolist(), 0
+            for at, mark, depth, string in [*events, (len(text), None, 0, None)]:  # up to each event, the text is within the array or not
+                while k < len(ends) and ends[k] < at:
+                    if within:
+                        held.append(text[done : ends[k]].tobytes())
+                        out.append((*own, nth, False, b"".join(held).decode("utf-8", "replace")))
+                        nth, held = nth + 1, []
+                    done, k = ends[k] + 1, k + 1
+                opens = mark == "[" and depth == level and (member is None or of == member)
+                closes = mark == "]" and depth == level - 1
+                if within and (closes or mark is None):
+                    held.append(text[done:at].tobytes())
+                if opens or closes:
+                    done, within = at + 1, opens
+                elif mark == ":":
+                    of = name
+                elif mark == "":
+                    name = string
+            if out:
+                yield batch_of(out)
+        if own:
+            yield batch_of([(*own, nth, True, b"".join(held).decode("utf-8", "replace"))])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FRAGMENTS.types, strict=True)], schema=FRAGMENTS)
+
+    return run
+
+
 def read_large_array(spark: SparkSession, path: str, glob: str = "*", member: str | None = None) -> DataFrame:
     """(path, ordinal, json) of the items of JSON arrays in files of any size: the array is the file's root, or the `member`
     of its root object.
 
-    Files are cut at every quote, so one file is read by many tasks. Running state over the file (operators.scan) tells
-    what stands inside strings and how deep brackets are open there; commas at the array's depth end items. Quotes after an
-    odd number of backslashes are inside their string. Null items are items; an empty array gives no row."""
+    Files are read in ranges, each a task, and cut at every quote. What a range inherits (whether it begins inside a
+    string, how deep, behind which name, within the array or not, how many items have ended) is found from one row a
+    range and the few names and brackets of the root. So no row is shuffled but the two items at a range's ends. Quotes
+    after an odd number of backslashes are inside their string. Null items are items; an empty array gives no row."""
     lines = spark.read.option("lineSep", '"').option("pathGlobFilter", glob).text(path)
-    p = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
-    escaped = F.length(F.regexp_extract("piece", r"(\\*)$", 1)) % 2 == 1  # the quote behind this piece belongs to the string
-    p = running(p, ["path"], ["split", "at"], sums={"quotes": F.when(escaped, 0).otherwise(1)}, place="n")
-    inside = (F.col("quotes") - F.when(escaped, 0).otherwise(1)) % 2 == 1
-    p = p.withColumn("inside", inside)
-    # outside strings a piece is cut behind each mark, so that each part lies at one depth
-    parts = F.when(F.col("inside"), F.array("piece")).otherwise(F.split("piece", r"(?<=[\[\]{},:])", -1))
-    rows = p.select("path", "n", "inside", F.size(parts).alias("parts"), F.posexplode(parts).alias("k", "part"))
-    mark = F.when(F.col("inside"), "").otherwise(F.regexp_extract("part", r"([\[\]{},:])$", 1))
-    step = F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
-    rows = running(rows.withColumn("mark", mark), ["path"], ["n", "k"], sums={"depth": step})
-    if member is None:
-        opens, level = (F.col("mark") == "[") & (F.col("depth") == 1), 1
-    else:  # the array behind the member's name and colon in the root object
-        name = running(rows, ["path"], ["n", "k"], earlier={"key": F.when(F.col("inside") & (F.col("depth") == 1), F.col("part"))})
-        rows = running(name, ["path"], ["n", "k"], earlier={"of": F.when((F.col("mark") == ":") & (F.col("depth") == 1), F.col("key"))})
-        opens, level = (F.col("mark") == "[") & (F.col("depth") == 2) & (F.col("of") == member), 2
+    p = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("piece"))
+    level = 1 if member is None else 2
+    ranges = ["path", "split"]
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    none = lambda c: F.coalesce(c, F.lit(0))
+    totals = stage(p.mapInArrow(_range_totals, "path string, split long, quotes long, even long, odd long"), "ranges")
+    starts = totals.withColumn("begins", none(F.sum("quotes").over(before)) % 2).withColumn("adds", F.when(F.col("begins") == 0, F.col("even")).otherwise(F.col("odd")))
+    starts = starts.select(*ranges, F.col("begins").alias("odd"), none(F.sum("adds").over(before)).alias("depth"))
+    known = lambda s: p.join(F.broadcast(s), ranges).select(*ranges, "piece", *[c for c in s.columns if c not in ranges])  # noqa: E731  (a row a range)
+    e = stage(known(starts).mapInArrow(_events(level), "path string, split long, pos long, mark string, depth long, key string"), "events")
+    e = e.withColumn("of", F.lit(None).cast("string"))
+    if member is not None:  # the array behind the member's name and colon in the root object
+        named = running(e.drop("of"), ["path"], ["split", "pos"], earlier={"name": F.col("key")})
+        e = running(named, ["path"], ["split", "pos"], earlier={"of": F.when(F.col("mark") == ":", F.col("name"))}).withColumn("colon", F.when(F.col("mark") == ":", F.struct(F.col("name").alias("of"))))
+    opens = (F.col("mark") == "[") & (F.col("depth") == level) & (F.lit(True) if member is None else F.coalesce(F.col("of") == member, F.lit(False)))
     closes = (F.col("mark") == "]") & (F.col("depth") == level - 1)
-    rows = running(rows, ["path"], ["n", "k"], earlier={"within": F.when(opens, F.lit(True)).when(closes, F.lit(False))})
-    rows = rows.where(F.coalesce("within", F.lit(False)))
-    ends = (F.col("mark") == ",") & (F.col("depth") == level)
-    rows = running(rows, ["path"], ["n", "k"], sums={"ended": F.when(ends, 1).otherwise(0)}, place="place")
-    kept = F.when(ends | closes, F.expr("substring(part, 1, length(part) - 1)")).otherwise(F.col("part"))
-    piece_end = F.when(F.col("k") == F.col("parts") - 1, '"').otherwise("")  # the quote that the file was cut at
-    rows = rows.select("path", (F.col("ended") - F.when(ends, 1).otherwise(0)).alias("item"), "place", F.concat(kept, piece_end).alias("s"))
-    items = rows.groupBy("path", "item").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]), "")).alias("json"))  # one item is one row
-    return items.where("json <> ''").select("path", (F.col("item") + 1).alias("ordinal"), "json")
+    toggle = F.when(opens, True).when(closes, False)
+    latest = lambda c, name: F.max_by(c, F.when(c.isNotNull(), F.col("pos"))).alias(name)
+    colon = F.col("colon.of") if member is not None else F.lit(None).cast("string")
+    state = starts.join(e.groupBy(*ranges).agg(latest(F.col("key"), "key"), latest(colon, "of"), latest(toggle, "within")), ranges, "left")
+    state = state.select(*ranges, "odd", "depth", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("key", "of")], F.coalesce(F.last("within", ignorenulls=True).over(before), F.lit(False)).alias("within"))
+    found = stage(known(state).mapInArrow(_fragments(level, member), "path string, split long, nth long, last boolean, s string"), "items")
+    counts = found.where("last").select(*ranges, none(F.sum("nth").over(before)).alias("earlier"))
+    found = found.join(F.broadcast(counts), ranges).withColumn("ordinal", F.col("earlier") + F.col("nth") + 1)
+    edges = found.where("nth = 0 or last").groupBy("path", "ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "s"))), lambda x: x["s"]), "").alias("s"))  # one item is one row
+    items = found.where("nth > 0 and not last").select("path", "ordinal", "s").unionByName(edges)
+    return items.select("path", "ordinal", F.trim("s").alias("json")).where("json <> ''")

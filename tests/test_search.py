@@ -89,3 +89,22 @@ def test_postings_take_no_hash_table(spark):
     assert sorted(r.title for r in search.indexed_search(records, folder, "abc").collect()) == ["abcd", "xy abc"]
     plan = records.select(search.grams(search.haystack()).alias("g"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("concat_ws") == 1
+
+
+def test_large_arrays_are_not_shuffled(spark, tmp_path):
+    """Only the items at the ends of a range are: before, every piece of the file was shuffled several times."""
+    items = [{"id": i, "name": f'"{i}", [x' * 5} for i in range(20_000)]
+    (tmp_path / "a.json").write_text(json.dumps({"x": [1], "items": items}))
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    last = max((s.stageId() for s in map(stages().apply, range(stages().size()))), default=-1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = {r.ordinal: json.loads(r.json) for r in jsons.read_large_array(spark, str(tmp_path), "*.json", "items").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(items, 1))
+    now = stages()
+    sent = sum(s.shuffleWriteBytes() for s in map(now.apply, range(now.size())) if s.stageId() > last)
+    assert sent < (tmp_path / "a.json").stat().st_size / 10
