@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,17 +64,19 @@ def hierarchy_findings(units: DataFrame, max_component_depth: int = 32) -> DataF
 
 
 LEVELS = 16  # trees of more levels are ranked by pointer jumping
+BLOCK = 16  # 2^BLOCK units that stand together in the input are ranked within one task first
 
 
 def _siblings(units: DataFrame, order_by: str) -> tuple[DataFrame, DataFrame]:
-    """(id, parent_id, key, inner) with null parents where the parent is missing, inner where a unit has children; and its
+    """(id, parent_id, key, inner, block) with null parents where the parent is missing, inner where a unit has children; and its
     rows with a parent, with their rank among their siblings and where the tour left the one before. Ranks come from a
     scan, so a parent may have any number of children."""
     ids = units.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     parents = units.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("inner", F.lit(True))
-    rows = units.select("id", "parent_id", F.col(order_by).alias("key")).join(ids, "parent_id", "left").join(parents, "id", "left")
-    rows = stage(rows.select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), "key", F.coalesce("inner", F.lit(False)).alias("inner")), "units")
-    children = running(rows.where("parent_id is not null"), ["parent_id"], ["key", "id"], earlier={"before": F.struct("id", F.col("inner").alias("up"))}, place="rank")
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK)
+    rows = units.select("id", "parent_id", F.col(order_by).alias("key"), block.alias("block")).join(ids, "parent_id", "left").join(parents, "id", "left")
+    rows = stage(rows.select("id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), "key", F.coalesce("inner", F.lit(False)).alias("inner"), "block"), "units")
+    children = running(rows.where("parent_id is not null").drop("block"), ["parent_id"], ["key", "id"], earlier={"before": F.struct("id", F.col("inner").alias("up"))}, place="rank")
     return rows, stage(children, "children")
 
 
@@ -92,7 +96,7 @@ def _by_level(rows: DataFrame, children: DataFrame) -> DataFrame | None:
 
 
 def _tour(rows: DataFrame, children: DataFrame) -> DataFrame:
-    """Successors in the Euler tours of all trees: (id, up, next_id, next_up, units, levels), next null at a tour's end.
+    """Successors in the Euler tours of all trees: (id, up, next_id, next_up, units, levels, block), next null at a tour's end.
 
     A unit with children is an element where the tour enters it and one where it leaves (up); a unit without is one
     element. units and levels are what an element adds to the number of units met and to the depth."""
@@ -101,28 +105,74 @@ def _tour(rows: DataFrame, children: DataFrame) -> DataFrame:
     last = children.groupBy("parent_id").agg(F.max(F.struct("rank", "id", "inner")).alias("l"))
     links = links.unionByName(last.select(F.struct("l.id", F.col("l.inner").alias("up")).alias("e"), F.col("parent_id").alias("next_id"), F.lit(True).alias("next_up")))
     links = links.unionByName(rows.where("parent_id is null").select(F.struct("id", F.col("inner").alias("up")).alias("e"), F.lit(None).cast(rows.schema["id"].dataType).alias("next_id"), F.lit(None).cast("boolean").alias("next_up")))
-    inner = rows.where("inner").select(F.col("id").alias("inner_id"))
-    out = links.select("e.id", "e.up", "next_id", "next_up").join(inner, F.col("id") == F.col("inner_id"), "left")
-    return out.select("id", "up", "next_id", "next_up", (~F.col("up")).cast("long").alias("units"), F.when(F.col("up"), -1).when(F.col("inner_id").isNotNull(), 1).otherwise(0).cast("long").alias("levels"))
+    own = rows.select(F.col("id").alias("own_id"), "inner", "block")
+    out = links.select("e.id", "e.up", "next_id", "next_up").join(own, F.col("id") == F.col("own_id"))
+    return out.select("id", "up", "next_id", "next_up", (~F.col("up")).cast("long").alias("units"), F.when(F.col("up"), -1).when(F.col("inner"), 1).otherwise(0).cast("long").alias("levels"), "block")
+
+
+def _jumped(blocks):
+    """Elements (id, up, next_id, next_up, units, levels, end, block) sorted by block: each points to the first element outside its
+    block then, or to none where its tour ends inside."""
+
+    def jump(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.num_rows
+        codes = pa.chunked_array([b.column(0), b.column(2)]).combine_chunks().dictionary_encode()
+        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        up, next_up = (b.column(i).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 3))
+        units, levels = (b.column(i).to_numpy(zero_copy_only=False).copy() for i in (4, 5))
+        place = np.full(2 * (codes.max() + 1), -1)
+        place[2 * codes[:n] + up] = np.arange(n)
+        to = np.where(codes[n:] >= 0, place[2 * codes[n:] + next_up], -1)
+        at = np.arange(n)  # the element whose next one is this element's
+        for _ in range(n.bit_length() + 1):  # what still moves then goes round in a cycle
+            go = np.flatnonzero(to >= 0)
+            if not len(go):
+                break
+            t = to[go]
+            more, lower, then, last = units[t], levels[t], to[t], at[t]
+            units[go] += more
+            levels[go] += lower
+            to[go], at[go] = then, last
+        take = pa.array(at)
+        cols = {"next_id": b.column(2).take(take), "next_up": b.column(3).take(take), "units": pa.array(units), "levels": pa.array(levels), "end": b.column(6).take(take)}
+        return pa.RecordBatch.from_arrays([cols.get(c, b.column(i)) for i, c in enumerate(b.schema.names)], schema=b.schema)
+
+    held = []
+    for b in blocks:
+        block = b.column(7).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else [0]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            if held and held[-1].column(7)[0].as_py() != block[a]:
+                yield jump(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield jump(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def _by_list(rows: DataFrame, children: DataFrame) -> DataFrame:
-    """(id, root, depth, position) at any depth: the tours are lists, ranked by pointer jumping. A round joins each element
+    """(id, root, depth, position) at any depth: the tours are lists, ranked by pointer jumping. First blocks of units that stand together
+    in the input are ranked by themselves. Then only elements that another block points to are left; a round joins each
     with the one it points to and adds up what lies between, so that about log2(units) joins reach every list's end; each
     element has one predecessor, so no key is hot."""
-    rows = stage(_tour(rows, children).withColumn("end", F.when(F.col("next_id").isNull(), F.col("id"))), "tour")
+    tour = _tour(rows, children).withColumn("end", F.when(F.col("next_id").isNull(), F.col("id")))
+    dealt = tour.select("id", "up", "next_id", "next_up", "units", "levels", "end", "block").repartition("block").sortWithinPartitions("block")
+    rows = stage(dealt.mapInArrow(_jumped, dealt.schema).drop("block"), "tour")
+    heads = rows.where("next_id is not null").select(F.col("next_id").alias("id"), F.col("next_up").alias("up")).distinct()
+    met = stage(rows.join(heads, ["id", "up"]).select(*rows.columns), "tour")
+    target = lambda df: df.select(F.col("id").alias("next_id"), F.col("up").alias("next_up"), F.col("next_id").alias("then_id"), F.col("next_up").alias("then_up"), F.col("units").alias("more"), F.col("levels").alias("lower"), F.col("end").alias("found"))
+    moved = lambda df, to: df.where("next_id is not null").join(target(to), ["next_id", "next_up"]).select("id", "up", F.col("then_id").alias("next_id"), F.col("then_up").alias("next_up"), (F.col("units") + F.col("more")).alias("units"), (F.col("levels") + F.col("lower")).alias("levels"), F.col("found").alias("end"))
     left = None
     while True:
-        to = rows.select(F.col("id").alias("next_id"), F.col("up").alias("next_up"), F.col("next_id").alias("then_id"), F.col("next_up").alias("then_up"), F.col("units").alias("more"), F.col("levels").alias("lower"), F.col("end").alias("found"))
-        moved = rows.where("next_id is not null").join(to, ["next_id", "next_up"]).select("id", "up", F.col("then_id").alias("next_id"), F.col("then_up").alias("next_up"), (F.col("units") + F.col("more")).alias("units"), (F.col("levels") + F.col("lower")).alias("levels"), F.col("found").alias("end"))
-        old = rows
-        rows = stage(rows.where("next_id is null").unionByName(moved), "tour")
-        release(old)
-        open_now = rows.where("next_id is not null").count()
+        open_now = met.where("next_id is not null").count()
         if open_now == 0 or (left is not None and open_now == left[0] and left[1] >= max(2, open_now.bit_length() + 1)):
             break  # what is left goes round in a cycle
         left = (open_now, left[1] + 1 if left and left[0] == open_now else 1)
-    entered = rows.where("not up and end is not null")  # units: from here to the end of the tour; levels: minus the depth
+        old = met
+        met = stage(met.where("next_id is null").unionByName(moved(met, met)), "tour")
+        release(old)
+    rows = rows.where("next_id is null").unionByName(moved(rows, met))
+    entered = stage(rows.where("not up and end is not null").select("id", "end", "units", "levels"), "entered")  # units: from here to the end of the tour; levels: minus the depth
     sizes = entered.where("id = end").select(F.col("id").alias("root"), F.col("units").alias("size"))
     out = entered.select("id", F.col("end").alias("root"), (-F.col("levels")).alias("depth"), "units").join(sizes, "root")
     return out.select("id", "root", "depth", (F.col("size") - F.col("units")).alias("position"))

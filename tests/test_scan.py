@@ -171,3 +171,22 @@ def test_ead_readers_agree(spark, tmp_path):
     key = ["unit_id", "parent_id", "depth", "level", "published"]
     assert sorted(map(str, units.select(*key).collect())) == sorted(map(str, other.where("unit_id <> 'e'").select(*key).union(other.sparkSession.createDataFrame([("e", "d", 3, "item", True)], other.select(*key).schema)).collect()))
     assert {(r.unit_id, r.field_id, r.s) for r in values.collect()} >= {(r.unit_id, r.field_id, r.s) for r in told.where("unit_id = 'b'").collect()}
+
+
+@pytest.mark.parametrize("block", [0, 2, 16])
+def test_blocks_of_tours(spark, partitions, block, monkeypatch):
+    """Units that stand together are ranked together: a chain of 5,000 levels takes a round for each doubling of its blocks only; and
+    trees in any order, with cycles inside and across blocks, are ranked as before."""
+    seen, stage = [], hierarchy.stage
+    monkeypatch.setattr(hierarchy, "BLOCK", block)
+    monkeypatch.setattr(hierarchy, "LEVELS", 0)
+    rnd = random.Random(block)
+    rows = [(i, None if i < 3 else rnd.randrange(max(0, i - 9), i)) for i in range(300)] + [(900, 901), (901, 902), (902, 900), (903, 900)]
+    rnd.shuffle(rows)
+    got = hierarchy.preorder(spark.createDataFrame(rows, "id long, parent_id long"))
+    assert {(r.id, r.root, r.depth, r.position) for r in got.collect()} == plain_preorder(rows)
+    if block == 16:
+        monkeypatch.setattr(hierarchy, "stage", lambda df, tag: seen.append(tag) or stage(df, tag))
+        chain = hierarchy.preorder(spark.range(0, 5000, 1, 4).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id")))
+        assert chain.where("depth <> id or position <> id or root <> 0").count() == 0 and chain.count() == 5000
+        assert seen.count("tour") <= 6  # 14 before
