@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import formats, text
 from bibspark.operators.scan import running
+from bibspark.operators.tables import stage
 from bibspark.sources.xml import EAD4_DID, EAD4_TEXT, EAD_DID, EAD_TEXT
 
 TAG = r"(?s)^(?:([A-Za-z_][\w.-]*):)?([A-Za-z_][\w.-]*)((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(/?)>(.*)$"
@@ -40,10 +41,11 @@ def _outside(pieces: DataFrame) -> DataFrame:
 
 
 def elements(pieces: DataFrame) -> DataFrame:
-    """(path, pos, kind, name, prefix, attributes, depth, parent_pos, parent, tail) of tag_stream().
+    """(path, pos, kind, name, prefix, attributes, depth, parent_pos, parent, tail, after_text) of tag_stream().
 
     kind: open, empty, close or malformed. pos numbers a file's pieces; the root has depth 1 and no parent. For a close,
-    parent is the element that its tail, the text behind the tag, belongs to; that of an open is its own."""
+    parent is the element that its tail, the text behind the tag, belongs to; that of an open is its own. after_text: text stands between
+    the tag that opened the parent and this one."""
     p = F.col("piece")
     tag = lambda k: F.regexp_extract(p, TAG, k)
     close = p.startswith("/")
@@ -53,13 +55,18 @@ def elements(pieces: DataFrame) -> DataFrame:
         "path", "split", "at", kind.alias("kind"), F.when(close, F.regexp_extract(p, CLOSE, 1)).otherwise(tag(2)).alias("name"), F.when(close, "").otherwise(tag(1)).alias("prefix"), F.when(close, "").otherwise(tag(3)).alias("attributes"), F.when(close, F.regexp_extract(p, CLOSE, 2)).otherwise(tag(5)).alias("tail")
     )
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    rows = running(rows, ["path"], ["split", "at"], sums={"after": step}, place="pos").drop("split", "at")
+    told = F.when(F.col("kind") != "malformed", (F.col("kind") == "open") & _said())
+    rows = running(rows, ["path"], ["split", "at"], sums={"after": step}, earlier={"after_text": told}, place="pos").drop("split", "at")
     opened = F.col("kind") == "open"
     rows = rows.withColumn("depth", F.when(F.col("kind").isin("empty", "close"), F.col("after") + 1).otherwise(F.col("after")).cast("long"))
     asks = rows.withColumns({"_level": F.when(opened, F.col("after") - 1).otherwise(F.col("after")), "_known": F.lit(None).cast("struct<pos:bigint,name:string>"), "_answer": F.lit(0)})
     answers = rows.where(opened).withColumns({"_level": F.col("after"), "_known": F.struct("pos", "name"), "_answer": F.lit(1)})
     both = running(asks.unionByName(answers), ["path", "_level"], ["pos", "_answer"], earlier={"up": F.col("_known")}).where("_answer = 0")
-    return both.select("path", "pos", "kind", "name", "prefix", "attributes", "depth", F.col("up.pos").alias("parent_pos"), F.col("up.name").alias("parent"), "tail")
+    return both.select("path", "pos", "kind", "name", "prefix", "attributes", "depth", F.col("up.pos").alias("parent_pos"), F.col("up.name").alias("parent"), "tail", F.coalesce("after_text", F.lit(False)).alias("after_text"))
+
+
+def _said() -> Column:
+    return F.trim(F.translate("tail", "\r\n\t", "   ")) != ""
 
 
 def attributes(rows: DataFrame) -> DataFrame:
@@ -123,6 +130,7 @@ def structure_rejects(rows: DataFrame, profile: Profile, namespaces: tuple[str,
     Problems: malformed; namespace (a prefix that the root does not declare, or a declaration outside `namespaces`, if any
     are given); element (unknown); child (not allowed below its parent); order (before a sibling it has to follow); count
     (a child needed once is missing or repeated); attribute; mixed-text."""
+    rows = stage(rows, "elements")  # each rule reads its columns of this table; parents are not found anew for each
     children, allowed = _table(profile, "children"), _table(profile, "attributes")
     is_in = lambda member: F.col("name").isin(*[k for k, s in profile.items() if getattr(s, member)])
     own = rows.where("kind in ('open', 'empty')")
@@ -142,14 +150,15 @@ def structure_rejects(rows: DataFrame, profile: Profile, namespaces: tuple[str,
     siblings = running(ordered.select("path", "pos", "parent_pos", "name", "rank"), ["path", "parent_pos"], ["pos"], earlier={"before": F.col("rank")})
     found.append(siblings.where("rank < before").select("path", "pos", F.lit("order"), "name"))
     once = own.where(is_in("once")).select("path", "pos", F.explode(F.try_element_at(_table(profile, "once"), F.col("name"))).alias("child"))
-    counts = own.groupBy("path", F.col("parent_pos").alias("pos"), F.col("name").alias("child")).agg(F.count("*").alias("n"))
+    needed = {c for s in profile.values() for c in s.once}
+    counts = own.where(F.col("name").isin(*needed)).groupBy("path", F.col("parent_pos").alias("pos"), F.col("name").alias("child")).agg(F.count("*").alias("n"))
     found.append(once.join(counts, ["path", "pos", "child"], "left").where("coalesce(n, 0) <> 1").select("path", "pos", F.lit("count"), "child"))
     a = attributes(own.where(known)).where("attribute <> 'xmlns' and attribute not like 'xmlns:%'")
     found.append(a.where(~F.array_contains(F.try_element_at(allowed, F.col("name")), F.col("attribute"))).select("path", "pos", F.lit("attribute"), F.concat_ws(" of ", "attribute", "name")))
-    said = rows.where(F.trim(F.translate("tail", "\r\n\t", "   ")) != "").select("path", F.when(F.col("kind") == "open", F.col("pos")).otherwise(F.col("parent_pos")).alias("pos")).distinct()
-    parents = own.where("parent_pos is not null").select("path", F.col("parent_pos").alias("pos"), F.col("parent").alias("name")).distinct()
     mixed = [k for k, s in profile.items() if s.mixed]
-    found.append(parents.where(~F.col("name").isin(*mixed) if mixed else F.lit(True)).join(said, ["path", "pos"]).select("path", "pos", F.lit("mixed-text"), "name"))
+    beside = F.col("kind").isin("close", "empty") & _said() | F.col("kind").isin("open", "empty") & F.col("after_text")  # text behind or before a child
+    both = rows.where(beside & F.col("parent_pos").isNotNull()).where(~F.col("parent").isin(*mixed) if mixed else F.lit(True))
+    found.append(both.select("path", F.col("parent_pos").alias("pos"), F.lit("mixed-text"), F.col("parent").alias("name")).distinct())  # of faults alone
     out = found[0]
     for f in found[1:]:
         out = out.union(f)

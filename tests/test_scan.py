@@ -190,3 +190,14 @@ def test_blocks_of_tours(spark, partitions, block, monkeypatch):
         chain = hierarchy.preorder(spark.range(0, 5000, 1, 4).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id")))
         assert chain.where("depth <> id or position <> id or root <> 0").count() == 0 and chain.count() == 5000
         assert seen.count("tour") <= 6  # 14 before
+
+
+def test_mixed_text_and_plan(spark, tmp_path):
+    """Text before, between and behind children is mixed, once for each element; that of leaves is not. Rules read one written table of
+    elements: before, each rule found all parents anew and joined all places with text."""
+    docs = {"before": "<c>x<did/></c>", "between": "<c><did/>y<odd/>z</c>", "behind": "<c><did/> w </c>", "broken": "<c>x<1><did/></c>", "leaf": "<c>said</c>", "blank": "<c> \n<did/>\t</c>", "inner": "<c><did>x</did></c>"}
+    rows = _files(spark, tmp_path, **docs)
+    found = structure.structure_rejects(rows, structure.ead_profile())
+    mixed = _names(found.where("problem = 'mixed-text'")).collect()
+    assert sorted((r.path, r.pos, r.detail) for r in mixed) == [(n, 1, "c") for n in ("before", "behind", "between", "broken")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window ") <= 1  # places of siblings
