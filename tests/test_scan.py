@@ -189,7 +189,7 @@ def test_blocks_of_tours(spark, partitions, block, monkeypatch):
         monkeypatch.setattr(hierarchy, "stage", lambda df, tag: seen.append(tag) or stage(df, tag))
         chain = hierarchy.preorder(spark.range(0, 5000, 1, 4).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id")))
         assert chain.where("depth <> id or position <> id or root <> 0").count() == 0 and chain.count() == 5000
-        assert seen.count("tour") <= 6  # 14 before
+        assert seen.count("tour") <= 6
 
 
 def test_mixed_text_and_plan(spark, tmp_path):
