@@ -20,6 +20,7 @@ emitted, never all its pairs.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import batch, finished, gathered, materialise, mix64, read_table, run_hashes, salt, split_words, word_hashes, written
+from bibspark.llm.common import batch, finished, gathered, materialise, mix64, read_table, release, run_hashes, salt, split_words, word_hashes, written
 from bibspark.llm.graph import components
 
 CELL = 2048
@@ -322,8 +323,9 @@ def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same long, size long, fp array<long>, keys array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """docs (id, text), id being the hash of the text's set -> written (id, size, hashes): its distinct shingle hashes."""
+def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """Written (id, hashes) of chosen (id, doc_id): the distinct shingle hashes of that text of the document whose set has
+    the hash id. Copies of a row go where the join has brought them together, so the sets are not shuffled."""
     schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary())])
 
     def sets(batches):
@@ -334,8 +336,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum(n)
                 yield batch(schema, part.column(0), run_hashes(mix64(x), ends - n, ends).view(np.int64), n, [y.tobytes() for y in np.split(x, ends[:-1])])
 
-    known = docs.select("id", "text").mapInArrow(sets, "id long, same long, size long, hashes binary")
-    return materialise(known.where(F.col("id") == F.xxhash64("same", "size")).dropDuplicates(["id"]).select("id", "size", "hashes"), "sets")  # other texts of a doc_id go
+    texts = docs.join(chosen, "doc_id").dropDuplicates(["doc_id", "id", "text"])
+    known = texts.select("id", "text").mapInArrow(sets, "id long, same long, size long, hashes binary")
+    found = materialise(known.where(F.col("id") == F.xxhash64("same", "size")).select("id", "hashes"), "sets")  # other texts of a doc_id go
+    if found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return found
+    once = materialise(found.dropDuplicates(["id"]), "sets")  # texts of one doc_id that differ in case or spaces
+    release(found)
+    return once
 
 
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -410,17 +418,11 @@ def linked_cell(fp: np.ndarray, table: np.ndarray, sets: list[np.ndarray], label
                 label[label == label[j]] = label[i]
 
 
-def _similar_in_cells(rows: DataFrame, radius: int, lanes: int, similarity: float) -> DataFrame:
-    """rows (key, id, label, own, body, hashes), cells of bounded size -> written (u, v): verified links."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _by_cell(of_cell):
+    """Streams rows sorted by key, and gives each cell's rows to of_cell."""
 
-    def links(parts):
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        fp, table = _read_bodies(rows.column(4), lanes)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(5)]
-        ids, label = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-        found = np.array(list(linked_cell(fp, table, sets, np.unique(label, return_inverse=True)[1], rows.column(3).to_numpy(zero_copy_only=False), radius, similarity)), np.int64).reshape(-1, 2)
-        return batch(schema, ids[found[:, 0]], ids[found[:, 1]])
+    def whole(parts):
+        return of_cell(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
 
     def run(batches):
         held = []
@@ -431,28 +433,77 @@ def _similar_in_cells(rows: DataFrame, radius: int, lanes: int, similarity: floa
                 if x == y:
                     continue
                 if held and held[0].column(0)[0].as_py() != key[x]:
-                    yield links(held)
+                    yield whole(held)
                     held = []
                 held.append(b.slice(x, y - x))
         if held:
-            yield links(held)
+            yield whole(held)
+
+    return run
+
+
+def _with_candidates(rows: DataFrame, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """rows (key, id, label, own, body, size), cells of bounded size -> written (key, id, label, own): those that may be
+    similar to a row of their cell. Only their sets are read and shuffled."""
+
+    def chosen(rows: pa.RecordBatch):
+        fp, table = _read_bodies(rows.column(4), lanes)
+        label, own, size = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 5))
+        may = _candidates(fp, table, size, label, own, radius, similarity)
+        return rows.select([0, 1, 2, 3]).filter(pa.array(may.any(axis=0) | may.any(axis=1)))
+
+    dealt = rows.select("key", "id", "label", "own", "body", "size").repartition("key").sortWithinPartitions("key", "id")
+    return materialise(dealt.mapInArrow(_by_cell(chosen), "key long, id long, label long, own boolean"), "chosen")
+
+
+def _similar_in_cells(rows: DataFrame, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """rows (key, id, label, own, body, hashes), cells of bounded size -> written (u, v): verified links."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def links(rows: pa.RecordBatch):
+        fp, table = _read_bodies(rows.column(4), lanes)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(5)]
+        ids, label = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        found = np.array(list(linked_cell(fp, table, sets, np.unique(label, return_inverse=True)[1], rows.column(3).to_numpy(zero_copy_only=False), radius, similarity)), np.int64).reshape(-1, 2)
+        return batch(schema, ids[found[:, 0]], ids[found[:, 1]])
 
     dealt = rows.select("key", "id", "label", "own", "body", "hashes").repartition("key").sortWithinPartitions("key", "id")
-    return materialise(dealt.mapInArrow(run, "u long, v long"), "alike")
+    return materialise(dealt.mapInArrow(_by_cell(links), "u long, v long"), "alike")
 
 
-def similar_links(late: DataFrame, table: DataFrame, sets: DataFrame, known: DataFrame, radius: int, lanes: int, similarity: float) -> DataFrame:
-    """(u, v): verified links that connect the ids of each cell of late (key, id), given known links that hold already.
+def similar_links(late: DataFrame, pairs: DataFrame, kinds: DataFrame, table: DataFrame, docs: DataFrame, words: int, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """(u, v): verified links that connect the ids of each cell of late (key, id), with those of pairs (u, v) that hold.
 
     A cell is dealt in parts of bounded rows and bytes, joined each within itself. Of cells of several parts, one row of
     each component that came out meets in one more cell; what is left then is compared whole: the rows of a cell's
     largest component stand in one part each, those of all others in every part, and only rows of different components
-    are compared. So a hot group of copies costs its rows once, and no link is lost."""
-    inner = table.select("id", "body").join(sets, "id")
-    sizes = late.join(sets.select("id", "size"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") * 8 / CELL_BYTES)).cast("int").alias("parts"))
+    are compared. So a hot group of copies costs its rows once, and no link is lost. Rows are first compared by their
+    bodies; sets are made of those alone that may be similar to another one."""
+    body = table.select("id", "body")
+    bodies = body.join(kinds.select("id", "size"), "id")
+    sets: list[DataFrame] = []
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        return _with_candidates(rows.join(bodies, "id"), radius, lanes, similarity)
+
+    def known_sets(ids: DataFrame) -> DataFrame:
+        """Sets of ids, and of those before. Where few are new, their written table is small enough to be broadcast."""
+        new = ids.distinct()
+        for x in sets:
+            new = new.join(x.select("id"), "id", "left_anti")
+        new = materialise(kinds.join(new, "id", "left_semi").select("id", F.col("low").alias("doc_id")), "ends")
+        if not sets or not new.isEmpty():
+            sets.append(_sets(docs, new, words))
+        return functools.reduce(DataFrame.unionByName, sets)
+
+    def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
+        return _similar_in_cells(rows.join(body, "id").join(sets, "id"), radius, lanes, similarity)
+
+    sizes = late.join(kinds.select("id", "size"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") * 8 / CELL_BYTES)).cast("int").alias("parts"))
     rows = materialise(late.join(sizes, "key").withColumn("s", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")), "dealt")
-    full = lambda r: r.join(inner, "id")
-    links = _similar_in_cells(full(rows.select(F.xxhash64("key", "s").alias("key"), "id", F.col("id").alias("label"), F.lit(True).alias("own"))), radius, lanes, similarity)
+    first = chosen(rows.select(F.xxhash64("key", "s").alias("key"), "id", F.col("id").alias("label"), F.lit(True).alias("own")))
+    made = known_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(first.select("id")))
+    links = materialise(_verified(pairs, made, similarity), "verified").unionByName(linked(first, made))
     big = rows.where("parts > 1")
     if big.isEmpty():
         return links
@@ -464,17 +515,19 @@ def similar_links(late: DataFrame, table: DataFrame, sets: DataFrame, known: Dat
         several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("key")
         return materialise(named.join(several, "key", "left_semi"), "labels")
 
-    now = labelled(known.unionByName(links))
+    def more(rows: DataFrame) -> DataFrame:
+        may = chosen(rows)
+        return links if may.isEmpty() else links.unionByName(linked(may, known_sets(may.select("id"))))
+
+    now = labelled(links)
     firsts = now.groupBy("key", "label").agg(F.min("id").alias("id"))
     groups = firsts.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-    met = firsts.join(groups, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("n"))).alias("key"), "id", "label", F.lit(True).alias("own"))
-    links = links.unionByName(_similar_in_cells(full(met), radius, lanes, similarity))
-    now = labelled(known.unionByName(links))
+    links = more(firsts.join(groups, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("n"))).alias("key"), "id", "label", F.lit(True).alias("own")))
+    now = labelled(links)
     largest = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("most"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     spread = now.join(largest, "key").withColumn("t", F.explode(F.when(F.col("label") == F.col("most"), F.array("s")).otherwise(every)))
-    rest = spread.select(F.xxhash64("key", "t").alias("key"), "id", "label", (F.col("t") == F.col("s")).alias("own"))
-    return links.unionByName(_similar_in_cells(full(rest), radius, lanes, similarity))
+    return more(spread.select(F.xxhash64("key", "t").alias("key"), "id", "label", (F.col("t") == F.col("s")).alias("own")))
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 2) -> DataFrame:
@@ -494,12 +547,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     table = pivot_table(kinds.select("id", "fp", "keys"), lanes)
     pairs, late = _streamed(table.withColumn("key", F.explode("keys")), radius, lanes, PAIRS)
     pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(late.select("id")).distinct(), "ends")
-    chosen = kinds.join(ends, "id", "left_semi").select("id", F.col("low").alias("doc_id"))
-    sets = _sets(own.join(chosen, "doc_id"), words)
-    links = materialise(_verified(pairs, sets, similarity), "verified")
-    if not late.isEmpty():
-        links = links.unionByName(similar_links(late, table, sets, links, radius, lanes, similarity))
+    links = similar_links(late, pairs, kinds, table, own, words, radius, lanes, similarity)
     roots = components(links)
     named = kinds.join(roots, kinds.id == roots.node, "left").select("same", "size", "low", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("group_id"))

@@ -503,3 +503,16 @@ def test_passages_whose_pieces_stand_elsewhere(spark, length, piece, least):
             found[r.doc_id] |= set(range(r.start_word, r.end_word))
     shares = [len(found[i] & set(range(*at[i]))) / length for i in at]
     assert sum(s >= 0.9 for s in shares) >= least, shares
+
+
+def test_sets_only_of_rows_that_may_be_similar(spark, monkeypatch):
+    """A common line brings many unlike texts into one cell: their sets are not read."""
+    monkeypatch.setattr(simhash, "CELL", 12)
+    line = " ".join(words(25, 10))
+    texts = [line + " " + " ".join(words(60, 600 + i)) for i in range(60)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    read = []
+    monkeypatch.setattr(simhash, "_similar_in_cells", lambda rows, *a, run=simhash._similar_in_cells: read.append(rows.count()) or run(rows, *a))
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {i: i for i in range(60)} | {60: 0, 61: 1}
+    assert sum(read) <= 40, read  # of 62 rows in up to six cells
