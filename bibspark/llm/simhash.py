@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import batch, finished, gathered, materialise, mix64, read_table, release, run_hashes, salt, split_words, word_hashes, written
+from bibspark.llm.common import batch, finished, gathered, materialise, may_be_in, mix64, read_table, release, run_hashes, salt, split_words, word_hashes, written
 from bibspark.llm.graph import components
 
 CELL = 2048
@@ -336,7 +336,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum(n)
                 yield batch(schema, part.column(0), run_hashes(mix64(x), ends - n, ends).view(np.int64), n, [y.tobytes() for y in np.split(x, ends[:-1])])
 
-    texts = docs.join(chosen, "doc_id").dropDuplicates(["doc_id", "id", "text"])
+    few = may_be_in(docs, "doc_id", chosen.select("doc_id")).where("_may").drop("_may")  # texts of no chosen row are not shuffled
+    texts = few.join(chosen, "doc_id").dropDuplicates(["doc_id", "id", "text"])
     known = texts.select("id", "text").mapInArrow(sets, "id long, same long, size long, hashes binary")
     found = materialise(known.where(F.col("id") == F.xxhash64("same", "size")).select("id", "hashes"), "sets")  # other texts of a doc_id go
     if found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
@@ -557,8 +558,10 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: all columns of the documents that stay. Rows with a null doc_id stay."""
-    stay = near_duplicate_groups(docs).where("group_id < doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(stay, docs.doc_id == stay.gone, "left_anti")
+    gone = materialise(near_duplicate_groups(docs).where("group_id < doc_id").select(F.col("doc_id").alias("_gone")), "gone")
+    marked = may_be_in(docs, "doc_id", gone)
+    rest = marked.where("_may").drop("_may").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return marked.where("not _may").drop("_may").unionByName(rest)  # most rows surely stay: their texts are not shuffled
 
 
 def op5_simhash(spark, sf_dir):

@@ -516,3 +516,22 @@ def test_sets_only_of_rows_that_may_be_similar(spark, monkeypatch):
     got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert got == {i: i for i in range(60)} | {60: 0, 61: 1}
     assert sum(read) <= 40, read  # of 62 rows in up to six cells
+
+
+def test_texts_that_stay_are_not_shuffled(spark, docs, monkeypatch):
+    """The stage's plan moves no text of a row that surely stays, whatever may be broadcast; its rows are those of the plain join."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gone = simhash.near_duplicate_groups(docs).where("group_id < doc_id").select(F.col("doc_id").alias("x"))
+        want = sorted(map(str, docs.join(gone, docs.doc_id == gone.x, "left_anti").collect()))
+        for bits in (1 << 25, 1 << 3, 1):  # with few bits rows that stay meet the ids too
+            monkeypatch.setattr("bibspark.llm.common.FILTER_BITS", bits, raising=False)
+            kept = simhash.keep_one_of_each_group(docs)
+            assert sorted(map(str, kept.collect())) == want
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert plan.startswith("Union")
+        first = plan[: plan.index("\n+-")]
+        assert "SortMergeJoin" not in first and "LeftAnti" not in first
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
