@@ -166,3 +166,14 @@ def test_marc_texts_are_parsed_once(spark):
     back = tagged.read_marc_text(files)
     assert [(r.id, r.title, r.creators) for r in back.collect()] == [("a", "t", ["x"])]
     assert "regexp_extract_all" not in back._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_one_finding_aid_are_several_tasks_work(spark):
+    """One text of many components: its parts are cut once and dealt; fields of other names are not searched, prefixes count."""
+    inner = "".join(f'<e:c id="u{i}" level="file"><did><unittitle>T &lt;{i}&gt;</unittitle><e:origination><name>N {i}</name></e:origination></did></e:c>' for i in range(500))
+    body = f'<ead><archdesc id="top" level="fonds"><did><unittitle>All</unittitle></did>{inner}</archdesc></ead>'
+    units, values = xml.read_ead(spark.createDataFrame([("f", body)], "path string, text string"))
+    assert {(r.unit_id, r.parent_id) for r in units.collect()} == {("top", None)} | {(f"u{i}", "top") for i in range(500)}
+    want = {("top", "title", "All")} | {(f"u{i}", "title", f"T <{i}>") for i in range(500)} | {(f"u{i}", "creator", f"N {i}") for i in range(500)}
+    assert {(r.unit_id, r.field_id, r.s) for r in values.collect()} == want
+    assert values.select(F.spark_partition_id().alias("p")).distinct().count() > 1
