@@ -130,11 +130,16 @@ def tabular(records: DataFrame, delimiter: str = ",") -> DataFrame:
     return records.select(*[cell(c).alias(c) for c in HEADERS])
 
 
+def packet_json(columns: list[str]) -> Column:
+    """A record of these columns as native JSON, source evidence left out, nulls kept."""
+    top = [c for c in ("id", "title", "creators", "contributors", "year", "format", "identifiers", "links", "availability", "edition", "location", "suppressed") if c in columns]
+    meta = F.struct(*[c for c in ("issued", "publisher", "place", "language", "subjects", "genres", "abstract", "rights", "license", "series", "container_title", "volume", "issue", "pages", "extent", "coverage", "relations", "notes") if c in columns])
+    return F.to_json(F.struct(*top, meta.alias("metadata")), {"ignoreNullFields": "false"})
+
+
 def packet(records: DataFrame) -> DataFrame:
-    """(id, out): native JSON records, source evidence left out, nulls kept."""
-    top = [c for c in ("id", "title", "creators", "contributors", "year", "format", "identifiers", "links", "availability", "edition", "location", "suppressed") if c in records.columns]
-    meta = F.struct(*[c for c in ("issued", "publisher", "place", "language", "subjects", "genres", "abstract", "rights", "license", "series", "container_title", "volume", "issue", "pages", "extent", "coverage", "relations", "notes") if c in records.columns])
-    return records.select("id", F.to_json(F.struct(*top, meta.alias("metadata")), {"ignoreNullFields": "false"}).alias("out"))
+    """(id, out): native JSON records."""
+    return records.select("id", packet_json(records.columns).alias("out"))
 
 
 EXPORTS = {"ris": ris, "bibtex": bibtex, "csl-json": csl, "jsonld": jsonld, "dcxml": dublin_core, "modsxml": mods, "marc-text": marc_text, "packet-json": packet}

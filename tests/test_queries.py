@@ -33,3 +33,14 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got.columns)
+
+
+def test_packets_of_repeated_ids(spark, tmp_path, monkeypatch):
+    """Records of one id meet their own packets, in whichever order packets are read."""
+    from bibspark.plans import family_queries
+
+    parts = spark.range(600).selectExpr("id as p_partkey", "concat('name ', id) as p_name", "concat('Brand#', id % 7) as p_brand", "'SMALL' as p_type", "cast(id % 50 as int) as p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    read = family_queries.jsons.read_packet
+    monkeypatch.setattr(family_queries.jsons, "read_packet", lambda files: read(files).orderBy("title", ascending=False))
+    assert registry.QUERIES["roundtrip_differences"](spark, str(tmp_path)).count() == 0
