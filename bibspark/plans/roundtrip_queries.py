@@ -83,14 +83,14 @@ def _tree(spark, d):
 
 @query("ead_export", "SELECT 'R' || r_regionkey AS root, count(DISTINCT n_nationkey) + count(c_custkey) AS components FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")
 def ead_export(spark, d):
-    out = crosswalk.ead(*_tree(spark, d))
-    return out.select("root", F.size(F.regexp_extract_all("out", F.lit(r"(<c )"), F.lit(1))).alias("components"))
+    out = crosswalk.ead_fragments(crosswalk.ead_components(*_tree(spark, d)))
+    return out.groupBy("root").agg(F.sum(F.size(F.regexp_extract_all("out", F.lit(r"(<c )"), F.lit(1)))).alias("components"))
 
 
 @query("ead_roundtrip", "SELECT id AS unit_id, parent_id, level FROM unit WHERE level IN ('fonds', 'series', 'file')", "unit")
 def ead_roundtrip(spark, d):
-    out = crosswalk.ead(*_tree(spark, d)).select(F.col("root").alias("path"), F.col("out").alias("text"))
-    return xml.read_ead(out)[0].select("unit_id", "parent_id", "level")
+    out = crosswalk.ead_fragments(crosswalk.ead_components(*_tree(spark, d))).select(F.col("root").alias("path"), F.col("position").alias("at"), F.col("out").alias("text"))
+    return xml.read_ead_fragments(out)[0].select("unit_id", "parent_id", "level")
 
 
 @query("atom_export", "SELECT id AS legacyId, coalesce(parent_id, '') AS parentId, CASE level WHEN 'fonds' THEN 'Fonds' WHEN 'series' THEN 'Series' ELSE 'File' END AS levelOfDescription, 'Unit ' || id AS title FROM unit WHERE level IN ('fonds', 'series', 'file')", "unit")

@@ -177,3 +177,22 @@ def test_parts_of_one_finding_aid_are_several_tasks_work(spark):
     want = {("top", "title", "All")} | {(f"u{i}", "title", f"T <{i}>") for i in range(500)} | {(f"u{i}", "creator", f"N {i}") for i in range(500)}
     assert {(r.unit_id, r.field_id, r.s) for r in values.collect()} == want
     assert values.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_ead_fragments(spark):
+    """A document is many rows, whose texts in order are the document; they are read as the whole text is."""
+    rows = [("r", None, "fonds"), ("a", "r", "series"), ("b", "a", "file"), ("c", "r", "series"), ("z", "gone", "item")]
+    units = spark.createDataFrame(rows, "unit_id string, parent_id string, level string").withColumn("published", F.lit(True))
+    values = units.select("unit_id", F.lit("title").alias("field_id"), F.lit(0).alias("value_index"), F.concat(F.lit("T "), "unit_id").alias("s"))
+    order = hierarchy.preorder(units.select(F.col("unit_id").alias("id"), "parent_id")).withColumnRenamed("id", "unit_id")
+    made = crosswalk.ead_components(units, values, order)
+    parts = crosswalk.ead_fragments(made, "ead4")
+    assert parts.count() == 5
+    got = {}
+    for r in parts.orderBy("position").collect():
+        got[r.root] = got.get(r.root, "") + r.out
+    c = lambda i, level, inner="": f'<c id="{i}" level="{level}"><identificationData><unitTitle>T {i}</unitTitle></identificationData>{inner}</c>'
+    assert got["r"] == ("<ead>" + c("r", "fonds", c("a", "series", c("b", "file")) + c("c", "series")) + "</ead>").replace('<c id="r"', '<archDesc id="r"').replace("</c></ead>", "</archDesc></ead>")
+    read, told = xml.read_ead_fragments(parts.select(F.col("root").alias("path"), F.col("position").alias("at"), F.col("out").alias("text")))
+    assert {(r.unit_id, r.parent_id, r.level) for r in read.collect()} == {(i, p if i != "z" else None, lev) for i, p, lev in rows}
+    assert {(r.unit_id, r.s) for r in told.collect()} == {(i, f"T {i}") for i, *_ in rows}
