@@ -179,6 +179,19 @@ def test_parts_of_one_finding_aid_are_several_tasks_work(spark):
     assert values.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+def test_ead_text_behind_components(spark):
+    """What stands behind a component's children, or behind an empty one, is its own, numbered after what stands before them."""
+    body = (
+        '<ead><archdesc id="a" level="fonds"><did><unittitle>A</unittitle></did><odd><p>first</p></odd><dsc><c id="b" level="series"><c id="x" level="file"/>'
+        '<odd><p>of b</p></odd></c><c id="d" level="file"><did><unittitle>D</unittitle></did></c></dsc><odd><p>second</p></odd><scopecontent><p>late</p></scopecontent></archdesc></ead>'
+    )
+    units, values = xml.read_ead(spark.createDataFrame([("f", body)], "path string, text string"))
+    assert {(r.unit_id, r.parent_id, r.depth) for r in units.collect()} == {("a", None, 1), ("b", "a", 2), ("x", "b", 3), ("d", "a", 2)}
+    assert {tuple(r)[1:] for r in values.select("path", "unit_id", "field_id", "value_index", "s").collect()} == {
+        ("a", "title", 0, "A"), ("a", "note", 0, "first"), ("a", "note", 1, "second"), ("a", "scope_content", 0, "late"), ("b", "note", 0, "of b"), ("d", "title", 0, "D")
+    }
+
+
 def test_ead_fragments(spark):
     """A document is many rows, whose texts in order are the document; they are read as the whole text is."""
     rows = [("r", None, "fonds"), ("a", "r", "series"), ("b", "a", "file"), ("c", "r", "series"), ("z", "gone", "item")]
@@ -196,3 +209,10 @@ def test_ead_fragments(spark):
     read, told = xml.read_ead_fragments(parts.select(F.col("root").alias("path"), F.col("position").alias("at"), F.col("out").alias("text")))
     assert {(r.unit_id, r.parent_id, r.level) for r in read.collect()} == {(i, p if i != "z" else None, lev) for i, p, lev in rows}
     assert {(r.unit_id, r.s) for r in told.collect()} == {(i, f"T {i}") for i, *_ in rows}
+
+
+def test_ead_versions_hold_items(spark):
+    from bibspark import registry
+
+    made = registry.QUERIES["ead_versions"](spark, "/root/testdata/sf0.001")
+    assert made.where("level = 'item'").count() == 3 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
