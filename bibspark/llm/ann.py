@@ -32,6 +32,7 @@ TARGET = 0.97
 COLUMNS = 16
 EPSILON = 2.1
 VECTORS, QUERIES = 4_096, 2_048  # per task group
+PAIRS = 65_536  # of queries and vectors, or of vectors and lists, that are held at once
 SLACK = 1e-5
 
 
@@ -62,7 +63,7 @@ def augmented(x: np.ndarray, largest: float, query: bool = False) -> np.ndarray:
 def centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        near = nearest_list(x, c)
         n = np.bincount(near, minlength=lists)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -70,6 +71,18 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def slices(n: int, wide: int) -> list[slice]:
+    """n rows in slices of at most PAIRS cells, at `wide` cells a row (a row at least)."""
+    step = max(1, PAIRS // max(1, wide))
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
+def nearest_list(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """order_of_lists()[:, 0]."""
+    half = 0.5 * (centre * centre).sum(1)
+    return np.concatenate([(x[s] @ centre.T - half).argmax(1) for s in slices(len(x), len(centre))])
+
+
 def order_of_lists(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.argsort(-(x @ centre.T - 0.5 * (centre * centre).sum(1)), axis=1, kind="stable")
 
@@ -78,7 +91,7 @@ def probes_for(sample: np.ndarray, asked: np.ndarray, centre: np.ndarray, k: int
     """The least number of nearest lists that hold `target` of the sample's k nearest vectors of each asked one.
 
     sample and asked: augmented vectors, as candidates and as queries; the row of asked i is not its own neighbour."""
-    list_of = order_of_lists(sample, centre)[:, 0]
+    list_of = nearest_list(sample, centre)
     ranks = []
     step = max(1, len(sample) // TRIED)
     for i in range(0, len(sample), step * 64):
@@ -113,6 +126,34 @@ def scan_block(q: np.ndarray, limit: np.ndarray, x: np.ndarray) -> tuple[np.ndar
     return qi, xi
 
 
+def _indexer(centre: np.ndarray, largest: float):
+    """(vec_id, x) -> with the list of each."""
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"vec_id": f.vec_id, "list": nearest_list(augmented(np.stack(f.x.to_list()).astype(float), largest), centre), "x": f.x})
+
+    return run
+
+
+def _asker(centre: np.ndarray, held: np.ndarray, probes: int, least: int, largest: float):
+    """(query, vec_id, x) -> a row for each list that a query probes: the first `probes`, and more until they hold `least` vectors. A frame's
+    rows times its lists are many, each with the vector, so they are yielded in pieces."""
+
+    def run(frames):
+        for f in frames:
+            for s in slices(len(f), len(centre)):
+                g = f.iloc[s]
+                near = order_of_lists(augmented(np.stack(g.x.to_list()).astype(float), largest, True), centre)
+                covered = np.cumsum(held[near], axis=1) - held[near]
+                rank = np.arange(near.shape[1])[None]
+                i, j = np.nonzero((rank < probes) | (covered < least))
+                yield pd.DataFrame({"query": g["query"].to_numpy()[i], "query_id": g.vec_id.to_numpy()[i], "list": near[i, j], "probe": j, "x": g.x.to_numpy()[i]})
+
+    return run
+
+
 OUT = "query long, query_id long, vec_id long, score double"
 
 
@@ -126,9 +167,9 @@ def _searcher(k: int, largest: float):
         keys, qids, vids = queries["query"].to_numpy(), queries.query_id.to_numpy(), vectors.vec_id.to_numpy()
         q, x, limit = augmented(qx, largest, True), augmented(vx, largest), queries["limit"].to_numpy(float)
         found = []
-        for i in range(0, len(q), 256):
-            a, b = scan_block(q[i : i + 256], limit[i : i + 256], x)
-            a = a + i
+        for part in slices(len(q), len(x)):
+            a, b = scan_block(q[part], limit[part], x)
+            a = a + part.start
             other = qids[a] != vids[b]
             a, b = a[other], b[other]
             score = np.einsum("ij,ij->i", qx[a], vx[b])
@@ -174,28 +215,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     centre = centroids(sample, max(1, min(round(top[1] ** 0.5), LISTS, len(sample))))
     probes = probes_for(sample, augmented(raw, largest, True), centre, k, target)
 
-    def index(frames):
-        for f in frames:
-            if len(f):
-                yield pd.DataFrame({"vec_id": f.vec_id, "list": order_of_lists(augmented(np.stack(f.x.to_list()).astype(float), largest), centre)[:, 0], "x": f.x})
-
-    indexed = materialise(vectors.mapInPandas(index, "vec_id long, list int, x array<double>"), "lists")
+    indexed = materialise(vectors.mapInPandas(_indexer(centre, largest), "vec_id long, list int, x array<double>"), "lists")
     held = np.zeros(len(centre), np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most LISTS rows
         held[r["list"]] = r["count"]
     own = indexed.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one vec_id, which may be the query's
 
-    def ask(frames):
-        for f in frames:
-            if len(f):
-                near = order_of_lists(augmented(np.stack(f.x.to_list()).astype(float), largest, True), centre)
-                covered = np.cumsum(held[near], axis=1) - held[near]
-                rank = np.arange(near.shape[1])[None]
-                i, j = np.nonzero((rank < probes) | (covered < k + own))
-                yield pd.DataFrame({"query": f["query"].to_numpy()[i], "query_id": f.vec_id.to_numpy()[i], "list": near[i, j], "probe": j, "x": f.x.to_numpy()[i]})
-
     keyed = queries.select("vec_id", "x").distinct().select(F.xxhash64("vec_id", "x").alias("query"), "vec_id", "x")
-    asked = materialise(keyed.mapInPandas(ask, "query long, query_id long, list int, probe int, x array<double>"), "probes")
+    asked = materialise(keyed.mapInPandas(_asker(centre, held, probes, k + own, largest), "query long, query_id long, list int, probe int, x array<double>"), "probes")
     first = materialise(_search(asked.where("probe = 0").withColumn("limit", F.lit(1e300)), indexed, k, largest), "own")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query", F.col("score").alias("kth"))

@@ -1,6 +1,9 @@
 """Operator 10 against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from bibspark.llm import ann
@@ -89,3 +92,32 @@ def test_repeated_queries_and_large_components(spark):
     want = [(i, s[i]) for i in range(50) if i != 20] + [(40, x[1] @ x[20])]
     assert ids[20] == [i for i, _ in sorted(want, key=lambda t: (-t[1], t[0]))[:10]] and len(ids[0]) == 10
     assert len(ids[40]) == 20  # two different vectors of one id: two queries
+
+
+def test_full_groups_take_bounded_memory():
+    """A full group without a limit, as of each query's own list, is not held as all its pairs at once."""
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((ann.VECTORS, 32)), rng.standard_normal((300, 32))
+    of = lambda ids, rows, **more: pd.DataFrame({"vec_id": ids, "x": list(rows), **more})
+    queries, vectors = of(range(9000, 9300), q, query=range(300), limit=1e300).assign(query_id=range(9000, 9300)), of(range(len(x)), x)
+    tracemalloc.start()
+    got = ann._searcher(20, 20.0)(queries, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert got.groupby("query").vec_id.apply(list).to_dict() == {i: best[i].tolist() for i in range(300)}
+
+
+def test_probes_come_in_pieces():
+    """The rows of a frame's queries times their lists are not one frame, and are the same."""
+    rng = np.random.default_rng(5)
+    centre, held = rng.standard_normal((800, 33)).astype(np.float32), np.full(800, 3)
+    x = rng.standard_normal((500, 32))
+    frame = pd.DataFrame({"query": range(500), "vec_id": range(500), "x": list(x)})
+    found = list(ann._asker(centre, held, 400, 20, 10.0)([frame, frame.iloc[:0]]))
+    assert max(map(len, found)) <= ann.PAIRS and sum(map(len, found)) == 500 * 400
+    near = ann.order_of_lists(ann.augmented(x, 10.0, True), centre)
+    rows = pd.concat(found)
+    assert (rows["list"].to_numpy().reshape(500, 400) == near[:, :400]).all() and (rows.probe.to_numpy().reshape(500, 400) == np.arange(400)).all()
+    assert (ann.nearest_list(ann.augmented(x, 10.0, True), centre) == near[:, 0]).all()
