@@ -112,3 +112,50 @@ def test_ledgers_over_many_days(spark, tmp_path):
     duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
     got = sorted(map(tuple, registry.QUERIES["stream_ledger_order"](spark, str(tmp_path)).select("ledger_id", "sequence", "problem").collect()))
     assert got == sorted(duck.execute(f"select ledger_id, sequence, problem from ({registry.ORACLES['stream_ledger_order']})").fetchall())
+
+
+class _Store:
+    """A state variable that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return {
+                "exists": lambda: None in self.rows, "get": lambda: self.rows.get(None), "update": lambda v: self.rows.__setitem__(None, v), "containsKey": lambda k: k in self.rows, "getValue": lambda k: self.rows.get(k),
+                "updateValue": lambda k, v: self.rows.__setitem__(k, v), "removeKey": lambda k: self.rows.pop(k), "keys": lambda: iter(list(self.rows)),
+            }[name](*args)
+
+        return call
+
+
+def test_early_events_cost_few_calls(monkeypatch):
+    """Events that wait cost a call to the state store a block, not some each; blocks beyond those in memory come back from the store."""
+    import types
+
+    import pandas as pd
+
+    rnd, calls = random.Random(5), []
+    last, early, timers = _Store(calls), _Store(calls), []
+    handle = types.SimpleNamespace(getValueState=lambda *a: last, getMapState=lambda *a: early, registerTimer=lambda ms: timers.append(ms))
+    clock = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    v = intake.LedgerVerifier(True)
+    v.init(handle)
+    n, gone = 20_000, {1, 700, 5000, 5001, 19_999}
+    events = [(i, f"h{i - 1}" if i > 1 else "GENESIS", f"h{i}", f"h{i}" if i != 9000 else "x", 10 * i) for i in range(1, n + 1) if i not in gone]
+    rnd.shuffle(events)
+    third = len(events) // 3
+    again = events[:5]
+    found = []
+    for part in (events[:third], [*events[third : 2 * third], *again], events[2 * third :]):
+        f = pd.DataFrame(part, columns=["sequence", "previous_hash", "hash", "content", "ms"])
+        for x in v.handleInputRows(("a",), iter([f.iloc[:3000], f.iloc[3000:]]), clock(0)):
+            found += x.itertuples(index=False, name=None)
+    assert len(calls) < 1000, len(calls)
+    for now in (6990, 60_000, 10**9):
+        for x in v.handleExpiredTimer(("a",), clock(now), None):
+            found += x.itertuples(index=False, name=None)
+    assert len(calls) < 1500 and not early.rows and last.rows[None][:3] == (n, f"h{n}", 0)
+    assert sorted(found) == sorted([*(("a", e[0], "repeat") for e in again), *(("a", s, "gap") for s in (2, 701, 5002, 20_000)), ("a", 9000, "content")])
